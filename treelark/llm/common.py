@@ -79,8 +79,9 @@ def to_arrow(t: T.DataType) -> pa.DataType:
 
 
 def by_group(df: DataFrame, key: str, ident: str) -> DataFrame:
-    """df with a column `part`, so that rows that share (key, part) are at most about two blocks.
+    """df with the columns `part`, `block` and `diag`, so that rows that share (key, part) are at most about two blocks.
 
+    A pair of rows belongs to one part: that with diag if both have one block, else that in which their blocks differ.
     A key with more than BLOCK_ROWS rows is cut into b blocks by a hash of ident, and each row goes to the
     b groups of block pairs that hold its block: every pair of rows of the key still meets in one group
     or more. Hot keys are found from the 1/32 of identities whose hash is divisible by 32; a miss costs time, not results.
@@ -94,7 +95,8 @@ def by_group(df: DataFrame, key: str, ident: str) -> DataFrame:
         "other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     )
     part = F.when(other.isNull(), F.lit(0).cast("long")).otherwise(F.least(mine, other) * F.col("blocks") + F.greatest(mine, other))
-    return dealt.withColumn("part", part).drop("blocks", "other")
+    added = {"part": part, "block": F.coalesce(mine, F.lit(0).cast("long")), "diag": F.coalesce(mine == other, F.lit(True))}
+    return dealt.withColumns(added).drop("blocks", "other")
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelark.llm import sentencepiece_bpe
-from treelark.llm.common import read
+from treelark.llm import embedding_dedup, quality_rules, sentencepiece_bpe, simhash
+from treelark.llm.common import Workspace, read
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_rules.quality(docs, read(spark, sf_dir, "labels"))
+    return judged.select("row.doc_id", "verdict.*")
+
+
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    fps = ws.save(simhash.with_fingerprints(docs).select("row.doc_id", "verdict.fp"), "fingerprints")
+    found = simhash.near_duplicates(ws, fps)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +30,15 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_documents(docs, digests=True).select("row.doc_id", "verdict.*")
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(Workspace(spark), read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_sentencepiece": op4_sentencepiece,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 ORACLE: dict[str, str] = {}
