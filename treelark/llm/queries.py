@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelark.llm import embedding_dedup, quality_rules, sentencepiece_bpe, simhash
+from treelark.llm import chat_format, embedding_dedup, language_id, line_dedup, mixing, quality_rules, sentencepiece_bpe, simhash
 from treelark.llm.common import Workspace, read
 
 
@@ -30,6 +31,34 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_documents(docs, digests=True).select("row.doc_id", "verdict.*")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.dedup(Workspace(spark), docs)
+    deleted = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+    return found.select("row.doc_id", "n_lines", deleted.alias("n_deleted"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = mixing.copies(Workspace(spark), docs)
+    return found.select("row.doc_id", "row.source", "n_tokens", F.round("weight", 6).alias("weight"), "copies")
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = '</s>[INST] ok [/INST]'
+    record = json.dumps({"messages": [{"role": "user", "content": said}, {"role": "assistant", "content": said}]})
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    one = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(record).alias("record"))
+    turns = chat_format.turns_from_rows(rows).unionByName(chat_format.turns_from_json(one))
+    return chat_format.read_back(chat_format.format_turns(turns))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(docs).select("row.doc_id", "verdict.*")
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(Workspace(spark), read(spark, sf_dir, "embeddings"))
 
@@ -38,7 +67,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_mixing": op6_mixing,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op9_language_id": op9_language_id,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_line_dedup": line_dedup.oracle(),
+}
