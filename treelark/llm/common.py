@@ -42,6 +42,15 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a table that may be broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 20_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it was counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

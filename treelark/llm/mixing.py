@@ -21,21 +21,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treelark.llm.common import Workspace
+from treelark.llm.common import Workspace, bounded
 
 BLOCKS = 256
 SECTIONS, PASSES = 64, 4
 REPETITION_LIMIT = 2.0
-#: Rows of a table that may be broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 50_000
 WORD = "[^\\\\x20\\\\x09-\\\\x0D]+"
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it was counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def tokens(text: str = "text") -> Column:
     return F.expr(f"coalesce(regexp_count(cast(`{text}` as string), '{WORD}'), 0)").cast("long")
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelark.llm import chat_format, embedding_dedup, language_id, line_dedup, mixing, quality_rules, sentencepiece_bpe, simhash
+from treelark.llm import chat_format, embedding_dedup, html_extract, language_id, line_dedup, mixing, quality_rules, sentencepiece_bpe, simhash, token_shards
 from treelark.llm.common import Workspace, read
 
 
@@ -26,6 +26,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract_pages(Workspace(spark), read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepiece_bpe.encode_documents(docs, digests=True).select("row.doc_id", "verdict.*")
@@ -53,6 +58,13 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(turns))
 
 
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level ids (the UTF-8 bytes of a text, one byte an id), in training order."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    index, _ = token_shards.materialise(Workspace(spark), docs, "cast(text as binary)", 1)
+    return index
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language_id.identify(docs).select("row.doc_id", "verdict.*")
@@ -66,10 +78,12 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_html_extraction": op3_html_extraction,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_line_dedup": op5_line_dedup,
     "op6_mixing": op6_mixing,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_token_shards": op8_token_shards,
     "op9_language_id": op9_language_id,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,7 +100,8 @@ def links_in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def near_duplicates(ws: Workspace, fps: DataFrame, ident: str = "doc_id") -> DataFrame:
-    """fps (ident, fp) with component_id: the smallest ident that links of at most MAX_BITS differing bits reach."""
+    """fps (ident, fp, any others) with component_id, the smallest ident that links of at most MAX_BITS differing bits reach,
+    and component, a fingerprint that names the component even if its idents are null."""
     classes = ws.save(fps.groupBy("fp").agg(F.min(ident).alias("least")), "classes")
     rows = by_group(variants(classes.select("fp")), "key", "fp")
     dealt = rows.repartition("key", "part").sortWithinPartitions("key", "part")
@@ -108,5 +109,19 @@ def near_duplicates(ws: Workspace, fps: DataFrame, ident: str = "doc_id") -> Dat
     found = components(ws, links, name="simhash").withColumnRenamed("node", "fp")
     least = classes.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     roots = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = least.join(roots, "component").select("fp", "component_id")
-    return fps.join(ids, "fp").select(*fps.columns, "component_id")
+    ids = least.join(roots, "component").select("fp", "component_id", "component")
+    return fps.join(ids, "fp").select(*fps.columns, "component_id", "component")
+
+
+def one_of_each(ws: Workspace, docs: DataFrame) -> DataFrame:
+    """docs with one document of each component: that with the smallest doc_id, once if its row is repeated."""
+    key = F.xxhash64(F.lit(37), "doc_id", "text")
+    fps = ws.save(with_fingerprints(docs.select("doc_id", "text")).select("row.doc_id", key_of_row().alias("key"), "verdict.fp"), "fingerprints")
+    found = near_duplicates(ws, fps).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = found.groupBy("component").agg(F.min("key").alias("__key")).select("__key").distinct()
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("__key"))
+    return packed.join(keep, "__key").dropDuplicates(["__key"]).select("row.*")
+
+
+def key_of_row() -> Column:
+    return F.xxhash64(F.lit(37), "row.doc_id", "row.text")
