@@ -1,6 +1,6 @@
 """All registered queries of the engine."""
 
-from treelark.plans import queries_search  # noqa: F401
+from treelark.plans import queries_eval, queries_search, queries_tree  # noqa: F401
 from treelark.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
