@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from treelark.functions.paths import ancestors
 
 MAX_LINES = 200
+#: Prefixes of a batch that may be broadcast.
+MAX_PREFIXES = 10_000
 
 
 def by_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -22,7 +24,8 @@ def resolve(keys: DataFrame, table: DataFrame, key: str, value: str) -> DataFram
 
 def docs_by_prefix(prefixes: DataFrame, docs: DataFrame) -> DataFrame:
     """(prefix, doc_slug): slugs that equal a prefix, start with it and a dot, or contain it. Prefixes are a broadcast batch."""
-    return docs.select("doc_slug").join(F.broadcast(prefixes.select("prefix").where("prefix <> ''")), F.contains("doc_slug", "prefix"))
+    some = prefixes.select("prefix").where("prefix <> ''")
+    return docs.select("doc_slug").join(F.broadcast(some) if some.count() <= MAX_PREFIXES else some, F.contains("doc_slug", "prefix"))
 
 
 def doc_stats(docs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def resolve_anchors(requests: DataFrame, docs: DataFrame, chunks: DataFrame) ->
     """Requests (request_id, raw) -> anchor path, or an error.
 
     Priority 0: a chunk path. 1: a document slug that is a run of labels of the raw path (earliest start, longest first), then its first
-    chunk at or under the path from that label on, else its first chunk. 2: a slug that starts with or contains the last labels.
+    chunk at or under the path from that label on, else its first chunk. 2: a slug that starts with or holds the last labels of the raw path as a run of its own.
     """
     exact = requests.join(chunks.select(F.col("path").alias("raw")).distinct(), "raw").select("request_id", F.lit(0).alias("pri"), F.lit(0).alias("s"), F.lit(0).alias("l"), F.col("raw").alias("anchor"))
     parts = F.split("raw", r"\.")
@@ -67,7 +67,9 @@ def resolve_anchors(requests: DataFrame, docs: DataFrame, chunks: DataFrame) ->
     hit = hit.withColumn("under", is_under(F.col("path"), F.col("rest"))).withColumn("n", F.row_number().over(first)).where("n = 1")
     by_slug = hit.select("request_id", F.lit(1).alias("pri"), "s", (-F.col("l")).alias("l"), F.col("path").alias("anchor"))
     tails = starts.select("request_id", "s", F.array_join(F.slice("p", F.col("s"), F.size("p")), ".").alias("tail"))
-    near = docs.select("doc_slug").join(F.broadcast(tails), F.contains("doc_slug", "tail"))
+    slug = F.split("doc_slug", r"\.")
+    runs = docs.select("doc_slug", slug.alias("p"), F.explode(F.sequence(F.lit(1), F.size(slug))).alias("a")).select("doc_slug", "p", "a", F.explode(F.sequence(F.lit(1), F.size("p") - F.col("a") + 1)).alias("b"))
+    near = runs.select("doc_slug", F.array_join(F.slice("p", F.col("a"), F.col("b")), ".").alias("tail")).distinct().join(tails, "tail")
     near = near.join(chunks.groupBy("doc_slug").agg(F.min_by("path", F.struct("start_line", "path")).alias("anchor")), "doc_slug")
     by_part = near.select("request_id", F.lit(2).alias("pri"), "s", F.when(F.col("doc_slug").startswith(F.col("tail")), 0).otherwise(1).alias("l"), "anchor")
     best = Window.partitionBy("request_id").orderBy("pri", "s", "l", "anchor")

@@ -18,7 +18,7 @@ def corpus_files(spark: SparkSession, root: str, namespace: str = "") -> DataFra
     """(file, doc_slug, raw_text) of the Markdown files under a folder; hidden files and folders are passed over."""
     pattern = "*.{" + ",".join(SUFFIXES) + "}"
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
-    rows = rows.select(F.url_decode("_metadata.file_path").alias("file"), F.col("value").alias("raw_text"))
+    rows = rows.select(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("file"), F.col("value").alias("raw_text"))
     base = F.regexp_replace(F.lit(root), "/+$", "")
     rest = F.regexp_replace(F.regexp_replace("file", "^file:/*", "/"), F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(base, "^file:/*", "/"), r"([.+*?^$()\[\]{}|\\])", r"\\$1")), F.lit(""))
     return rows.where(~rest.rlike(r"/\.")).select("file", slug_of(F.col("file"), root, namespace).alias("doc_slug"), "raw_text")
