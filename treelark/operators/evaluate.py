@@ -24,8 +24,13 @@ def covered(hits: DataFrame, expected: DataFrame) -> DataFrame:
     """(config, case_id, target, first): the first rank that answers each target, null if none. hits: (config, case_id, rank, path)."""
     joined = hits.select("config", "case_id", "rank", "path").join(expected.select("case_id", "target"), "case_id").where(matches(F.col("path"), F.col("target")))
     first = joined.groupBy("config", "case_id", "target").agg(F.min("rank").alias("first"))
-    configs = hits.select("config").distinct()
-    return configs.join(expected.select("case_id", "target")).join(first, ["config", "case_id", "target"], "left")
+    return each_config(hits, expected.select("case_id", "target")).join(first, ["config", "case_id", "target"], "left")
+
+
+def each_config(hits: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows once for each configuration of hits; the configurations are one small array."""
+    names = hits.agg(F.collect_set("config").alias("configs"))
+    return rows.join(F.broadcast(names)).select(*rows.columns, F.explode("configs").alias("config"))
 
 
 def outcomes(hits: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:

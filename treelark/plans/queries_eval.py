@@ -91,8 +91,7 @@ def ev_ndcg_binary(m: Model) -> DataFrame:
     hits, ex = light(m), expected(m)
     ranked = hits.groupBy("config", "case_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("ranked"))
     targets = ex.groupBy("case_id").agg(F.sort_array(F.collect_set("target")).alias("targets"))
-    every = hits.select("config").distinct().join(targets)
-    joined = every.join(ranked, ["config", "case_id"], "left").withColumn("ranked", F.coalesce("ranked", F.array().cast("array<string>")))
+    joined = ev.each_config(hits, targets).join(ranked, ["config", "case_id"], "left").withColumn("ranked", F.coalesce("ranked", F.array().cast("array<string>")))
     return joined.select("config", "case_id", ev.ndcg_binary(F.col("ranked"), F.col("targets")).alias("ndcg_10"))
 
 
