@@ -148,6 +148,29 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
                 yield found
 
 
+#: Bits of a sieve: 2 MB, whatever the number of keys.
+SIEVE_BITS = 24
+
+
+def sieve(keys: DataFrame, key: str) -> DataFrame:
+    """One row: the array `sieve` of the bits of all keys (long hashes), modulo 2^SIEVE_BITS."""
+    h = F.pmod(key, F.lit(1 << SIEVE_BITS))
+    bits = keys.select(F.shiftright(h, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(`{key}`, 64) as int))").alias("bits"))
+    every = keys.sparkSession.range(1 << (SIEVE_BITS - 6)).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = bits.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return words.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"]).alias("__sieve"))
+
+
+def sifted(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """df cut in two by a sieve of keys: rows whose key may be among them, and rows whose key surely isn't.
+
+    Wide rows that need no join are thus never shuffled; what passes falsely only costs its own shuffle.
+    """
+    marked = df.join(F.broadcast(sieve(keys, key)))
+    bit = F.expr(f"shiftright(get(__sieve, cast(shiftright(pmod(`{key}`, {1 << SIEVE_BITS}), 6) as int)), cast(pmod(`{key}`, 64) as int)) & 1L")
+    return marked.where(bit == 1).drop("__sieve"), marked.where(bit == 0).drop("__sieve")
+
+
 def stars(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the graph with this square boolean matrix, as stars: (centre, member) by index."""
     n = len(linked)

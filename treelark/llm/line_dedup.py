@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treelark.llm.common import Workspace
+from treelark.llm.common import Workspace, sifted
 
 MIN_WORDS = 50
 SPACE = "[\\\\x20\\\\x09-\\\\x0D]+"
@@ -107,8 +107,9 @@ def dedup(ws: Workspace, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
     """(row, text, n_lines, spans): every document with its text without later copies, and the deleted stretches (first, last)."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
     gone = later_copies(ws, keyed(docs.select("doc_id", "text")), min_words)
-    spans = gone.groupBy(F.col("doc").alias("__doc")).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
-    joined = keyed(packed).join(spans, "__doc", "left")
+    spans = ws.save(gone.groupBy(F.col("doc").alias("__doc")).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")), "spans")
+    some, rest = sifted(keyed(packed), spans, "__doc")
+    joined = some.join(spans, "__doc", "left").unionByName(rest.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
     kept = f"""
         filter(transform(sequence(0, size(spans)), i -> struct(
             if(i = 0, 0, spans[i - 1].last + 1) as a,

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treelark.llm.common import BLOCK_ROWS, Workspace, annotate, by_group, components, runs_of, stars
+from treelark.llm.common import BLOCK_ROWS, Workspace, annotate, by_group, components, runs_of, sifted, stars
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: (first bit, end) of the segments.
@@ -117,10 +117,16 @@ def one_of_each(ws: Workspace, docs: DataFrame) -> DataFrame:
     """docs with one document of each component: that with the smallest doc_id, once if its row is repeated."""
     key = F.xxhash64(F.lit(37), "doc_id", "text")
     fps = ws.save(with_fingerprints(docs.select("doc_id", "text")).select("row.doc_id", key_of_row().alias("key"), "verdict.fp"), "fingerprints")
-    found = near_duplicates(ws, fps).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.groupBy("component").agg(F.min("key").alias("__key")).select("__key").distinct()
+    found = near_duplicates(ws, fps)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("stays"))
+    rows = fps.groupBy("key").agg(F.count("*").alias("n")).join(keep, "key", "left")
+    touched = ws.save(rows.where("stays is null or n > 1").select(F.col("key").alias("__key"), "stays"), "touched")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("__key"))
-    return packed.join(keep, "__key").dropDuplicates(["__key"]).select("row.*")
+    some, rest = sifted(packed, touched, "__key")
+    gone, twice = touched.where("stays is null").select("__key"), touched.where("stays").select("__key")
+    some = some.join(gone, "__key", "left_anti")
+    once = some.join(twice, "__key", "left_semi").dropDuplicates(["__key"])
+    return some.join(twice, "__key", "left_anti").unionByName(once).unionByName(rest).select("row.*")
 
 
 def key_of_row() -> Column:
