@@ -114,7 +114,7 @@ def test_shards(spark):
     texts = [(i, "x" * (i * 37 % 1500) + "é") for i in range(300)] + [(None, "null id"), (5, "again"), (900, None), (901, ""), (902, "long " * 30000)]
     docs = spark.createDataFrame(texts, "doc_id bigint, text string").withColumn("slot", F.lit("clash"))
     index, root = token_shards.materialise(Workspace(spark), docs, "cast(text as binary)", 1, 64)
-    rows = index.collect()
+    rows = token_shards.with_digests(index, root, 1, index.count(), 64).collect()
     want = Counter((i, k // 64, hashlib.sha256(t.encode()[k : k + 64]).hexdigest()) for i, t in texts for k in range(0, len((t or "").encode()), 64))
     assert Counter((r["doc_id"], r["seq"], r["ids_sha256"]) for r in rows) == want
     by_slot = {r["slot"]: r for r in rows}
@@ -130,7 +130,7 @@ def test_shards_of_sentencepiece_ids(spark):
     ws = Workspace(spark)
     ids = ws.save(sentencepiece_bpe.encode_documents(docs).select("row.doc_id", "verdict.ids"), "ids")
     index, root = token_shards.materialise(ws, ids, "ids", 4, 50)
-    n = index.count()
+    n = token_shards.with_digests(index, root, 4, index.count(), 50).count()
     parts = defaultdict(dict)
     for r, payload in zip(index.orderBy("slot").collect(), token_shards.read_slots(root, 0, n, n, 4, 50), strict=True):
         parts[r["doc_id"]][r["seq"]] = payload

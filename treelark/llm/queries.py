@@ -61,8 +61,8 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level ids (the UTF-8 bytes of a text, one byte an id), in training order."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    index, _ = token_shards.materialise(Workspace(spark), docs, "cast(text as binary)", 1)
-    return index
+    index, root = token_shards.materialise(Workspace(spark), docs, "cast(text as binary)", 1)
+    return token_shards.with_digests(index, root, 1, index.count())
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 A document's ids are cut into sequences of SEQ_LEN ids. Sequences are numbered densely (documents by input partition and row, as the scan
 deals them), and a keyed Feistel permutation of the next power of four, walked until it falls below their number, gives every sequence its global slot.
-Slots are cut into ranges, one shard file each; a task sorts its ranges by slot and writes them at a fixed stride, so slot s lies at byte (s mod
-range) * stride of shard s div range and a reader resumes at any slot by seeking. A sidecar file holds the number of ids by slot; the
-rest of a sequence is zero bytes.
+Slots are cut into ranges, one shard file each; a task fills its ranges slot by slot in memory (MOST_BYTES a range at most) and writes them at a fixed stride,
+so slot s lies at byte (s mod range) * stride of shard s div range and a reader resumes at any slot by seeking. A sidecar file holds the number
+of ids by slot; the rest of a sequence is zero bytes. Sequences of a batch that go to one range travel together, compressed.
 
 Only counts by input partition reach the driver. Shards are written under a temporary name and renamed, and a slot depends on the input alone, so a task that is run
 again writes the same bytes.
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from treelark.llm.common import BATCH_ROWS, Workspace
 
 SEQ_LEN, KEY = 512, 0x5EED
-LEAST_RANGE, MOST_RANGE, SHARDS = 4096, 1 << 19, 1024
+#: Slots of a shard at least, bytes of a shard at most, and the number of shards to aim at between these bounds.
+LEAST_RANGE, MOST_BYTES, SHARDS = 4096, 1 << 26, 1024
 ROUNDS = 6
 
 
@@ -54,17 +56,22 @@ def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def range_of(n: int) -> int:
+def range_of(n: int, stride: int) -> int:
     """Slots of a shard: a power of two that makes about SHARDS shards, within bounds."""
-    return min(MOST_RANGE, max(LEAST_RANGE, 1 << max(0, (n // SHARDS).bit_length())))
+    most = 1 << max(0, (MOST_BYTES // stride).bit_length() - 1)
+    return min(most, max(LEAST_RANGE, 1 << max(0, (n // SHARDS).bit_length())))
 
 
 def shard_path(root: str, shard: int, kind: str = "bin") -> str:
     return f"{root}/shard-{shard:08d}.{kind}"
 
 
+PARCEL = "shard bigint, slots array<bigint>, docs array<bigint>, seqs array<bigint>, sizes array<bigint>, data binary"
+INDEX = "slot bigint, doc_id bigint, seq bigint, n_ids bigint, shard bigint"
+
+
 def materialise(ws: Workspace, docs: DataFrame, ids: str, width: int, seq_len: int = SEQ_LEN, key: int = KEY, name: str = "shards") -> tuple[DataFrame, str]:
-    """Writes the shards of docs and returns their index (slot, doc_id, seq, n_ids, ids_sha256, shard) and their folder.
+    """Writes the shards of docs and returns their index (slot, doc_id, seq, n_ids, shard) and their folder.
 
     ids: SQL expression of the ids of a row as little-endian binary of `width` bytes each.
     """
@@ -77,7 +84,9 @@ def materialise(ws: Workspace, docs: DataFrame, ids: str, width: int, seq_len: i
     starts, n = {}, 0
     for r in sorted(sums):
         starts[r["part"]], n = n, n + r["n"]
-    size, root = range_of(n), f"{ws.root}/{name}"
+    size, root = range_of(n, stride), f"{ws.root}/{name}"
+    if not n:
+        return spark.createDataFrame([], INDEX), root
     offsets = spark.sparkContext.broadcast(starts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,55 +98,90 @@ def materialise(ws: Workspace, docs: DataFrame, ids: str, width: int, seq_len: i
                     doc.append(i)
                     seq.append(k // stride)
                     payload.append(x[k : k + stride])
-            slot = permute(np.arange(at, at + len(doc)), n, key) if doc else np.empty(0, np.int64)
+            if not doc:
+                continue
+            slot = permute(np.arange(at, at + len(doc)), n, key)
             at += len(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(slot // size), pa.array(slot), pa.array(doc, pa.int64()), pa.array(seq, pa.int64()), pa.array(payload, pa.binary())], ["shard", "slot", "doc_id", "seq", "payload"])
+            order = np.argsort(slot, kind="stable")
+            shard = slot[order] // size
+            ends = np.append(np.flatnonzero(np.diff(shard)) + 1, len(order))
+            out, first = [], 0
+            for last in ends.tolist():
+                own = order[first:last].tolist()
+                data = zstandard.compress(b"".join([payload[k] for k in own]), 1)
+                out.append((int(shard[first]), slot[own].tolist(), [doc[k] for k in own], [seq[k] for k in own], [len(payload[k]) for k in own], data))
+                first = last
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), longs, longs, longs, longs, pa.binary()), strict=True)], ["shard", "slots", "docs", "seqs", "sizes", "data"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(root)
         store.create_dir(base, recursive=True)
-        out = None
-        open_shard, lengths, metas, temp = -1, [], [], ""
+        at, bytes_, sizes, meta = -1, bytearray(), np.empty(0), []
 
-        def finish() -> pa.RecordBatch:
-            out.close()
-            final = shard_path(base, open_shard)
+        def put(kind: str, data: bytes) -> None:
+            final = shard_path(base, at, kind)
+            temp = f"{final}.{TaskContext.get().taskAttemptId()}"
+            with store.open_output_stream(temp) as f:
+                f.write(data)
             store.move(temp, final)
-            with store.open_output_stream(shard_path(base, open_shard, "len")) as f:
-                f.write(np.array(lengths, "<u4").tobytes())
-            digests = []
-            with store.open_input_stream(final) as f:
-                for k in lengths:
-                    digests.append(hashlib.sha256(f.read(stride)[: k * width]).hexdigest())
-            slot, doc, seq = zip(*metas, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(doc, pa.int64()), pa.array(seq, pa.int64()), pa.array(lengths, pa.int64()), pa.array(digests, pa.string()), pa.array([open_shard] * len(slot), pa.int64())], ["slot", "doc_id", "seq", "n_ids", "ids_sha256", "shard"])
+
+        def finish() -> pa.RecordBatch:
+            count = min(size, n - at * size)
+            put("bin", memoryview(bytes_)[: count * stride])
+            put("len", (sizes[:count] // width).astype("<u4").tobytes())
+            meta.sort()
+            slot, _, doc, seq = zip(*meta, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(doc, pa.int64()), pa.array(seq, pa.int64()), pa.array(sizes[np.array(slot) - at * size] // width), pa.array([at] * len(slot), pa.int64())], ["slot", "doc_id", "seq", "n_ids", "shard"])
 
         for b in batches:
-            for shard, slot, doc, seq, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if shard != open_shard:
-                    if out is not None:
+            for shard, slots, own, seqs, lengths, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if shard != at:
+                    if at >= 0:
                         yield finish()
-                    open_shard, lengths, metas = shard, [], []
-                    temp = f"{shard_path(base, shard)}.{TaskContext.get().taskAttemptId()}"
-                    out = store.open_output_stream(temp)
-                out.write(payload.ljust(stride, b"\0"))
-                lengths.append(len(payload) // width)
-                metas.append((slot, doc, seq))
-        if out is not None:
+                    at, bytes_, sizes, meta = shard, bytearray(size * stride), np.zeros(size, np.int64), []
+                raw, k = zstandard.decompress(data), 0
+                for slot, m in zip(slots, lengths, strict=True):
+                    place = (slot - at * size) * stride
+                    bytes_[place : place + m] = raw[k : k + m]
+                    sizes[slot - at * size] = m
+                    k += m
+                meta += zip(slots, range(len(slots)), own, seqs, strict=True)
+        if at >= 0:
             yield finish()
 
-    if not n:
-        return spark.createDataFrame([], "slot bigint, doc_id bigint, seq bigint, n_ids bigint, ids_sha256 string, shard bigint"), root
-    cut_rows = rows.mapInArrow(cut, "shard bigint, slot bigint, doc_id bigint, seq bigint, payload binary")
-    dealt = cut_rows.repartition(max(1, min(-(-n // size), 4096)), "shard").sortWithinPartitions("slot")
-    index = dealt.mapInArrow(write, "slot bigint, doc_id bigint, seq bigint, n_ids bigint, ids_sha256 string, shard bigint")
-    return ws.save(index, f"{name}-index"), root
+    dealt = rows.mapInArrow(cut, PARCEL).repartition(max(1, min(-(-n // size), 4096)), "shard").sortWithinPartitions("shard")
+    return ws.save(dealt.mapInArrow(write, INDEX), f"{name}-index"), root
+
+
+def with_digests(index: DataFrame, root: str, width: int, n: int, seq_len: int = SEQ_LEN) -> DataFrame:
+    """The index with the SHA-256 of each sequence's ids, read back from the shards."""
+    stride = seq_len * width
+    size = range_of(n, stride)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        for b in batches:
+            slot, count = b.column(0).to_numpy(), b.column(3).to_numpy()
+            digests: list[str] = [""] * len(slot)
+            order = np.argsort(slot, kind="stable")
+            first = 0
+            for last in np.append(np.flatnonzero(np.diff(slot[order] // size)) + 1, len(order)).tolist() if len(order) else []:
+                with store.open_input_file(shard_path(base, int(slot[order[first]]) // size)) as f:
+                    for k in order[first:last].tolist():
+                        f.seek(int(slot[k]) % size * stride)
+                        digests[k] = hashlib.sha256(f.read(int(count[k]) * width)).hexdigest()
+                first = last
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests, pa.string())], [*b.schema.names, "ids_sha256"])
+
+    return index.mapInArrow(run, INDEX + ", ids_sha256 string")
 
 
 def read_slots(root: str, first: int, count: int, n: int, width: int, seq_len: int = SEQ_LEN) -> list[bytes]:
     """Sequences of consecutive slots, by seeking; n is the number of all sequences."""
     store, base = fs.FileSystem.from_uri(root)
-    size, stride, out = range_of(n), seq_len * width, []
+    stride, out = seq_len * width, []
+    size = range_of(n, stride)
     while count > 0 and first < n:
         shard, k = divmod(first, size)
         take = min(count, size - k, n - first)
