@@ -212,3 +212,19 @@ def read_back(segments: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names)
 
     return segments.mapInArrow(run, READ)
+
+
+def oracle(said: str) -> str:
+    """DuckDB SQL of the digests for `conversations` and conversation -7, two turns that say `said`. Escapes add one character each."""
+    controls = "|".join(f"{re.escape(c[0])}\\\\*{re.escape(c[1:])}" for c in sorted(CONTROL, key=len, reverse=True)).replace("'", "''")
+    return f"""
+    WITH t AS (
+        SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '{said}'), (-7, 1, 'assistant', '{said}')
+    ), e AS (
+        SELECT *, length('{START}{END}') + length(role) + 2 + length(text) + len(regexp_extract_all(text, '{controls}')) AS size FROM t
+    )
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(size) AS BIGINT) AS formatted_chars
+    FROM e GROUP BY conv_id
+    """

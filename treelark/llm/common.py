@@ -166,9 +166,9 @@ def sifted(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFra
 
     Wide rows that need no join are thus never shuffled; what passes falsely only costs its own shuffle.
     """
-    marked = df.join(F.broadcast(sieve(keys, key)))
     bit = F.expr(f"shiftright(get(__sieve, cast(shiftright(pmod(`{key}`, {1 << SIEVE_BITS}), 6) as int)), cast(pmod(`{key}`, 64) as int)) & 1L")
-    return marked.where(bit == 1).drop("__sieve"), marked.where(bit == 0).drop("__sieve")
+    # existence joins with the one row: its array is looked into, and never copied beside a row
+    return tuple(df.join(F.broadcast(sieve(keys, key)), bit == 1, how) for how in ("left_semi", "left_anti"))
 
 
 def stars(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -230,3 +230,22 @@ def near_duplicates(ws: Workspace, vectors: DataFrame, threshold: float = THRESH
     all_rows = vectors.select("vec_id", "embedding", F.when(F.expr(valid()), F.xxhash64("embedding")).alias("h"))
     joined = all_rows.join(by_class, (all_rows["h"] == by_class["h"]) & (all_rows["embedding"] == by_class["vector"]), "left")
     return joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def oracle(threshold: float = THRESHOLD) -> str:
+    """DuckDB SQL: all pairs, and the smallest vec_id that links reach. For small tables only."""
+    return f"""
+    WITH RECURSIVE v AS (
+        SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS size FROM embeddings
+    ), links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.size > 0 AND b.size > 0 AND len(a.x) = len(b.x) AND list_dot_product(a.x, b.x) / a.size / b.size >= {threshold}
+    ), reach AS (
+        SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+    ), least AS (
+        SELECT a, min(b) AS b FROM reach GROUP BY a
+    ), counts AS (
+        SELECT a, count(*) AS n FROM links GROUP BY a
+    )
+    SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least.b, vec_id)) AS component_id, vec_id <= coalesce(least.b, vec_id) AS kept
+    FROM v LEFT JOIN counts ON counts.a = vec_id LEFT JOIN least ON least.a = vec_id
+    """

@@ -49,9 +49,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "row.source", "n_tokens", F.round("weight", 6).alias("weight"), "copies")
 
 
+SAID = "</s>[INST] ok [/INST]"
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = '</s>[INST] ok [/INST]'
-    record = json.dumps({"messages": [{"role": "user", "content": said}, {"role": "assistant", "content": said}]})
+    record = json.dumps({"messages": [{"role": "user", "content": SAID}, {"role": "assistant", "content": SAID}]})
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     one = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(record).alias("record"))
     turns = chat_format.turns_from_rows(rows).unionByName(chat_format.turns_from_json(one))
@@ -90,4 +92,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op5_line_dedup": line_dedup.oracle(),
+    "op7_chat_formatting": chat_format.oracle(SAID),
+    "op10_embedding_near_dedup": embedding_dedup.oracle(),
 }
