@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from treelark.llm.common import annotate
 
 #: Entries of a Python worker's cache of encoded words, and the longest word that it keeps.
-CACHE_WORDS, CACHE_CHARS = 600_000, 40
+CACHE_WORDS, CACHE_CHARS = 300_000, 40
 NONE = np.iinfo(np.int64).max
 SPACE = "▁"
 
