@@ -237,6 +237,17 @@ def test_line_dedup(spark, odd, none):
     assert whole[4] == LONG and whole[5] == "" and whole[10] == "head"
 
 
+def test_line_dedup_of_runs_with_many_blank_lines(spark):
+    thin = "\n\n".join(words(50, 77).split())
+    gap = words(25, 78) + "\n" * 150 + words(25, 79)
+    rows = [(1, "a\n" + thin + "\nb"), (2, "c\n" + thin + "\nd"), (3, gap), (4, "e\n" + gap + "\nf"), (5, "g\n" + "\n" * 300 + "h")]
+    assert thin.count("\n") + 1 == 99
+    want = brute_lines(rows, 50)
+    got = line_dedup.dedup(Workspace(spark), spark.createDataFrame(rows, "doc_id bigint, text string")).select("row.doc_id", "row.text", F.col("text").alias("new")).collect()
+    assert {(True, x["doc_id"], x["text"]): x["new"] for x in got} == want
+    assert want[True, 2, rows[1][1]] == "c\nd" and want[True, 4, rows[3][1]] == "e\nf"
+
+
 def test_mixing(spark, odd, none):
     r = random.Random(2)
     rows = [(i, words(r.randint(5, 60), i), "en", s, 0, "", 0) for i, s in enumerate(["hot"] * 300 + ["b"] * 60 + ["c"] * 30)]

@@ -79,7 +79,13 @@ def later_copies(ws: Workspace, docs: DataFrame, min_words: int = MIN_WORDS) ->
     lines = ws.save(positions(docs).distinct(), "lines")
     rank = ws.save(repeated(lines.select("doc", "at", F.col("line").alias("rank")), "rank").select("doc", "at", "rank"), "rank-0")
     ranks = [rank]
-    for k in range(1, min_words.bit_length()):
+    busy = rank.select("doc").distinct()
+    asked = runs(lines.join(busy, "doc", "left_semi"), min_words).withColumn("k", F.floor(F.log2("n") + 1e-9).cast("int"))
+    asked = ws.save(asked, "asked")
+    most = asked.agg(F.max("k")).first()[0] or 0
+    for k in range(1, most + 1):
+        if ranks[-1].isEmpty():  # nothing that long is repeated
+            break
         on = ranks[-1].select("doc", (F.col("at") - (1 << (k - 1))).alias("at"), F.col("rank").alias("next"))
         pairs = ranks[-1].join(on, ["doc", "at"]).select("doc", "at", F.xxhash64(F.lit(k), "rank", "next").alias("rank"))
         ranks.append(ws.save(repeated(pairs, "rank").select("doc", "at", "rank"), f"rank-{k}"))
@@ -88,8 +94,6 @@ def later_copies(ws: Workspace, docs: DataFrame, min_words: int = MIN_WORDS) ->
         r = r.withColumn("k", F.lit(k))
         array = r if array is None else array.unionByName(r)
 
-    busy = ranks[0].select("doc").distinct()
-    asked = runs(lines.join(busy, "doc", "left_semi"), min_words).withColumn("k", F.floor(F.log2("n") + 1e-9).cast("int"))
     tail = array.select("doc", "k", F.col("at").alias("tail"), F.col("rank").alias("tail_rank"))
     named = asked.join(array, ["doc", "k", "at"]).withColumn("tail", F.col("at") + F.col("n") - F.expr("cast(shiftleft(1, k) as int)"))
     named = named.join(tail, ["doc", "k", "tail"]).select("doc", F.struct("doc_id", "doc", "at").alias("place"), "n", F.xxhash64("n", "rank", "tail_rank").alias("name"))
