@@ -125,6 +125,33 @@ def test_shards(spark):
     assert token_shards.materialise(Workspace(spark), docs.limit(0), "cast(text as binary)", 1)[0].count() == 0
 
 
+def test_slots_do_not_depend_on_the_dealing_of_rows(spark):
+    docs = spark.createDataFrame([(i % 190, "x" * (i % 190 * 37 % 900)) for i in range(200)] + [(None, "y")], "doc_id bigint, text string")
+    found = []
+    for dealt in (docs.coalesce(1), docs.repartition(7), docs.orderBy(F.desc("doc_id")).coalesce(2)):
+        index, _ = token_shards.materialise(Workspace(spark), dealt, "cast(text as binary)", 1, 64)
+        found.append(sorted((r["slot"], r["doc_id"] or -1, r["seq"], r["n_ids"]) for r in index.collect()))
+    assert found[0] == found[1] == found[2] and [x[0] for x in found[0]] == list(range(len(found[0])))
+
+
+def test_slots_hold_when_the_scan_is_planned_anew(spark, tmp_path, monkeypatch):
+    path, key, usual = str(tmp_path / "docs"), "spark.sql.files.maxPartitionBytes", token_shards.range_of
+    spark.range(4000).selectExpr("id as doc_id", "repeat('z', 100) as text").repartition(16).write.parquet(path)
+    before = spark.conf.get(key)
+
+    def planned_anew(n, stride):
+        spark.conf.set(key, "16k")
+        return usual(n, stride)
+
+    monkeypatch.setattr(token_shards, "range_of", planned_anew)
+    try:
+        index, _ = token_shards.materialise(Workspace(spark), spark.read.parquet(path), "cast(text as binary)", 1, 64)
+        assert index.select("slot").distinct().count() == 8000
+        assert index.select("doc_id", "seq").distinct().count() == 8000
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_shards_of_sentencepiece_ids(spark):
     docs = spark.createDataFrame([(i, f"some text {i} " * 20) for i in range(40)], "doc_id bigint, text string")
     ws = Workspace(spark)

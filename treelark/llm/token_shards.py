@@ -1,16 +1,17 @@
 """Token ids in training order: fixed-stride binary shards.
 
-A document's ids are cut into sequences of SEQ_LEN ids. Sequences are numbered densely (documents by input partition and row, as the scan
-deals them), and a keyed Feistel permutation of the next power of four, walked until it falls below their number, gives every sequence its global slot.
+A document's ids are cut into sequences of SEQ_LEN ids. Documents are dealt into PARTS parts by a hash of doc_id and ids, ordered in
+their part by that hash, and stored with their part and the number of sequences before them in it. Counts by the stored part number the sequences densely,
+and a keyed Feistel permutation of the next power of four, walked until it falls below their number, gives every sequence its global slot.
 Slots are cut into ranges, one shard file each; a task fills its ranges slot by slot in memory (MOST_BYTES a range at most) and writes them at a fixed stride,
 so slot s lies at byte (s mod range) * stride of shard s div range and a reader resumes at any slot by seeking. A sidecar file holds the number
 of ids by slot; the rest of a sequence is zero bytes. Sequences of a batch that go to one range travel together, compressed.
 
-Only counts by input partition reach the driver. Shards are written under a temporary name and renamed, and a slot depends on the input alone, so a task that is run
-again writes the same bytes.
+Only counts by part reach the driver. Shards are written under a temporary name and renamed. A slot depends on the rows alone, not on how a scan deals
+them, so a task that is run again writes the same bytes; a shard whose slots are not filled once each, or a missing shard, is an error.
 
-Null and empty texts have no sequences. Long texts give as many sequences as they need. Repeated rows get slots of their own. An
-empty table gives an empty index and no shards. docs must deal the same rows to the same partitions when read twice, as a file scan does.
+Rows without ids have no sequences. Long texts give as many sequences as they need. Repeated rows get slots of their own. An
+empty table gives an empty index and no shards.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treelark.llm.common import BATCH_ROWS, Workspace
@@ -33,6 +34,8 @@ SEQ_LEN, KEY = 512, 0x5EED
 #: Slots of a shard at least, bytes of a shard at most, and the number of shards to aim at between these bounds.
 LEAST_RANGE, MOST_BYTES, SHARDS = 4096, 1 << 26, 1024
 ROUNDS = 6
+#: Parts in which documents are ordered and sequences are counted.
+PARTS = 4096
 
 
 def feistel(index: np.ndarray, half: int, key: int) -> np.ndarray:
@@ -79,8 +82,11 @@ def materialise(ws: Workspace, docs: DataFrame, ids: str, width: int, seq_len: i
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     stride = seq_len * width
     rows = docs.select("doc_id", F.expr(ids).alias("ids"))
-    per_doc = F.ceil(F.coalesce(F.octet_length("ids"), F.lit(0)) / stride)
-    sums = rows.select(F.spark_partition_id().alias("part"), per_doc.alias("n")).groupBy("part").agg(F.sum("n").alias("n")).where("n > 0").collect()
+    rows = rows.withColumn("hash", F.xxhash64(F.lit(37), "doc_id", "ids")).withColumn("part", F.pmod("hash", F.lit(PARTS)))
+    rows = rows.withColumn("n", F.ceil(F.coalesce(F.octet_length("ids"), F.lit(0)) / stride)).where("n > 0")
+    before = Window.partitionBy("part").orderBy("hash", "doc_id", "ids").rowsBetween(Window.unboundedPreceding, -1)
+    rows = ws.save(rows.select("doc_id", "ids", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at")), f"{name}-ids")
+    sums = rows.groupBy("part").agg(F.sum("n").alias("n")).collect()
     starts, n = {}, 0
     for r in sorted(sums):
         starts[r["part"]], n = n, n + r["n"]
@@ -90,18 +96,18 @@ def materialise(ws: Workspace, docs: DataFrame, ids: str, width: int, seq_len: i
     offsets = spark.sparkContext.broadcast(starts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = offsets.value.get(TaskContext.get().partitionId(), 0)
+        start = offsets.value
         for b in batches:
-            doc, seq, payload = [], [], []
-            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for k in range(0, len(x or b""), stride):
+            doc, seq, payload, index = [], [], [], []
+            for i, x, part, at in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                for k in range(0, len(x), stride):
                     doc.append(i)
                     seq.append(k // stride)
                     payload.append(x[k : k + stride])
+                    index.append(start[part] + at + k // stride)
             if not doc:
                 continue
-            slot = permute(np.arange(at, at + len(doc)), n, key)
-            at += len(doc)
+            slot = permute(np.array(index), n, key)
             order = np.argsort(slot, kind="stable")
             shard = slot[order] // size
             ends = np.append(np.flatnonzero(np.diff(shard)) + 1, len(order))
@@ -128,9 +134,11 @@ def materialise(ws: Workspace, docs: DataFrame, ids: str, width: int, seq_len: i
 
         def finish() -> pa.RecordBatch:
             count = min(size, n - at * size)
+            meta.sort()
+            if [m[0] for m in meta] != list(range(at * size, at * size + count)):
+                raise ValueError(f"{len(meta)} sequences don't fill the {count} slots of shard {at} once each")
             put("bin", memoryview(bytes_)[: count * stride])
             put("len", (sizes[:count] // width).astype("<u4").tobytes())
-            meta.sort()
             slot, _, doc, seq = zip(*meta, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(doc, pa.int64()), pa.array(seq, pa.int64()), pa.array(sizes[np.array(slot) - at * size] // width), pa.array([at] * len(slot), pa.int64())], ["slot", "doc_id", "seq", "n_ids", "shard"])
 
@@ -150,8 +158,12 @@ def materialise(ws: Workspace, docs: DataFrame, ids: str, width: int, seq_len: i
         if at >= 0:
             yield finish()
 
-    dealt = rows.mapInArrow(cut, PARCEL).repartition(max(1, min(-(-n // size), 4096)), "shard").sortWithinPartitions("shard")
-    return ws.save(dealt.mapInArrow(write, INDEX), f"{name}-index"), root
+    dealt = rows.select("doc_id", "ids", "part", "at").mapInArrow(cut, PARCEL).repartition(max(1, min(-(-n // size), 4096)), "shard").sortWithinPartitions("shard")
+    index = ws.save(dealt.mapInArrow(write, INDEX), f"{name}-index")
+    if (written := index.count()) != n:
+        raise ValueError(f"{written} of {n} slots are written")
+    ws.drop(f"{name}-ids")
+    return index, root
 
 
 def with_digests(index: DataFrame, root: str, width: int, n: int, seq_len: int = SEQ_LEN) -> DataFrame:
