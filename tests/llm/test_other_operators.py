@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from treelark.llm import chat_format, embedding_dedup, html_extract, sentencepiece_bpe, token_shards
+from treelark.llm import chat_format, embedding_dedup, html_extract, queries, sentencepiece_bpe, token_shards
 from treelark.llm.common import BLOCK_ROWS, Workspace
 
 NAV = '<nav><ul><li><a href="/a">A</a><li><a href="/b">B</a></ul></nav>'
@@ -166,6 +166,22 @@ def test_shards_of_sentencepiece_ids(spark):
         assert model.decode_bytes(b"".join(parts[d][k] for k in sorted(parts[d]))).decode() == t
 
 
+def test_query_shards_token_ids(spark, tmp_path):
+    import sentencepiece
+
+    texts = {1: "some plain text", 2: None, 3: "", 4: "long and 😀 odd " * 400}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_bpe.model_path())
+    want = set()
+    for d, t in texts.items():
+        ids = [sp.bos_id(), *sp.encode(t or ""), sp.eos_id()]
+        for k in range(0, len(ids), token_shards.SEQ_LEN):
+            part = np.array(ids[k : k + token_shards.SEQ_LEN], "<u2")
+            want.add((d, k // token_shards.SEQ_LEN, len(part), hashlib.sha256(part.tobytes()).hexdigest()))
+    got = queries.op8_token_shards(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["seq"], r["n_ids"], r["ids_sha256"]) for r in got} == want and len(got) == len(want) > 5
+
+
 def test_estimates_are_unbiased_and_bounded():
     r = np.random.default_rng(0)
     o = embedding_dedup.units(r.standard_normal((4000, 64)))

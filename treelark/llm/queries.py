@@ -60,11 +60,16 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(turns))
 
 
+#: Bytes of an id: the model has 32k pieces.
+ID_BYTES = 2
+
+
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte-level ids (the UTF-8 bytes of a text, one byte an id), in training order."""
+    """SentencePiece ids with begin and end ids, two bytes an id, in training order."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    index, root = token_shards.materialise(Workspace(spark), docs, "cast(text as binary)", 1)
-    return token_shards.with_digests(index, root, 1, index.count())
+    ids = sentencepiece_bpe.encode_ids(docs, ID_BYTES).select("row.doc_id", "verdict.ids")
+    index, root = token_shards.materialise(Workspace(spark), ids, "ids", ID_BYTES)
+    return token_shards.with_digests(index, root, ID_BYTES, index.count())
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,6 +228,22 @@ VERDICT = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("
 DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
+IDS = T.StructType([T.StructField("ids", T.BinaryType())])
+
+
+def encode_ids(docs: DataFrame, width: int = 4, path: str | None = None, text: str = "text") -> DataFrame:
+    """(row, verdict): verdict holds ids alone, as little-endian unsigned integers of `width` bytes; nothing is decoded."""
+    path = path or model_path()
+    if width not in (2, 4) or bpe(path).size > 1 << 8 * width:
+        raise ValueError(f"ids of {bpe(path).size} pieces don't fit {width} bytes")
+
+    def run(batch: dict[str, pa.Array]) -> dict[str, object]:
+        ids = bpe(path).encode(batch["text"].to_pylist())
+        return {"ids": ids if width == 4 else [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]}
+
+    return annotate(docs, {"text": f"cast(`{text}` as string)"}, IDS, run)
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text", digests: bool = False) -> DataFrame:
     """(row, verdict): verdict holds n_tokens, ids (little-endian uint32 as binary) and the decoded text, or their digests."""
     path = path or model_path()
