@@ -38,6 +38,21 @@ def test_wrapper_drops_constant_texts_only():
     assert html_extract.extract(pages[3].replace("story 3 begins", "the same story"), copies).startswith("Read all our stories\n\nthe same story")
 
 
+def test_wrapper_of_short_articles_in_much_boilerplate():
+    def short(k, body):
+        menu, foot = ("".join(f"<div>{t} {i}</div>" for i in range(n)) for t, n in (("menu item", 10), ("footer line", 3)))
+        return f"<body><div>{menu}</div><div>{body}</div><div>{foot}</div></body>"
+
+    pages = [short(k, "".join(f"<p>story {k} part {i}</p>" for i in range(3))) for k in range(12)]
+    assert html_extract.extract(pages[5], html_extract.induce(pages)) == "\n\n".join(f"story 5 part {i}" for i in range(3))
+    copies = [short(k, "<p>one story</p><p>copied</p>") for k in range(12)]
+    wrapper = html_extract.induce(copies + pages[:4])
+    assert html_extract.extract(copies[0], wrapper) == "one story\n\ncopied"
+    assert "one story" in html_extract.extract(copies[0], html_extract.induce(copies))
+    rare = [p.replace("<body>", "<body><section><p>only in some</p></section>") if k < 5 else p for k, p in enumerate(pages)]
+    assert "only in some" not in html_extract.extract(rare[0], html_extract.induce(rare))
+
+
 def test_tree_matching_counts_pairs():
     slot = html_extract.Slot("")
     html_extract.align(slot, [html_extract.parse("<div><h1>a</h1><p>b</p></div>")], True, {})
