@@ -30,6 +30,15 @@ def test_extraction_by_marks():
     assert html_extract.extract("<p>" + "w " * 200_000) == " ".join(["w"] * 200_000)
 
 
+def test_marks_leave_article_text():
+    body = '<h2 id="discussion">D</h2><section class="discussion"><h2 id="related-work">R</h2></section><p id="ad-hoc-analysis">a</p><div class="ad-hoc-analysis">b</div><div class="ad">no</div><ol class="comments"><li>no</ol>'
+    want = "D\n\nR\n\na\n\nb"
+    assert html_extract.extract(f"<nav>no</nav><article>{body}</article>") == want
+    assert html_extract.extract(f'<main><h1>Title</h1><p>Intro</p><div class="share">no</div><article>{body}</article></main>') == f"Title\n\nIntro\n\n{want}"
+    assert html_extract.extract('<div><h2 id="search">S</h2><p id="ad">p</p></div><div id="search">no</div>') == "S\n\np"
+    assert html_extract.extract("<p>so <math><mi>x</mi> = 1</math> holds <object>o</object></p><select><option>c</select>") == "so x = 1 holds o\n\nc"
+
+
 def test_wrapper_drops_constant_texts_only():
     pages = [page(k, f"<p>story {k} begins</p><p>story {k} ends</p>") for k in range(8)]
     wrapper = html_extract.induce(pages)
