@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 BATCH_ROWS = 1000
 #: Largest group of rows that one task compares among themselves; larger groups are dealt out in blocks.
 BLOCK_ROWS = 1024
+#: Spark's setting that removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Workspace:
@@ -28,13 +30,21 @@ class Workspace:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = tempfile.mkdtemp(prefix="spark-checkpoint-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.root = f"{root.rstrip('/')}/treelark-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+    def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        """df, written and read again; the shuffle files of the write are removed when it ends."""
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        before = conf.get(CLEANUP)
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").options(**options).parquet(path)
+        finally:
+            conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -42,13 +52,20 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows of a table that may be broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 20_000
+#: Rows and bytes of a table that may be broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 1 << 26
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it was counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """df, marked for broadcast if its rows and bytes were counted to be few."""
+    size = F.lit(8 * len(df.columns))
+    for f in df.schema:
+        if isinstance(f.dataType, T.StringType | T.BinaryType):
+            size += F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            size += 32 * F.greatest(F.size(f"`{f.name}`"), F.lit(0))
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and total <= BROADCAST_BYTES else df
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,14 +73,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def annotate(
-    df: DataFrame, inputs: dict[str, str], verdict: T.StructType, fn: Callable[[dict[str, pa.Array]], dict[str, object]]
+    df: DataFrame, inputs: dict[str, str], verdict: T.StructType, fn: Callable[[dict[str, pa.Array]], dict[str, object]], keep: list[str] | None = None
 ) -> DataFrame:
     """Every row of df as the struct `row`, with the struct `verdict` that fn finds for it, batch by batch.
 
     inputs: name -> SQL expression over df's columns. The rows travel through Arrow untouched, so
-    extra columns of any name and type are kept.
+    extra columns of any name and type are kept; keep names the columns that are wanted, if not all are.
     """
-    schema = T.StructType([T.StructField("row", df.schema, False), T.StructField("verdict", verdict, False)])
+    columns = df.columns if keep is None else keep
+    schema = T.StructType([T.StructField("row", df.select(*[f"`{c}`" for c in columns]).schema, False), T.StructField("verdict", verdict, False)])
     arrow = [pa.field(f.name, to_arrow(f.dataType)) for f in verdict]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +93,7 @@ def annotate(
             yield pa.RecordBatch.from_arrays([b.column(0), pa.StructArray.from_arrays(cols, fields=arrow)], ["row", "verdict"])
 
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[F.expr(x).alias(f"__{k}") for k, x in inputs.items()])
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), *[F.expr(x).alias(f"__{k}") for k, x in inputs.items()])
     return packed.mapInArrow(run, schema)
 
 
