@@ -80,20 +80,22 @@ def fit(docs: DataFrame, limit: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.append(at, BUCKETS)), pa.array(np.append(n[at], docs_of[lang]))], ["lang", "bucket", "n"])
 
     parts = rows.select("lang", "text").mapInArrow(run, "lang string, bucket bigint, n bigint")
-    table = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(table["lang"].unique().tolist())
+    sums = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    packed = sums.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("n")).orderBy("lang").limit(MAX_LANGS + 1)
+    table = packed.collect()  # a row a language, with BUCKETS + 1 counts at most
+    langs = [r["lang"] for r in table]
     if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} languages; at most {MAX_LANGS} are supported")
+        raise ValueError(f"more than {MAX_LANGS} languages")
     counts = np.zeros((BUCKETS + 1, len(langs)))
-    place = {lang: k for k, lang in enumerate(langs)}
-    counts[table["bucket"].to_numpy(np.int64), table["lang"].map(place).to_numpy(np.int64)] = table["n"].to_numpy(np.float64)
+    for k, r in enumerate(table):
+        counts[r["buckets"], k] = r["n"]
     logs = np.log(counts[:-1] + ALPHA) - np.log(counts[:-1].sum(0) + ALPHA * BUCKETS) if langs else counts[:-1]
     prior = np.log((counts[-1] + 1) / (counts[-1] + 1).sum()) if langs else counts[-1]
     return langs, np.vstack([logs, prior])
 
 
-def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, text: str = "text") -> DataFrame:
-    """(row, verdict) for every document; score is the posterior probability of lang_pred."""
+def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(row, verdict) for every document; score is the posterior probability of lang_pred; keep: the columns of row."""
     shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logs.T, np.float32))
 
     def run(batch: dict[str, pa.Array]) -> dict[str, object]:
@@ -108,10 +110,10 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, text: str = "te
         und = [not t or not any(map(str.isalpha, t)) for t in texts]
         return {"lang_pred": ["und" if u else langs[k] for u, k in zip(und, best.tolist(), strict=True)], "score": np.where(und, 0.0, score)}
 
-    return annotate(docs, {"text": f"cast(`{text}` as string)"}, VERDICT, run)
+    return annotate(docs, {"text": f"cast(`{text}` as string)"}, VERDICT, run, keep)
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(row, verdict) for every document, with a model fitted on the training folds of docs."""
     langs, logs = fit(docs)
-    return predict(docs, langs, logs)
+    return predict(docs, langs, logs, keep=keep)

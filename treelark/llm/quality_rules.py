@@ -154,8 +154,8 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR)
     return np.log((target + prior * buckets * p) / (target.sum() + prior * buckets) / p)
 
 
-def score_documents(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """(row, verdict) for every document."""
+def score_documents(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+    """(row, verdict) for every document; keep: the columns of row."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batch: dict[str, pa.Array]) -> dict[str, object]:
@@ -168,10 +168,10 @@ def score_documents(docs: DataFrame, ratios: np.ndarray, threshold: float = THRE
         failed = (counts < MIN_WORDS) | (100 * base["n_repeat_words"] > REPEAT_PERCENT * counts)
         return base | {"score": score, "base_failed": failed, "kept": ~failed & (score >= threshold)}
 
-    return annotate(docs, {"text": "cast(text as binary)"}, VERDICT, run)
+    return annotate(docs, {"text": "cast(text as binary)"}, VERDICT, run, keep)
 
 
-def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """(row, verdict) for every document: the model is counted over docs, then each document is judged."""
     ratios = log_ratios(ngram_counts(docs, trusted_ids(labels)))
-    return score_documents(docs, ratios, threshold)
+    return score_documents(docs, ratios, threshold, keep)

@@ -14,14 +14,14 @@ from treelark.llm.common import Workspace, read
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    judged = quality_rules.quality(docs, read(spark, sf_dir, "labels"))
+    judged = quality_rules.quality(docs, read(spark, sf_dir, "labels"), keep=["doc_id"])
     return judged.select("row.doc_id", "verdict.*")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    fps = ws.save(simhash.with_fingerprints(docs).select("row.doc_id", "verdict.fp"), "fingerprints")
+    fps = ws.save(simhash.with_fingerprints(docs, keep=["doc_id"]).select("row.doc_id", "verdict.fp"), "fingerprints")
     found = simhash.near_duplicates(ws, fps)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -33,7 +33,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return sentencepiece_bpe.encode_documents(docs, digests=True).select("row.doc_id", "verdict.*")
+    return sentencepiece_bpe.encode_documents(docs, digests=True, keep=["doc_id"]).select("row.doc_id", "verdict.*")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,16 +65,16 @@ ID_BYTES = 2
 
 
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SentencePiece ids with begin and end ids, two bytes an id, in training order."""
+    """SentencePiece ids with begin and end ids, two bytes an id, packed into sequences in training order."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = sentencepiece_bpe.encode_ids(docs, ID_BYTES).select("row.doc_id", "verdict.ids")
-    index, root = token_shards.materialise(Workspace(spark), ids, "ids", ID_BYTES)
-    return token_shards.with_digests(index, root, ID_BYTES, index.count())
+    ids = sentencepiece_bpe.encode_ids(docs, ID_BYTES, keep=["doc_id"]).select("row.doc_id", "verdict.ids")
+    shards = token_shards.materialise(Workspace(spark), ids, "ids", ID_BYTES, parts=token_shards.parts_of(docs.count()))
+    return token_shards.with_digests(shards, ID_BYTES)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    found = language_id.identify(docs).select("row.doc_id", "verdict.*")
+    found = language_id.identify(docs, keep=["doc_id"]).select("row.doc_id", "verdict.*")
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 

@@ -72,9 +72,18 @@ class Bpe:
                 if left is not None and right is not None:
                     parts[left * self.base + right] = (rank_of[p], i)
                     unsafe |= {pieces[q] for q in (p[:k], p[k:]) if q in pieces and rank_of[p] <= rank_of[q]}
-        self.keys = np.array(sorted(parts), np.int64)
-        self.ranks = np.array([parts[k][0] for k in self.keys.tolist()], np.int64)
-        self.merged = np.array([parts[k][1] for k in self.keys.tolist()], np.int64)
+        keys = np.array(list(parts), np.int64)
+        #: Pairs in a table with open places, a quarter full at most: key, rank and id of the merged piece.
+        self.places = (4 * len(keys)).bit_length()
+        self.keys, self.ranks, self.merged = (np.full(1 << self.places, x, np.int64) for x in (-1, NONE, 0))
+        at, left = self.place(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[at[left]] < 0
+            first = left[free][np.unique(at[left[free]], return_index=True)[1]]
+            self.keys[at[first]] = keys[first]
+            self.ranks[at[first]], self.merged[at[first]] = np.array([parts[k] for k in keys[first].tolist()], np.int64).T if len(first) else (0, 0)
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
         self.unsafe = np.zeros(self.base, bool)
         self.unsafe[list(unsafe)] = True
 
@@ -87,11 +96,19 @@ class Bpe:
         self.control = np.array([k == 1 for k in kind])
         self.cache: dict[str, bytes] = {}
 
+    def place(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.places)).astype(np.int64)
+
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left * self.base + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        found = self.keys[at] == key
-        return np.where(found, self.ranks[at], NONE), self.merged[at]
+        at = self.place(key)
+        there = self.keys[at]
+        lost = np.flatnonzero((there != key) & (there >= 0))
+        while len(lost):  # another pair's place: go on to the next
+            at[lost] = (at[lost] + 1) & (len(self.keys) - 1)
+            there = self.keys[at[lost]]
+            lost = lost[(there != key[lost]) & (there >= 0)]
+        return self.ranks[at], self.merged[at]
 
     def merge_rounds(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols after all merges, and the word of each. word is sorted."""
@@ -231,7 +248,7 @@ DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("i
 IDS = T.StructType([T.StructField("ids", T.BinaryType())])
 
 
-def encode_ids(docs: DataFrame, width: int = 4, path: str | None = None, text: str = "text") -> DataFrame:
+def encode_ids(docs: DataFrame, width: int = 4, path: str | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(row, verdict): verdict holds ids alone, as little-endian unsigned integers of `width` bytes; nothing is decoded."""
     path = path or model_path()
     if width not in (2, 4) or bpe(path).size > 1 << 8 * width:
@@ -241,11 +258,11 @@ def encode_ids(docs: DataFrame, width: int = 4, path: str | None = None, text: s
         ids = bpe(path).encode(batch["text"].to_pylist())
         return {"ids": ids if width == 4 else [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]}
 
-    return annotate(docs, {"text": f"cast(`{text}` as string)"}, IDS, run)
+    return annotate(docs, {"text": f"cast(`{text}` as string)"}, IDS, run, keep)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text", digests: bool = False) -> DataFrame:
-    """(row, verdict): verdict holds n_tokens, ids (little-endian uint32 as binary) and the decoded text, or their digests."""
+def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text", digests: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """(row, verdict): verdict holds n_tokens, ids (little-endian uint32 as binary) and the decoded text, or their digests; keep: the columns of row."""
     path = path or model_path()
 
     def run(batch: dict[str, pa.Array]) -> dict[str, object]:
@@ -258,7 +275,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
         sha = lambda b: hashlib.sha256(b).hexdigest()
         return {"n_tokens": n, "ids_sha256": [sha(x) for x in ids], "decoded_sha256": [sha(model.decode_bytes(x)) for x in ids]}
 
-    return annotate(docs, {"text": f"cast(`{text}` as string)"}, DIGEST if digests else VERDICT, run)
+    return annotate(docs, {"text": f"cast(`{text}` as string)"}, DIGEST if digests else VERDICT, run, keep)
 
 
 if sys.byteorder != "little":

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,10 +48,10 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(row, verdict.fp) for every document."""
+def with_fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(row, verdict.fp) for every document; keep: the columns of row."""
     kind = T.StructType([T.StructField("fp", T.LongType())])
-    return annotate(docs, {"text": f"cast(`{text}` as binary)"}, kind, lambda b: {"fp": [fingerprint(t) for t in b["text"].to_pylist()]})
+    return annotate(docs, {"text": f"cast(`{text}` as binary)"}, kind, lambda b: {"fp": [fingerprint(t) for t in b["text"].to_pylist()]}, keep)
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def near_duplicates(ws: Workspace, fps: DataFrame, ident: str = "doc_id") -> Dat
 def one_of_each(ws: Workspace, docs: DataFrame) -> DataFrame:
     """docs with one document of each component: that with the smallest doc_id, once if its row is repeated."""
     key = F.xxhash64(F.lit(37), "doc_id", "text")
-    fps = ws.save(with_fingerprints(docs.select("doc_id", "text")).select("row.doc_id", key_of_row().alias("key"), "verdict.fp"), "fingerprints")
+    fps = ws.save(with_fingerprints(docs.select("doc_id", "text", key.alias("key")), keep=["doc_id", "key"]).select("row.*", "verdict.fp"), "fingerprints")
     found = near_duplicates(ws, fps)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("stays"))
     rows = fps.groupBy("key").agg(F.count("*").alias("n")).join(keep, "key", "left")
@@ -127,7 +127,3 @@ def one_of_each(ws: Workspace, docs: DataFrame) -> DataFrame:
     some = some.join(gone, "__key", "left_anti")
     once = some.join(twice, "__key", "left_semi").dropDuplicates(["__key"])
     return some.join(twice, "__key", "left_anti").unionByName(once).unionByName(rest).select("row.*")
-
-
-def key_of_row() -> Column:
-    return F.xxhash64(F.lit(37), "row.doc_id", "row.text")

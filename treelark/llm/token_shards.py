@@ -1,16 +1,17 @@
-"""Token ids in training order: fixed-stride binary shards.
+"""Token ids in training order: fixed-stride binary shards of packed sequences.
 
-A document's ids are cut into sequences of SEQ_LEN ids. Documents are dealt into PARTS parts by a hash of doc_id and ids, ordered in
-their part by that hash, and stored with their part and the number of sequences before them in it. Counts by the stored part number the sequences densely,
-and a keyed Feistel permutation of the next power of four, walked until it falls below their number, gives every sequence its global slot.
-Slots are cut into ranges, one shard file each; a task fills its ranges slot by slot in memory (MOST_BYTES a range at most) and writes them at a fixed stride,
-so slot s lies at byte (s mod range) * stride of shard s div range and a reader resumes at any slot by seeking. A sidecar file holds the number
-of ids by slot; the rest of a sequence is zero bytes. Sequences of a batch that go to one range travel together, compressed.
+Documents are dealt into parts by a hash of doc_id and ids, ordered in their part by that hash, and stand there end to end; a part is cut into
+sequences of SEQ_LEN ids, so only its last sequence may be short. Each document is stored with its part and the number of ids before it, counts by the
+stored part number the sequences densely, and a keyed Feistel permutation of the next power of four, walked until it falls below their number, gives
+every sequence its global slot. Slots are cut into ranges, one shard file each; a task fills its ranges piece by piece in memory (MOST_BYTES a range
+at most) and writes them at a fixed stride, so slot s lies at byte (s mod range) * stride of shard s div range and a reader resumes at any slot
+by seeking. A sidecar file holds the number of ids by slot; the rest of a sequence is zero bytes. Pieces of a batch that go to one range travel
+together, compressed. The index tells for each piece of a document in which slot and where in it the piece lies.
 
-Only counts by part reach the driver. Shards are written under a temporary name and renamed. A slot depends on the rows alone, not on how a scan deals
-them, so a task that is run again writes the same bytes; a shard whose slots are not filled once each, or a missing shard, is an error.
+Only counts by part reach the driver, MOST_PARTS at most. Shards are written under a temporary name and renamed. A slot depends on the rows alone, not
+on how a scan deals them, so a task that is run again writes the same bytes; a slot that is not filled once from end to end, or a missing shard, is an error.
 
-Rows without ids have no sequences. Long texts give as many sequences as they need. Repeated rows get slots of their own. An
+Rows without ids have no pieces. Long texts run over as many sequences as they need. Repeated rows get places of their own. An
 empty table gives an empty index and no shards.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,20 @@ SEQ_LEN, KEY = 512, 0x5EED
 #: Slots of a shard at least, bytes of a shard at most, and the number of shards to aim at between these bounds.
 LEAST_RANGE, MOST_BYTES, SHARDS = 4096, 1 << 26, 1024
 ROUNDS = 6
-#: Parts in which documents are ordered and sequences are counted.
-PARTS = 4096
+#: Documents to aim at in a part, and the number of parts at most.
+PART_DOCS, MOST_PARTS = 1024, 1 << 18
+#: Bytes of ids that a task gathers before it cuts them into parcels: larger parcels compress better.
+PARCEL_BYTES = 1 << 25
+#: Tasks that write shards at most.
+MOST_WRITERS = 1 << 16
+
+
+class Shards(NamedTuple):
+    """The index of the pieces, the folder of the shards and the number of sequences in them."""
+
+    index: DataFrame
+    root: str
+    sequences: int
 
 
 def feistel(index: np.ndarray, half: int, key: int) -> np.ndarray:
@@ -65,65 +79,91 @@ def range_of(n: int, stride: int) -> int:
     return min(most, max(LEAST_RANGE, 1 << max(0, (n // SHARDS).bit_length())))
 
 
+def parts_of(docs: int) -> int:
+    """Parts of so many documents: a power of two that puts about PART_DOCS into one, within bounds."""
+    return min(MOST_PARTS, 1 << max(0, (docs // PART_DOCS).bit_length()))
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows (doc_id, ids, ..) of batches in lists of about PARCEL_BYTES of ids."""
+    rows, size = [], 0
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            rows.append(row)
+            size += len(row[1])
+            if size >= PARCEL_BYTES:
+                yield rows
+                rows, size = [], 0
+    if rows:
+        yield rows
+
+
 def shard_path(root: str, shard: int, kind: str = "bin") -> str:
     return f"{root}/shard-{shard:08d}.{kind}"
 
 
-PARCEL = "shard bigint, slots array<bigint>, docs array<bigint>, seqs array<bigint>, sizes array<bigint>, data binary"
-INDEX = "slot bigint, doc_id bigint, seq bigint, n_ids bigint, shard bigint"
+LISTS = ["slots", "places", "docs", "firsts", "sizes", "wholes"]
+PARCEL = "shard bigint, " + "".join(f"{c} array<bigint>, " for c in LISTS) + "data binary"
+INDEX = "slot bigint, place bigint, doc_id bigint, first bigint, n_ids bigint, shard bigint"
 
 
-def materialise(ws: Workspace, docs: DataFrame, ids: str, width: int, seq_len: int = SEQ_LEN, key: int = KEY, name: str = "shards") -> tuple[DataFrame, str]:
-    """Writes the shards of docs and returns their index (slot, doc_id, seq, n_ids, shard) and their folder.
+def materialise(ws: Workspace, docs: DataFrame, ids: str, width: int, seq_len: int = SEQ_LEN, key: int = KEY, name: str = "shards", parts: int | None = None) -> Shards:
+    """Writes the shards of docs. Their index (slot, place, doc_id, first, n_ids, shard) has one row for each piece of a document: n_ids of
+    its ids from the first-th on lie in the slot from the place-th id on.
 
-    ids: SQL expression of the ids of a row as little-endian binary of `width` bytes each.
+    ids: SQL expression of the ids of a row as little-endian binary of `width` bytes each. parts: parts_of(rows) if None, which counts docs.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    stride = seq_len * width
+    stride, parts = seq_len * width, parts or parts_of(docs.count())
     rows = docs.select("doc_id", F.expr(ids).alias("ids"))
-    rows = rows.withColumn("hash", F.xxhash64(F.lit(37), "doc_id", "ids")).withColumn("part", F.pmod("hash", F.lit(PARTS)))
-    rows = rows.withColumn("n", F.ceil(F.coalesce(F.octet_length("ids"), F.lit(0)) / stride)).where("n > 0")
+    rows = rows.withColumn("hash", F.xxhash64(F.lit(37), "doc_id", "ids")).withColumn("part", F.pmod("hash", F.lit(parts)))
+    rows = rows.withColumn("n", F.floor(F.coalesce(F.octet_length("ids"), F.lit(0)) / width)).where("n > 0")
     before = Window.partitionBy("part").orderBy("hash", "doc_id", "ids").rowsBetween(Window.unboundedPreceding, -1)
-    rows = ws.save(rows.select("doc_id", "ids", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at")), f"{name}-ids")
-    sums = rows.groupBy("part").agg(F.sum("n").alias("n")).collect()
-    starts, n = {}, 0
-    for r in sorted(sums):
-        starts[r["part"]], n = n, n + r["n"]
+    rows = ws.save(rows.select("doc_id", "ids", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at")), f"{name}-ids", compression="zstd")
+    totals = np.zeros(parts, np.int64)
+    for r in rows.groupBy("part").agg(F.sum("n").alias("n")).collect():
+        totals[r["part"]] = r["n"]
+    counts = -(-totals // seq_len)
+    n = int(counts.sum())
     size, root = range_of(n, stride), f"{ws.root}/{name}"
     if not n:
-        return spark.createDataFrame([], INDEX), root
-    offsets = spark.sparkContext.broadcast(starts)
+        return Shards(spark.createDataFrame([], INDEX), root, 0)
+    shared = spark.sparkContext.broadcast((np.cumsum(counts) - counts, totals))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = offsets.value
-        for b in batches:
-            doc, seq, payload, index = [], [], [], []
-            for i, x, part, at in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                for k in range(0, len(x), stride):
+        starts, total = shared.value
+        longs = pa.list_(pa.int64())
+        for rows_ in gathered(batches):
+            doc, first, place, m, whole, payload, index = [], [], [], [], [], [], []
+            for i, x, part, at in rows_:
+                end = at + len(x) // width
+                for k in range(at // seq_len, (end - 1) // seq_len + 1):
+                    a, z = max(at, k * seq_len), min(end, (k + 1) * seq_len)
                     doc.append(i)
-                    seq.append(k // stride)
-                    payload.append(x[k : k + stride])
-                    index.append(start[part] + at + k // stride)
-            if not doc:
-                continue
+                    first.append(a - at)
+                    place.append(a - k * seq_len)
+                    m.append(z - a)
+                    whole.append(min(seq_len, int(total[part]) - k * seq_len))
+                    payload.append(x[(a - at) * width : (z - at) * width])
+                    index.append(int(starts[part]) + k)
             slot = permute(np.array(index), n, key)
             order = np.argsort(slot, kind="stable")
             shard = slot[order] // size
             ends = np.append(np.flatnonzero(np.diff(shard)) + 1, len(order))
-            out, first = [], 0
-            for last in ends.tolist():
-                own = order[first:last].tolist()
-                data = zstandard.compress(b"".join([payload[k] for k in own]), 1)
-                out.append((int(shard[first]), slot[own].tolist(), [doc[k] for k in own], [seq[k] for k in own], [len(payload[k]) for k in own], data))
-                first = last
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), longs, longs, longs, longs, pa.binary()), strict=True)], ["shard", "slots", "docs", "seqs", "sizes", "data"])
+            out, start = [], 0
+            for end in ends.tolist():
+                own = order[start:end].tolist()
+                data = zstandard.compress(b"".join([payload[k] for k in own]), 3)
+                out.append((int(shard[start]), slot[own], *([column[k] for k in own] for column in (place, doc, first, m, whole)), data))
+                start = end
+            kinds = [pa.int64(), *[longs] * len(LISTS), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", *LISTS, "data"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(root)
         store.create_dir(base, recursive=True)
-        at, bytes_, sizes, meta = -1, bytearray(), np.empty(0), []
+        at, filled, pieces = -1, bytearray(), []
 
         def put(kind: str, data: bytes) -> None:
             final = shard_path(base, at, kind)
@@ -134,59 +174,65 @@ def materialise(ws: Workspace, docs: DataFrame, ids: str, width: int, seq_len: i
 
         def finish() -> pa.RecordBatch:
             count = min(size, n - at * size)
-            meta.sort()
-            if [m[0] for m in meta] != list(range(at * size, at * size + count)):
-                raise ValueError(f"{len(meta)} sequences don't fill the {count} slots of shard {at} once each")
-            put("bin", memoryview(bytes_)[: count * stride])
-            put("len", (sizes[:count] // width).astype("<u4").tobytes())
-            slot, _, doc, seq = zip(*meta, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(doc, pa.int64()), pa.array(seq, pa.int64()), pa.array(sizes[np.array(slot) - at * size] // width), pa.array([at] * len(slot), pa.int64())], ["slot", "doc_id", "seq", "n_ids", "shard"])
+            slot, place, first, m, whole = (np.concatenate([p[c] for p in pieces]) for c in ("slots", "places", "firsts", "sizes", "wholes"))
+            doc = pa.concat_arrays([p["docs"] for p in pieces])
+            order = np.lexsort((place, slot))
+            slot, place, first, m, whole = slot[order], place[order], first[order], m[order], whole[order]
+            opens, end = np.append(True, slot[1:] != slot[:-1]), place + m
+            closes = np.append(opens[1:], True)
+            sound = (place[opens] == 0).all() and (place[1:] == end[:-1])[~opens[1:]].all() and (end[closes] == whole[closes]).all()
+            if not sound or not np.array_equal(slot[opens], np.arange(at * size, at * size + count)):
+                raise ValueError(f"the pieces don't fill the {count} slots of shard {at} once each")
+            put("bin", memoryview(filled)[: count * stride])
+            put("len", whole[opens].astype("<u4").tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(place), doc.take(pa.array(order)), pa.array(first), pa.array(m), pa.array(np.full(len(slot), at))], ["slot", "place", "doc_id", "first", "n_ids", "shard"])
 
         for b in batches:
-            for shard, slots, own, seqs, lengths, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            shards, data = b.column(0).to_pylist(), b.column(len(LISTS) + 1)
+            for i, shard in enumerate(shards):
                 if shard != at:
                     if at >= 0:
                         yield finish()
-                    at, bytes_, sizes, meta = shard, bytearray(size * stride), np.zeros(size, np.int64), []
-                raw, k = zstandard.decompress(data), 0
-                for slot, m in zip(slots, lengths, strict=True):
-                    place = (slot - at * size) * stride
-                    bytes_[place : place + m] = raw[k : k + m]
-                    sizes[slot - at * size] = m
+                    at, filled, pieces = shard, bytearray(size * stride), []
+                piece = {c: x if c == "docs" else x.to_numpy() for k, c in enumerate(LISTS) if (x := b.column(k + 1)[i].values) is not None}
+                raw, k = zstandard.decompress(data[i].as_py()), 0
+                starts = (piece["slots"] - at * size) * stride + piece["places"] * width
+                for start, m in zip(starts.tolist(), (piece["sizes"] * width).tolist(), strict=True):
+                    filled[start : start + m] = raw[k : k + m]
                     k += m
-                meta += zip(slots, range(len(slots)), own, seqs, strict=True)
+                pieces.append(piece)
         if at >= 0:
             yield finish()
 
-    dealt = rows.select("doc_id", "ids", "part", "at").mapInArrow(cut, PARCEL).repartition(max(1, min(-(-n // size), 4096)), "shard").sortWithinPartitions("shard")
+    dealt = rows.select("doc_id", "ids", "part", "at").mapInArrow(cut, PARCEL).repartition(max(1, min(-(-n // size), MOST_WRITERS)), "shard").sortWithinPartitions("shard")
     index = ws.save(dealt.mapInArrow(write, INDEX), f"{name}-index")
-    if (written := index.count()) != n:
+    if (written := index.where("place = 0").count()) != n:
         raise ValueError(f"{written} of {n} slots are written")
     ws.drop(f"{name}-ids")
-    return index, root
+    return Shards(index, root, n)
 
 
-def with_digests(index: DataFrame, root: str, width: int, n: int, seq_len: int = SEQ_LEN) -> DataFrame:
-    """The index with the SHA-256 of each sequence's ids, read back from the shards."""
-    stride = seq_len * width
-    size = range_of(n, stride)
+def with_digests(shards: Shards, width: int, seq_len: int = SEQ_LEN) -> DataFrame:
+    """The index with the SHA-256 of each piece's ids, read back from the shards."""
+    stride, root = seq_len * width, shards.root
+    size = range_of(shards.sequences, stride)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(root)
         for b in batches:
-            slot, count = b.column(0).to_numpy(), b.column(3).to_numpy()
+            slot, place, count = (b.column(k).to_numpy() for k in (0, 1, 4))
             digests: list[str] = [""] * len(slot)
             order = np.argsort(slot, kind="stable")
             first = 0
             for last in np.append(np.flatnonzero(np.diff(slot[order] // size)) + 1, len(order)).tolist() if len(order) else []:
                 with store.open_input_file(shard_path(base, int(slot[order[first]]) // size)) as f:
                     for k in order[first:last].tolist():
-                        f.seek(int(slot[k]) % size * stride)
+                        f.seek(int(slot[k]) % size * stride + int(place[k]) * width)
                         digests[k] = hashlib.sha256(f.read(int(count[k]) * width)).hexdigest()
                 first = last
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests, pa.string())], [*b.schema.names, "ids_sha256"])
 
-    return index.mapInArrow(run, INDEX + ", ids_sha256 string")
+    return shards.index.mapInArrow(run, INDEX + ", ids_sha256 string")
 
 
 def read_slots(root: str, first: int, count: int, n: int, width: int, seq_len: int = SEQ_LEN) -> list[bytes]:
