@@ -87,6 +87,30 @@ def test_quality_score_is_the_mean_log_ratio():
     assert sorted(again.tolist()) == sorted(found[doc == 0].tolist())
 
 
+def test_quality_score_against_brute_force(spark, odd):
+    """Counts of hashed n-grams by dictionary, and the mean log ratio of every document."""
+    got = quality_rules.quality(odd, labels(spark)).select("row.doc_id", "row.text", "verdict.score").collect()
+
+    def buckets(text):
+        h = [(zlib.crc32(w.encode()) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64 for w in WORD.findall(text or "")]
+        pairs = [(a * 0xC2B2AE3D27D4EB4F % 2**64 ^ b) * 0xD6E8FEB86659FD93 % 2**64 for a, b in zip(h, h[1:])]
+        return [x >> 50 for x in h + pairs]
+
+    raw, target = Counter(), Counter()
+    for d, t, *_ in ODD:
+        raw.update(buckets(t))
+        if d in (0, 4):
+            target.update(buckets(t))
+    n, k = sum(raw.values()), quality_rules.BUCKETS
+    p = {b: (raw[b] + 1) / (n + k) for b in raw}
+    prior = quality_rules.PRIOR
+    ratio = {b: np.log((target[b] + prior * k * p[b]) / (sum(target.values()) + prior * k) / p[b]) for b in raw}
+    assert k == 1 << 14
+    for x in got:
+        own = buckets(x["text"])
+        assert abs(x["score"] - (sum(ratio[b] for b in own) / len(own) if own else 0)) < 1e-8
+
+
 def test_quality_separates_noise(spark):
     rows = [(i, words(100, i % 30 + 100), "en", "a", 0, "", 0) for i in range(90)] + [(1000 + i, " | ".join(f"x{i}{k}" for k in range(80)), "en", "a", 0, "", 0) for i in range(20)]
     docs = spark.createDataFrame(rows, SCHEMA)
@@ -141,6 +165,31 @@ def test_language_id(spark, odd, none):
     assert [x[0] for x in unlabelled] == ["und"]
 
 
+def test_language_posteriors_against_brute_force(spark):
+    rows = [(1, "Aa ba", "x"), (3, "ab ca", "x"), (4, "zz za", "y"), (5, "bz", "y"), (7, "az ab", "y")]
+    rows = [(d, t, k) for d, t, k in rows if zlib.crc32(str(d).encode()) % 4 != 2] + [(20, "ab z", None), (21, "q", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs, keep=["doc_id"]).select("row.*", "verdict.*").collect()}
+
+    def grams(t):
+        m = [ord(c) * 0x9E3779B1 % 2**32 for c in t.lower()]
+        two = [(a * 0x85EBCA6B % 2**32) ^ b for a, b in zip(m, m[1:])]
+        three = [(a * 0xC2B2AE35 % 2**32) ^ b for a, b in zip(two, m[2:])]
+        return [h * 0x27D4EB2F % 2**32 >> 17 for h in two + three]
+
+    counts, n_docs = {}, Counter(k for _, _, k in rows if k)
+    for _, t, k in rows:
+        if k:
+            counts.setdefault(k, Counter()).update(grams(t))
+    alpha, size = language_id.ALPHA, language_id.BUCKETS
+    assert size == 1 << 15
+    for d, t, _ in rows:
+        logs = {k: np.log((n_docs[k] + 1) / (sum(n_docs.values()) + len(n_docs))) + sum(np.log((c[g] + alpha) / (sum(c.values()) + alpha * size)) for g in grams(t)) for k, c in counts.items()}
+        total = sum(np.exp(v - max(logs.values())) for v in logs.values())
+        best = min(logs, key=lambda k: (-logs[k], k))
+        assert got[d][0] == best and abs(got[d][1] - 1 / total) < 1e-4
+
+
 def brute_components(ids, links):
     up = {i: i for i in ids}
 
@@ -269,6 +318,47 @@ def test_mixing(spark, odd, none):
     assert mixing.mixed(Workspace(spark), none).count() == 0
 
 
+@pytest.mark.parametrize("target", [{}, {"entropy": 0.9}, {"budget": 9_000}, {"budget": 200}, {"repetition_limit": 1.0}])
+def test_copies_against_brute_force(spark, target, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAST_BITS", 3)
+    r = random.Random(6)
+    rows = [(i, words(r.randint(0, 40), i), s) for i, s in enumerate(["hot"] * 250 + ["b"] * 70 + ["c"] * 30 + [None] * 9)] + [(900, "", "empty"), (901, None, "empty")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("copies", F.lit("clash"))
+    found = mixing.copies(Workspace(spark), docs, **target).select("row.doc_id", "row.source", "n_tokens", "weight", "copies", "block_rank", "order").collect()
+    size = {d: len(WORD.findall(t or "")) for d, t, _ in rows}
+    total = Counter()
+    for d, _, s in rows:
+        total[s] += size[d]
+    p = {s: n / sum(total.values()) for s, n in total.items() if n}
+    if "entropy" in target:
+        entropy = lambda a: -sum((w := x**a / sum(y**a for y in p.values())) * np.log(w) for x in p.values())
+        a = next(k / 1e5 for k in range(100_001) if entropy(k / 1e5) <= 0.9)
+    else:
+        limit = target.get("repetition_limit", mixing.REPETITION_LIMIT)
+        a = next(k / 1e5 for k in range(100_001) if max(p.values()) ** (1 - k / 1e5) <= limit * min(p.values()) ** (1 - k / 1e5) + 1e-9)
+    weight = {s: x**a / sum(y**a for y in p.values()) for s, x in p.items()}
+    budget = target.get("budget", max(total[s] / weight[s] for s in p))
+    assert {x["doc_id"]: x["n_tokens"] for x in found} == size and len(found) == len(rows)
+    for s in set(total):
+        own = sorted((x for x in found if x["source"] == s), key=lambda x: (x["block_rank"], x["order"]))
+        if not total[s]:
+            assert all(x["copies"] == 1 for x in own)
+            continue
+        assert abs(own[0]["weight"] - weight[s]) < 1e-3
+        mine = round(budget * own[0]["weight"]) if "budget" in target else None
+        passes = min(x["copies"] for x in own) if all(x["copies"] == own[0]["copies"] for x in own) or mine is None else mine // total[s]
+        more = [x["copies"] - passes for x in own]
+        assert set(more) <= {0, 1} and more == sorted(more, reverse=True)  # a prefix of the permutation
+        spent = sum(x["copies"] * x["n_tokens"] for x in own)
+        want = budget * weight[s]
+        assert spent <= want * (1 + 2e-3) + 1 and want - spent <= 40 + want * 2e-3  # short of the budget by less than the next document
+
+
+def test_blocks_take_turns_by_a_bijection(spark):
+    rows = spark.range(1 << 10).select(F.col("id").alias("order"), F.lit(10).alias("bits")).select(mixing.turn_of().alias("t")).collect()
+    assert sorted(x["t"] for x in rows) == list(range(1 << 10)) != [x["t"] for x in rows]
+
+
 def test_mixing_entropy(spark):
     sources = spark.createDataFrame([("a", 0.7), ("b", 0.2), ("c", 0.1)], "skey string, p double")
     a = mixing.exponent(sources, entropy=1.0)

@@ -5,9 +5,10 @@ smallest for which no source is repeated more often than a limit relative to the
 target entropy; it is found by section search, with all candidates of a pass in one aggregate over the sources. The budget is given, or the
 smallest that passes every source once in full. A source's budget is its whole passes and a part of one more.
 
-The part is a prefix of a block permutation: documents fall into BLOCKS hashed blocks a source, blocks are taken in hashed order until the
-budget is spent, and only the block on the border is cut, by hashed order of its documents. Token sums are
-pre-aggregated by block, so a hot source is never gathered: windows run over BLOCKS rows a source and over single blocks.
+The part is a prefix of a block permutation: the documents of a source fall into 2^k hashed blocks of about BLOCK_DOCS documents, a keyed bijection gives
+each block its turn, blocks are taken in turn until the budget is spent, and only the block on the border is cut, by hashed order of its
+documents. Token sums are pre-aggregated by block, so a hot source is never gathered: one window runs over the block sums of a source, one over
+the documents of one block. What documents are joined with is one row a source: its passes, its border block and the cut in it.
 
 Null source: a source of its own. Null and empty texts have no tokens and are passed as often as their source in full. A source without
 tokens is passed once. Ties in hashed order go by doc_id and text. Repeated rows are rows of their own with equal fate on a border where
@@ -23,7 +24,10 @@ from pyspark.sql import functions as F
 
 from treelark.llm.common import Workspace, bounded
 
-BLOCKS = 256
+#: Documents of a block to aim at, and the bounds of the logarithm of the number of blocks of a source.
+BLOCK_DOCS, LEAST_BITS, MOST_BITS = 1024, 8, 24
+#: The key of the block permutation: an odd factor and an offset.
+TURN = (0x2545F491, 0x9E37)
 SECTIONS, PASSES = 64, 4
 REPETITION_LIMIT = 2.0
 WORD = "[^\\\\x20\\\\x09-\\\\x0D]+"
@@ -63,8 +67,9 @@ def exponent(sources: DataFrame, repetition_limit: float | None = REPETITION_LIM
 
 
 def source_plan(sized: DataFrame, repetition_limit: float | None = REPETITION_LIMIT, entropy: float | None = None, budget: int | None = None) -> DataFrame:
-    """By source: share, weight, budget, whole passes and the tokens of the part. sized: (skey, n_tokens)."""
-    sums = sized.groupBy("skey").agg(F.sum("n_tokens").alias("source_tokens"))
+    """By source: share, weight, budget, whole passes, the tokens of the part, and the bits of a block. sized: (skey, n_tokens)."""
+    bits = F.greatest(F.lit(LEAST_BITS), F.least(F.lit(MOST_BITS), F.ceil(F.log2(F.count("*") / BLOCK_DOCS)))).cast("int")
+    sums = sized.groupBy("skey").agg(F.sum("n_tokens").alias("source_tokens"), bits.alias("bits"))
     total = sums.agg(F.sum("source_tokens")).first()[0] or 0
     sources = sums.withColumn("p", F.col("source_tokens") / F.lit(max(1, total)))
     a = exponent(sources, repetition_limit, entropy)
@@ -82,25 +87,34 @@ def source_key(source: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`").cast("string")), F.lit("n"))
 
 
+def turn_of(order: str = "order", bits: str = "bits") -> Column:
+    """The turn of a document's block: its hash modulo 2^bits, by a bijection of these numbers."""
+    return F.expr(f"pmod(pmod(`{order}`, shiftleft(1L, `{bits}`)) * {TURN[0]} + {TURN[1]}, shiftleft(1L, `{bits}`))")
+
+
 def copies(ws: Workspace, docs: DataFrame, **target: float) -> DataFrame:
-    """(row, n_tokens, weight, copies, block_rank, order) for every document: how often the mix passes it."""
+    """(row, n_tokens, weight, copies, block_rank, order) for every document: how often the mix passes it.
+
+    target: repetition_limit, entropy and budget of source_plan.
+    """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source_key().alias("skey"), tokens().alias("n_tokens"),
                          F.xxhash64(F.lit(17), "doc_id", "text").alias("order"))
-    packed = packed.withColumn("block", F.pmod("order", F.lit(BLOCKS)))
-    sized = ws.save(packed.select("skey", "n_tokens", "block", "order", F.col("row.doc_id").alias("doc_id")), "mix-sized")
+    sized = ws.save(packed.select("skey", "n_tokens", "order"), "mix-sized")
     plan = ws.save(source_plan(sized, **target), "mix-sources")
-    sums = sized.groupBy("skey", "block").agg(F.sum("n_tokens").alias("block_tokens"))
-    turn = Window.partitionBy("skey").orderBy(F.xxhash64(F.lit(23), "skey", "block"), "block")
-    blocks = sums.withColumn("block_rank", F.row_number().over(turn)).withColumn("end", F.sum("block_tokens").over(turn))
-    blocks = blocks.join(bounded(plan.select("skey", "weight", "passes", "part")), "skey").withColumn("start", F.col("end") - F.col("block_tokens"))
-    blocks = ws.save(blocks.withColumn("whole", F.col("end") <= F.col("part")).withColumn("border", (F.col("start") < F.col("part")) & (F.col("end") > F.col("part"))), "mix-blocks")
-    within = Window.partitionBy("skey", "block").orderBy("order")  # ties are taken or left together
-    edge = sized.join(bounded(blocks.where("border").select("skey", "block", "start", "part")), ["skey", "block"])
+    placed = sized.join(bounded(plan.select("skey", "bits")), "skey").withColumn("block_rank", turn_of())
+    sums = placed.groupBy("skey", "block_rank").agg(F.sum("n_tokens").alias("block_tokens"))
+    turn = Window.partitionBy("skey").orderBy("block_rank")
+    blocks = sums.withColumn("end", F.sum("block_tokens").over(turn)).withColumn("start", F.col("end") - F.col("block_tokens"))
+    border = blocks.join(bounded(plan.select("skey", "part")), "skey").where("end > part").groupBy("skey").agg(F.min(F.struct("block_rank", "start", "part")).alias("b"))
+    border = ws.save(border.select("skey", F.col("b.block_rank").alias("border"), "b.start", "b.part"), "mix-borders")
+    within = Window.partitionBy("skey").orderBy("order")  # ties are taken or left together
+    edge = placed.join(bounded(border), "skey").where("block_rank = border")
     edge = edge.withColumn("reach", F.col("start") + F.sum("n_tokens").over(within.rangeBetween(Window.unboundedPreceding, 0)))
-    taken = bounded(ws.save(edge.where("reach <= part").select("skey", "block", "order").distinct().withColumn("taken", F.lit(1)), "mix-border"))
-    small = bounded(blocks.select("skey", "block", "weight", "passes", "whole", "block_rank"))
-    found = packed.join(small, ["skey", "block"]).join(taken, ["skey", "block", "order"], "left")
-    n = F.col("passes") + F.when(F.col("whole") | F.col("taken").isNotNull(), 1).otherwise(0)
+    cut = edge.where("reach <= part").groupBy("skey").agg(F.max("order").alias("cut"))
+    by_source = ws.save(plan.select("skey", "weight", "passes", "bits").join(border.select("skey", "border"), "skey", "left").join(cut, "skey", "left"), "mix-plan")
+    found = packed.join(bounded(by_source), "skey").withColumn("block_rank", turn_of())
+    more = F.col("border").isNotNull() & ((F.col("block_rank") < F.col("border")) | ((F.col("block_rank") == F.col("border")) & (F.col("order") <= F.col("cut"))))
+    n = F.col("passes") + F.coalesce(more.cast("int"), F.lit(0))
     return found.select("row", "n_tokens", "weight", n.cast("long").alias("copies"), "block_rank", "order")
 
 
