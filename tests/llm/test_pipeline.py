@@ -50,6 +50,12 @@ def test_run(spark, folder):
     assert {"n_tokens", "ids_sha256", "decoded_sha256"} <= set(found.columns)
 
 
+def test_run_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_all_operators_are_registered():
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
     assert set(queries.ORACLE) <= set(queries.QUERIES)

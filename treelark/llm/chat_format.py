@@ -10,7 +10,7 @@ Turns are written with markers, `<|im_start|>role\\ntext<|im_end|>\\n`. A contro
 behind its first character, and reading back takes one away, so texts that already hold escaped strings survive. The loss
 mask covers the escaped text of assistant turns.
 
-Null text: empty. Null role: `unknown`. Turns are ordered by turn, then role, then text; equal turn
+Null text: empty. Null role: `unknown`. Half of a surrogate pair in a JSON record: U+FFFD. A record that is no JSON object, or nested too deeply to be read, has no layout. Turns are ordered by turn, then role, then text; equal turn
 numbers and repeated rows are all kept. A null conv_id is a conversation of its own. Conversations are streamed turn by
 turn in sorted order, so a very long one needs no more memory than a short one. An empty table gives an empty result.
 """
@@ -74,22 +74,22 @@ def unescape_role(role: str) -> str:
 
 def canonical_role(role: str | None) -> str:
     role = "unknown" if role is None else str(role)
-    return ROLES.get(role.lower(), role)
+    return ROLES.get(role.lower(), whole(role))
 
 
 def write_turn(role: str, text: str) -> tuple[str, int, int]:
     """The formatted turn, and the span of it under the loss mask."""
     head = f"{START}{escape_role(role)}\n"
     body = escape(text)
-    whole = f"{head}{body}{END}\n"
-    return (whole, len(head), len(head) + len(body)) if role == "assistant" else (whole, 0, 0)
+    turn = f"{head}{body}{END}\n"
+    return (turn, len(head), len(head) + len(body)) if role == "assistant" else (turn, 0, 0)
 
 
-def read_turn(whole: str) -> tuple[str, str]:
+def read_turn(turn: str) -> tuple[str, str]:
     """Role and text of a formatted turn."""
-    if not (whole.startswith(START) and whole.endswith(f"{END}\n")):
+    if not (turn.startswith(START) and turn.endswith(f"{END}\n")):
         raise ValueError("not a formatted turn")
-    role, text = whole[len(START) : -len(END) - 1].split("\n", 1)
+    role, text = turn[len(START) : -len(END) - 1].split("\n", 1)
     return unescape_role(role), unescape(text)
 
 
@@ -109,8 +109,17 @@ def value_paths(x: object, at: str = "") -> set[str]:
     return {at}
 
 
+def whole(text: str) -> str:
+    """text with U+FFFD in place of unpaired surrogates, which UTF-8 can't hold."""
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+    return text
+
+
 def as_text(x: object) -> str:
-    return "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+    return "" if x is None else whole(x if isinstance(x, str) else json.dumps(x, ensure_ascii=False))
 
 
 def turns_of(record: dict, layout: dict) -> list[tuple[str, str]]:
@@ -132,10 +141,10 @@ def turns_from_json(records: DataFrame, ident: str = "conv_id", record: str = "r
             for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
                     x = json.loads(raw) if raw else {}
-                except ValueError:
-                    x = {}
-                x = x if isinstance(x, dict) else {}
-                print_ = fingerprint(value_paths(x))
+                    x = x if isinstance(x, dict) else {}
+                    print_ = fingerprint(value_paths(x))
+                except (ValueError, RecursionError):
+                    x, print_ = {}, fingerprint(set())
                 name = BY_FINGERPRINT.get(print_)
                 if name is None or "row" in LAYOUTS[name]:
                     out.append((i, None, None, None, None, print_))
@@ -163,55 +172,89 @@ def turns_from_rows(rows: DataFrame, ident: str = "conv_id") -> DataFrame:
     )
 
 
-SEGMENTS = "conv_id bigint, turn bigint, segment string, loss_start long, loss_end long"
+SEGMENTS = "conv_id bigint, nth bigint, turn bigint, segment string, loss_start long, loss_end long"
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, segment, loss_start, loss_end) by canonical turn; a conversation is its segments in order, end to end."""
+    """(conv_id, nth, turn, segment, loss_start, loss_end) by canonical turn; a conversation is its segments in the order of nth, end to end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n = SEGMENTS, 0  # no conversation yet
         for b in batches:
+            nth = []
+            for conv in b.column(0).to_pylist():
+                n = n + 1 if conv == at else 0
+                at = conv
+                nth.append(n)
             out = [write_turn(r, t) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            whole, start, end = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(whole, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["conv_id", "turn", "segment", "loss_start", "loss_end"])
+            segment, start, end = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nth, pa.int64()), b.column(1), pa.array(segment, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], [f.split(" ")[0] for f in SEGMENTS.split(", ")])
 
     ordered = turns.where("role is not null").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select("conv_id", "turn", "role", "text").mapInArrow(run, SEGMENTS)
 
 
+class Reader:
+    """Reads one conversation as a stream of text: turns are found by their markers, wherever the pieces of it are cut."""
+
+    def __init__(self) -> None:
+        self.n = self.loss = self.chars = self.done = 0
+        self.turns, self.masked, self.rest, self.spans = hashlib.sha256(), hashlib.sha256(), "", []
+
+    def feed(self, piece: str, start: int, end: int) -> None:
+        """The next piece, and the span of it under the loss mask."""
+        if end > start:
+            self.spans.append((self.chars + start, self.chars + end))
+        self.chars += len(piece)
+        self.rest += piece
+        first = 0
+        while (close := self.rest.find(f"{END}\n", first)) >= 0:
+            last = close + len(END) + 1
+            role, text = read_turn(self.rest[first:last])
+            self.turns.update(f"{role}\n{text}\n".encode())
+            base = self.done + first
+            while self.spans and self.spans[0][1] <= base + last - first:
+                a, z = self.spans.pop(0)
+                under = unescape(self.rest[a - self.done : z - self.done])
+                self.masked.update(under.encode())
+                self.loss += len(under)
+            self.n, first = self.n + 1, last
+        self.done += first
+        self.rest = self.rest[first:]
+
+    def row(self, conv: int | None) -> tuple:
+        if self.rest:
+            raise ValueError(f"conversation {conv} ends inside a turn")
+        return conv, self.n, self.turns.hexdigest(), self.loss, self.masked.hexdigest(), self.chars
+
+
 READ = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
 
 def read_back(segments: DataFrame) -> DataFrame:
-    """Digests of the conversations that format_turns wrote, by reading its segments in the order it gave them."""
+    """Digests of the conversations of segments in any order, read from their joined text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: object = READ  # no conversation yet
-        n = loss = chars = 0
-        turns, masked = hashlib.sha256(), hashlib.sha256()
-        out: list[tuple] = []
+        at, reader, out = None, None, []
         for b in batches:
-            for conv, segment, start, end in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
-                if conv != at:
-                    if at is not READ:
-                        out.append((at, n, turns.hexdigest(), loss, masked.hexdigest(), chars))
-                    at, n, loss, chars, turns, masked = conv, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
-                role, text = read_turn(segment)
-                turns.update(f"{role}\n{text}\n".encode())
-                under = unescape(segment[start:end])
-                masked.update(under.encode())
-                n, loss, chars = n + 1, loss + len(under), chars + len(segment)
+            for conv, segment, start, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if reader is None or conv != at:
+                    if reader is not None:
+                        out.append(reader.row(at))
+                    at, reader = conv, Reader()
+                reader.feed(segment, start, end)
             yield rows(out)
             out = []
-        if at is not READ:
-            yield rows([(at, n, turns.hexdigest(), loss, masked.hexdigest(), chars)])
+        if reader is not None:
+            yield rows([reader.row(at)])
 
     def rows(out: list[tuple]) -> pa.RecordBatch:
         names = [f.split(" ")[0] for f in READ.split(", ")]
         kinds = [pa.string() if n.endswith("256") else pa.int64() for n in names]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names)
 
-    return segments.mapInArrow(run, READ)
+    ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "nth")
+    return ordered.select("conv_id", "segment", "loss_start", "loss_end").mapInArrow(run, READ)
 
 
 def oracle(said: str) -> str:

@@ -12,7 +12,7 @@ block pairs; a pair counts in the first band that it shares, so n_links is a cou
 spanning stars leave a task.
 
 Vectors that are null, empty, zero or hold a null or non-finite component link with nothing; vectors of different
-lengths never link. Repeated rows are copies of each other. An empty table gives an empty result.
+lengths never link. Repeated rows are copies of each other. A null vec_id is kept if its vector has no class with an id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -229,7 +229,7 @@ def near_duplicates(ws: Workspace, vectors: DataFrame, threshold: float = THRESH
     by_class = by_class.select("h", F.col("embedding").alias("vector"), (F.coalesce("partners", F.lit(0)) + F.col("size") - 1).alias("links"), F.coalesce("component", "rep").alias("root"))
     all_rows = vectors.select("vec_id", "embedding", F.when(F.expr(valid()), F.xxhash64("embedding")).alias("h"))
     joined = all_rows.join(by_class, (all_rows["h"] == by_class["h"]) & (all_rows["embedding"] == by_class["vector"]), "left")
-    return joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def oracle(threshold: float = THRESHOLD) -> str:
