@@ -44,10 +44,14 @@ def positions(docs: DataFrame) -> DataFrame:
     return lines.select("doc", "doc_id", "at", F.xxhash64("text").alias("line"), count_words("text").alias("words"))
 
 
-def repeated(rows: DataFrame, name: str) -> DataFrame:
-    """The rows whose name stands at two positions or more."""
-    twice = rows.groupBy(name).agg(F.count("*").alias("__n")).where("__n > 1").select(name)
-    return rows.join(twice, name)
+def repeated(ws: Workspace, rows: DataFrame, name: str, table: str) -> DataFrame:
+    """The rows of a saved table whose name stands at two positions or more, saved.
+
+    The repeated names are saved first: both sides of the join are then plain shuffles, so that the rows of one very common name
+    (blank lines) are split over tasks by Spark's skew join.
+    """
+    twice = ws.save(rows.groupBy(name).agg(F.count("*").alias("__n")).where("__n > 1").select(name), f"{table}-names")
+    return ws.save(rows.join(twice, name).select(*rows.columns), table)
 
 
 def runs(lines: DataFrame, min_words: int) -> DataFrame:
@@ -77,7 +81,7 @@ def runs(lines: DataFrame, min_words: int) -> DataFrame:
 def later_copies(ws: Workspace, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, first, last): disjoint stretches of lines to delete. docs: with __doc."""
     lines = ws.save(positions(docs).distinct(), "lines")
-    rank = ws.save(repeated(lines.select("doc", "at", F.col("line").alias("rank")), "rank").select("doc", "at", "rank"), "rank-0")
+    rank = repeated(ws, lines.select("doc", "at", F.col("line").alias("rank")), "rank", "rank-0")
     ranks = [rank]
     busy = rank.select("doc").distinct()
     asked = runs(lines.join(busy, "doc", "left_semi"), min_words).withColumn("k", F.floor(F.log2("n") + 1e-9).cast("int"))
@@ -87,8 +91,9 @@ def later_copies(ws: Workspace, docs: DataFrame, min_words: int = MIN_WORDS) ->
         if ranks[-1].isEmpty():  # nothing that long is repeated
             break
         on = ranks[-1].select("doc", (F.col("at") - (1 << (k - 1))).alias("at"), F.col("rank").alias("next"))
-        pairs = ranks[-1].join(on, ["doc", "at"]).select("doc", "at", F.xxhash64(F.lit(k), "rank", "next").alias("rank"))
-        ranks.append(ws.save(repeated(pairs, "rank").select("doc", "at", "rank"), f"rank-{k}"))
+        pairs = ws.save(ranks[-1].join(on, ["doc", "at"]).select("doc", "at", F.xxhash64(F.lit(k), "rank", "next").alias("rank")), "pairs")
+        ranks.append(repeated(ws, pairs, "rank", f"rank-{k}"))
+        ws.drop("pairs")
     array = None
     for k, r in enumerate(ranks):
         r = r.withColumn("k", F.lit(k))
@@ -98,7 +103,7 @@ def later_copies(ws: Workspace, docs: DataFrame, min_words: int = MIN_WORDS) ->
     named = asked.join(array, ["doc", "k", "at"]).withColumn("tail", F.col("at") + F.col("n") - F.expr("cast(shiftleft(1, k) as int)"))
     named = named.join(tail, ["doc", "k", "tail"]).select("doc", F.struct("doc_id", "doc", "at").alias("place"), "n", F.xxhash64("n", "rank", "tail_rank").alias("name"))
     named = ws.save(named, "runs")
-    first = named.groupBy("name").agg(F.min("place").alias("original"), F.count("*").alias("copies")).where("copies > 1")
+    first = ws.save(named.groupBy("name").agg(F.min("place").alias("original"), F.count("*").alias("copies")).where("copies > 1"), "originals")
     gone = named.join(first, "name").where("place <> original").select("doc", F.col("place.at").alias("first"), (F.col("place.at") + F.col("n") - 1).alias("last"))
     in_order = Window.partitionBy("doc").orderBy("first", "last")
     reach = F.max("last").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
