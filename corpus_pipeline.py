@@ -36,7 +36,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and the digests of ids and decoded text of every document."""
-    return sentencepiece_bpe.encode_documents(docs, digests=True).select("row.doc_id", "row.source", "verdict.*")
+    return sentencepiece_bpe.encode_documents(docs, digests=True, keep=["doc_id", "source"]).select("row.*", "verdict.*")
 
 
 STAGES = [
