@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,20 +49,52 @@ def is_valid_path(path: Column) -> Column:
     return F.coalesce(path.rlike(r"^[A-Za-z0-9_]{1,255}(\.[A-Za-z0-9_]{1,255})*$"), F.lit(False))
 
 
-# Latin letters with marks, in pairs with their base letters.
-MARKED = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđäöüñçßøåëïÿ"
-PLAIN = "aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyydaouncsoaeiy"
+def _decomposed() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition without combining marks is one ASCII character, these characters, and those where it is several.
+
+    Combining marks stand behind the first ones, without a partner, so that translate() takes them away.
+    """
+    single, several, marks = {"đ": "d", "Đ": "D"}, {}, []
+    for point in range(0x80, sys.maxunicode + 1):
+        c = chr(point)
+        if unicodedata.category(c) in ("Cs", "Cn", "Co"):
+            continue
+        if unicodedata.combining(c):
+            marks.append(c)
+            continue
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if plain != c and plain.isascii() and len(plain) == 1:
+            single[c] = plain
+        elif plain != c and any(x.isascii() and x.isalnum() for x in plain):
+            several[c] = plain
+    return "".join(single) + "".join(marks), "".join(single.values()), several
+
+
+MARKED, PLAIN, SEVERAL = _decomposed()
+BLANK = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]+"
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, f"^{BLANK}|{BLANK}$", "")
+
+
+def spell_out(text: Column) -> Column:
+    """Ligatures, numerals and the like as the characters that they are made of."""
+    table = F.map_from_arrays(*[F.split(F.lit("\n".join(x)), "\n") for x in (SEVERAL.keys(), SEVERAL.values())])
+    some = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(table[c], c)), "")
+    return F.when(text.rlike("[" + "".join(SEVERAL) + "]"), some).otherwise(text)
 
 
 def sanitise_label(raw: Column) -> Column:
-    """A title as a label: marks stripped, other characters to `_`, lower case, 250 at most; letters of other scripts give u_ and a hash.
+    """A title as a label: letters decomposed and stripped of marks, other characters to `_`, lower case, 250 at most; other scripts give u_ and a hash.
 
     Null for a title without letters or digits.
     """
-    low = F.translate(F.lower(F.trim(raw)), MARKED, PLAIN)
-    label = F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    has = raw.rlike(r"[\p{L}\p{N}]")
-    return F.when(~has, F.lit(None)).when(label == "", F.concat(F.lit("u_"), F.substring(F.md5(F.trim(raw)), 1, 12))).otherwise(F.substring(label, 1, 250))
+    clean = strip(raw)
+    label = F.lower(F.regexp_replace(F.translate(spell_out(clean), MARKED, PLAIN), "[^A-Za-z0-9_]+", "_"))
+    label = F.regexp_replace(F.substring(F.regexp_replace(label, "^_+|_+$", ""), 1, 250), "_+$", "")
+    return F.when(~clean.rlike(r"[\p{L}\p{N}]"), F.lit(None)).when(label == "", F.concat(F.lit("u_"), F.substring(F.md5(clean), 1, 12))).otherwise(label)
 
 
 def canonical_path(raw: Column) -> Column:
@@ -68,18 +103,17 @@ def canonical_path(raw: Column) -> Column:
     return F.array_join(parts, ".")
 
 
-# Prefixes of statute labels and their display forms.
-SEGMENTS = [("tieu_muc_", "Tiểu mục "), ("chuong_", "Chương "), ("dieu_", "Điều "), ("muc_", "Mục ")]
+# Prefixes of statute labels, their display forms, and whether what follows is upper-cased.
+SEGMENTS = [("tieu_muc_", "Tiểu mục ", True), ("phu_luc_", "Phụ lục ", True), ("chuong_", "Chương ", True), ("phan_", "Phần ", True), ("muc_", "Mục ", True), ("dieu_", "Điều ", False), ("khoan_", "Khoản ", False)]
 
 
 def humanise(segment: Column) -> Column:
-    """chuong_i -> Chương I, dieu_15 -> Điều 15; others as they are, underscores to spaces."""
-    out = None
-    for prefix, shown in SEGMENTS:
-        rest = F.substr(segment, F.lit(len(prefix) + 1))
-        text = F.concat(F.lit(shown), F.upper(F.translate(rest, "_", " ")))
-        out = F.when(segment.startswith(prefix), text) if out is None else out.when(segment.startswith(prefix), text)
-    return out.otherwise(F.translate(segment, "_", " "))
+    """chuong_i -> Chương I, dieu_15a -> Điều 15a; other segments as they are."""
+    out = segment
+    for prefix, shown, upper in SEGMENTS:
+        rest = F.translate(F.substr(segment, F.lit(len(prefix) + 1)), "_", " ")
+        out = F.when(F.lower(segment).startswith(prefix), F.concat(F.lit(shown), F.upper(rest) if upper else rest)).otherwise(out)
+    return out
 
 
 def natural_key(path: Column) -> Column:

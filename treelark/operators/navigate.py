@@ -102,17 +102,21 @@ def expand_leaves(paths: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def tree_nodes(chunks: DataFrame) -> DataFrame:
-    """Every node of the trees of chunks (doc_slug, path, title, start_line, end_line), containers included.
+    """Every node of the trees of chunks (doc_slug, path, title, start_line, end_line and, if known, is_table and node_type), containers included.
 
-    A container's span is from the least start to the greatest end below it; its label is its humanised last segment.
+    A container's span is from the least start to the greatest end below it; its label is its humanised last segment. A leaf has the
+    node_type of its chunk, else TABLE or PARAGRAPH.
     """
-    up = chunks.select("doc_slug", F.explode(ancestors(F.col("path"), with_self=True)).alias("node"), "path", "title", "start_line", "end_line")
+    given = F.col("node_type") if "node_type" in chunks.columns else F.lit(None).cast("string")
+    table = F.coalesce(F.col("is_table"), F.lit(False)) if "is_table" in chunks.columns else F.lit(False)
+    leaf = F.coalesce(given, F.when(table, "TABLE").otherwise("PARAGRAPH"))
+    up = chunks.select("doc_slug", F.explode(ancestors(F.col("path"), with_self=True)).alias("node"), "path", "title", "start_line", "end_line", leaf.alias("leaf"))
     own = F.col("path") == F.col("node")
     by = up.groupBy("doc_slug", "node").agg(
         F.max(F.when(own, F.col("title"))).alias("own_title"), F.max(F.when(own, F.col("start_line"))).alias("own_start"), F.max(F.when(own, F.col("end_line"))).alias("own_end"),
-        F.min(F.when(~own, F.col("start_line"))).alias("low"), F.max(F.when(~own, F.col("end_line"))).alias("high"), F.max(own).alias("is_chunk"), F.count_if(~own).alias("below"),
+        F.min(F.when(~own, F.col("start_line"))).alias("low"), F.max(F.when(~own, F.col("end_line"))).alias("high"), F.max(own).alias("is_chunk"), F.count_if(~own).alias("below"), F.max(F.when(own, F.col("leaf"))).alias("leaf"),
     )
-    kind = F.when(nlevel(F.col("node")) == 1, "DOCUMENT").when((F.col("below") > 0) | ~F.col("is_chunk"), "SECTION").otherwise("PARAGRAPH")
+    kind = F.when(nlevel(F.col("node")) == 1, "DOCUMENT").when((F.col("below") > 0) | ~F.col("is_chunk"), "SECTION").otherwise(F.col("leaf"))
     last = F.substring_index("node", ".", -1)
     return by.select("doc_slug", F.col("node").alias("path"), parent_path(F.col("node")).alias("parent_path"), F.coalesce("own_title", humanise(last)).alias("label"), kind.alias("node_type"), F.coalesce("own_start", "low").alias("start_line"), F.coalesce("own_end", "high").alias("end_line"), "is_chunk", "below")
 

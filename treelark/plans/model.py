@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 # Relation codes, their descriptions and symmetry.
 RELATIONS = [
-    ("AMENDS", "Changes the target", False),
     ("CONTRADICTS", "States the opposite of the target", True),
     ("DEFINES", "Defines a term of the target", False),
     ("DEPENDS_ON", "Needs the target to hold", False),
     ("EXEMPLIFIES", "Gives an example of the target", False),
-    ("EXPLAINS", "Explains the target", False),
+    ("EXTENDS", "Adds detail to the target", False),
     ("REFERENCES", "Mentions the target", False),
     ("SEE_ALSO", "Is related to the target", True),
+    ("SUPERSEDES", "Takes the place of the target", False),
     ("SUPPORTS", "Gives evidence for the target", False),
 ]
 CODES = [r[0] for r in RELATIONS]
@@ -112,11 +112,14 @@ cp AS (SELECT c_custkey, c_name, p || '.c' || c_custkey AS p FROM customer JOIN
 tree0 AS (SELECT 'r' || r_regionkey AS path, r_name AS title, 1 AS start_line FROM region UNION ALL SELECT p, n_name, n_nationkey + 1 FROM np UNION ALL SELECT p, c_name, c_custkey + 1 FROM cp
  UNION ALL SELECT p || '.o' || o_orderkey, 'Order ' || o_orderkey, o_orderkey + 1 FROM orders JOIN cp ON o_custkey = c_custkey),
 tree AS (SELECT *, start_line + length(title) AS end_line, split_part(path, '.', 1) AS doc_slug, len(string_split(path, '.')) AS level, array_to_string(string_split(path, '.')[1:-2], '.') AS parent FROM tree0)"""
-_codes = "[" + ", ".join(f"'{c}'" for c in CODES) + "]"
+# written out, not made from the list above: the SQL is to find a wrong one
+_codes = "['CONTRADICTS', 'DEFINES', 'DEPENDS_ON', 'EXEMPLIFIES', 'EXTENDS', 'REFERENCES', 'SEE_ALSO', 'SUPERSEDES', 'SUPPORTS']"
 EDGES = f"""e0 AS (SELECT doc_id AS source, unnest([(doc_id * 7 + 3) % (SELECT max(doc_id) + 1 FROM documents), (doc_id * 13 + 5) % (SELECT max(doc_id) + 1 FROM documents)]) AS target,
  {_codes}[CAST(doc_id % 9 + 1 AS INT)] AS relation_type, string_split(text, chr(10))[1] AS citation_text FROM documents),
 edges AS (SELECT source, target, relation_type, min(citation_text) AS citation_text FROM e0 WHERE source <> target GROUP BY ALL)"""
-RELATION_ROWS = ", ".join(f"('{c}', '{d}', {str(s).lower()})" for c, d, s in RELATIONS)
+RELATION_ROWS = """('REFERENCES', 'Mentions the target', false), ('SUPPORTS', 'Gives evidence for the target', false), ('CONTRADICTS', 'States the opposite of the target', true),
+ ('DEFINES', 'Defines a term of the target', false), ('EXTENDS', 'Adds detail to the target', false), ('EXEMPLIFIES', 'Gives an example of the target', false),
+ ('DEPENDS_ON', 'Needs the target to hold', false), ('SUPERSEDES', 'Takes the place of the target', false), ('SEE_ALSO', 'Is related to the target', true)"""
 RUNS = f"""scored AS (SELECT q.vec_id AS case_id, printf('v%012d', t.vec_id) AS path, {COSINE.format(a="CAST(q.embedding AS DOUBLE[])", b="CAST(t.embedding AS DOUBLE[])")} AS sim, q.label = t.label AS same
  FROM embeddings q JOIN embeddings t ON true WHERE q.vec_id % 100 = 0),
 runs AS (SELECT case_id, rank, path, CASE WHEN NOT same THEN 0 WHEN sim > 0.5 THEN 2 ELSE 1 END AS relevance, sim FROM

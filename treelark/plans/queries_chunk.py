@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from treelark.functions import paths as p
 from treelark.operators import chunking as ch
-from treelark.plans.model import TREE, C, D, Model
+from treelark.plans.model import EDGES, RELATION_ROWS, TREE, C, D, Model
 from treelark.plans.registry import query
 from treelark.sources import corpus
 
@@ -183,15 +183,17 @@ def chk_prune_empty(m: Model) -> DataFrame:
     return ch.prune_empty(levels(m).select("path", (F.col("start_line") % 97 == 0).alias("has_prose"))).select("path")
 
 
-@query("chk_label_sanitise", f"WITH {D}, t AS (SELECT doc_id, trim(split_part(title, ' ', 1) || ' ' || doc_id) AS r FROM d) SELECT doc_id, substr(regexp_replace(regexp_replace(translate(lower(r), '{p.MARKED}', '{p.PLAIN}'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 250) AS label FROM t")
+@query("chk_label_sanitise", f"WITH {D}, w AS (SELECT doc_id, trim(w || ' ' || doc_id) AS r, k FROM d, unnest(string_split(title, ' ')) WITH ORDINALITY AS u(w, k)) SELECT doc_id, k AS word, rtrim(substr(trim(lower(regexp_replace(strip_accents(replace(replace(r, 'đ', 'd'), 'Đ', 'D')), '[^A-Za-z0-9_]+', '_', 'g')), '_'), 1, 250), '_') AS label FROM w")
 def chk_label_sanitise(m: Model) -> DataFrame:
-    raw = F.concat(F.substring_index("title", " ", 1), F.lit(" "), F.col("doc_id").cast("string"))
-    return m.docs.select("doc_id", p.sanitise_label(raw).alias("label"))
+    """Every word of every title with the document's id, as a label."""
+    words = m.docs.select("doc_id", F.posexplode(F.split("title", " ")).alias("k", "w"))
+    return words.select("doc_id", (F.col("k") + 1).cast("long").alias("word"), p.sanitise_label(F.concat("w", F.lit(" "), F.col("doc_id").cast("string"))).alias("label"))
 
 
-@query("chk_path_canon", f"WITH {D} SELECT doc_id, source || '.doc_' || doc_id || '.part_a' AS path FROM d")
+@query("chk_path_canon", f"WITH {D}, w AS (SELECT doc_id, source, trim(lower(regexp_replace(strip_accents(replace(replace('Part ' || regexp_extract(title, '[^ /.\\\\]+'), 'đ', 'd'), 'Đ', 'D')), '[^A-Za-z0-9_]+', '_', 'g')), '_') AS part FROM d) SELECT doc_id, source || '.doc_' || doc_id || '.' || part AS path FROM w")
 def chk_path_canon(m: Model) -> DataFrame:
-    raw = F.concat("source", F.lit("/Doc "), F.col("doc_id").cast("string"), F.lit("\\Part-A"))
+    first = F.regexp_extract("title", r"[^ /.\\]+", 0)
+    raw = F.concat("source", F.lit("/Doc "), F.col("doc_id").cast("string"), F.lit("\\ . Part "), F.coalesce(first, F.lit("")))
     return m.docs.select("doc_id", p.canonical_path(raw).alias("path"))
 
 
@@ -252,7 +254,7 @@ def src_dispatch(m: Model) -> DataFrame:
     return m.docs.select("doc_id", corpus.profile_of(file, text).alias("profile"))
 
 
-@query("src_relation_types", "WITH e AS (SELECT count(*) AS n FROM documents) SELECT code, is_symmetric FROM (VALUES ('AMENDS', false), ('CONTRADICTS', true), ('DEFINES', false), ('DEPENDS_ON', false), ('EXEMPLIFIES', false), ('EXPLAINS', false), ('REFERENCES', false), ('SEE_ALSO', true), ('SUPPORTS', false)) r(code, is_symmetric) WHERE code IN (SELECT ['AMENDS', 'CONTRADICTS', 'DEFINES', 'DEPENDS_ON', 'EXEMPLIFIES', 'EXPLAINS', 'REFERENCES', 'SEE_ALSO', 'SUPPORTS'][CAST(doc_id % 9 + 1 AS INT)] FROM documents)")
+@query("src_relation_types", f"WITH {EDGES} SELECT code, is_symmetric FROM (VALUES {RELATION_ROWS}) r(code, description, is_symmetric) WHERE code IN (SELECT relation_type FROM edges)")
 def src_relation_types(m: Model) -> DataFrame:
     """The relation types in use, seeded where they are absent."""
     used = m.edges.select(F.col("relation_type").alias("code")).distinct()

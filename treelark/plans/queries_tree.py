@@ -97,10 +97,11 @@ def nav_parent_chain(m: Model) -> DataFrame:
     return shape(nav.parent_chain(anchors(m), m.tree))
 
 
-@query("nav_siblings", f"WITH {TREE}, an AS (SELECT path AS anchor, parent AS ap FROM tree WHERE level = 2) SELECT anchor, path, start_line, 0 AS relative_depth FROM an JOIN tree ON parent = ap AND path <> anchor AND level = 2")
+@query("nav_siblings", f"WITH {TREE}, an AS (SELECT path AS anchor, parent AS ap, level AS lv FROM tree WHERE start_line % 100 = 0 OR level = 2) SELECT anchor, path, start_line, 0 AS relative_depth FROM an JOIN tree ON parent = ap AND path <> anchor AND level = lv AND level > 1")
 def nav_siblings(m: Model) -> DataFrame:
-    nations = m.tree.where(p.nlevel(F.col("path")) == 2).select(F.col("path").alias("anchor"))
-    return shape(nav.siblings(nations, m.tree))
+    """Siblings of all nations, and of every hundredth customer and order."""
+    some = m.tree.where((F.col("start_line") % 100 == 0) | (p.nlevel(F.col("path")) == 2)).where(p.nlevel(F.col("path")) > 1).select(F.col("path").alias("anchor"))
+    return shape(nav.siblings(some, m.tree))
 
 
 @query("nav_subtree", f"WITH {TREE}, {ANCHORS} SELECT anchor, path, start_line, level - len(string_split(anchor, '.')) AS relative_depth FROM tree, unnest(range(1, level)) AS u(k) JOIN an ON anchor = array_to_string(string_split(path, '.')[1:k], '.')")
@@ -155,9 +156,11 @@ NODES = f"""WITH {TREE}, {LEAVES}, up AS (SELECT doc_slug, array_to_string(strin
  n AS (SELECT doc_slug, node AS path, max(title) FILTER (WHERE path = node) AS own, min(start_line) AS start_line, max(end_line) AS end_line, count(*) FILTER (WHERE path <> node) AS below, bool_or(path = node) AS is_chunk FROM up GROUP BY ALL)"""
 
 
-@query("nav_tree_nodes", NODES + " SELECT doc_slug, path, nullif(array_to_string(string_split(path, '.')[1:-2], '.'), '') AS parent_path, coalesce(own, string_split(path, '.')[-1]) AS label, CASE WHEN NOT contains(path, '.') THEN 'DOCUMENT' WHEN is_chunk THEN 'PARAGRAPH' ELSE 'SECTION' END AS node_type FROM n")
+@query("nav_tree_nodes", NODES + " SELECT doc_slug, path, nullif(array_to_string(string_split(path, '.')[1:-2], '.'), '') AS parent_path, coalesce(own, string_split(path, '.')[-1]) AS label, CASE WHEN NOT contains(path, '.') THEN 'DOCUMENT' WHEN is_chunk THEN CASE WHEN start_line % 5 = 0 THEN 'TABLE' WHEN start_line % 5 = 1 THEN 'ARTICLE' ELSE 'PARAGRAPH' END ELSE 'SECTION' END AS node_type FROM n")
 def nav_tree_nodes(m: Model) -> DataFrame:
-    return nav.tree_nodes(m.tree.where(p.nlevel(F.col("path")) == 4)).select("doc_slug", "path", "parent_path", "label", "node_type")
+    k = F.col("start_line") % 5
+    orders = m.tree.where(p.nlevel(F.col("path")) == 4).withColumns({"is_table": k == 0, "node_type": F.when(k == 1, "ARTICLE")})
+    return nav.tree_nodes(orders).select("doc_slug", "path", "parent_path", "label", "node_type")
 
 
 @query("nav_span_rollup", NODES + " SELECT path, start_line, end_line, below FROM n")
@@ -165,10 +168,15 @@ def nav_span_rollup(m: Model) -> DataFrame:
     return nav.tree_nodes(m.tree.where(p.nlevel(F.col("path")) == 4)).select("path", "start_line", "end_line", "below")
 
 
-@query("nav_humanise", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Chương ' || upper(split_part(o_orderpriority, '-', 1)) WHEN 1 THEN 'Điều ' || o_orderkey WHEN 2 THEN 'Tiểu mục ' || o_orderkey ELSE 'x ' || o_orderkey END AS label FROM orders")
+@query("nav_humanise", """SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'Chương ' || upper(split_part(o_orderpriority, '-', 1)) WHEN 1 THEN 'Điều ' || o_orderkey || 'a' WHEN 2 THEN 'Tiểu mục ' || o_orderkey || ' B'
+ WHEN 3 THEN 'Phần ' || o_orderkey WHEN 4 THEN 'Khoản ' || o_orderkey || ' c' WHEN 5 THEN 'Phụ lục ' || o_orderkey || 'D' WHEN 6 THEN 'Mục ' || o_orderkey ELSE 'x_y_' || o_orderkey END AS label FROM orders""")
 def nav_humanise(m: Model) -> DataFrame:
     k = F.col("o_orderkey")
-    seg = F.when(k % 4 == 0, F.concat(F.lit("chuong_"), F.lower(F.substring_index("o_orderpriority", "-", 1)))).when(k % 4 == 1, F.concat(F.lit("dieu_"), k.cast("string"))).when(k % 4 == 2, F.concat(F.lit("tieu_muc_"), k.cast("string"))).otherwise(F.concat(F.lit("x_"), k.cast("string")))
+    forms = [("chuong_", F.lower(F.substring_index("o_orderpriority", "-", 1))), ("dieu_", F.concat(k.cast("string"), F.lit("a"))), ("Tieu_muc_", F.concat(k.cast("string"), F.lit("_b"))), ("phan_", k.cast("string")),
+             ("khoan_", F.concat(k.cast("string"), F.lit("_c"))), ("phu_luc_", F.concat(k.cast("string"), F.lit("d"))), ("muc_", k.cast("string"))]
+    seg = F.concat(F.lit("x_y_"), k.cast("string"))
+    for n, (prefix, rest) in enumerate(forms):
+        seg = F.when(k % 9 == n, F.concat(F.lit(prefix), rest)).otherwise(seg)
     return m.table("orders").select("o_orderkey", p.humanise(seg).alias("label"))
 
 
