@@ -74,7 +74,7 @@ def test_navigation(spark):
     assert pairs(nav.siblings(a, t)) == [("d.s_1", "d.s_10", 0), ("d.s_2", "d.s_1", 0), ("d.s_2", "d.s_10", 0)]
     nodes = {r["path"]: r for r in nav.tree_nodes(t).collect()}
     assert (nodes["d"]["node_type"], nodes["d"]["start_line"], nodes["d"]["end_line"]) == ("DOCUMENT", 1, 14)
-    assert (nodes["d.s_2"]["node_type"], nodes["d.s_2"]["start_line"], nodes["d.s_2"]["label"]) == ("SECTION", 10, "s 2")
+    assert (nodes["d.s_2"]["node_type"], nodes["d.s_2"]["start_line"], nodes["d.s_2"]["label"]) == ("SECTION", 10, "s_2")
     leaves = dict(nav.expand_leaves(spark.createDataFrame([("d.s_1",), ("d.s_2",), ("zz",)], "query_path string"), t).collect())
     assert leaves == {"d.s_1": ["d.s_1"], "d.s_2": ["d.s_2.x"], "zz": []}
 
@@ -129,7 +129,7 @@ def test_overview_and_fences(spark):
     docs = spark.createDataFrame([("x", text)], "doc_slug string, raw_text string")
     got = {r["path"]: (r["start_line"], r["end_line"], r["node_type"]) for r in ch.chunk_markdown(docs).collect()}
     assert got == {"x.overview": (5, 5, "OVERVIEW"), "x.quick_start": (7, 11, "SECTION"), "x.quick_start_1": (13, 14, "SECTION")}
-    exact = ch.mark_code_exact(ch.lines_of(spark.createDataFrame([("x", "````\n```\n````\nout")], "doc_slug string, raw_text string"))).orderBy("n").collect()
+    exact = ch.mark_code(ch.lines_of(spark.createDataFrame([("x", "````\n```\n````\nout")], "doc_slug string, raw_text string"))).orderBy("n").collect()
     assert [r["in_code"] for r in exact] == [True, True, True, False]
 
 

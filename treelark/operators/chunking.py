@@ -28,74 +28,140 @@ def lines_of(docs: DataFrame, text: str = "raw_text") -> DataFrame:
 
 
 def front_matter(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines with a leading --- block blanked, (doc_slug, metadata)): top-level `key: value` pairs, the first of a key counts."""
+    """(lines with a leading --- block blanked, (doc_slug, title, metadata, related_links)).
+
+    Pairs `key: value` at the first column are metadata, the last of a key counts, but the first non-empty title is the title; `related` itself is
+    none. Items under an indented `links:` are related links until the next pair.
+    """
     fence = F.trim("line") == "---"
     span = lines.groupBy("doc_slug").agg(F.max(F.when((F.col("n") == 1) & fence, 1)).alias("opens"), F.min(F.when((F.col("n") > 1) & fence, F.col("n"))).alias("closes")).where("opens = 1 and closes is not null")
     marked = lines.join(span, "doc_slug", "left").withColumn("inside", F.coalesce(F.col("n") <= F.col("closes"), F.lit(False)))
-    pair = marked.where(F.col("inside") & F.col("line").rlike(r"^[A-Za-z_][\w-]*:\s*\S")).select("doc_slug", "n", F.regexp_extract("line", r"^([\w-]+):", 1).alias("k"), F.regexp_replace(F.regexp_extract("line", r"^[\w-]+:\s*(.*?)\s*$", 1), "^[\"']|[\"']$", "").alias("v"))
-    first = pair.groupBy("doc_slug", "k").agg(F.min_by("v", "n").alias("v"))
-    meta = first.groupBy("doc_slug").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("metadata"))
+    top = F.col("line").rlike(r"^[A-Za-z0-9_-]+\s*:")
+    mark = F.when(top, F.lit("pair")).when(F.col("line").rlike(r"^\s+links:"), F.lit("links"))
+    head = marked.where(F.col("inside") & ~fence).withColumn("under", F.last(mark, ignorenulls=True).over(until_here()))
+    clean = lambda c: F.regexp_replace(F.trim(c), "^[\"']+|[\"']+$", "")
+    key, value = F.lower(F.regexp_extract("line", r"^([A-Za-z0-9_-]+)", 1)), clean(F.regexp_extract("line", r"^[A-Za-z0-9_-]+\s*:\s*(.*)$", 1))
+    pair = head.where(top).select("doc_slug", "n", key.alias("k"), value.alias("v")).where("k <> 'related'")
+    last = pair.groupBy("doc_slug", "k").agg(F.max_by("v", "n").alias("v"), F.min_by("v", F.when(F.col("v") != "", F.col("n"))).alias("first"))
+    meta = last.groupBy("doc_slug").agg(F.max(F.when(F.col("k") == "title", F.col("first"))).alias("title"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("metadata"))
+    links = head.where((F.col("under") == "links") & F.trim("line").startswith("- ")).groupBy("doc_slug").agg(F.sort_array(F.collect_list(F.struct("n", clean(F.substr(F.trim("line"), F.lit(3))).alias("link")))).alias("l"))
+    meta = meta.join(links.select("doc_slug", F.transform("l", lambda x: x["link"]).alias("related_links")), "doc_slug", "full_outer")
     return marked.select("doc_slug", "n", F.when(F.col("inside"), "").otherwise(F.col("line")).alias("line")), meta
 
 
+FENCE = r"^\s{0,3}(`{3,}|~{3,})(.*)$"
+
+
 def mark_code(lines: DataFrame) -> DataFrame:
-    """lines with in_code: lines of fenced blocks, fences included, where every fence toggles."""
-    fence = F.col("line").rlike(r"^\s{0,3}(```|~~~)")
-    before = F.coalesce(F.sum(fence.cast("int")).over(by_line().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return lines.withColumn("in_code", fence | (before % 2 == 1))
-
-
-def mark_code_exact(lines: DataFrame) -> DataFrame:
-    """As mark_code, but a fence closes only on a bare one of its kind and at least its length. One document at a time."""
-    import re
-
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        opened, out = "", []
-        for line in pdf["line"]:
-            m = re.match(r"\s{0,3}(`{3,}|~{3,})(.*)$", line or "")
-            if opened:
-                out.append(True)
-                if m and m[1][0] == opened[0] and len(m[1]) >= len(opened) and not m[2].strip():
-                    opened = ""
-            else:
-                out.append(bool(m))
-                opened = m[1] if m else ""
-        return pdf.assign(in_code=out)
-
-    return lines.select("doc_slug", "n", "line").groupBy("doc_slug").applyInPandas(run, "doc_slug string, n bigint, line string, in_code boolean")
-
-
-def blank_comments(lines: DataFrame) -> DataFrame:
-    """lines (with in_code) without HTML and MDX comments, empty anchors and bare spans; comments may run over lines."""
-    text = F.regexp_replace("line", r"<!--.*?-->|\{/\*.*?\*/\}|<a (?:id|name)=\"[^\"]*\">\s*</a>|<span id=\"[^\"]*\"\s*/>", "")
-    opens, closes = text.rlike(r"<!--|\{/\*"), text.rlike(r"-->|\*/\}")
-    live = ~F.col("in_code")
-    df = lines.withColumn("__t", text).withColumn("__o", (live & opens).cast("int")).withColumn("__c", (live & closes).cast("int"))
-    depth = F.coalesce(F.sum(F.col("__o") - F.col("__c")).over(by_line().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    df = df.withColumn("__d", depth)
-    inside = F.when((F.col("__d") > 0) & (F.col("__c") == 1), F.regexp_replace("__t", r"^.*?(-->|\*/\})", "")).when(F.col("__d") > 0, "").when(F.col("__o") == 1, F.regexp_replace("__t", r"(<!--|\{/\*).*$", "")).otherwise(F.col("__t"))
-    return df.withColumn("line", F.when(F.col("in_code"), F.col("line")).otherwise(inside)).drop("__t", "__o", "__c", "__d")
+    """lines with in_code and block, the number of the code block: lines of fenced blocks, fences included.
+
+    A fence closes on a bare fence of its kind and of at least its length. The fences of a document, and nothing else of it, are folded in order.
+    """
+    run, rest = F.regexp_extract("line", FENCE, 1), F.trim(F.regexp_extract("line", FENCE, 2))
+    fences = lines.where(F.col("line").rlike(FENCE) & ~((F.substring(run, 1, 1) == "`") & F.contains(rest, F.lit("`"))))
+    rows = F.struct("n", F.substring(run, 1, 1).alias("kind"), F.length(run).alias("size"), (rest == "").alias("bare"))
+    by = fences.groupBy("doc_slug").agg(F.sort_array(F.collect_list(rows)).alias("f"))
+    start = F.expr("struct('' as kind, 0 as size, cast(array() as array<struct<n: bigint, opens: boolean>>) as found)")
+
+    def step(acc: Column, x: Column) -> Column:
+        opens = acc["kind"] == ""
+        closes = ~opens & (x["kind"] == acc["kind"]) & (x["size"] >= acc["size"]) & x["bare"]
+        found = F.when(opens | closes, F.concat(acc["found"], F.array(F.struct(x["n"].alias("n"), opens.alias("opens"))))).otherwise(acc["found"])
+        kind = F.when(opens, x["kind"]).when(closes, F.lit("")).otherwise(acc["kind"])
+        return F.struct(kind.alias("kind"), F.when(opens, x["size"]).otherwise(acc["size"]).alias("size"), found.alias("found"))
+
+    turns = by.select("doc_slug", F.explode(F.aggregate("f", start, step)["found"]).alias("x")).select("doc_slug", "x.n", "x.opens")
+    df = lines.join(turns, ["doc_slug", "n"], "left").withColumn("__o", F.last("opens", ignorenulls=True).over(until_here()))
+    df = df.withColumn("block", F.sum(F.coalesce(F.col("opens").cast("int"), F.lit(0))).over(until_here()))
+    in_code = F.coalesce(F.col("__o"), F.lit(False)) | F.coalesce(~F.col("opens"), F.lit(False))
+    return df.withColumn("in_code", in_code).withColumn("block", F.when(in_code, F.col("block"))).drop("opens", "__o")
+
+
+# The comment marks of HTML and MDX, as patterns.
+COMMENTS = {"html": ("<!--", "-->"), "mdx": (r"\{/\*", r"\*/\}")}
+
+
+def blank_comments(lines: DataFrame, kinds: tuple[str, ...] = ("html", "mdx")) -> DataFrame:
+    """lines (with in_code) without comments, empty anchors and bare spans; comments may run over lines.
+
+    Whether a line begins inside a comment follows from the last mark before it: an opening one behind which none closes on its line, or a closing
+    one. A closing mark outside a comment changes nothing.
+    """
+    live, before = ~F.col("in_code"), by_line().rowsBetween(Window.unboundedPreceding, -1)
+    for kind in kinds:
+        opens, closes = COMMENTS[kind]
+        mark = F.when(live & F.col("line").rlike(f"{opens}(?!.*{closes})"), F.lit(True)).when(live & F.col("line").rlike(closes), F.lit(False))
+        inside = F.coalesce(F.last(mark, ignorenulls=True).over(before), F.lit(False))
+        rest = F.when(inside, F.when(F.col("line").rlike(closes), F.regexp_replace("line", f"^.*?{closes}", "")).otherwise("")).otherwise(F.col("line"))
+        text = F.regexp_replace(F.regexp_replace(rest, f"{opens}.*?{closes}", ""), f"{opens}.*$", "")
+        lines = lines.withColumn("__t", text).withColumn("line", F.when(live, F.col("__t")).otherwise(F.col("line"))).drop("__t")
+    anchors = F.regexp_replace("line", r"<a\b[^>]*\b(?:id|name)\s*=\s*[\"'][^\"']*[\"'][^>]*>\s*</a>|^\s*<span\s+id=[^>]+/>\s*$", "")
+    return lines.withColumn("line", F.when(F.col("in_code"), F.col("line")).otherwise(anchors))
 
 
 def track_scope(lines: DataFrame, tags: dict[str, str]) -> DataFrame:
-    """lines with scope: the value of the tag that is open, from its opening line to the line before its closing one."""
+    """lines with scope: the value of the tag that is open, from its opening line to the line before its closing one. A tag stands alone on its line."""
+    live = ~F.col("in_code") if "in_code" in lines.columns else F.lit(True)
     marker = None
     for tag, value in tags.items():
-        opens, closes = F.contains("line", F.lit(f"<{tag}>")), F.contains("line", F.lit(f"</{tag}>"))
+        opens, closes = live & (F.trim("line") == f"<{tag}>"), live & (F.trim("line") == f"</{tag}>")
         marker = F.when(closes, F.lit("")) if marker is None else marker.when(closes, F.lit(""))
         marker = marker.when(opens, F.lit(value))
     return lines.withColumn("scope", F.nullif(F.last(marker, ignorenulls=True).over(until_here()), F.lit("")))
 
 
+#: A tag up to its end; quoted values may hold `>`.
+TAG = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+
+
+def attribute(tag: Column, *names: str) -> Column:
+    """The first of some quoted attributes that a tag has."""
+    found = [F.regexp_extract(tag, rf"""\b{n}=(?:"([^"]*)"|'([^']*)')""", k) for n in names for k in (1, 2)]
+    return F.coalesce(*[F.nullif(x, F.lit("")) for x in found])
+
+
 def normalise_markup(text: Column) -> Column:
-    """Component tags of one line as Markdown: images, check marks, summaries in bold; other tags become a space."""
-    out = F.regexp_replace(text, r'<(?:Image|Video|img)\b[^>]*?\balt="([^"]*)"[^>]*?/?>', "![$1]()")
-    out = F.regexp_replace(F.regexp_replace(out, r"<Check\b[^>]*?/?>", "✓"), r"<Cross\b[^>]*?/?>", "✗")
-    out = F.regexp_replace(out, r"<summary>\s*(.*?)\s*</summary>", "**$1**")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"</?[A-Za-z][^>]*>", " "), " {2,}", " "))
+    """Component tags of one text as Markdown: images, check marks, summaries in bold; other tags become a space."""
+    out = F.regexp_replace(text, rf"""<(?:Image|img)\b(?={TAG}\balt="([^"]*)")(?={TAG}\bsrc(?:Light|Dark)?="([^"]*)"){TAG}>""", "![$1]($2)")
+    out = F.regexp_replace(out, rf"""<Video\b(?={TAG}\bcaption="([^"]*)")(?={TAG}\bsrc="([^"]*)"){TAG}>""", "![Video: $1]($2)")
+    out = F.regexp_replace(out, rf"""<(?:Image|Video|img)\b{TAG}\balt="([^"]*)"{TAG}>""", "![$1]()")
+    out = F.regexp_replace(F.regexp_replace(out, rf"<Check\b{TAG}>", "✓"), rf"<Cross\b{TAG}>", "✗")
+    out = F.regexp_replace(out, rf"(?s)<summary{TAG}>\s*(.*?)\s*</summary>", "**$1**")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, rf"</?[A-Za-z]{TAG}>", " "), "[ \t]{2,}", " "))
+
+
+def join_tags(lines: DataFrame, tags: tuple[str, ...] = ("Image", "Video", "FixCardGrid")) -> DataFrame:
+    """lines (with in_code) where a component that runs over several lines stands whole on its last line, and blank lines before.
+
+    A component is open from a line with its opening tag, behind which it doesn't close, to the line that closes it.
+    """
+    live, before = ~F.col("in_code"), by_line().rowsBetween(Window.unboundedPreceding, -1)
+    for tag in tags:
+        closer = f"</{tag}>" if tag == "FixCardGrid" else "/>"
+        opener = f"<{tag}>" if tag == "FixCardGrid" else f"<{tag}\\b"
+        mark = F.when(live & F.col("line").rlike(f"{opener}(?!.*{closer})"), F.lit(True)).when(live & F.contains("line", F.lit(closer)), F.lit(False))
+        df = lines.withColumn("__m", mark).withColumn("__in", F.coalesce(F.last("__m", ignorenulls=True).over(before), F.lit(False)))
+        df = df.withColumn("__g", F.sum(F.when(F.col("__m") & ~F.col("__in"), 1).otherwise(0)).over(until_here()))
+        member = live & (F.col("__in") | F.coalesce(F.col("__m"), F.lit(False)))
+        parts = F.collect_list(F.when(member, F.trim("line"))).over(Window.partitionBy("doc_slug", "__g").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+        closes = F.col("__in") & F.coalesce(~F.col("__m"), F.lit(False))
+        df = df.withColumn("__t", F.when(closes, F.array_join(parts, " ")).when(member, F.lit("")).otherwise(F.col("line")))
+        lines = df.withColumn("line", F.col("__t")).drop("__m", "__in", "__g", "__t")
+    return lines
+
+
+def card_list(text: Column) -> Column:
+    """The cards of a FixCardGrid on one line as list items, on one line each."""
+    cards = F.regexp_extract_all(text, F.lit(rf"<FixCard\b{TAG}/>"), F.lit(0))
+
+    def item(card: Column) -> Column:
+        title, href = attribute(card, "title"), attribute(card, "href")
+        link = F.when(href.isNotNull(), F.concat(F.lit("["), title, F.lit("]("), href, F.lit(")"))).otherwise(title)
+        return F.concat(F.lit("- **Fix — "), link, F.lit("**"))
+
+    items = F.array_join(F.array_compact(F.transform(cards, item)), "\n")
+    whole = F.regexp_extract(text, r"<FixCardGrid>(.*?)</FixCardGrid>", 0)
+    return F.when(whole != "", F.replace(text, whole, items)).otherwise(text)
 
 
 def version_badge(comment: Column) -> Column:
@@ -127,15 +193,18 @@ def normalise_statutes(lines: DataFrame) -> DataFrame:
     return df.withColumn("line", F.when(F.col("__sub"), head).when(taken == F.col("n"), "").otherwise(F.col("line"))).drop("__sub", "__join")
 
 
+# The kinds of statute headings, their patterns, levels and labels.
+STATUTES = [("CHAPTER", r"Chương\s+([IVXLCDM0-9]+)", 1, "chuong_"), ("SECTION", r"Mục\s+(\d+)", 2, "muc_"), ("SUBSECTION", r"Tiểu\s+mục\s+(\d+)", 3, "tieu_muc_"), ("ARTICLE", r"Điều\s+(\d+[a-zđ]?)", 4, "dieu_")]
+
+
 def classify_statute(level: Column, title: Column) -> Column:
-    """struct(level, label, kind) of a heading of a statute; other headings keep their level."""
-    number = lambda word: F.lower(F.regexp_extract(title, rf"(?i)^{word}\s+([0-9]+[a-zđ]?|[IVXLC]+)\b", 1))
-    kinds = [("Chương", "chuong", 1, "CHAPTER"), ("Mục", "muc", 2, "SECTION"), ("Tiểu mục", "tieu_muc", 3, "SUBSECTION"), ("Điều", "dieu", 4, "ARTICLE")]
-    out = None
-    for word, label, lv, kind in kinds:
-        made = F.struct(F.lit(lv).alias("level"), F.concat(F.lit(label + "_"), number(word)).alias("label"), F.lit(kind).alias("kind"))
-        out = F.when(number(word) != "", made) if out is None else out.when(number(word) != "", made)
-    return out.otherwise(F.struct(level.cast("int").alias("level"), sanitise_label(title).alias("label"), F.lit("HEADING").alias("kind")))
+    """struct(level, label, kind) of a heading of a statute; other headings are sections that keep their level."""
+    out = F.struct(level.cast("int").alias("level"), sanitise_label(title).alias("label"), F.lit("SECTION").alias("kind"))
+    for kind, pattern, lv, label in STATUTES:
+        number = F.regexp_extract(F.trim(title), rf"(?iu)^{pattern}\b", 1)
+        made = F.struct(F.lit(lv).alias("level"), F.concat(F.lit(label), F.translate(F.lower(number), "đ", "d")).alias("label"), F.lit(kind).alias("kind"))
+        out = F.when(number != "", made).otherwise(out)
+    return out
 
 
 def headings(lines: DataFrame) -> DataFrame:
@@ -180,12 +249,29 @@ def label_of(title: Column) -> Column:
 
 
 def disambiguate(heads: DataFrame, label: str = "label", scope: str | None = None) -> DataFrame:
-    """Labels of siblings made unique: by a scope suffix if there is one, then by _1, _2 and so on in line order."""
-    again = F.row_number().over(Window.partitionBy("doc_slug", "parent", label).orderBy("n"))
-    if scope:
-        heads = heads.withColumn(label, F.when((again > 1) & F.col(scope).isNotNull(), F.concat(label, F.lit("_"), scope)).otherwise(F.col(label)))
-    k = F.row_number().over(Window.partitionBy("doc_slug", "parent", label).orderBy("n"))
-    return heads.withColumn(label, F.when(k > 1, F.concat(F.col(label), F.lit("_"), (k - 1).cast("string"))).otherwise(F.col(label)))
+    """Labels of siblings made unique: by a scope suffix if there is one and it is free, then by the first free of _1, _2 and so on, in line order.
+
+    Only labels of one stem (a label without such suffixes) can clash, so clashes are settled by stem. Where a stem has one label and no
+    scope, the place in the row is the suffix; else the labels of the stem are folded in order.
+    """
+    suffix = r"(_[0-9]+)+$" if scope is None else r"(_[0-9]+|_app|_pages)+$"
+    heads = heads.withColumn("__stem", F.regexp_replace(label, suffix, "")).withColumn("__scope", F.col(scope) if scope else F.lit(None).cast("string"))
+    group = Window.partitionBy("doc_slug", "parent", "__stem")
+    heads = heads.withColumn("__k", F.row_number().over(group.orderBy("n"))).withColumn("__same", (F.min(label).over(group) == F.max(label).over(group)) & (F.count("__scope").over(group) == 0))
+    plain = F.when(F.col("__k") > 1, F.concat(F.col(label), F.lit("_"), (F.col("__k") - 1).cast("string"))).otherwise(F.col(label))
+    mixed = heads.where(~F.col("__same")).groupBy("doc_slug", "parent", "__stem").agg(F.sort_array(F.collect_list(F.struct("n", F.col(label).alias("l"), F.col("__scope").alias("s")))).alias("rows"))
+    start = F.expr("struct(cast(array() as array<string>) as used, cast(array() as array<struct<n: bigint, l: string>>) as out)")
+
+    def step(acc: Column, x: Column) -> Column:
+        free = lambda name: ~F.array_contains(acc["used"], name)
+        scoped = F.concat(x["l"], F.lit("_"), x["s"])
+        tries = F.transform(F.sequence(F.lit(1), F.size(acc["used"]) + 1), lambda k: F.concat(x["l"], F.lit("_"), k.cast("string")))
+        name = F.when(free(x["l"]), x["l"]).when(x["s"].isNotNull() & free(scoped), scoped).otherwise(F.get(F.filter(tries, free), F.lit(0)))
+        return F.struct(F.array_append(acc["used"], name).alias("used"), F.array_append(acc["out"], F.struct(x["n"].alias("n"), name.alias("l"))).alias("out"))
+
+    settled = mixed.select("doc_slug", F.explode(F.aggregate("rows", start, step)["out"]).alias("x")).select("doc_slug", "x.n", F.col("x.l").alias("__l"))
+    heads = heads.join(settled, ["doc_slug", "n"], "left")
+    return heads.withColumn(label, F.coalesce("__l", plain)).drop("__stem", "__scope", "__k", "__same", "__l")
 
 
 def section_paths(lines: DataFrame) -> DataFrame:
@@ -201,7 +287,7 @@ def breadcrumbs(titles: Column) -> Column:
 
 
 def emit(lines: DataFrame, paths: DataFrame) -> DataFrame:
-    """Chunks of lines (with section): one a section with non-blank body; text before the first heading becomes `overview`.
+    """Chunks of lines (with section): one a section with non-blank body; text before the first heading becomes `overview`, or `intro` if a heading has that path.
 
     verbatim_text is the lines from the heading to the last non-blank one; contextualized_text has the bracketed breadcrumb in front.
     """
@@ -214,12 +300,19 @@ def emit(lines: DataFrame, paths: DataFrame) -> DataFrame:
     inside = F.filter("l", lambda x: (x["n"] >= F.col("start_line")) & (x["n"] <= F.col("end_line")))
     text = F.array_join(F.transform(inside, lambda x: x["line"]), "\n")
     joined = by.join(paths.withColumnRenamed("section", "__s"), ["doc_slug", "__s"], "left")
-    path = F.coalesce("path", F.concat("doc_slug", F.lit(".overview")))
+    taken = paths.where(F.col("path") == F.concat("doc_slug", F.lit(".overview"))).select("doc_slug", F.lit(True).alias("__taken"))
+    joined = joined.join(taken, "doc_slug", "left")
+    path = F.coalesce("path", F.concat("doc_slug", F.when(F.col("__taken"), ".intro").otherwise(".overview")))
     titles = F.coalesce("titles", F.array(F.lit("Overview")))
     crumb = F.concat(F.lit("["), breadcrumbs(titles), F.lit("]\n"))
     out = joined.select("doc_slug", path.alias("path"), text.alias("verbatim_text"), F.concat(crumb, text).alias("contextualized_text"), "start_line", "end_line", titles.alias("ancestor_titles"), F.when(F.col("__s") == 0, "OVERVIEW").otherwise("SECTION").alias("node_type"))
+    return settle_paths(out)
+
+
+def settle_paths(chunks: DataFrame) -> DataFrame:
+    """Chunks with a path that is taken get `_2` behind it, once for each chunk of that path before."""
     clash = F.row_number().over(Window.partitionBy("path").orderBy("start_line"))
-    return out.withColumn("path", F.when(clash > 1, F.concat("path", F.lit("_"), clash.cast("string"))).otherwise(F.col("path")))
+    return chunks.withColumn("path", F.concat("path", F.repeat(F.lit("_2"), clash - 1)))
 
 
 def insert_scope_markers(lines: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -249,25 +342,63 @@ def inherit(sections: DataFrame, value: str) -> DataFrame:
 def fold_overloads(heads: DataFrame) -> DataFrame:
     """Headings (doc_slug, n, level, title, empty): an empty one followed by one of the same level and callable folds into it.
 
-    Adds target, the line of the heading that a run ends in, and titles of the run; other empty headings are dropped.
+    Adds target, the line of the heading that a run ends in, and titles of the run. An empty heading before one of its level that it doesn't fold into is dropped.
     """
-    name = F.lower(F.regexp_extract("title", r"([\w.]+)\s*\(", 1))
-    h = heads.withColumn("__f", F.when(name != "", name))
+    h = heads.withColumn("__f", callable_name(F.col("title")))
     w = by_line()
     joins = F.col("empty") & (F.lead("level").over(w) == F.col("level")) & (F.lead("__f").over(w) == F.col("__f"))
     h = h.withColumn("joins", F.coalesce(joins, F.lit(False)))
     ends = F.when(~F.col("joins"), F.col("n"))
     target = F.first(ends, ignorenulls=True).over(by_line().rowsBetween(0, Window.unboundedFollowing))
-    h = h.withColumn("target", target).where(F.col("joins") | ~F.col("empty"))
+    dropped = F.col("empty") & (F.lead("level").over(w) == F.col("level")) & ~F.col("joins")
+    h = h.withColumn("target", target).withColumn("__d", F.coalesce(dropped, F.lit(False))).where(~F.col("__d"))
     return h.groupBy("doc_slug", "target").agg(F.min("n").alias("start_line"), F.transform(F.sort_array(F.collect_list(F.struct("n", "title"))), lambda x: x["title"]).alias("titles"))
 
 
-def is_split_heading(level: Column, title: Column, enclosing: Column) -> Column:
-    """Whether a heading starts a section of its own inside an API entry: not if it names prose or a parameter of the entry."""
-    parameters = F.regexp_extract_all(F.regexp_extract(enclosing, r"\(([^)]*)\)", 1), F.lit(r"\w+"), F.lit(0))
-    bare = F.lower(F.regexp_replace(title, "[`*]", ""))
-    prose = bare.rlike("^(example|examples|notes?|usage|parameters?|returns?|see also|caveats?)\\b")
-    return (level <= 3) | ~(prose | F.array_contains(F.transform(parameters, F.lower), bare))
+# How headings of an API are written.
+CALLABLE = r"^(?:`(?:Static method:\s*)?(new\s+[\w.$]+|[\w.$]+)\s*\(|(?:Static method:\s*`?)?(new\s+[\w.$]+)\s*\(|Static method:\s*`?([\w.$]+)\s*\()"
+IN_CODE = r"^`[^`]+`(?:\s*,\s*`[^`]+`)*(?:\s+and\s+`[^`]+`)?$"
+INDEPENDENT = r"^(Class:|Class |Event:|Static method:|DEP0|ERR_|`ERR_|`-)"
+
+
+def callable_name(title: Column) -> Column:
+    """The callable that a heading names, or null."""
+    parts = [F.nullif(F.regexp_extract(F.trim(title), CALLABLE, k), F.lit("")) for k in (1, 2, 3)]
+    return F.regexp_replace(F.trim(F.coalesce(*parts)), r"\s+", " ")
+
+
+def is_entry(title: Column) -> Column:
+    """Whether a heading is a concrete API entry: an event, a callable, or a name in code that is no `.constants`; classes are none."""
+    t = F.trim(title)
+    code = t.rlike(IN_CODE) & ~F.regexp_replace(t, "^`+|`+$", "").endswith(".constants")
+    return ~(t.rlike("^Class[: ]") | F.contains(t, F.lit(" extends `"))) & (t.rlike("^(Event:|Static method:)") | callable_name(t).isNotNull() | code)
+
+
+def is_split_heading(title: Column, entry: Column) -> Column:
+    """Whether a heading under the API entry `entry` is a unit of its own: an API heading, but not one that names a parameter of the entry."""
+    t = F.trim(title)
+    parameters = F.regexp_extract_all(F.regexp_extract(entry, r"\((.*)\)", 1), F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0))
+    root = F.regexp_extract(F.regexp_replace(t, "^`+|`+$", ""), r"^[^.\[]*", 0)
+    return t.rlike(INDEPENDENT) | callable_name(t).isNotNull() | (t.rlike(IN_CODE) & ~F.array_contains(parameters, F.trim(root)))
+
+
+def fold_subheads(heads: DataFrame) -> DataFrame:
+    """Headings (doc_slug, n, level, title) with folded: those that stay inside the API entry above them.
+
+    Under an entry all headings fold until the first unit of its own. Levels are settled from the outermost on, so that only entries
+    that stand themselves take headings in.
+    """
+    heads = heads.withColumn("folded", F.lit(False))
+    for k in range(1, 6):
+        standing = F.when(~F.col("folded") & (F.col("level") <= k), F.struct("n", "level", "title"))
+        above = F.last(standing, ignorenulls=True).over(by_line().rowsBetween(Window.unboundedPreceding, -1))
+        df = heads.withColumn("__a", F.when(F.col("level") > k, above))
+        under = (F.col("__a")["level"] == k) & is_entry(F.col("__a")["title"]) & ~F.col("folded")
+        df = df.withColumn("__e", F.when(F.coalesce(under, F.lit(False)), F.col("__a")["n"]))
+        unit = is_split_heading(F.col("title"), F.col("__a")["title"]).cast("int")
+        seen = F.max(unit).over(Window.partitionBy("doc_slug", "__e").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+        heads = df.withColumn("folded", F.col("folded") | (F.col("__e").isNotNull() & (seen == 0))).drop("__a", "__e")
+    return heads
 
 
 def merge_pairs(heads: DataFrame) -> DataFrame:
@@ -286,14 +417,16 @@ def flags(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("has_code", F.contains("verbatim_text", F.lit("```"))).withColumn("has_table", F.contains("verbatim_text", F.lit("|")))
 
 
-def profile_stats(chunks: DataFrame, by: str) -> DataFrame:
-    """By domain: chunks, shares with code and tables, text lengths and depth of paths."""
+def profile_stats(chunks: DataFrame, by: str, lines: DataFrame | None = None) -> DataFrame:
+    """By domain: documents, chunks, shares with code and tables, text lengths, depth of paths and, with lines (by, lines), lines of the source by chunk."""
     n, size = F.count("*"), F.length("verbatim_text")
     depth = F.size(F.split("path", r"\."))
-    return flags(chunks).groupBy(by).agg(
+    out = flags(chunks).groupBy(by).agg(
         n.alias("chunks"), F.countDistinct("doc_slug").alias("documents"), F.round(F.avg(F.col("has_code").cast("double")) * 100, 4).alias("code_pct"), F.round(F.avg(F.col("has_table").cast("double")) * 100, 4).alias("table_pct"),
-        F.min(size).cast("long").alias("min_len"), F.round(F.median(size), 4).alias("median_len"), F.round(F.avg(size), 4).alias("mean_len"), F.max(size).cast("long").alias("max_len"), F.max(depth).cast("long").alias("max_level"),
+        F.min(size).cast("long").alias("min_len"), F.round(F.median(size), 4).alias("median_len"), F.round(F.avg(size), 4).alias("mean_len"), F.round(F.percentile(size, 0.95), 4).alias("p95_len"), F.max(size).cast("long").alias("max_len"),
+        F.min(depth).cast("long").alias("min_level"), F.round(F.median(depth), 4).alias("median_level"), F.round(F.avg(depth), 4).alias("mean_level"), F.max(depth).cast("long").alias("max_level"),
     )
+    return out if lines is None else out.join(lines, by).withColumn("lines_per_chunk", F.round(F.col("lines") / F.col("chunks"), 4))
 
 
 def chunk_markdown(docs: DataFrame, text: str = "raw_text") -> DataFrame:
@@ -303,10 +436,165 @@ def chunk_markdown(docs: DataFrame, text: str = "raw_text") -> DataFrame:
     return emit(tree, section_paths(tree))
 
 
+def bind_title(lines: DataFrame, after_text: bool) -> DataFrame:
+    """lines (with level and title) where a document's first heading, if it is of level 1, names the document: it is blanked, and root_title added.
+
+    after_text: also if text stands before it.
+    """
+    whole = Window.partitionBy("doc_slug")
+    first = F.min(F.when(F.col("level").isNotNull(), F.col("n"))).over(whole)
+    text = F.min(F.when(F.col("level").isNull() & (F.trim("line") != ""), F.col("n"))).over(whole)
+    bound = (F.col("level") == 1) & (F.col("n") == first) & (F.lit(after_text) | text.isNull() | (text > first))
+    named = F.min(F.when(F.col("level") <= 2, F.struct("n", "title"))).over(whole)
+    df = lines.withColumn("__b", F.coalesce(bound, F.lit(False)))
+    df = df.withColumn("root_title", F.coalesce(F.max(F.when(F.col("__b"), F.col("title"))).over(whole), named["title"])).withColumn("root_line", F.max(F.when(F.col("__b"), F.col("n"))).over(whole))
+    gone = F.col("__b")
+    return df.withColumn("line", F.when(gone, "").otherwise(F.col("line"))).withColumn("level", F.when(~gone, F.col("level"))).withColumn("title", F.when(~gone, F.col("title"))).drop("__b")
+
+
+def block_text(lines: DataFrame) -> DataFrame:
+    """(doc_slug, section, scope, text, first_line, last_line): the body of each section as blocks with one blank line between.
+
+    A block ends at a blank line outside code, and at either end of a code block or heading line.
+    """
+    body = lines.where(F.col("level").isNull() & (F.col("in_code") | (F.trim("line") != ""))).withColumn("section", F.coalesce("section", F.lit(0)))
+    scope = F.col("section_scope") if "section_scope" in lines.columns else F.lit(None).cast("string")
+    w = Window.partitionBy("doc_slug", "section").orderBy("n")
+    head = F.col("line").rlike(r"^#{1,6} ") & ~F.col("in_code")
+    joins = (F.lag("n").over(w) == F.col("n") - 1) & F.lag("block").over(w).eqNullSafe(F.col("block")) & ~head & ~F.lag(head).over(w)
+    part = body.withColumn("__p", F.concat(F.when(F.coalesce(joins, F.lit(False)), "\n").otherwise("\n\n"), F.rtrim("line")))
+    by = part.groupBy("doc_slug", "section").agg(F.sort_array(F.collect_list(F.struct("n", "__p"))).alias("l"), F.min("n").alias("first_line"), F.max("n").alias("last_line"), F.max(scope).alias("scope"))
+    return by.select("doc_slug", "section", "scope", F.trim(F.regexp_replace(F.array_join(F.transform("l", lambda x: x["__p"]), ""), r"^\s+", "")).alias("text"), "first_line", "last_line")
+
+
+def profile_paths(tree: DataFrame, scope: str | None = None) -> DataFrame:
+    """(doc_slug, section, level, path, titles, scopes) of the headings of a tree, labels unique among siblings."""
+    heads = disambiguate(tree.where("level is not null").withColumn("label", label_of(F.col("title"))), scope=scope)
+    value = F.struct("label", "title", (F.col(scope) if scope else F.lit(None).cast("string")).alias("scope"))
+    df = live(heads, value, "__open")
+    of = lambda name: F.transform("__open", lambda x: x["v"][name])
+    return df.select("doc_slug", F.col("n").alias("section"), "level", "title", "parent", F.concat_ws(".", F.col("doc_slug"), F.array_join(of("label"), ".")).alias("path"), of("title").alias("titles"), of("scope").alias("scopes"))
+
+
+def profile_chunks(tree: DataFrame, paths: DataFrame, roots: DataFrame, framework: str) -> DataFrame:
+    """Chunks of a profile: the text of each section with blocks, under its heading. roots: (doc_slug, root_title, root_line, crumbs).
+
+    paths has, beside profile_paths, heading, the heading lines of a chunk, crumbs and from_line. The document's own text is `overview` (`intro` if a
+    heading has that path) if it has sections, else it lies at the slug itself.
+    """
+    body = block_text(tree).join(paths.select("doc_slug", "section", "path", "heading", "crumbs", "from_line"), ["doc_slug", "section"], "left").join(roots, "doc_slug", "left")
+    some = paths.groupBy("doc_slug").agg(F.max(F.when(F.col("path") == F.concat("doc_slug", F.lit(".overview")), True)).alias("__taken"), F.lit(True).alias("__some"))
+    body = body.join(some, "doc_slug", "left")
+    root = F.col("section") == 0
+    below = F.when(F.col("__some"), F.when(F.col("__taken"), ".intro").otherwise(".overview")).otherwise("")
+    path = F.when(root, F.concat("doc_slug", below)).otherwise(F.col("path"))
+    crumbs = F.when(root, F.when(F.col("__some") & F.lit(framework == "nextjs"), F.concat("root_crumbs", F.array(F.lit("Overview")))).otherwise(F.col("root_crumbs"))).otherwise(F.concat("root_crumbs", "crumbs"))
+    mark = "#" if framework == "nextjs" else "##"
+    head = F.when(root, F.concat(F.lit(f"{mark} "), "root_title")).otherwise(F.col("heading"))
+    text = F.when(F.col("text").startswith("#"), F.col("text")).otherwise(F.concat(head, F.lit("\n\n"), "text"))
+    start = F.when(root, F.coalesce("root_line", F.lit(1) if framework == "nodejs" else F.col("first_line"))).otherwise(F.col("from_line"))
+    out = body.select("doc_slug", "scope", path.alias("path"), text.alias("verbatim_text"), crumbs.alias("ancestor_titles"), start.cast("long").alias("start_line"), F.greatest("last_line", start).cast("long").alias("end_line"),
+                      F.when(root & F.col("__some") & F.lit(framework == "nextjs"), "OVERVIEW").otherwise("SECTION").alias("node_type"))
+    out = settle_paths(out)
+    return flags(out.withColumn("contextualized_text", F.concat(F.lit("["), breadcrumbs(F.col("ancestor_titles")), F.lit("]\n"), "verbatim_text")).withColumn("framework", F.lit(framework)))
+
+
+SCOPES = {"AppOnly": "app", "PagesOnly": "pages"}
+SCOPE_NAMES = {"app": "App Router", "pages": "Pages Router"}
+
+
+def chunk_mdx(docs: DataFrame, text: str = "raw_text") -> DataFrame:
+    """The nextjs profile: front matter, scopes, components as Markdown, a title that binds the document, pairs of headings that merge."""
+    lines, meta = front_matter(lines_of(docs, text))
+    lines = track_scope(blank_comments(mark_code(lines), ("mdx",)), SCOPES)
+    lines = lines.withColumn("line", F.when(~F.col("in_code") & F.trim("line").isin(*[f"<{s}{t}>" for s in ("", "/") for t in SCOPES]), "").otherwise(F.col("line")))
+    lines = join_tags(lines).withColumn("line", F.when(F.col("in_code"), F.col("line")).otherwise(normalise_markup(card_list(F.col("line")))))
+    tree = section_tree(bind_title(headings(lines), after_text=False))
+    roots = tree.select("doc_slug", "root_title", "root_line").distinct().join(meta.select("doc_slug", F.col("title").alias("given")), "doc_slug", "left")
+    title = F.coalesce(F.when(F.col("root_line").isNotNull(), F.col("root_title")), F.nullif("given", F.lit("")), "root_title", F.lit("Documentation"))
+    roots = roots.select("doc_slug", title.alias("root_title"), "root_line", F.array(title).alias("root_crumbs"))
+    heads = merge_pairs(tree.where("level is not null").select("doc_slug", "n", "level", "title", "parent", "scope"))
+    pair = heads.where("merged_into is not null").select("doc_slug", F.col("merged_into").alias("n"), F.col("n").alias("kid"), F.col("title").alias("kid_title"))
+    up = heads.where("label_title is not null").select("doc_slug", F.col("n").alias("merged_into"), F.col("parent").alias("new_parent"), F.col("title").alias("up_title"))
+    merged = heads.join(pair.select("doc_slug", "n", "kid"), ["doc_slug", "n"], "left").where("kid is null").drop("kid").join(up, ["doc_slug", "merged_into"], "left")
+    merged = merged.withColumn("parent", F.coalesce("new_parent", "parent")).withColumn("level", F.when(F.col("merged_into").isNotNull(), 4).otherwise(F.col("level")))
+    paths = profile_paths(merged.select("doc_slug", "n", "level", "title", "parent", "scope"), "scope").join(merged.select("doc_slug", F.col("n").alias("section"), "merged_into", "up_title"), ["doc_slug", "section"])
+    before = F.transform("scopes", lambda s, i: F.when(s.isNotNull() & ~s.eqNullSafe(F.get(F.col("scopes"), i - 1)), s))
+    shown = F.create_map(*[F.lit(x) for kv in SCOPE_NAMES.items() for x in kv])
+    named = F.zip_with("titles", before, lambda t, s: F.when(s.isNull(), t).otherwise(F.concat(t, F.lit(" ("), shown[s], F.lit(")"))))
+    paired = F.concat(F.slice(named, 1, F.size("titles") - 1), F.array(F.concat("up_title", F.lit(" ("), F.element_at("titles", -1), F.lit(")"))))
+    paths = paths.withColumn("crumbs", F.when(F.col("up_title").isNotNull(), paired).otherwise(named)).withColumn("from_line", F.coalesce("merged_into", "section"))
+    own = F.concat(F.repeat(F.lit("#"), F.when(F.col("up_title").isNotNull(), 5).otherwise(F.col("level"))), F.lit(" "), F.element_at("titles", -1))
+    paths = paths.withColumn("heading", F.when(F.col("up_title").isNotNull(), F.concat(F.lit("#### "), "up_title", F.lit("\n\n"), own)).otherwise(own))
+    # text between the two headings of a pair goes to the pair
+    to = pair.select("doc_slug", F.col("n").alias("section"), "kid")
+    body = tree.join(to, ["doc_slug", "section"], "left").withColumn("section", F.coalesce("kid", "section")).drop("kid")
+    marked = insert_scope_markers(body.withColumn("section", F.coalesce("section", F.lit(0))), SCOPE_NAMES)
+    return profile_chunks(marked, paths, roots, "nextjs").join(meta.select("doc_slug", "metadata", "related_links"), "doc_slug", "left")
+
+
+STABILITY = r"^>\s*Stability:\s*([0-9]+(?:\.[0-9]+)?)"
+
+
+def chunk_api(docs: DataFrame, text: str = "raw_text") -> DataFrame:
+    """The nodejs profile: version comments as badges, overloads merged, sub-heads of entries folded in, sections without prose left out, stability inherited."""
+    lines = mark_code(lines_of(docs, text))
+    lines = blank_comments(version_comments(lines), ("html",))
+    tree = bind_title(headings(lines), after_text=True)
+    body = F.col("level").isNull() & (F.trim("line") != "")
+    heads = tree.where("level is not null")
+    inside = section_tree(tree).where(body & F.col("section").isNotNull()).groupBy("doc_slug", F.col("section").alias("n")).agg(F.lit(False).alias("empty"))
+    heads = heads.select("doc_slug", "n", "level", "title").join(inside, ["doc_slug", "n"], "left").withColumn("empty", F.coalesce("empty", F.lit(True)))
+    runs = fold_overloads(heads).select("doc_slug", F.col("target").alias("n"), "start_line", "titles")
+    folded = fold_subheads(heads.join(runs, ["doc_slug", "n"]).drop("empty"))
+    role = folded.select("doc_slug", "n", F.col("folded").alias("__fold"), "start_line", "titles")
+    marked = tree.join(role, ["doc_slug", "n"], "left").withColumn("__gone", F.col("level").isNotNull() & F.col("__fold").isNull())
+    sub = F.coalesce(F.col("__fold"), F.lit(False))
+    marked = marked.withColumn("line", F.when(F.col("__gone"), "").otherwise(F.col("line"))).withColumn("level", F.when(~(sub | F.col("__gone")), F.col("level"))).withColumn("title", F.when(F.col("level").isNotNull(), F.col("title")))
+    placed = section_tree(marked)
+    stable = F.regexp_extract("line", STABILITY, 1)
+    own = placed.where("level is null and not in_code").groupBy("doc_slug", F.coalesce("section", F.lit(0)).alias("section")).agg(F.min_by(F.nullif(stable, F.lit("")), F.when(stable != "", F.col("n"))).alias("own"))
+    paths = profile_paths(placed).join(own, ["doc_slug", "section"], "left").join(role.select("doc_slug", F.col("n").alias("section"), "start_line", F.col("titles").alias("names")), ["doc_slug", "section"])
+    crumbs = F.aggregate("titles", F.array().cast("array<string>"), lambda acc, t: F.when((F.size(acc) > 0) & (F.lower(F.element_at(acc, -1)) == F.lower(t)), acc).otherwise(F.array_append(acc, t)))
+    shown = F.array_join(F.transform("names", lambda t: F.concat(F.lit("## "), t)), "\n")
+    paths = paths.withColumn("crumbs", crumbs).withColumn("heading", shown).withColumn("from_line", F.col("start_line"))
+    roots = placed.select("doc_slug", "root_title", "root_line").distinct()
+    title = F.coalesce("root_title", F.lit("Node.js Documentation"))
+    roots = roots.select("doc_slug", title.alias("root_title"), "root_line", F.when(F.lower(title) == "node.js", F.array(F.lit("Node.js"))).otherwise(F.array(F.lit("Node.js"), title)).alias("root_crumbs"))
+    kept = prose_sections(placed)
+    useful = paths.join(kept, ["doc_slug", "section"], "left_semi").select("doc_slug", F.explode(ancestors(F.col("path"), with_self=True)).alias("path")).distinct()
+    live_paths = paths.join(useful, ["doc_slug", "path"], "left_semi")
+    chunks = profile_chunks(placed.withColumn("section", F.coalesce("section", F.lit(0))).join(kept, ["doc_slug", "section"], "left_semi"), live_paths, roots, "nodejs")
+    stated = paths.where("own is not null").select("doc_slug", F.col("path").alias("up"), "own").unionByName(own.where("section = 0 and own is not null").select("doc_slug", F.col("doc_slug").alias("up"), "own"))
+    above = chunks.select("doc_slug", "path", F.explode(ancestors(F.col("path"), with_self=True)).alias("up")).join(stated, ["doc_slug", "up"]).groupBy("path").agg(F.max_by("own", F.length("up")).alias("stability"))
+    return chunks.join(above, "path", "left")
+
+
+def version_comments(lines: DataFrame) -> DataFrame:
+    """lines where a YAML comment (`<!-- YAML` to `-->`) outside code is its version badge on the first line, and blank lines."""
+    live = ~F.col("in_code")
+    opens, closes = live & F.col("line").rlike(r"^\s*<!--\s*YAML\s*$"), live & F.col("line").rlike("-->")
+    inside = F.coalesce(F.last(F.when(opens, True).when(closes, False), ignorenulls=True).over(by_line().rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    df = lines.withColumn("__in", inside | opens).withColumn("__g", F.sum(opens.cast("int")).over(until_here()))
+    comment = F.collect_list(F.when(F.col("__in"), F.col("line"))).over(Window.partitionBy("doc_slug", "__g").orderBy("n").rowsBetween(0, Window.unboundedFollowing))
+    badge = F.coalesce(version_badge(F.array_join(comment, "\n")), F.lit(""))
+    return df.withColumn("__b", F.when(opens, badge)).withColumn("line", F.when(opens, F.col("__b")).when(F.col("__in"), "").otherwise(F.col("line"))).drop("__in", "__g", "__b")
+
+
+def prose_sections(lines: DataFrame) -> DataFrame:
+    """(doc_slug, section): sections with a line that is no heading, badge, stability note or bare list of base classes. Lines: with section and in_code."""
+    df = lines.where(F.col("level").isNull()).withColumn("section", F.coalesce("section", F.lit(0)))
+    quote = ~F.col("in_code") & F.col("line").startswith(">")
+    note = F.last(F.when(F.col("line").rlike(r"^\s*> Stability:"), True).when(~quote, False), ignorenulls=True).over(until_here())
+    plain = F.trim("line") != ""
+    meta = F.trim("line").rlike(r"^(#|\*Added in:|\*Deprecated in:|\* Extends:)")
+    return df.withColumn("__n", F.coalesce(note, F.lit(False))).where(plain & ~meta & ~(F.col("__n") & quote)).select("doc_slug", "section").distinct()
+
+
 def chunk_statutes(docs: DataFrame, text: str = "raw_text") -> DataFrame:
     """The statute profile: chapters, sections, subsections and articles by their numbers."""
     lines, _ = front_matter(lines_of(docs, text))
-    h = headings(normalise_statutes(lines))
+    h = headings(normalise_statutes(mark_code(lines)))
     kind = classify_statute(F.col("level"), F.col("title"))
     h = h.withColumn("__k", F.when(F.col("level").isNotNull() & (F.col("level") > 1), kind)).withColumn("level", F.col("__k")["level"])
     tree = section_tree(h)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treelark.functions import paths as p
@@ -80,43 +80,57 @@ def chk_flags(m: Model) -> DataFrame:
     return ch.flags(emitted(m)).select("path", "has_code", "has_table")
 
 
-@query("chk_profile_stats", f"WITH {C} SELECT source, count(*) AS chunks, count(DISTINCT doc_slug) AS documents, round(avg(contains(verbatim_text, '```')::INT) * 100, 4) AS code_pct, round(avg(contains(verbatim_text, '|')::INT) * 100, 4) AS table_pct, min(length(verbatim_text)) AS min_len, round(median(length(verbatim_text)), 4) AS median_len, round(avg(length(verbatim_text)), 4) AS mean_len, max(length(verbatim_text)) AS max_len, 3 AS max_level FROM c GROUP BY source")
+@query("chk_profile_stats", f"""WITH {C}, ln AS (SELECT source, CAST(sum(len(string_split(raw_text, chr(10)))) AS BIGINT) AS lines FROM d GROUP BY source), lv AS (SELECT *, len(string_split(path, '.')) AS level FROM c)
+ SELECT source, count(*) AS chunks, count(DISTINCT doc_slug) AS documents, round(avg(contains(verbatim_text, '```')::INT) * 100, 4) AS code_pct, round(avg(contains(verbatim_text, '|')::INT) * 100, 4) AS table_pct, min(length(verbatim_text)) AS min_len,
+ round(median(length(verbatim_text)), 4) AS median_len, round(avg(length(verbatim_text)), 4) AS mean_len, round(quantile_cont(length(verbatim_text), 0.95), 4) AS p95_len, max(length(verbatim_text)) AS max_len, min(level) AS min_level, round(median(level), 4) AS median_level, round(avg(level), 4) AS mean_level, max(level) AS max_level,
+ any_value(lines) AS lines, round(any_value(lines) / count(*)::DOUBLE, 4) AS lines_per_chunk FROM lv JOIN ln USING (source) GROUP BY source""")
 def chk_profile_stats(m: Model) -> DataFrame:
-    return ch.profile_stats(m.chunks, "source")
+    lines = m.docs.where("raw_text is not null").groupBy("source").agg(F.sum(F.size(F.split("raw_text", "\n"))).alias("lines"))
+    return ch.profile_stats(m.chunks, "source", lines)
 
 
-def fenced(m: Model) -> DataFrame:
-    """Lines with a fence on every eleventh."""
-    return ch.lines_of(m.docs).withColumn("line", F.when(F.col("n") % 11 == 3, "```js").otherwise(F.col("line")))
+def fenced(m: Model, fences: dict[int, str]) -> DataFrame:
+    """Lines with fences at some places of every eleven."""
+    line = F.col("line")
+    for k, fence in fences.items():
+        line = F.when(F.col("n") % 11 == k, fence).otherwise(line)
+    return ch.lines_of(m.docs).withColumn("line", line)
 
 
-@query("chk_code_fence", f"WITH {D}, l AS (SELECT doc_slug, unnest(range(1, len(string_split(raw_text, chr(10))) + 1)) AS n FROM d) SELECT doc_slug, n, n % 11 = 3 OR sum((n % 11 = 3)::INT) OVER (PARTITION BY doc_slug ORDER BY n) % 2 = 1 AS in_code FROM l")
+NUMBERED = "l AS (SELECT doc_slug, unnest(range(1, len(string_split(raw_text, chr(10))) + 1)) AS n FROM d)"
+
+
+@query("chk_code_fence", f"WITH {D}, {NUMBERED} SELECT doc_slug, n, n % 11 BETWEEN 3 AND 8 AS in_code FROM l")
 def chk_code_fence(m: Model) -> DataFrame:
-    return ch.mark_code(fenced(m)).select("doc_slug", "n", "in_code")
+    return ch.mark_code(fenced(m, {3: "```js", 8: "```"})).select("doc_slug", "n", "in_code")
 
 
-@query("chk_code_fence_exact", None)
+@query("chk_code_fence_exact", f"WITH {D}, {NUMBERED} SELECT doc_slug, n, n % 11 IN (3, 4, 5, 6, 7, 9, 10, 0) AS in_code FROM l WHERE n > 2")
 def chk_code_fence_exact(m: Model) -> DataFrame:
-    return ch.mark_code_exact(fenced(m)).select("doc_slug", "n", "in_code")
+    """Fences of other kinds and shorter ones inside blocks, and a longer one that closes."""
+    fences = {3: "```js", 4: "```js", 5: "~~~", 7: "```", 9: "````", 10: "```", 0: "`````"}
+    return ch.mark_code(fenced(m, fences).where("n > 2")).select("doc_slug", "n", "in_code")
 
 
 def with_front_matter(m: Model) -> DataFrame:
     """Documents of even ids get a front matter block."""
-    head = F.concat(F.lit("---\ntitle: \"T"), F.col("doc_id").cast("string"), F.lit("\"\nlang: "), "lang", F.lit("\nlinks:\n  - a\ntitle: again\n---\n"), "raw_text")
+    block = "\"\nlang: x\nlang: {0}\nrelated:\n  title: Next\n  links:\n    - a/{0}\n    - 'b'\ntitle: again\n---\n"
+    tail = F.format_string(block.replace("{0}", "%1$s"), "lang")
+    head = F.concat(F.lit("---\ntitle: \"T"), F.col("doc_id").cast("string"), tail, F.col("raw_text"))
     return m.docs.withColumn("raw_text", F.when(F.col("doc_id") % 2 == 0, head).otherwise(F.col("raw_text")))
 
 
-@query("chk_frontmatter", f"WITH {D} SELECT doc_slug, 'T' || doc_id AS title, lang FROM d WHERE doc_id % 2 = 0")
+@query("chk_frontmatter", f"WITH {D} SELECT doc_slug, 'T' || doc_id AS title, 'again' AS last_title, lang, 'a/' || lang || ',b' AS links FROM d WHERE doc_id % 2 = 0 AND raw_text IS NOT NULL")
 def chk_frontmatter(m: Model) -> DataFrame:
     _, meta = ch.front_matter(ch.lines_of(with_front_matter(m)))
-    return meta.select("doc_slug", F.col("metadata")["title"].alias("title"), F.col("metadata")["lang"].alias("lang"))
+    return meta.select("doc_slug", "title", F.col("metadata")["title"].alias("last_title"), F.col("metadata")["lang"].alias("lang"), F.array_join("related_links", ",").alias("links"))
 
 
-@query("chk_blank_comments", f"WITH {D}, l AS (SELECT doc_slug, unnest(string_split(raw_text, chr(10))) AS t, generate_subscripts(string_split(raw_text, chr(10)), 1) AS n FROM d) SELECT doc_slug, n, CASE n % 6 WHEN 2 THEN 'before ' WHEN 3 THEN '' WHEN 4 THEN ' after' ELSE t END AS line FROM l")
+@query("chk_blank_comments", f"WITH {D}, l AS (SELECT doc_slug, unnest(string_split(raw_text, chr(10))) AS t, generate_subscripts(string_split(raw_text, chr(10)), 1) AS n FROM d) SELECT doc_slug, n, CASE n % 6 WHEN 1 THEN 'a --> ' || t WHEN 2 THEN 'before ' WHEN 3 THEN '' WHEN 4 THEN ' after' ELSE t END AS line FROM l")
 def chk_blank_comments(m: Model) -> DataFrame:
-    """On every six lines a comment of three."""
+    """On every six lines a comment of three, with a stray closing mark before it."""
     n, line = F.col("n"), F.col("line")
-    wrapped = F.when(n % 6 == 2, "before <!-- open").when(n % 6 == 3, "inside").when(n % 6 == 4, "close --> after").when(n % 6 == 5, F.concat(line, F.lit('<a id="x"></a>'))).otherwise(line)
+    wrapped = F.when(n % 6 == 1, F.concat(F.lit("a --> "), line)).when(n % 6 == 2, "before <!-- open").when(n % 6 == 3, "inside */}").when(n % 6 == 4, "close --> after").when(n % 6 == 5, F.concat(line, F.lit('<a id="x"></a>'))).otherwise(F.concat(line, F.lit("{/* y */}")))
     return ch.blank_comments(ch.lines_of(m.docs).withColumn("line", wrapped).withColumn("in_code", F.lit(False))).select("doc_slug", "n", "line")
 
 
@@ -134,53 +148,56 @@ def chk_scope_track(m: Model) -> DataFrame:
     return scoped_lines(m).select("doc_slug", "n", "scope")
 
 
-@query("chk_scope_markers", None)
+@query("chk_scope_markers", f"WITH {D}, {NUMBERED}, t AS (SELECT *, max(n) OVER (PARTITION BY doc_slug) AS top FROM l) SELECT doc_slug, n, top >= 5 AND n % 8 IN (1, 4) AS marked, CASE WHEN top < 4 THEN 'app' END AS section_scope FROM t")
 def chk_scope_markers(m: Model) -> DataFrame:
-    marked = ch.insert_scope_markers(scoped_lines(m).withColumn("section", F.lit(1)), {"app": "App Router", "pages": "Pages Router"})
-    return marked.select("doc_slug", "n", F.contains("line", F.lit("Router]**")).alias("marked"), "section_scope")
+    lines = scoped_lines(m).withColumn("line", F.concat("line", F.lit("x"))).withColumn("section", F.lit(1))
+    marked = ch.insert_scope_markers(lines, {"app": "App Router", "pages": "Pages Router"})
+    mixed = F.max("n").over(Window.partitionBy("doc_slug")) >= 5
+    return marked.select("doc_slug", "n", (F.contains("line", F.lit("Router]**")) & mixed).alias("marked"), "section_scope")
 
 
-@query("chk_markup_normalise", f"WITH {C} SELECT path, trim(regexp_replace('**' || doc_id || '** ✓ x', ' {{2,}}', ' ', 'g')) AS line FROM c")
+@query("chk_markup_normalise", f"WITH {C} SELECT path, '**' || w || '** ✓ ![' || w || '](i>.png) x' AS line FROM (SELECT path, 'W' || trim(regexp_replace(regexp_replace(verbatim_text, '[^A-Za-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS w FROM c)")
 def chk_markup_normalise(m: Model) -> DataFrame:
-    raw = F.concat(F.lit("<summary> "), F.col("doc_id").cast("string"), F.lit(" </summary> <Check size={1} /> <b>x</b>"))
+    """The words of every line inside component tags, one of them with `>` in an attribute."""
+    w = F.concat(F.lit("W"), F.trim(F.regexp_replace(F.regexp_replace("verbatim_text", "[^A-Za-z0-9 ]", ""), " +", " ")))
+    raw = F.concat(F.lit("<summary> "), w, F.lit(' </summary> <Check size={1} /> <Image alt="'), w, F.lit('" src="i>.png" /> <b title="a > b">x</b>'))
     return m.chunks.select("path", ch.normalise_markup(raw).alias("line"))
 
 
-@query("chk_comment_meta", f"WITH {D} SELECT doc_slug, '*Added in: v' || doc_id % 20 || '.0.0, v' || doc_id % 7 || '.1.0' || CASE WHEN doc_id % 2 = 0 THEN ' — Deprecated in: v4.0.0' ELSE '' END || '*' AS badge, 'v' || doc_id AS introduced FROM d")
+@query("chk_comment_meta", f"WITH {D} SELECT doc_slug, '*Added in: v' || coalesce(length(raw_text), 0) % 20 || '.0.0, v' || doc_id % 7 || '.1.0' || CASE WHEN doc_id % 2 = 0 THEN ' — Deprecated in: v4.0.0' ELSE '' END || '*' AS badge, 'v' || doc_id AS introduced FROM d")
 def chk_comment_meta(m: Model) -> DataFrame:
     k = F.col("doc_id")
-    yaml = F.concat(F.lit("<!-- YAML\nadded:\n  - v"), (k % 20).cast("string"), F.lit(".0.0\n  - v"), (k % 7).cast("string"), F.lit(".1.0\n"), F.when(k % 2 == 0, "deprecated: v4.0.0\n").otherwise(""), F.lit("-->"))
+    yaml = F.concat(F.lit("<!-- YAML\nadded:\n  - v"), (F.coalesce(F.char_length("raw_text"), F.lit(0)) % 20).cast("string"), F.lit(".0.0\n  - v"), (k % 7).cast("string"), F.lit(".1.0\n"), F.when(k % 2 == 0, "deprecated: v4.0.0\n").otherwise(""), F.lit("-->"))
     return m.docs.select("doc_slug", ch.version_badge(yaml).alias("badge"), ch.comment_value(F.concat(F.lit("<!-- introduced_in=v"), k.cast("string"), F.lit(" -->")), "introduced_in").alias("introduced"))
 
 
-@query("chk_legal_normalise", f"WITH {D}, l AS (SELECT doc_slug, unnest(string_split(raw_text, chr(10))) AS t, generate_subscripts(string_split(raw_text, chr(10)), 1) AS n, len(string_split(raw_text, chr(10))) AS top FROM d) SELECT doc_slug, n, CASE n % 9 WHEN 2 THEN '### Tiểu mục ' || n || CASE WHEN n + 2 <= top THEN ': QUY' ELSE '' END WHEN 3 THEN '' WHEN 4 THEN '' ELSE t END AS line FROM l WHERE n % 9 IN (2, 3, 4)")
+@query("chk_legal_normalise", f"WITH {D}, l AS (SELECT doc_slug, unnest(string_split(raw_text, chr(10))) AS t, generate_subscripts(string_split(raw_text, chr(10)), 1) AS n, len(string_split(raw_text, chr(10))) AS top FROM d) SELECT doc_slug, n, CASE n % 9 WHEN 2 THEN '### Tiểu mục ' || n || CASE WHEN n + 2 <= top THEN ': QUY' ELSE '' END WHEN 3 THEN '' WHEN 4 THEN '' ELSE trim(t) END AS line FROM l")
 def chk_legal_normalise(m: Model) -> DataFrame:
     n = F.col("n")
     line = F.when(n % 9 == 2, F.concat(F.lit("Tiểu mục "), n.cast("string"))).when(n % 9 == 3, " ").when(n % 9 == 4, "QUY").otherwise(F.col("line"))
-    out = ch.normalise_statutes(ch.lines_of(m.docs).withColumn("line", line))
-    return out.where("n % 9 in (2, 3, 4)").select("doc_slug", "n", F.trim("line").alias("line"))
+    return ch.normalise_statutes(ch.lines_of(m.docs).withColumn("line", line)).select("doc_slug", "n", F.trim("line").alias("line"))
 
 
-@query("chk_legal_classify", f"WITH {D} SELECT doc_id, 1 + doc_id % 4 AS level, ['chuong_', 'muc_', 'tieu_muc_', 'dieu_'][doc_id % 4 + 1] || doc_id AS label, ['CHAPTER', 'SECTION', 'SUBSECTION', 'ARTICLE'][doc_id % 4 + 1] AS kind FROM d")
+@query("chk_legal_classify", f"WITH {D}, k AS (SELECT doc_id, lower(regexp_replace(strip_accents(regexp_extract(title, '[A-Za-z]+')), '[^A-Za-z]', '', 'g')) AS word, doc_id % 5 AS k FROM d) SELECT doc_id, CASE WHEN k = 4 THEN 5 ELSE 1 + k END AS level, CASE WHEN k = 4 THEN 'part_' || doc_id || CASE WHEN word <> '' THEN '_' || word ELSE '' END ELSE ['chuong_', 'muc_', 'tieu_muc_', 'dieu_'][k + 1] || doc_id END AS label, ['CHAPTER', 'SECTION', 'SUBSECTION', 'ARTICLE', 'SECTION'][k + 1] AS kind FROM k")
 def chk_legal_classify(m: Model) -> DataFrame:
-    word = F.element_at(F.array(F.lit("Chương "), F.lit("Mục "), F.lit("Tiểu mục "), F.lit("Điều ")), (F.col("doc_id") % 4 + 1).cast("int"))
-    k = ch.classify_statute(F.lit(5), F.concat(word, F.col("doc_id").cast("string"), F.lit(". Title")))
+    """Headings made of a statute word, the document's id and the first word of its title."""
+    word = F.element_at(F.array(F.lit("Chương "), F.lit("Mục "), F.lit("Tiểu mục "), F.lit("Điều "), F.lit("Part ")), (F.col("doc_id") % 5 + 1).cast("int"))
+    k = ch.classify_statute(F.lit(5), F.concat(word, F.col("doc_id").cast("string"), F.lit(". "), F.coalesce(F.regexp_extract("title", "[A-Za-z]+", 0), F.lit(""))))
     return m.docs.select("doc_id", k["level"].cast("long").alias("level"), k["label"].alias("label"), k["kind"].alias("kind"))
 
 
-def levels(m: Model) -> DataFrame:
-    return m.tree.where(p.nlevel(F.col("path")) <= 3)
+UP = "(SELECT path, unnest(range(1, level + 1)) AS k FROM v)"
 
 
-@query("chk_inherit", f"WITH {TREE}, v AS (SELECT path, level, CASE WHEN start_line % 3 = 0 THEN title END AS v FROM tree WHERE level <= 3), u AS (SELECT a.path, arg_max(b.v, b.level) AS i FROM v a JOIN v b ON b.v IS NOT NULL AND (a.path = b.path OR starts_with(a.path, b.path || '.')) GROUP BY a.path) SELECT v.path, u.i AS v_inherited FROM v LEFT JOIN u USING (path)")
+@query("chk_inherit", f"WITH {TREE}, v AS (SELECT path, level, CASE WHEN start_line % 3 = 0 THEN title END AS v FROM tree), u AS (SELECT a.path, arg_max(b.v, b.level) AS i FROM {UP} a JOIN v b ON b.path = array_to_string(string_split(a.path, '.')[1:k], '.') AND b.v IS NOT NULL GROUP BY a.path) SELECT v.path, u.i AS v_inherited FROM v LEFT JOIN u USING (path)")
 def chk_inherit(m: Model) -> DataFrame:
-    s = levels(m).select("path", F.when(F.col("start_line") % 3 == 0, F.col("title")).alias("v"))
+    s = m.tree.select("path", F.when(F.col("start_line") % 3 == 0, F.col("title")).alias("v"))
     return ch.inherit(s, "v").select("path", "v_inherited")
 
 
-@query("chk_prune_empty", f"WITH {TREE}, v AS (SELECT path, start_line % 97 = 0 AS has FROM tree WHERE level <= 3) SELECT DISTINCT a.path FROM v a JOIN v b ON b.has AND (a.path = b.path OR starts_with(b.path, a.path || '.'))")
+@query("chk_prune_empty", f"WITH {TREE}, v AS (SELECT path, level, start_line % 97 = 0 AS has FROM tree) SELECT path FROM v WHERE path IN (SELECT array_to_string(string_split(path, '.')[1:k], '.') FROM (SELECT path, unnest(range(1, level + 1)) AS k FROM v WHERE has))")
 def chk_prune_empty(m: Model) -> DataFrame:
-    return ch.prune_empty(levels(m).select("path", (F.col("start_line") % 97 == 0).alias("has_prose"))).select("path")
+    return ch.prune_empty(m.tree.select("path", (F.col("start_line") % 97 == 0).alias("has_prose"))).select("path")
 
 
 @query("chk_label_sanitise", f"WITH {D}, w AS (SELECT doc_id, trim(w || ' ' || doc_id) AS r, k FROM d, unnest(string_split(title, ' ')) WITH ORDINALITY AS u(w, k)) SELECT doc_id, k AS word, rtrim(substr(trim(lower(regexp_replace(strip_accents(replace(replace(r, 'đ', 'd'), 'Đ', 'D')), '[^A-Za-z0-9_]+', '_', 'g')), '_'), 1, 250), '_') AS label FROM w")
@@ -211,28 +228,63 @@ def chk_is_ancestor(m: Model) -> DataFrame:
 def calls(m: Model) -> DataFrame:
     """One heading a line: callables that change every third line; two of three are empty."""
     n = F.col("n")
-    return ch.lines_of(m.docs).select("doc_slug", "n", F.lit(3).alias("level"), F.concat(F.lit("fn"), F.floor((n - 1) / 3).cast("string"), F.lit("("), n.cast("string"), F.lit(")")).alias("title"), (n % 3 != 0).alias("empty"))
+    return ch.lines_of(m.docs).select("doc_slug", "n", F.lit(3).alias("level"), F.concat(F.lit("`fn"), F.floor((n - 1) / 3).cast("string"), F.lit("("), n.cast("string"), F.lit(")`")).alias("title"), (n % 3 != 0).alias("empty"))
 
 
-@query("chk_fold_overloads", f"WITH {D}, l AS (SELECT doc_slug, unnest(range(1, len(string_split(raw_text, chr(10))) + 1)) AS n FROM d), g AS (SELECT doc_slug, (n - 1) // 3 AS g, min(n) AS a, max(n) AS b, count(*) AS k FROM l GROUP BY ALL) SELECT doc_slug, b AS target, a AS start_line, k AS n_titles FROM g WHERE b % 3 = 0")
+@query("chk_fold_overloads", f"WITH {D}, {NUMBERED} SELECT doc_slug, max(n) AS target, min(n) AS start_line, count(*) AS n_titles FROM l GROUP BY doc_slug, (n - 1) // 3")
 def chk_fold_overloads(m: Model) -> DataFrame:
-    return ch.fold_overloads(calls(m)).select("doc_slug", "target", "start_line", F.size("titles").cast("long").alias("n_titles")).where("target % 3 = 0")
+    return ch.fold_overloads(calls(m)).select("doc_slug", "target", "start_line", F.size("titles").cast("long").alias("n_titles"))
 
 
-@query("chk_fold_subheads", None)
+@query("chk_fold_subheads", f"WITH {D}, {NUMBERED} SELECT doc_slug, n, n > 1 AND n % 5 IN (2, 3) AS folded FROM l")
 def chk_fold_subheads(m: Model) -> DataFrame:
+    """One heading a line: an entry, a parameter of it, prose, a unit of its own, and prose behind that."""
     n = F.col("n")
-    title = F.when(n % 3 == 0, "Example: use").when(n % 3 == 1, "`path`").otherwise("new API")
-    return ch.lines_of(m.docs).select("doc_slug", "n", ch.is_split_heading(F.lit(4), title, F.lit("open(path, flags)")).alias("splits"))
+    title = F.element_at(F.array(F.lit("After"), F.lit("`open(path, flags)`"), F.lit("`path`"), F.lit("Example: use"), F.lit("`new Thing(x)`")), (n % 5 + 1).cast("int"))
+    heads = ch.lines_of(m.docs).select("doc_slug", "n", F.when(n % 5 == 1, 3).otherwise(4).alias("level"), title.alias("title"))
+    return ch.fold_subheads(heads).select("doc_slug", "n", "folded")
 
 
-@query("chk_merge_pairs", None)
+@query("chk_merge_pairs", f"WITH {D}, {NUMBERED}, t AS (SELECT *, max(n) OVER (PARTITION BY doc_slug) AS top FROM l) SELECT doc_slug, n, CASE WHEN n % 3 = 2 THEN n - 1 END AS merged_into, CASE WHEN n % 3 = 1 AND n < top THEN 's' || (n + 1) END AS label_title FROM t")
 def chk_merge_pairs(m: Model) -> DataFrame:
+    """One heading a line, of levels 4, 5 in code, and 3."""
     n = F.col("n")
-    rows = ch.lines_of(m.docs).where("n % 3 <> 0").select("doc_slug", "n", F.when(n % 3 == 1, 4).otherwise(5).alias("level"), F.when(n % 3 == 1, "Describe").otherwise(F.concat(F.lit("`s"), n.cast("string"), F.lit("`"))).alias("title"), F.when(n % 3 == 2, n - 1).alias("parent"))
+    title = F.when(n % 3 == 1, "Describe").when(n % 3 == 2, F.concat(F.lit("`s"), n.cast("string"), F.lit("`"))).otherwise("Version")
+    parent = F.when(n % 3 == 2, n - 1).when((n % 3 == 1) & (n > 1), n - 1)
+    rows = ch.lines_of(m.docs).select("doc_slug", "n", F.when(n % 3 == 1, 4).when(n % 3 == 2, 5).otherwise(3).alias("level"), title.alias("title"), parent.alias("parent"))
     return ch.merge_pairs(rows).select("doc_slug", "n", "merged_into", "label_title")
 
 
+def api_documents(m: Model) -> DataFrame:
+    """The documents with headings, version comments, stability notes and code of an API put between their lines by rule."""
+    put = {1: "# Module", 3: "<!-- YAML\nadded: v1.2.0\n-->\n> Stability: 2 - Stable", 4: "## `open(path[, flags])`", 6: "## `open(path, flags, mode)`", 8: "### `path`", 9: "### `open.sync(path)`", 11: "### Caveats", 12: "```js\n# no heading", 13: "```", 14: "## Class: `Thing`", 16: "### Event: `'end'`"}
+    return _with_lines(m, put)
+
+
+def mdx_documents(m: Model) -> DataFrame:
+    """The documents with headings, scopes, components and code put between their lines by rule."""
+    put = {1: "---\ntitle: Given\nrelated:\n  links:\n    - a\n---", 3: "## Use", 4: "<AppOnly>", 6: "</AppOnly>", 7: "## Use", 8: "{/* gone\n## not here */}", 9: "#### Rename the thing", 10: "##### `rename-thing`", 12: '<Image\n  alt="a > b"\n  src="/i.png"\n/>', 13: "```js\n<AppOnly>", 14: "```", 15: '<FixCardGrid>\n<FixCard title="T" href="/h" />\n</FixCardGrid>', 16: "<Check size={1} /> done"}
+    return _with_lines(m, put)
+
+
+def _with_lines(m: Model, put: dict[int, str]) -> DataFrame:
+    table = F.create_map(*[F.lit(x) for kv in put.items() for x in kv])
+    lines = F.transform(F.split("raw_text", "\n"), lambda t, i: F.concat(F.coalesce(F.concat(table[i % 17 + 1], F.lit("\n")), F.lit("")), F.regexp_replace(t, r"[^\p{L}\p{N} ,.]", "")))
+    return m.docs.where("raw_text is not null").select("doc_slug", F.array_join(lines, "\n").alias("raw_text"))
+
+
+@query("chk_profile_nodejs", None)
+def chk_profile_nodejs(m: Model) -> DataFrame:
+    """The assembled profile of API documents; equal to a brute-force parser in the tests."""
+    return ch.chunk_api(api_documents(m)).select("path", "verbatim_text", "contextualized_text", "start_line", "end_line", "node_type", "stability", "has_code", "has_table")
+
+
+@query("chk_profile_nextjs", None)
+def chk_profile_nextjs(m: Model) -> DataFrame:
+    """The assembled profile of MDX documents; equal to a brute-force parser in the tests."""
+    return ch.chunk_mdx(mdx_documents(m)).select("path", "verbatim_text", "contextualized_text", "start_line", "end_line", "node_type", "scope", F.array_join("related_links", ",").alias("links"))
+
+
 @query("src_inline_docs", f"WITH {D} SELECT doc_slug, title, md5(raw_text) AS h FROM d")
 def src_inline_docs(m: Model) -> DataFrame:
     """Documents in memory, given as a table of slug, title, text and suffix."""
@@ -250,7 +302,7 @@ def src_doc_slug(m: Model) -> DataFrame:
 def src_dispatch(m: Model) -> DataFrame:
     k = F.col("doc_id") % 4
     file = F.concat(F.when(k == 0, "/x/nextjs/").when(k == 1, "/x/nodejs/").otherwise("/x/other/"), F.col("doc_id").cast("string"), F.lit(".md"))
-    text = F.when(k == 2, F.lit("# Luật\n## Chương I\n#### Điều 1. A")).otherwise("plain")
+    text = F.when(k == 2, F.concat(F.lit("# Luật\n## Chương I\n#### Điều 1. "), F.coalesce("raw_text", F.lit("")))).otherwise(F.coalesce("raw_text", F.lit("")))
     return m.docs.select("doc_id", corpus.profile_of(file, text).alias("profile"))
 
 
