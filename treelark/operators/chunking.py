@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treelark.functions.paths import ancestors, sanitise_label
+from treelark.sources.scratch import saved
 
 LEVELS = range(1, 7)
 HEADING = r"^(#{1,6})\s+(.*?)\s*#*\s*$"
@@ -316,13 +317,18 @@ def settle_paths(chunks: DataFrame) -> DataFrame:
 
 
 def insert_scope_markers(lines: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Body lines with a bold marker in front where the scope changes inside a section that mixes scopes; adds section_scope, the sole scope."""
-    scopes = lines.where("scope is not null and trim(line) <> ''").groupBy("doc_slug", "section").agg(F.collect_set("scope").alias("s"))
-    df = lines.join(scopes, ["doc_slug", "section"], "left")
-    w = Window.partitionBy("doc_slug", "section").orderBy("n")
-    change = F.col("scope").isNotNull() & ~F.col("scope").eqNullSafe(F.lag("scope").over(w)) & (F.size("s") > 1)
+    """Lines with a bold marker in front where the scope changes inside a section that mixes scopes; adds section_scope, the scope of the
+    heading, else the sole one of the body. Lines without a scope are a scope of their own here, and blank lines count for nothing."""
+    heading = F.col("level").isNotNull() if "level" in lines.columns else F.lit(False)
+    text = F.trim("line") != ""
+    own = F.coalesce("scope", F.lit(""))
+    by = lines.where(text).groupBy("doc_slug", "section").agg(F.collect_set(F.when(~heading, own)).alias("s"), F.max(F.when(heading, F.col("scope"))).alias("__h"))
+    df = lines.join(by, ["doc_slug", "section"], "left")
+    before = F.last(F.when(text, own), ignorenulls=True).over(Window.partitionBy("doc_slug", "section").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    change = text & ~heading & F.col("scope").isNotNull() & (own != F.coalesce(before, F.lit(""))) & (F.size("s") > 1)
     shown = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("scope")]
-    return df.withColumn("line", F.when(change, F.concat(F.lit("**["), shown, F.lit("]**\n"), "line")).otherwise(F.col("line"))).withColumn("section_scope", F.when(F.size("s") == 1, F.element_at("s", 1))).drop("s")
+    sole = F.when(F.size("s") == 1, F.nullif(F.element_at("s", 1), F.lit("")))
+    return df.withColumn("line", F.when(change, F.concat(F.lit("**["), shown, F.lit("]**\n\n"), "line")).otherwise(F.col("line"))).withColumn("section_scope", F.coalesce("__h", sole)).drop("s", "__h")
 
 
 def prune_empty(sections: DataFrame) -> DataFrame:
@@ -383,22 +389,23 @@ def is_split_heading(title: Column, entry: Column) -> Column:
 
 
 def fold_subheads(heads: DataFrame) -> DataFrame:
-    """Headings (doc_slug, n, level, title) with folded: those that stay inside the API entry above them.
+    """Headings (doc_slug, n, level, title and, if known, empty) with folded: those that stay inside the API entry above them.
 
-    Under an entry all headings fold until the first unit of its own. Levels are settled from the outermost on, so that only entries
-    that stand themselves take headings in.
+    Under an entry all headings fold until the first unit of its own, where an empty unit before a heading of its level doesn't count. Levels are
+    settled from the outermost on, so that only entries that stand themselves take headings in.
     """
-    heads = heads.withColumn("folded", F.lit(False))
+    void = (F.col("empty") & (F.lead("level").over(by_line()) == F.col("level"))) if "empty" in heads.columns else F.lit(False)
+    heads = heads.withColumn("folded", F.lit(False)).withColumn("__void", F.coalesce(void, F.lit(False)))
     for k in range(1, 6):
         standing = F.when(~F.col("folded") & (F.col("level") <= k), F.struct("n", "level", "title"))
         above = F.last(standing, ignorenulls=True).over(by_line().rowsBetween(Window.unboundedPreceding, -1))
         df = heads.withColumn("__a", F.when(F.col("level") > k, above))
         under = (F.col("__a")["level"] == k) & is_entry(F.col("__a")["title"]) & ~F.col("folded")
         df = df.withColumn("__e", F.when(F.coalesce(under, F.lit(False)), F.col("__a")["n"]))
-        unit = is_split_heading(F.col("title"), F.col("__a")["title"]).cast("int")
-        seen = F.max(unit).over(Window.partitionBy("doc_slug", "__e").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-        heads = df.withColumn("folded", F.col("folded") | (F.col("__e").isNotNull() & (seen == 0))).drop("__a", "__e")
-    return heads
+        df = df.withColumn("__u", is_split_heading(F.col("title"), F.col("__a")["title"]))
+        seen = F.max((F.col("__u") & ~F.col("__void")).cast("int")).over(Window.partitionBy("doc_slug", "__e").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+        heads = df.withColumn("folded", F.col("folded") | (F.col("__e").isNotNull() & ~F.col("__u") & (seen == 0))).drop("__a", "__e", "__u")
+    return heads.drop("__void")
 
 
 def merge_pairs(heads: DataFrame) -> DataFrame:
@@ -509,15 +516,15 @@ def chunk_mdx(docs: DataFrame, text: str = "raw_text") -> DataFrame:
     lines = track_scope(blank_comments(mark_code(lines), ("mdx",)), SCOPES)
     lines = lines.withColumn("line", F.when(~F.col("in_code") & F.trim("line").isin(*[f"<{s}{t}>" for s in ("", "/") for t in SCOPES]), "").otherwise(F.col("line")))
     lines = join_tags(lines).withColumn("line", F.when(F.col("in_code"), F.col("line")).otherwise(normalise_markup(card_list(F.col("line")))))
-    tree = section_tree(bind_title(headings(lines), after_text=False))
+    tree = saved(section_tree(bind_title(headings(lines), after_text=False)), "mdx-tree")
     roots = tree.select("doc_slug", "root_title", "root_line").distinct().join(meta.select("doc_slug", F.col("title").alias("given")), "doc_slug", "left")
     title = F.coalesce(F.when(F.col("root_line").isNotNull(), F.col("root_title")), F.nullif("given", F.lit("")), "root_title", F.lit("Documentation"))
     roots = roots.select("doc_slug", title.alias("root_title"), "root_line", F.array(title).alias("root_crumbs"))
-    heads = merge_pairs(tree.where("level is not null").select("doc_slug", "n", "level", "title", "parent", "scope"))
+    heads = saved(merge_pairs(tree.where("level is not null").select("doc_slug", "n", "level", "title", "parent", "scope")), "mdx-heads")
     pair = heads.where("merged_into is not null").select("doc_slug", F.col("merged_into").alias("n"), F.col("n").alias("kid"), F.col("title").alias("kid_title"))
     up = heads.where("label_title is not null").select("doc_slug", F.col("n").alias("merged_into"), F.col("parent").alias("new_parent"), F.col("title").alias("up_title"))
     merged = heads.join(pair.select("doc_slug", "n", "kid"), ["doc_slug", "n"], "left").where("kid is null").drop("kid").join(up, ["doc_slug", "merged_into"], "left")
-    merged = merged.withColumn("parent", F.coalesce("new_parent", "parent")).withColumn("level", F.when(F.col("merged_into").isNotNull(), 4).otherwise(F.col("level")))
+    merged = saved(merged.withColumn("parent", F.when(F.col("merged_into").isNotNull(), F.col("new_parent")).otherwise(F.col("parent"))).withColumn("level", F.when(F.col("merged_into").isNotNull(), 4).otherwise(F.col("level"))), "mdx-merged")
     paths = profile_paths(merged.select("doc_slug", "n", "level", "title", "parent", "scope"), "scope").join(merged.select("doc_slug", F.col("n").alias("section"), "merged_into", "up_title"), ["doc_slug", "section"])
     before = F.transform("scopes", lambda s, i: F.when(s.isNotNull() & ~s.eqNullSafe(F.get(F.col("scopes"), i - 1)), s))
     shown = F.create_map(*[F.lit(x) for kv in SCOPE_NAMES.items() for x in kv])
@@ -530,7 +537,7 @@ def chunk_mdx(docs: DataFrame, text: str = "raw_text") -> DataFrame:
     to = pair.select("doc_slug", F.col("n").alias("section"), "kid")
     body = tree.join(to, ["doc_slug", "section"], "left").withColumn("section", F.coalesce("kid", "section")).drop("kid")
     marked = insert_scope_markers(body.withColumn("section", F.coalesce("section", F.lit(0))), SCOPE_NAMES)
-    return profile_chunks(marked, paths, roots, "nextjs").join(meta.select("doc_slug", "metadata", "related_links"), "doc_slug", "left")
+    return profile_chunks(marked, saved(paths, "mdx-paths"), roots, "nextjs").join(meta.select("doc_slug", "metadata", "related_links"), "doc_slug", "left")
 
 
 STABILITY = r"^>\s*Stability:\s*([0-9]+(?:\.[0-9]+)?)"
@@ -540,24 +547,25 @@ def chunk_api(docs: DataFrame, text: str = "raw_text") -> DataFrame:
     """The nodejs profile: version comments as badges, overloads merged, sub-heads of entries folded in, sections without prose left out, stability inherited."""
     lines = mark_code(lines_of(docs, text))
     lines = blank_comments(version_comments(lines), ("html",))
-    tree = bind_title(headings(lines), after_text=True)
+    tree = saved(bind_title(headings(lines), after_text=True), "api-tree")
     body = F.col("level").isNull() & (F.trim("line") != "")
     heads = tree.where("level is not null")
     inside = section_tree(tree).where(body & F.col("section").isNotNull()).groupBy("doc_slug", F.col("section").alias("n")).agg(F.lit(False).alias("empty"))
     heads = heads.select("doc_slug", "n", "level", "title").join(inside, ["doc_slug", "n"], "left").withColumn("empty", F.coalesce("empty", F.lit(True)))
-    runs = fold_overloads(heads).select("doc_slug", F.col("target").alias("n"), "start_line", "titles")
-    folded = fold_subheads(heads.join(runs, ["doc_slug", "n"]).drop("empty"))
-    role = folded.select("doc_slug", "n", F.col("folded").alias("__fold"), "start_line", "titles")
-    marked = tree.join(role, ["doc_slug", "n"], "left").withColumn("__gone", F.col("level").isNotNull() & F.col("__fold").isNull())
-    sub = F.coalesce(F.col("__fold"), F.lit(False))
-    marked = marked.withColumn("line", F.when(F.col("__gone"), "").otherwise(F.col("line"))).withColumn("level", F.when(~(sub | F.col("__gone")), F.col("level"))).withColumn("title", F.when(F.col("level").isNotNull(), F.col("title")))
-    placed = section_tree(marked)
+    folded = saved(fold_subheads(saved(heads, "api-heads")), "api-folded")
+    runs = fold_overloads(folded.withColumn("empty", F.col("empty") & ~F.col("folded"))).select("doc_slug", F.col("target").alias("n"), "start_line", "titles")
+    void = F.col("empty") & (F.lead("level").over(by_line()) == F.col("level")) & F.lead("folded").over(by_line())
+    role = folded.select("doc_slug", "n", F.col("folded").alias("__fold"), F.coalesce(void & ~F.col("folded"), F.lit(False)).alias("__void")).join(runs, ["doc_slug", "n"], "left")
+    # a heading that gives way to the next one stays in the tree, as its label is taken, unless the next one is text of the entry above
+    marked = tree.join(role, ["doc_slug", "n"], "left").withColumn("line", F.when(F.col("__void"), "").otherwise(F.col("line")))
+    marked = marked.withColumn("level", F.when(~F.coalesce(F.col("__fold") | F.col("__void"), F.lit(False)), F.col("level"))).withColumn("title", F.when(F.col("level").isNotNull(), F.col("title")))
+    placed = saved(section_tree(marked), "api-placed")
     stable = F.regexp_extract("line", STABILITY, 1)
     own = placed.where("level is null and not in_code").groupBy("doc_slug", F.coalesce("section", F.lit(0)).alias("section")).agg(F.min_by(F.nullif(stable, F.lit("")), F.when(stable != "", F.col("n"))).alias("own"))
     paths = profile_paths(placed).join(own, ["doc_slug", "section"], "left").join(role.select("doc_slug", F.col("n").alias("section"), "start_line", F.col("titles").alias("names")), ["doc_slug", "section"])
     crumbs = F.aggregate("titles", F.array().cast("array<string>"), lambda acc, t: F.when((F.size(acc) > 0) & (F.lower(F.element_at(acc, -1)) == F.lower(t)), acc).otherwise(F.array_append(acc, t)))
     shown = F.array_join(F.transform("names", lambda t: F.concat(F.lit("## "), t)), "\n")
-    paths = paths.withColumn("crumbs", crumbs).withColumn("heading", shown).withColumn("from_line", F.col("start_line"))
+    paths = saved(paths.withColumn("crumbs", crumbs).withColumn("heading", shown).withColumn("from_line", F.col("start_line")), "api-paths")
     roots = placed.select("doc_slug", "root_title", "root_line").distinct()
     title = F.coalesce("root_title", F.lit("Node.js Documentation"))
     roots = roots.select("doc_slug", title.alias("root_title"), "root_line", F.when(F.lower(title) == "node.js", F.array(F.lit("Node.js"))).otherwise(F.array(F.lit("Node.js"), title)).alias("root_crumbs"))
@@ -585,7 +593,7 @@ def prose_sections(lines: DataFrame) -> DataFrame:
     """(doc_slug, section): sections with a line that is no heading, badge, stability note or bare list of base classes. Lines: with section and in_code."""
     df = lines.where(F.col("level").isNull()).withColumn("section", F.coalesce("section", F.lit(0)))
     quote = ~F.col("in_code") & F.col("line").startswith(">")
-    note = F.last(F.when(F.col("line").rlike(r"^\s*> Stability:"), True).when(~quote, False), ignorenulls=True).over(until_here())
+    note = F.last(F.when(F.col("line").rlike(r"^\s*> Stability:"), True).when(~quote, False), ignorenulls=True).over(until_here("doc_slug", "section"))
     plain = F.trim("line") != ""
     meta = F.trim("line").rlike(r"^(#|\*Added in:|\*Deprecated in:|\* Extends:)")
     return df.withColumn("__n", F.coalesce(note, F.lit(False))).where(plain & ~meta & ~(F.col("__n") & quote)).select("doc_slug", "section").distinct()

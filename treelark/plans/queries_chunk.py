@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treelark.functions import paths as p
@@ -148,12 +148,11 @@ def chk_scope_track(m: Model) -> DataFrame:
     return scoped_lines(m).select("doc_slug", "n", "scope")
 
 
-@query("chk_scope_markers", f"WITH {D}, {NUMBERED}, t AS (SELECT *, max(n) OVER (PARTITION BY doc_slug) AS top FROM l) SELECT doc_slug, n, top >= 5 AND n % 8 IN (1, 4) AS marked, CASE WHEN top < 4 THEN 'app' END AS section_scope FROM t")
+@query("chk_scope_markers", f"WITH {D}, {NUMBERED}, t AS (SELECT *, max(n) OVER (PARTITION BY doc_slug) AS top FROM l) SELECT doc_slug, n, top >= 3 AND n % 8 IN (1, 4) AS marked, CASE WHEN top < 3 THEN 'app' END AS section_scope FROM t")
 def chk_scope_markers(m: Model) -> DataFrame:
     lines = scoped_lines(m).withColumn("line", F.concat("line", F.lit("x"))).withColumn("section", F.lit(1))
     marked = ch.insert_scope_markers(lines, {"app": "App Router", "pages": "Pages Router"})
-    mixed = F.max("n").over(Window.partitionBy("doc_slug")) >= 5
-    return marked.select("doc_slug", "n", (F.contains("line", F.lit("Router]**")) & mixed).alias("marked"), "section_scope")
+    return marked.select("doc_slug", "n", F.contains("line", F.lit("Router]**")).alias("marked"), "section_scope")
 
 
 @query("chk_markup_normalise", f"WITH {C} SELECT path, '**' || w || '** ✓ ![' || w || '](i>.png) x' AS line FROM (SELECT path, 'W' || trim(regexp_replace(regexp_replace(verbatim_text, '[^A-Za-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS w FROM c)")
