@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treelark.sources.scratch import exists, scratch_folder
+
 # Relation codes, their descriptions and symmetry.
 RELATIONS = [
     ("CONTRADICTS", "States the opposite of the target", True),
@@ -21,8 +25,12 @@ CODES = [r[0] for r in RELATIONS]
 SYMMETRIC = [r[0] for r in RELATIONS if r[2]]
 
 
+#: Where the tables that are stored once lie: (application, folder, table) -> (input files, path).
+STORED: dict[tuple[str, str, str], tuple[list[str], str]] = {}
+
+
 class Model:
-    """Lazy DataFrames of one folder of tables."""
+    """DataFrames of one folder of tables. Chunks and postings are stored on first use, as an ingest would; all others are lazy."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
@@ -35,8 +43,28 @@ class Model:
         slug = F.concat("source", F.lit(".doc_"), F.col("doc_id").cast("string"))
         return self.table("documents").select("doc_id", slug.alias("doc_slug"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("raw_text"), "lang", "source")
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The table of build, written once for an application and a folder of documents, and read from there."""
+        key, files = (self.spark.sparkContext.applicationId, self.dir, name), sorted(self.table("documents").inputFiles())
+        if key not in STORED or STORED[key][0] != files or not exists(self.spark, f"{STORED[key][1]}/_SUCCESS"):
+            path = scratch_folder(self.spark, name)
+            build().write.parquet(path)
+            STORED[key] = files, path
+        return self.spark.read.parquet(STORED[key][1])
+
     @property
     def chunks(self) -> DataFrame:
+        return self.stored("chunks", lambda: self.lines.repartition("doc_slug"))
+
+    @property
+    def postings(self) -> DataFrame:
+        """(path, token, next) of the contextualized texts."""
+        from treelark.operators.search import postings
+
+        return self.stored("postings", lambda: postings(self.chunks))
+
+    @property
+    def lines(self) -> DataFrame:
         """One chunk a non-blank line."""
         lines = self.docs.select("doc_id", "doc_slug", "source", F.posexplode(F.split("raw_text", "\n")).alias("n", "line")).where(F.col("line").rlike(r"\S"))
         n = (F.col("n") + 1).cast("long")

@@ -12,15 +12,17 @@ from treelark.operators import search as se
 from treelark.plans.model import RUNS, C, Model
 from treelark.plans.queries_search import VENN, grep, hybrid, reranked, sparse, venn
 from treelark.plans.registry import query
+from treelark.sources.scratch import saved
 
 EXPECTED = "ex AS (SELECT item_id AS case_id, d.doc_slug AS target FROM benchmark b JOIN d ON contains(d.raw_text, b.text))"
 GAIN = "(ln({x} + 1) / ln(2.0::DOUBLE))"
 
 
 def expected(m: Model) -> DataFrame:
-    """(case_id, target): the documents that hold a benchmark passage. All passages are a bounded, broadcast batch."""
-    b = m.table("benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("passage"))
-    return m.docs.join(F.broadcast(b), F.contains("raw_text", "passage")).select("case_id", F.col("doc_slug").alias("target"))
+    """(case_id, target): the documents that hold a benchmark passage, saved."""
+    b = m.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("pattern"))
+    found = se.holding(b, m.docs.select("doc_slug", "raw_text"), ["raw_text"], lambda c: F.contains(F.col(c), F.col("pattern")))
+    return saved(found.select(F.col("query_id").alias("case_id"), F.col("doc_slug").alias("target")), "expected")
 
 
 def configs(m: Model) -> DataFrame:
@@ -29,11 +31,11 @@ def configs(m: Model) -> DataFrame:
     dense = se.dense_top(q, m.embedded, 10).select(F.lit("dense").alias("config"), F.col("query_id").alias("case_id"), F.col("dense_rank").alias("rank"), "path")
     one = lambda name, hits, rank: hits.where(F.col(rank) <= 10).select(F.lit(name).alias("config"), F.col("query_id").alias("case_id"), F.col(rank).alias("rank"), "path")
     parts = [
-        dense, one("sparse", se.sparse_top(q, c), "sparse_rank"), one("sparse_verbatim", se.sparse_top(q, c, text="verbatim_text"), "sparse_rank"),
+        dense, one("sparse", se.sparse_top(q, c, stored=m.postings), "sparse_rank"), one("sparse_verbatim", se.sparse_top(q, c, text="verbatim_text"), "sparse_rank"),
         one("rrf", hybrid(m), "rank"), one("rrf_rerank", reranked(m), "new_rank"), venn(m).select(F.lit("venn").alias("config"), F.col("query_id").alias("case_id"), "rank", "path"),
         venn_reranked(m).select(F.lit("venn_rerank").alias("config"), F.col("query_id").alias("case_id"), "rank", "path"),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return saved(reduce(DataFrame.unionByName, parts), "runs")
 
 
 def venn_reranked(m: Model) -> DataFrame:
@@ -44,9 +46,9 @@ def venn_reranked(m: Model) -> DataFrame:
 def light(m: Model) -> DataFrame:
     """Two configurations, for the metrics by themselves."""
     q, c = m.search_queries, m.chunks
-    a = se.sparse_top(q, c).where("sparse_rank <= 10").select(F.lit("sparse").alias("config"), F.col("query_id").alias("case_id"), F.col("sparse_rank").alias("rank"), "path")
+    a = se.sparse_top(q, c, stored=m.postings).where("sparse_rank <= 10").select(F.lit("sparse").alias("config"), F.col("query_id").alias("case_id"), F.col("sparse_rank").alias("rank"), "path")
     b = se.grep_page(grep(m), 10).select(F.lit("grep").alias("config"), F.col("query_id").alias("case_id"), "rank", "path")
-    return a.unionByName(b)
+    return saved(a.unionByName(b), "runs")
 
 
 LIGHT = f"""WITH {C}, q AS (SELECT item_id AS query_id, array_to_string(regexp_split_to_array(text, '\\s+')[1:5], ' ') AS query_text FROM benchmark), {sparse('contextualized_text')}, {EXPECTED},

@@ -58,7 +58,7 @@ def patterns(m: Model) -> DataFrame:
 
 
 def hybrid(m: Model, limit: int = 10) -> DataFrame:
-    return se.hybrid(m.search_queries, m.chunks, m.embedded, limit)
+    return se.hybrid(m.search_queries, m.chunks, m.embedded, limit, stored=m.postings)
 
 
 def grep(m: Model, **flags) -> DataFrame:
@@ -81,12 +81,12 @@ def se_dense(m: Model) -> DataFrame:
 
 @query("se_sparse_pool", f"WITH {C}, {Q}, {sparse('contextualized_text')} SELECT query_id, path, base, all_match FROM pool")
 def se_sparse_pool(m: Model) -> DataFrame:
-    return se.sparse_pool(m.search_queries, m.chunks)
+    return se.sparse_pool(m.search_queries, m.chunks, stored=m.postings)
 
 
 @query("se_sparse_rank", f"WITH {C}, {Q}, {sparse('contextualized_text')} SELECT query_id, path, sparse_score, sparse_rank FROM sparse")
 def se_sparse_rank(m: Model) -> DataFrame:
-    return se.sparse_top(m.search_queries, m.chunks)
+    return se.sparse_top(m.search_queries, m.chunks, stored=m.postings)
 
 
 @query("se_sparse_verbatim", f"WITH {C}, {Q}, {sparse('verbatim_text')} SELECT query_id, path, sparse_score, sparse_rank FROM sparse")
@@ -97,7 +97,7 @@ def se_sparse_verbatim(m: Model) -> DataFrame:
 @query("se_degrade", f"WITH {C}, {Q}, {sparse('contextualized_text')}, dense AS (SELECT query_id, path, 0::BIGINT AS dense_rank, 0.0::DOUBLE AS dense_similarity FROM sparse WHERE false), {RRF} SELECT query_id, path, rrf_score, dense_rank, sparse_rank, dense_similarity, rank FROM rrf WHERE rank <= 10")
 def se_degrade(m: Model) -> DataFrame:
     none = m.search_queries.withColumn("query_vector", F.lit(None).cast("array<float>"))
-    return se.hybrid(none, m.chunks, m.embedded)
+    return se.hybrid(none, m.chunks, m.embedded, stored=m.postings)
 
 
 @query("se_tokenise", f"WITH {Q} SELECT query_id, array_to_string(t, ' & ') AS and_query, CASE WHEN len(t) < 2 THEN array_to_string(t, '') ELSE array_to_string(list_transform(range(1, len(t)), lambda i: t[i] || ' <-> ' || t[i + 1]), ' | ') END AS any_query FROM (SELECT query_id, {words('query_text')} AS t FROM q)")
@@ -152,12 +152,14 @@ def se_trigram(m: Model) -> DataFrame:
     return grep(m).select("query_id", "path", F.round(tx.word_similarity(F.col("pattern"), F.col("verbatim_text")), 6).alias("word_similarity"))
 
 
-@query("se_trigram_match", f"WITH {C}, {Q}, w AS (SELECT query_id, {tri('query_text')} AS a FROM q), t AS (SELECT path, {tri('verbatim_text')} AS b FROM c WHERE length(verbatim_text) <= 60), s AS (SELECT query_id, path, round({JACC.format(a='a', b='b')}, 6) AS similarity FROM w JOIN t ON true) SELECT * FROM s WHERE similarity >= 0.3")
+@query("se_trigram_match", f"WITH {C}, {Q}, w AS (SELECT query_id, {tri('query_text')} AS a FROM q), t AS (SELECT path, {tri('verbatim_text')} AS b FROM c), s AS (SELECT query_id, path, round({JACC.format(a='a', b='b')}, 6) AS similarity FROM w JOIN t ON true) SELECT * FROM s WHERE similarity >= 0.3")
 def se_trigram_match(m: Model) -> DataFrame:
-    """Short lines similar to a pattern as whole texts: set similarity join on shared trigrams, then verified."""
+    """Lines similar to a pattern as whole texts: set similarity join on shared trigrams, where sizes that can't reach the similarity don't meet."""
     q = m.search_queries.select("query_id", tx.trigrams(F.col("query_text")).alias("a"))
-    c = m.chunks.where(F.length("verbatim_text") <= 60).select("path", tx.trigrams(F.col("verbatim_text")).alias("b"))
-    shared = q.select("query_id", F.size("a").alias("na"), F.explode("a").alias("t")).join(c.select("path", F.size("b").alias("nb"), F.explode("b").alias("t")), "t").groupBy("query_id", "path", "na", "nb").agg(F.count("*").alias("k"))
+    most = q.agg(F.max(F.size("a"))).first()[0] or 0
+    c = m.chunks.select("path", tx.trigrams(F.col("verbatim_text")).alias("b")).where(F.size("b") * 0.3 <= most)
+    shared = se.small(q)(q.select("query_id", F.size("a").alias("na"), F.explode("a").alias("t"))).join(c.select("path", F.size("b").alias("nb"), F.explode("b").alias("t")), "t")
+    shared = shared.where("na >= 0.3 * nb and nb >= 0.3 * na").groupBy("query_id", "path", "na", "nb").agg(F.count("*").alias("k"))
     return shared.select("query_id", "path", F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 6).alias("similarity")).where("similarity >= 0.3")
 
 
