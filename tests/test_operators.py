@@ -187,3 +187,33 @@ def test_profiles(spark):
     assert chunks.count() == 1 and [r["doc_slug"] for r in rest.collect()] == ["b"]
     encoded = ing.embed(spark.createDataFrame([("a b",), (None,)], "t string"), "t", 8).collect()
     assert abs(sum(x * x for x in encoded[0]["embedding"]) - 1) < 1e-6
+
+
+def test_outcomes_of_nested_targets(spark):
+    """Two targets, one below the other: each path counts for one, so that nDCG stays within 1; the last one tells channel and path."""
+    hits = spark.createDataFrame([("c", 1, 1, "d.a.b", "both"), ("c", 1, 2, "d.a.x", "verbatim_only"), ("c", 2, 1, "z", "both")], "config string, case_id bigint, rank bigint, path string, found_in string")
+    targets = spark.createDataFrame([(1, "d.a"), (1, "d.a.b"), (2, "q")], "case_id bigint, target string")
+    got = {r["case_id"]: r for r in ev.outcomes(hits, targets).collect()}
+    assert (got[1]["found"], got[1]["rank_10"], got[1]["found_in"], got[1]["matched_path"]) == (True, 1, "both", "d.a.b")
+    assert 0 < got[1]["ndcg_10"] <= 1
+    assert (got[2]["found"], got[2]["found_in"], got[2]["matched_path"], got[2]["ndcg_10"]) == (False, "missed", None, 0.0)
+
+
+def test_dense_search_of_unlike_lengths(spark):
+    corpus = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0, 0.0]), ("c", [0.0, 1.0, 0.0]), ("d", [])], "path string, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [2.0, 0.0]), (3, []), (4, None)], "query_id bigint, query_vector array<float>")
+    assert {(r["query_id"], r["path"]) for r in se.dense_top(q, corpus, 5).collect()} == {(1, "b"), (1, "c"), (2, "a")}
+
+
+def test_grep_by_inner_words_equals_a_scan(spark):
+    import random
+
+    r = random.Random(5)
+    word = lambda: r.choice(["al", "be", "Ga", "de_l", "é", "x1"])
+    texts = ["".join(word() + r.choice([" ", ", ", "-", "."]) for _ in range(12)) for _ in range(150)]
+    chunks = spark.createDataFrame([(f"p{i}", t, f"[x]\n{t}") for i, t in enumerate(texts)], "path string, verbatim_text string, contextualized_text string")
+    patterns = [t[a : a + r.randint(1, 14)].strip() for t in texts[:40] for a in [r.randrange(20)]] + ["x]", "%", "al-be"]
+    p = spark.createDataFrame([(i, t) for i, t in enumerate(patterns)], "query_id bigint, pattern string")
+    for same, fold in ((True, str), (False, str.lower)):
+        want = {(i, f"p{j}") for i, q in enumerate(patterns) for j, t in enumerate(texts) if q and fold(q) in fold(f"[x]\n{t}")}
+        assert {(x["query_id"], x["path"]) for x in se.grep(p, chunks, case_sensitive=same).collect()} == want

@@ -34,25 +34,29 @@ def each_config(hits: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def outcomes(hits: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:
-    """By config and case: found, completion rank, hits, recall, reciprocal rank and binary nDCG.
+    """By config and case: found, the channel and path of completion, completion rank, hits, recall, reciprocal rank and binary nDCG.
 
-    Completion is the rank at which the last target is first covered; found looks at the whole list, the others at the top k.
+    Completion is the rank at which the last target is first covered; found looks at the whole list, the others at the top k. The channel is the
+    found_in of that hit if hits have one, else semantic_only, and `missed` for a case that is not found.
     """
     cover = covered(hits, expected)
-    gain = lambda r: F.lit(1.0) / (F.ln(r + 1) / F.ln(F.lit(2.0)))
     by = cover.groupBy("config", "case_id").agg(
-        F.count("*").alias("n"), F.count("first").alias("any"), F.max("first").alias("last"),
+        F.count("*").alias("n"), F.count("first").alias("any"), F.max("first").alias("last"), F.sort_array(F.collect_set("target")).alias("targets"),
         F.count_if(F.col("first") <= 5).alias("in5"), F.count_if(F.col("first") <= k).alias("in10"),
-        F.sum(F.when(F.col("first") <= k, gain(F.col("first")))).alias("dcg"),
     )
+    channel = F.col("found_in") if "found_in" in hits.columns else F.lit("semantic_only")
+    lists = hits.groupBy("config", "case_id").agg(F.sort_array(F.collect_list(F.struct("rank", "path", channel.alias("found_in")))).alias("hits"))
+    by = by.join(lists, ["config", "case_id"], "left")
     whole = F.col("any") == F.col("n")
     done = F.when(whole & (F.col("last") <= k), F.col("last"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + gain(i))
+    at = F.get(F.filter("hits", lambda h: h["rank"] == F.col("last")), F.lit(0))
     hit = lambda x: F.coalesce(done <= x, F.lit(False))
+    ranked = F.coalesce(F.transform(F.filter("hits", lambda h: h["rank"] <= k), lambda h: h["path"]), F.array().cast("array<string>"))
     return by.select(
-        "config", "case_id", whole.alias("found"), done.alias("rank_10"), hit(1).alias("hit_1"), hit(5).alias("hit_5"), hit(k).alias("hit_10"),
+        "config", "case_id", whole.alias("found"), F.when(whole, at["found_in"]).otherwise("missed").alias("found_in"), F.when(whole, at["path"]).alias("matched_path"),
+        done.alias("rank_10"), hit(1).alias("hit_1"), hit(5).alias("hit_5"), hit(k).alias("hit_10"),
         F.round(F.col("in5") / F.col("n"), 6).alias("recall_5"), F.round(F.col("in10") / F.col("n"), 6).alias("recall_10"),
-        F.round(F.coalesce(F.lit(1.0) / done, F.lit(0.0)), 6).alias("mrr_10"), F.round(F.coalesce(F.col("dcg") / ideal, F.lit(0.0)), 6).alias("ndcg_10"),
+        F.round(F.coalesce(F.lit(1.0) / done, F.lit(0.0)), 6).alias("mrr_10"), ndcg_binary(ranked, F.col("targets"), k).alias("ndcg_10"),
     )
 
 
@@ -94,10 +98,22 @@ def batch_breakdown(runs: DataFrame, batch: Column) -> DataFrame:
     return best.groupBy("batch").agg(F.count("*").alias("total"), n(2).alias("best_2"), n(1).alias("best_1"), n(0).alias("best_0"), F.round(n(2) / F.count("*"), 6).alias("strict_rate"))
 
 
-def summary(cases: DataFrame, *by: str) -> DataFrame:
-    """Counts, rates in per cent, and latency statistics of outcomes with latency_ms, by any columns."""
+RATES = ("found", "hit_1", "hit_5", "hit_10", "recall_5", "recall_10", "mrr_10", "ndcg_10")
+CHANNELS = ("both", "semantic_only", "verbatim_only", "missed")
+LEVELS = ("none", "low", "medium", "high")
+
+
+def measures(cases: DataFrame) -> list[Column]:
+    """Counts, rates in per cent, latency statistics, and counts by channel (found_in) and confidence where cases have them."""
     pct = lambda c: F.round(F.avg(F.col(c).cast("double")) * 100, 4).alias(c)
-    return cases.groupBy(*by).agg(F.count("*").alias("n"), *[pct(c) for c in ("found", "hit_1", "hit_5", "hit_10", "recall_5", "recall_10", "mrr_10", "ndcg_10")], *latency())
+    kinds = [(c, values) for c, values in (("found_in", CHANNELS), ("confidence", LEVELS)) if c in cases.columns]
+    counts = [F.count_if(F.col(c) == v).alias(f"{'channel' if c == 'found_in' else c}_{v}") for c, values in kinds for v in values]
+    return [F.count("*").alias("n"), *[pct(c) for c in RATES], *latency(), *counts]
+
+
+def summary(cases: DataFrame, *by: str) -> DataFrame:
+    """The measures of outcomes with latency_ms, by any columns."""
+    return cases.groupBy(*by).agg(*measures(cases))
 
 
 def latency() -> list[Column]:
@@ -105,11 +121,29 @@ def latency() -> list[Column]:
 
 
 def group_summary(cases: DataFrame) -> DataFrame:
-    """Outcomes by config alone, with test set, with domain, and with both."""
-    cases.createOrReplaceTempView("treelark_outcomes")
-    return cases.sparkSession.sql("""
-        SELECT config, test_set, domain, count(*) AS n, round(avg(cast(found AS double)) * 100, 4) AS found, round(avg(cast(hit_5 AS double)) * 100, 4) AS hit_5, round(avg(ndcg_10) * 100, 4) AS ndcg_10
-        FROM treelark_outcomes GROUP BY GROUPING SETS ((config), (config, test_set), (config, domain), (config, test_set, domain))""")
+    """The measures by config alone, with test set, with domain, and with both."""
+    by = ["config", "test_set", "domain"]
+    sets = [[F.col(c) for c in own] for own in (by[:1], by[:2], [by[0], by[2]], by)]
+    return cases.groupingSets(sets, *by).agg(*measures(cases))
+
+
+def report(runs: DataFrame, batch: Column) -> DataFrame:
+    """(part, line): the rows of a report on judged runs (case_id, rank, relevance): strict and lenient rates, the verdicts of the top five, and the batches."""
+    first = lambda least, k: F.min(F.when((F.col("relevance") >= least) & (F.col("rank") <= k), F.col("rank")))
+    by = runs.groupBy("case_id").agg(*[first(least, k).alias(f"{name}_{k}") for least, name in ((2, "strict"), (1, "lenient")) for k in (1, 3, 5, 1 << 30)])
+    by = by.join(ndcg_graded(runs.where("rank <= 5")).select("case_id", "ndcg"), "case_id", "left")
+    n = F.count("*")
+    rate = lambda c: F.concat(F.format_string("%.4f", F.count(c) / n), F.lit(" ("), F.count(c).cast("string"), F.lit("/"), n.cast("string"), F.lit(")"))
+    mrr = lambda name: F.format_string("%.4f", F.avg(F.coalesce(F.lit(1.0) / F.col(f"{name}_{1 << 30}"), F.lit(0.0))))
+    cells = lambda *x: F.concat(F.lit("| "), *[y for c in x for y in (c if isinstance(c, Column) else F.lit(c), F.lit(" | "))][:-1], F.lit(" |"))
+    count = lambda c, title: cells(title, c.cast("string"), F.format_string("%.4f", c / n))
+    lines = [cells(f"Hit@{k}", rate(f"strict_{k}"), rate(f"lenient_{k}")) for k in (1, 3, 5)] + [cells("MRR", mrr("strict"), mrr("lenient")), cells("nDCG@5", "-", F.format_string("%.4f", F.avg(F.coalesce("ndcg", F.lit(0.0)))))]
+    verdicts = [count(F.count("strict_5"), "direct"), count(F.count("lenient_5") - F.count("strict_5"), "partial"), count(n - F.count("lenient_5"), "missed")]
+    rows = F.array(*[F.struct(F.lit(part).alias("part"), x.alias("line")) for part, own in ((1, lines), (2, verdicts)) for x in own])
+    head = by.agg(rows.alias("r")).select(F.explode("r").alias("x")).select("x.*")
+    own = batch_breakdown(runs.where("rank <= 5"), batch)
+    text = [F.col(c).cast("string") for c in ("batch", "total", "best_2", "best_1", "best_0")]
+    return head.unionByName(own.select(F.lit(3).alias("part"), cells(*text, F.format_string("%.4f", "strict_rate")).alias("line")))
 
 
 def mcnemar_p(b: Column, c: Column) -> Column:

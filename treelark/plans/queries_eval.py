@@ -46,8 +46,8 @@ def venn_reranked(m: Model) -> DataFrame:
 def light(m: Model) -> DataFrame:
     """Two configurations, for the metrics by themselves."""
     q, c = m.search_queries, m.chunks
-    a = se.sparse_top(q, c, stored=m.postings).where("sparse_rank <= 10").select(F.lit("sparse").alias("config"), F.col("query_id").alias("case_id"), F.col("sparse_rank").alias("rank"), "path")
-    b = se.grep_page(grep(m), 10).select(F.lit("grep").alias("config"), F.col("query_id").alias("case_id"), "rank", "path")
+    a = se.sparse_top(q, c, stored=m.postings).where("sparse_rank <= 10").select(F.lit("sparse").alias("config"), F.col("query_id").alias("case_id"), F.col("sparse_rank").alias("rank"), "path", F.lit("semantic_only").alias("found_in"))
+    b = se.grep_page(grep(m), 10).select(F.lit("grep").alias("config"), F.col("query_id").alias("case_id"), "rank", "path", F.lit("verbatim_only").alias("found_in"))
     return saved(a.unionByName(b), "runs")
 
 
@@ -77,9 +77,12 @@ def ev_match(m: Model) -> DataFrame:
     return up.join(expected(m), "target").groupBy("case_id", "target").agg(F.count("*").alias("paths"))
 
 
-@query("ev_completion", f"{LIGHT}, {outcome_sql()} SELECT config, case_id, found, rank_10 FROM oc")
+CHANNEL = "CASE WHEN NOT found THEN 'missed' WHEN config = 'grep' THEN 'verbatim_only' ELSE 'semantic_only' END AS found_in"
+
+
+@query("ev_completion", f"{LIGHT}, {outcome_sql()}, la AS (SELECT config, case_id, max(first) AS last FROM cov GROUP BY ALL) SELECT oc.config, oc.case_id, found, rank_10, {CHANNEL.replace('config', 'oc.config')}, CASE WHEN found THEN path END AS matched_path FROM oc JOIN la USING (config, case_id) LEFT JOIN run r ON r.config = oc.config AND r.case_id = oc.case_id AND r.rank = last")
 def ev_completion(m: Model) -> DataFrame:
-    return outcomes(m).select("config", "case_id", "found", "rank_10")
+    return outcomes(m).select("config", "case_id", "found", "rank_10", "found_in", "matched_path")
 
 
 @query("ev_hit_recall_mrr", f"{LIGHT}, {outcome_sql()} SELECT config, case_id, hit_1, hit_5, hit_10, recall_5, recall_10, mrr_10 FROM oc")
@@ -114,30 +117,43 @@ def ev_batch_breakdown(m: Model) -> DataFrame:
     return ev.batch_breakdown(m.runs, F.floor(F.col("case_id") / 100) % 3)
 
 
-@query("ev_report", f"WITH {RUNS}, f AS (SELECT case_id, min(rank) FILTER (WHERE relevance = 2) AS strict FROM runs GROUP BY case_id) SELECT '| strict hit@5 | ' || printf('%.4f', avg(CASE WHEN strict <= 5 THEN 1.0::DOUBLE ELSE 0.0 END)) || ' |' AS line FROM f")
+REPORT = f"""WITH {RUNS}, f AS (SELECT case_id, min(rank) FILTER (WHERE relevance = 2) AS s, min(rank) FILTER (WHERE relevance >= 1) AS l FROM runs GROUP BY case_id), t AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY relevance DESC, rank) AS best FROM runs WHERE rank <= 5),
+ nd AS (SELECT case_id, coalesce(sum((pow(2.0, relevance) - 1) / {GAIN.format(x='rank')}) / nullif(sum((pow(2.0, relevance) - 1) / {GAIN.format(x='best')}), 0), 0) AS g FROM t GROUP BY case_id),
+ a AS (SELECT count(*) AS n, count(*) FILTER (WHERE s <= 1) AS s1, count(*) FILTER (WHERE s <= 3) AS s3, count(*) FILTER (WHERE s <= 5) AS s5, count(*) FILTER (WHERE l <= 1) AS l1, count(*) FILTER (WHERE l <= 3) AS l3, count(*) FILTER (WHERE l <= 5) AS l5, avg(coalesce(1.0::DOUBLE / s, 0)) AS ms, avg(coalesce(1.0::DOUBLE / l, 0)) AS ml FROM f),
+ h AS (SELECT *, unnest([1, 3, 5]) AS k, unnest([s1, s3, s5]) AS sk, unnest([l1, l3, l5]) AS lk, unnest(['direct', 'partial', 'missed']) AS v, unnest([s5, l5 - s5, n - l5]) AS c FROM a),
+ b AS (SELECT case_id // 100 % 3 AS batch, max(relevance) AS best FROM t GROUP BY case_id)
+ SELECT 1 AS part, printf('| Hit@%d | %.4f (%d/%d) | %.4f (%d/%d) |', k, sk / n::DOUBLE, sk, n, lk / n::DOUBLE, lk, n) AS line FROM h UNION ALL SELECT 1, printf('| MRR | %.4f | %.4f |', ms, ml) FROM a UNION ALL SELECT 1, printf('| nDCG@5 | - | %.4f |', (SELECT avg(g) FROM nd))
+ UNION ALL SELECT 2, printf('| %s | %d | %.4f |', v, c, c / n::DOUBLE) FROM h
+ UNION ALL SELECT 3, printf('| %d | %d | %d | %d | %d | %.4f |', batch, count(*), count(*) FILTER (WHERE best = 2), count(*) FILTER (WHERE best = 1), count(*) FILTER (WHERE best = 0), count(*) FILTER (WHERE best = 2) / count(*)::DOUBLE) FROM b GROUP BY batch"""
+
+
+@query("ev_report", REPORT)
 def ev_report(m: Model) -> DataFrame:
-    """The metric lines of a Markdown report; here the strict hit rate."""
-    return ev.strict_lenient(m.runs).where("level = 'strict'").select(F.format_string("| strict hit@5 | %.4f |", "hit_5").alias("line"))
+    """The lines of a Markdown report: rates, verdicts and batches."""
+    return ev.report(m.runs, F.floor(F.col("case_id") / 100) % 3)
 
 
-CASES = "cases AS (SELECT oc.*, CASE WHEN case_id % 2 = 0 THEN 'dev' ELSE 'test' END AS test_set, 'd' || (case_id % 3) AS domain, (5 + (case_id * 37) % 101)::DOUBLE AS latency_ms FROM oc)"
+CASES = f"cases AS (SELECT oc.*, {CHANNEL}, ['none', 'low', 'medium', 'high'][case_id % 4 + 1] AS confidence, CASE WHEN case_id % 2 = 0 THEN 'dev' ELSE 'test' END AS test_set, 'd' || (case_id % 3) AS domain, (5 + (case_id * 37) % 101)::DOUBLE AS latency_ms FROM oc)"
 
 
 def cases(m: Model) -> DataFrame:
-    """Outcomes with a test set, a domain and a latency by rule."""
+    """Outcomes with a test set, a domain, a confidence and a latency by rule."""
     k = F.col("case_id")
-    return outcomes(m).withColumns({"test_set": F.when(k % 2 == 0, "dev").otherwise("test"), "domain": F.concat(F.lit("d"), (k % 3).cast("string")), "latency_ms": (5 + (k * 37) % 101).cast("double")})
+    level = F.element_at(F.array(*[F.lit(x) for x in ev.LEVELS]), (k % 4 + 1).cast("int"))
+    return outcomes(m).withColumns({"confidence": level, "test_set": F.when(k % 2 == 0, "dev").otherwise("test"), "domain": F.concat(F.lit("d"), (k % 3).cast("string")), "latency_ms": (5 + (k * 37) % 101).cast("double")})
 
 
 _PCT = ", ".join(f"round(avg({c}::DOUBLE) * 100, 4) AS {c}" for c in ("found", "hit_1", "hit_5", "hit_10", "recall_5", "recall_10", "mrr_10", "ndcg_10"))
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE {c} = '{v}') AS {n}_{v}" for c, n, values in (("found_in", "channel", ("both", "semantic_only", "verbatim_only", "missed")), ("confidence", "confidence", ("none", "low", "medium", "high"))) for v in values)
+MEASURES = f"count(*) AS n, {_PCT}, round(avg(latency_ms), 4) AS mean_ms, round(median(latency_ms), 4) AS median_ms, quantile_disc(latency_ms, 0.95) AS p95_ms, {_COUNTS}"
 
 
-@query("ev_summary", f"{LIGHT}, {outcome_sql()}, {CASES} SELECT config, count(*) AS n, {_PCT}, round(avg(latency_ms), 4) AS mean_ms, round(median(latency_ms), 4) AS median_ms, quantile_disc(latency_ms, 0.95) AS p95_ms FROM cases GROUP BY config")
+@query("ev_summary", f"{LIGHT}, {outcome_sql()}, {CASES} SELECT config, {MEASURES} FROM cases GROUP BY config")
 def ev_summary(m: Model) -> DataFrame:
     return ev.summary(cases(m), "config")
 
 
-@query("ev_group_summary", f"{LIGHT}, {outcome_sql()}, {CASES} SELECT config, test_set, domain, count(*) AS n, round(avg(found::DOUBLE) * 100, 4) AS found, round(avg(hit_5::DOUBLE) * 100, 4) AS hit_5, round(avg(ndcg_10) * 100, 4) AS ndcg_10 FROM cases GROUP BY GROUPING SETS ((config), (config, test_set), (config, domain), (config, test_set, domain))")
+@query("ev_group_summary", f"{LIGHT}, {outcome_sql()}, {CASES} SELECT config, test_set, domain, {MEASURES} FROM cases GROUP BY GROUPING SETS ((config), (config, test_set), (config, domain), (config, test_set, domain))")
 def ev_group_summary(m: Model) -> DataFrame:
     return ev.group_summary(cases(m))
 
