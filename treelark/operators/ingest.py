@@ -1,4 +1,4 @@
-"""Merges of documents, chunks and edges as joins, and the embedding of texts."""
+"""Merges of documents, chunks and edges as joins, the embedding of texts, and the job that takes documents into a store."""
 
 from __future__ import annotations
 
@@ -6,9 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from treelark.operators.validate import chunk_violations
+from treelark.sources.scratch import exists, saved
+
 KEEP_ON_UPDATE = ("id", "created_at")
 
 
@@ -139,3 +142,59 @@ def backfill_citations(edges: DataFrame, chunks: DataFrame) -> DataFrame:
     """Edges with missing or blank citation_text filled from the source's own text."""
     t = chunks.select(F.col("path").alias("source"), F.col("verbatim_text").alias("__t"))
     return edges.join(t, "source", "left").withColumn("citation_text", F.coalesce(F.nullif(F.trim("citation_text"), F.lit("")), "__t")).drop("__t")
+
+
+STORE = {
+    "documents": "doc_slug string, id string, file string, raw_text string, profile string",
+    "chunks": "path string, id string, doc_slug string, verbatim_text string, contextualized_text string, start_line bigint, end_line bigint, node_type string, profile string, embedding array<float>",
+    "edges": "source string, target string, relation_type string, citation_text string, rationale string",
+    "quarantine": "doc_slug string, path string, reason string",
+}
+
+
+def read_store(spark: SparkSession, store: str, version: int) -> dict[str, DataFrame]:
+    """The tables of a version of a store; version 0 is empty."""
+    return {name: spark.read.schema(schema).parquet(f"{store}/v{version}/{name}") if version else spark.createDataFrame([], schema) for name, schema in STORE.items()}
+
+
+def ingest_documents(docs: DataFrame, profiles, store: str, version: int, drafts: DataFrame | None = None, relations: DataFrame | None = None, overwrite: bool = True, strict: bool = False, dims: int = 64) -> DataFrame:
+    """Takes documents (file, doc_slug, raw_text) into version + 1 of a store and returns its summary (documents, chunks, edges, embedded, skipped, quarantined).
+
+    Each document is cut by its profile and its chunks are checked; documents without a profile or with a broken rule go to the quarantine with
+    their reasons, or fail the job if strict. Documents that are stored already are passed over unless overwrite. Vectors of unchanged chunks are kept, others
+    are made; chunks that a document no longer has go, with their edges. drafts: edges (source_path, target_path, relation_type, citation_text,
+    rationale, seq) by paths. The new version is written beside the old one, so a job that fails leaves the store as it was.
+    """
+    spark, at = docs.sparkSession, f"{store}/v{version + 1}"
+    if exists(spark, f"{at}/edges/_SUCCESS"):
+        raise ValueError(f"{at} is there")
+    old = read_store(spark, store, version)
+    docs, skipped = (docs, docs.limit(0).select("doc_slug")) if overwrite else skip_existing(docs, old["documents"], old["chunks"])
+    chunks, unknown = profiles.chunk(docs)
+    chunks = saved(chunks.select("doc_slug", "path", "verbatim_text", "contextualized_text", "start_line", "end_line", "node_type", "profile"), "ingest-chunks")
+    broken = chunk_violations(chunks, docs).select("doc_slug", "path", F.col("rule").alias("reason"))
+    bad = saved(broken.unionByName(unknown.select("doc_slug", F.lit(None).cast("string").alias("path"), F.lit("NO_PROFILE").alias("reason"))), "ingest-quarantine")
+    if strict and (first := bad.first()):
+        raise ValueError(f"{first['doc_slug']}: {first['reason']}")
+    sound = docs.join(bad.select("doc_slug").distinct(), "doc_slug", "left_anti")
+    names = chunks.select("doc_slug", "profile").distinct()
+    new_docs = sound.join(names, "doc_slug", "left").select("doc_slug", F.md5("doc_slug").alias("id"), "file", "raw_text", "profile")
+    upsert(old["documents"], new_docs, "doc_slug", ("id",)).write.parquet(f"{at}/documents")
+    produced = chunks.join(sound.select("doc_slug"), "doc_slug", "left_semi")
+    # a document that no longer has any chunk counts as produced, too
+    left, edges = delete_stale(old["chunks"], produced.select("doc_slug", "path").unionByName(sound.select("doc_slug", F.lit(None).cast("string").alias("path"))), old["edges"])
+    reused = saved(split_by_reuse(produced, old["chunks"]), "ingest-reuse")
+    fresh = embed(reused.where("needs_embedding").drop("embedding"), dims=dims)
+    columns = [f.split(" ")[0] for f in STORE["chunks"].split(", ")]
+    made = reused.where("not needs_embedding").unionByName(fresh.select(*reused.columns)).withColumn("id", F.md5("path")).select(*columns)
+    upsert(left, made, "path", ("id",)).select(*columns).write.parquet(f"{at}/chunks")
+    stored = spark.read.schema(STORE["chunks"]).parquet(f"{at}/chunks")
+    if drafts is not None and relations is not None:
+        resolved = resolve_edges(drafts, stored.select("path", F.col("path").alias("id")), stored.select("path", F.col("path").alias("id")).limit(0))
+        edges, _ = upsert_edges(edges, resolved, relations)
+    old["quarantine"].join(docs.select("doc_slug"), "doc_slug", "left_anti").unionByName(bad).write.parquet(f"{at}/quarantine")
+    edges.select("source", "target", "relation_type", "citation_text", "rationale").write.parquet(f"{at}/edges")
+    new = read_store(spark, store, version + 1)
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    more = count(reused.where("needs_embedding"), "embedded").join(new["quarantine"].agg(F.countDistinct("doc_slug").alias("quarantined")))
+    return summary(new["documents"], new["chunks"], new["edges"], skipped).join(more)

@@ -10,6 +10,7 @@ from treelark.operators import chunking as ch
 from treelark.plans.model import EDGES, RELATION_ROWS, TREE, C, D, Model
 from treelark.plans.registry import query
 from treelark.sources import corpus
+from treelark.sources.scratch import scratch_folder
 
 MD = f"""WITH {D}, l0 AS (SELECT doc_slug, doc_id, unnest(string_split(raw_text, chr(10))) AS t, generate_subscripts(string_split(raw_text, chr(10)), 1) AS n FROM d),
 md AS (SELECT doc_slug, doc_id, n, t, CASE WHEN n % 7 = 2 THEN '## Part ' || (n % 2) WHEN n % 7 = 4 THEN '### Piece' WHEN n % 7 = 6 THEN '#### Item ' || (n % 3) ELSE t END AS line, CASE WHEN n % 7 IN (2, 4, 6) THEN 1 + (n % 7) // 2 END AS level FROM l0)"""
@@ -315,12 +316,12 @@ def src_relation_types(m: Model) -> DataFrame:
 
 @query("src_eval_cases", "SELECT item_id AS id, 'src' || (item_id % 20) || '.doc_' || item_id AS doc_slug, CASE WHEN item_id % 2 = 0 THEN 's_1' ELSE '' END AS path_suffix FROM benchmark")
 def src_eval_cases(m: Model) -> DataFrame:
-    """Expected targets of cases given as path strings, as slug and suffix."""
+    """Cases written as JSON Lines with expected targets as path strings, and read as slug and suffix."""
     k = F.col("item_id")
     slug = F.concat(F.lit("src"), (k % 20).cast("string"), F.lit(".doc_"), k.cast("string"))
     path = F.when(k % 2 == 0, F.concat(slug, F.lit(".s_1"))).otherwise(slug)
-    cases = m.table("benchmark").select(k.alias("id"), F.array(F.struct(F.lit(None).cast("string").alias("doc_slug"), path.alias("path"))).alias("expected"), F.array(slug, F.lit("src")).alias("doc_slugs"))
-    out = corpus.normalise_expected(cases)
-    return out.select("id", F.explode("expected").alias("e")).select("id", "e.doc_slug", "e.path_suffix")
-
-
+    expected = F.array(F.struct(F.lit(None).cast("string").alias("doc_slug"), path.alias("path"), F.lit(None).cast("string").alias("path_suffix")))
+    cases = m.table("benchmark").select(k.cast("string").alias("id"), F.lit("dev").alias("test_set"), F.col("text").alias("query"), F.array(slug, F.lit("src")).alias("doc_slugs"), expected.alias("expected"))
+    out = f"{scratch_folder(m.spark, 'cases')}/cases.jsonl"
+    corpus.write_cases(cases, out)
+    return corpus.read_cases(m.spark, out).select(F.col("id").cast("long").alias("id"), F.explode("expected").alias("e")).select("id", "e.doc_slug", "e.path_suffix")

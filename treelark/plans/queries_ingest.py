@@ -10,6 +10,7 @@ from treelark.operators import ingest as ing
 from treelark.operators import validate as val
 from treelark.plans.model import EDGES, C, D, Model
 from treelark.plans.registry import query
+from treelark.sources.scratch import scratch_folder
 
 NORM = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 
@@ -159,3 +160,45 @@ def ing_backfill_citation(m: Model) -> DataFrame:
     k = F.col("doc_id") % 3
     edges = m.docs.select(F.concat("doc_slug", F.lit(".s_1")).alias("source"), F.when(k == 0, F.lit(None)).when(k == 1, " ").otherwise("said").alias("citation_text"))
     return ing.backfill_citations(edges, m.chunks)
+
+
+def cut_lines(docs: DataFrame) -> DataFrame:
+    """A profile of one chunk a non-blank line."""
+    lines = docs.select("doc_slug", F.posexplode(F.split("raw_text", "\n")).alias("k", "line")).where(F.col("line").rlike(r"\S"))
+    n = (F.col("k") + 1).cast("long")
+    context = F.concat(F.lit("["), "doc_slug", F.lit("]\n"), "line")
+    return lines.select("doc_slug", F.concat("doc_slug", F.lit(".s_"), n.cast("string")).alias("path"), F.col("line").alias("verbatim_text"), context.alias("contextualized_text"), n.alias("start_line"), n.alias("end_line"), F.lit("SECTION").alias("node_type"))
+
+
+JOB = f"""WITH {C}, nb AS (SELECT d.doc_id, count(c.path) AS n FROM d LEFT JOIN c ON c.doc_id = d.doc_id WHERE raw_text IS NOT NULL GROUP BY d.doc_id), bad AS (SELECT doc_id, doc_id % 7 = 3 OR (doc_id % 11 = 5 AND n >= CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END) AS bad FROM nb), kept AS (SELECT * FROM c WHERE doc_id % 7 <> 3 AND doc_id % 11 <> 5), lined2 AS (SELECT doc_id, start_line FROM kept), gone AS (SELECT doc_id, max(start_line) AS last FROM kept WHERE doc_id % 2 = 0 GROUP BY doc_id)
+ SELECT (SELECT count(*) FROM bad WHERE NOT bad) AS documents, (SELECT count(*) FROM lined2) - (SELECT count(*) FROM gone) AS chunks,
+ (SELECT count(*) FROM lined2 a JOIN lined2 b ON b.doc_id = a.doc_id AND b.start_line = 2 WHERE a.start_line = 1 AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = a.doc_id AND g.last IN (1, 2))) AS edges,
+ (SELECT count(*) FROM lined2 l WHERE doc_id % 2 = 0 AND start_line = 1 AND start_line < (SELECT last FROM gone g WHERE g.doc_id = l.doc_id)) AS embedded, 0 AS skipped, (SELECT count(*) FROM bad WHERE bad) AS quarantined"""
+
+
+@query("ing_job", JOB)
+def ing_job(m: Model) -> DataFrame:
+    """All documents into an empty store, and those of even ids again, without their last line with text and with another first line.
+
+    Documents of some ids have no profile, others a chunk out of its namespace: both are in quarantine.
+    """
+    from treelark import plugins
+
+    def escaping(docs: DataFrame) -> DataFrame:
+        return cut_lines(docs).withColumn("path", F.concat(F.lit("elsewhere."), "path"))
+
+    profiles = plugins.Profiles()
+    profiles.register(plugins.Profile("lines", lambda file, text: file.endswith(".md"), cut_lines))
+    profiles.register(plugins.Profile("escaping", lambda file, text: file.endswith(".esc"), escaping))
+    k = F.col("doc_id")
+    suffix = F.when(k % 7 == 3, ".bin").when(k % 11 == 5, ".esc").otherwise(".md")
+    docs = m.docs.where("raw_text is not null").select("doc_id", F.concat(F.lit("/corpus/"), k.cast("string"), suffix).alias("file"), "doc_slug", "raw_text")
+    columns, store = ["file", "doc_slug", "raw_text"], scratch_folder(m.spark, "store")
+    s = F.col("doc_slug")
+    drafts = docs.select(F.concat(s, F.lit(".s_1")).alias("source_path"), F.concat(s, F.lit(".s_2")).alias("target_path"), F.lit("SUPPORTS").alias("relation_type"), F.lit("said").alias("citation_text"), F.lit(None).cast("string").alias("rationale"), F.lit(1).alias("seq"))
+    ing.ingest_documents(docs.select(*columns), profiles, store, 0, drafts, m.relations)
+    lines = F.split("raw_text", "\n")
+    last = F.array_max(F.transform(lines, lambda t, i: F.when(t.rlike(r"\S"), i)))
+    changed = F.transform(lines, lambda t, i: F.when(i == last, "").when((i == 0) & t.rlike(r"\S"), F.concat(t, F.lit(" more"))).otherwise(t))
+    again = docs.where(k % 2 == 0).withColumn("raw_text", F.array_join(changed, "\n"))
+    return ing.ingest_documents(again.select(*columns), profiles, store, 1)

@@ -152,7 +152,7 @@ def se_trigram(m: Model) -> DataFrame:
     return grep(m).select("query_id", "path", F.round(tx.word_similarity(F.col("pattern"), F.col("verbatim_text")), 6).alias("word_similarity"))
 
 
-@query("se_trigram_match", f"WITH {C}, {Q}, w AS (SELECT query_id, {tri('query_text')} AS a FROM q), t AS (SELECT path, {tri('verbatim_text')} AS b FROM c), s AS (SELECT query_id, path, round({JACC.format(a='a', b='b')}, 6) AS similarity FROM w JOIN t ON true) SELECT * FROM s WHERE similarity >= 0.3")
+@query("se_trigram_match", f"WITH {C}, {Q}, w AS (SELECT query_id, {tri('query_text')} AS a FROM q), t AS (SELECT path, {tri('verbatim_text')} AS b FROM c), wa AS (SELECT query_id, len(a) AS na, unnest(a) AS g FROM w), tb AS (SELECT path, len(b) AS nb, unnest(b) AS g FROM t WHERE len(b) * 0.3 <= (SELECT max(len(a)) FROM w)), k AS (SELECT query_id, path, na, nb, count(*) AS k FROM wa JOIN tb USING (g) GROUP BY ALL), s AS (SELECT query_id, path, round(k::DOUBLE / (na + nb - k), 6) AS similarity FROM k) SELECT * FROM s WHERE similarity >= 0.3")
 def se_trigram_match(m: Model) -> DataFrame:
     """Lines similar to a pattern as whole texts: set similarity join on shared trigrams, where sizes that can't reach the similarity don't meet."""
     q = m.search_queries.select("query_id", tx.trigrams(F.col("query_text")).alias("a"))

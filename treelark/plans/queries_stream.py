@@ -129,13 +129,17 @@ def sink_snapshot(m: Model) -> DataFrame:
     return t["documents"].agg(F.count("*").alias("documents")).join(t["chunks"].agg(F.count("*").alias("chunks")))
 
 
-@query("src_corpus_files", "SELECT source, count(*) AS n, sum(length(text)) AS chars FROM documents GROUP BY source")
+@query("src_corpus_files", "SELECT source, count(*) AS n_lines, CAST(sum(length(line) + 1) AS BIGINT) AS chars FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY source")
 def src_corpus_files(m: Model) -> DataFrame:
-    """All documents written as text, one folder a source, and read back as a corpus of files."""
+    """All lines of the documents written to Markdown files, one folder a source, beside hidden files, and read back as a corpus of files."""
     out = scratch_folder(m.spark, "files")
-    m.docs.select("source", F.col("raw_text").alias("value")).where("raw_text is not null").write.partitionBy("source").json(out)
-    back = m.spark.read.json(out)
-    return back.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars"))
+    lines = m.docs.where("raw_text is not null").select("source", F.explode(F.split("raw_text", "\n")).alias("line"))
+    plain = {"extension": "md", "quote": "", "sep": "\u0001", "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "maxRecordsPerFile": "5000"}
+    lines.write.partitionBy("source").options(**plain).csv(f"{out}/corpus")
+    lines.limit(1).write.partitionBy("source").options(**plain).csv(f"{out}/corpus/.hidden")
+    back = corpus.corpus_files(m.spark, f"{out}/corpus", "ns")
+    source = F.regexp_extract("file", r"/source=([^/]+)/", 1)
+    return back.groupBy(source.alias("source")).agg(F.sum(F.size(F.split("raw_text", "\n")) - 1).alias("n_lines"), F.sum(F.length("raw_text")).alias("chars"))
 
 
 @query("src_benchmark_payloads", "SELECT (item_id % 7)::VARCHAR AS batch, count(*) AS n FROM benchmark GROUP BY 1")
