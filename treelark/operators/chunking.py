@@ -259,6 +259,7 @@ def disambiguate(heads: DataFrame, label: str = "label", scope: str | None = Non
     heads = heads.withColumn("__stem", F.regexp_replace(label, suffix, "")).withColumn("__scope", F.col(scope) if scope else F.lit(None).cast("string"))
     group = Window.partitionBy("doc_slug", "parent", "__stem")
     heads = heads.withColumn("__k", F.row_number().over(group.orderBy("n"))).withColumn("__same", (F.min(label).over(group) == F.max(label).over(group)) & (F.count("__scope").over(group) == 0))
+    heads = saved(heads, "labels")  # headings alone: they are read twice below
     plain = F.when(F.col("__k") > 1, F.concat(F.col(label), F.lit("_"), (F.col("__k") - 1).cast("string"))).otherwise(F.col(label))
     mixed = heads.where(~F.col("__same")).groupBy("doc_slug", "parent", "__stem").agg(F.sort_array(F.collect_list(F.struct("n", F.col(label).alias("l"), F.col("__scope").alias("s")))).alias("rows"))
     start = F.expr("struct(cast(array() as array<string>) as used, cast(array() as array<struct<n: bigint, l: string>>) as out)")
@@ -300,6 +301,7 @@ def emit(lines: DataFrame, paths: DataFrame) -> DataFrame:
     ).where("prose > 0")
     inside = F.filter("l", lambda x: (x["n"] >= F.col("start_line")) & (x["n"] <= F.col("end_line")))
     text = F.array_join(F.transform(inside, lambda x: x["line"]), "\n")
+    paths = saved(paths, "paths")
     joined = by.join(paths.withColumnRenamed("section", "__s"), ["doc_slug", "__s"], "left")
     taken = paths.where(F.col("path") == F.concat("doc_slug", F.lit(".overview"))).select("doc_slug", F.lit(True).alias("__taken"))
     joined = joined.join(taken, "doc_slug", "left")
