@@ -61,15 +61,19 @@ def links(steps: DataFrame, quota: int = 20) -> DataFrame:
     return steps.withColumn("total", F.count("*").over(w)).withColumn("place", n.cast("long")).where(F.col("place") <= k).withColumn("truncated", F.col("total") > k)
 
 
-def doc_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, in_degree, out_degree, external): nodes with the degrees of edges that leave them; external counts targets that are not nodes."""
-    out = edges.join(nodes.select(F.col("id").alias("source")), "source")
-    inner = nodes.select(F.col("id").alias("target"), F.lit(True).alias("inside"))
-    marked = out.join(inner, "target", "left")
+def doc_graph(nodes: DataFrame, edges: DataFrame, by: str | None = None) -> DataFrame:
+    """(id[, by], in_degree, out_degree, external): nodes with the degrees of edges that leave them; external counts targets that are not nodes.
+
+    by: a column of nodes whose values are graphs of their own, all made in one pass; a target in another graph is external.
+    """
+    own = [by] if by else []
+    out = edges.join(nodes.select(F.col("id").alias("source"), *own), "source")
+    inner = nodes.select(F.col("id").alias("target"), *own, F.lit(True).alias("inside"))
+    marked = out.join(inner, ["target", *own], "left")
     outs = marked.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("o"), F.count_if(F.col("inside").isNull()).alias("x"))
     ins = marked.where("inside").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("i"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return nodes.select("id").join(ins, "id", "left").join(outs, "id", "left").select("id", zero("i").alias("in_degree"), zero("o").alias("out_degree"), zero("x").alias("external"))
+    return nodes.select("id", *own).join(ins, "id", "left").join(outs, "id", "left").select("id", *own, zero("i").alias("in_degree"), zero("o").alias("out_degree"), zero("x").alias("external"))
 
 
 def list_edges(sources: DataFrame, edges: DataFrame) -> DataFrame:

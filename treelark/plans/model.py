@@ -79,8 +79,8 @@ class Model:
 
     @property
     def search_queries(self) -> DataFrame:
-        """All benchmark passages: the first five words as text and pattern, and the vector of the same id."""
-        b = self.table("benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", "\\s+"), 1, 5), " ").alias("query_text"))
+        """All benchmark passages: their words as text and pattern, and the vector of the same id."""
+        b = self.table("benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.split("text", "\\s+"), " ").alias("query_text"))
         return b.join(self.table("embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id", "left")
 
     @property
@@ -104,12 +104,13 @@ class Model:
 
     @property
     def edges(self) -> DataFrame:
-        """Two edges from every document, to documents of rule-given ids; relation by id, citation from the first line."""
-        docs = self.table("documents").select("doc_id", F.split("text", "\n")[0].alias("first"))
+        """Two edges from every document, to documents of rule-given ids; relation by id, citation the longest line."""
+        longest = F.array_max(F.transform(F.split("text", "\n"), lambda x: F.struct(F.length(x).alias("l"), x.alias("line"))))["line"]
+        docs = self.table("documents").select("doc_id", longest.alias("said"))
         n = docs.agg(F.max("doc_id").alias("top"))
         code = F.element_at(F.array(*[F.lit(c) for c in CODES]), (F.pmod("doc_id", F.lit(9)) + 1).cast("int"))
-        both = docs.crossJoin(F.broadcast(n)).select("doc_id", "first", code.alias("relation_type"), F.explode(F.array(F.pmod(F.col("doc_id") * 7 + 3, F.col("top") + 1), F.pmod(F.col("doc_id") * 13 + 5, F.col("top") + 1))).alias("target"))
-        cited = both.where("doc_id <> target").select(F.col("doc_id").alias("source"), "target", "relation_type", F.col("first").alias("citation_text"))
+        both = docs.crossJoin(F.broadcast(n)).select("doc_id", "said", code.alias("relation_type"), F.explode(F.array(F.pmod(F.col("doc_id") * 7 + 3, F.col("top") + 1), F.pmod(F.col("doc_id") * 13 + 5, F.col("top") + 1))).alias("target"))
+        cited = both.where("doc_id <> target").select(F.col("doc_id").alias("source"), "target", "relation_type", F.col("said").alias("citation_text"))
         return cited.groupBy("source", "target", "relation_type").agg(F.min("citation_text").alias("citation_text"))
 
     @property
@@ -133,7 +134,7 @@ c AS (SELECT doc_id, doc_slug, source, doc_slug || '.s_' || n AS path, line AS v
  n AS start_line, n AS end_line FROM lined WHERE regexp_matches(line, '\\S'))"""
 )
 EMBEDDED = "emb AS (SELECT path, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings JOIN (SELECT doc_id, arg_min(path, start_line) AS path FROM c GROUP BY doc_id) ON vec_id = doc_id)"
-Q = "q AS (SELECT item_id AS query_id, array_to_string(regexp_split_to_array(b.text, '\\s+')[1:5], ' ') AS query_text, CAST(e.embedding AS DOUBLE[]) AS query_vector FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id)"
+Q = "q AS (SELECT item_id AS query_id, array_to_string(regexp_split_to_array(b.text, '\\s+'), ' ') AS query_text, CAST(e.embedding AS DOUBLE[]) AS query_vector FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id)"
 COSINE = "round(list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a})) / sqrt(list_dot_product({b}, {b})), 6)"
 TREE = """np AS (SELECT n_nationkey, n_name, 'r' || n_regionkey || '.n' || n_nationkey AS p FROM nation),
 cp AS (SELECT c_custkey, c_name, p || '.c' || c_custkey AS p FROM customer JOIN np ON c_nationkey = n_nationkey),
@@ -143,7 +144,7 @@ tree AS (SELECT *, start_line + length(title) AS end_line, split_part(path, '.',
 # written out, not made from the list above: the SQL is to find a wrong one
 _codes = "['CONTRADICTS', 'DEFINES', 'DEPENDS_ON', 'EXEMPLIFIES', 'EXTENDS', 'REFERENCES', 'SEE_ALSO', 'SUPERSEDES', 'SUPPORTS']"
 EDGES = f"""e0 AS (SELECT doc_id AS source, unnest([(doc_id * 7 + 3) % (SELECT max(doc_id) + 1 FROM documents), (doc_id * 13 + 5) % (SELECT max(doc_id) + 1 FROM documents)]) AS target,
- {_codes}[CAST(doc_id % 9 + 1 AS INT)] AS relation_type, string_split(text, chr(10))[1] AS citation_text FROM documents),
+ {_codes}[CAST(doc_id % 9 + 1 AS INT)] AS relation_type, list_max(list_transform(string_split(text, chr(10)), lambda x: {{'l': length(x), 'line': x}})).line AS citation_text FROM documents),
 edges AS (SELECT source, target, relation_type, min(citation_text) AS citation_text FROM e0 WHERE source <> target GROUP BY ALL)"""
 RELATION_ROWS = """('REFERENCES', 'Mentions the target', false), ('SUPPORTS', 'Gives evidence for the target', false), ('CONTRADICTS', 'States the opposite of the target', true),
  ('DEFINES', 'Defines a term of the target', false), ('EXTENDS', 'Adds detail to the target', false), ('EXEMPLIFIES', 'Gives an example of the target', false),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from treelark.operators import evaluate as ev
 from treelark.operators import search as se
 from treelark.plans.model import RUNS, C, Model
-from treelark.plans.queries_search import VENN, grep, hybrid, reranked, sparse, venn
+from treelark.plans.queries_search import PLAIN_ORDER, VENN, VERBATIM, grep, hybrid, reranked, sparse, venn, venn_sql
 from treelark.plans.registry import query
 from treelark.sources.scratch import saved
 
@@ -51,7 +51,7 @@ def light(m: Model) -> DataFrame:
     return saved(a.unionByName(b), "runs")
 
 
-LIGHT = f"""WITH {C}, q AS (SELECT item_id AS query_id, array_to_string(regexp_split_to_array(text, '\\s+')[1:5], ' ') AS query_text FROM benchmark), {sparse('contextualized_text')}, {EXPECTED},
+LIGHT = f"""WITH {C}, q AS (SELECT item_id AS query_id, array_to_string(regexp_split_to_array(text, '\\s+'), ' ') AS query_text FROM benchmark), {sparse('contextualized_text')}, {EXPECTED},
  hits AS (SELECT query_id, c.* FROM q JOIN c ON query_text <> '' AND (contains(verbatim_text, query_text) OR contains(contextualized_text, query_text))),
  run AS (SELECT 'sparse' AS config, query_id AS case_id, sparse_rank AS rank, path FROM sparse WHERE sparse_rank <= 10 UNION ALL
   SELECT 'grep', query_id, r, path FROM (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY doc_slug, start_line, path) AS r FROM hits) WHERE r <= 10)"""
@@ -194,7 +194,18 @@ def ev_case_edit(m: Model) -> DataFrame:
     return ev.edit_cases(b, b.where("case_id % 3 = 0").withColumn("note", F.lit("edited")), b.where("case_id % 5 = 0"))
 
 
-@query("ev_ablation", None)
+_CUT = "query_id AS case_id, {rank} AS rank, path FROM {of} WHERE {rank} <= 10"
+_RUN = " UNION ALL ".join(f"SELECT '{name}' AS config, {_CUT.format(of=of, rank=rank)}" for name, of, rank in (
+    ("dense", "dense", "dense_rank"), ("sparse", "sparse", "sparse_rank"), ("sparse_verbatim", "sv", "sparse_rank"), ("rrf", "rrf", "rank"), ("rrf_rerank", "rr", "new_rank"))
+)
+_VENNS = " UNION ALL ".join(f"SELECT '{name}' AS config, query_id AS case_id, rank, path FROM {of}" for name, of in (("venn", "ve"), ("venn_rerank", "vr")))
+ABLATION = f"""{PLAIN_ORDER}, {VERBATIM}, {EXPECTED}, sv AS (WITH {sparse('verbatim_text')} SELECT * FROM sparse),
+ve AS (WITH {venn_sql("SELECT query_id, path, rank AS s FROM rrf WHERE rank <= 10")} SELECT * FROM venn), vr AS (WITH {venn_sql("SELECT query_id, path, new_rank AS s FROM rr WHERE new_rank <= 10")} SELECT * FROM venn),
+run AS ({_RUN} UNION ALL {_VENNS}), {outcome_sql()}
+SELECT config, count(*) AS n, round(avg(CASE WHEN found THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS found, round(avg(mrr_10), 6) AS mrr_10, round(avg(ndcg_10), 6) AS ndcg_10 FROM oc GROUP BY config"""
+
+
+@query("ev_ablation", ABLATION)
 def ev_ablation(m: Model) -> DataFrame:
     """Seven configurations over all cases, summed up by configuration."""
     return ev.outcomes(configs(m), expected(m)).groupBy("config").agg(F.count("*").alias("n"), F.round(F.avg(F.col("found").cast("double")), 6).alias("found"), F.round(F.avg("mrr_10"), 6).alias("mrr_10"), F.round(F.avg("ndcg_10"), 6).alias("ndcg_10"))

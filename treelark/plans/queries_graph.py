@@ -38,10 +38,11 @@ def kg_links(m: Model) -> DataFrame:
     return kg.links(kg.step_dedupe(steps(m)), 2).select("source0", "from", "to", "relation_type", "depth", "total", "place", "truncated")
 
 
-@query("kg_doc_graph", f"""WITH {EDGES}, n AS (SELECT doc_id AS id FROM documents WHERE lang = 'en'), o AS (SELECT e.*, t.id IS NULL AS ext FROM edges e JOIN n s ON s.id = source LEFT JOIN n t ON t.id = target)
+@query("kg_doc_graph", f"""WITH {EDGES}, n AS (SELECT doc_id AS id, lang FROM documents), o AS (SELECT e.*, t.id IS NULL AS ext FROM edges e JOIN n s ON s.id = source LEFT JOIN n t ON t.id = target AND t.lang = s.lang)
  SELECT id, (SELECT count(*) FROM o WHERE target = id AND NOT ext) AS in_degree, (SELECT count(*) FROM o WHERE source = id) AS out_degree, (SELECT count(*) FROM o WHERE source = id AND ext) AS external FROM n""")
 def kg_doc_graph(m: Model) -> DataFrame:
-    return kg.doc_graph(m.docs.where("lang = 'en'").select(F.col("doc_id").alias("id")), m.edges)
+    """The graph of each language's documents."""
+    return kg.doc_graph(m.docs.select(F.col("doc_id").alias("id"), "lang"), m.edges, "lang").drop("lang")
 
 
 @query("kg_list_edges", f"WITH {EDGES} SELECT source, target, relation_type FROM edges WHERE source IN (SELECT doc_id FROM labels)")
@@ -62,7 +63,7 @@ def proposals(m: Model) -> DataFrame:
     k, n = F.col("doc_id"), F.col("start_line")
     kind = F.pmod(k * 5 + n, F.lit(60))
     target = F.when(kind == 1, "no.such").when(kind == 2, F.col("path")).otherwise(F.col("doc_slug"))
-    quote = F.when(kind == 3, " ").when(kind == 4, "never said").otherwise(F.substring("verbatim_text", 1, 12))
+    quote = F.when(kind == 3, " ").when(kind == 4, "never said").otherwise(F.col("verbatim_text"))
     return c.select(
         k.alias("batch_id"), n.alias("seq"), F.when(kind == 5, "no.source").otherwise(F.col("path")).alias("source"), target.alias("target"),
         F.when(kind == 6, "LIKES").otherwise("SUPPORTS").alias("relation_type"), quote.alias("citation_text"), F.when(kind == 7, "").otherwise("because").alias("reason"),
@@ -70,7 +71,7 @@ def proposals(m: Model) -> DataFrame:
 
 
 PROPOSALS = """pr AS (SELECT doc_id AS batch_id, start_line AS seq, CASE WHEN kind = 5 THEN 'no.source' ELSE path END AS source, path AS own, verbatim_text, doc_slug,
- CASE kind WHEN 1 THEN 'no.such' WHEN 2 THEN path ELSE doc_slug END AS target, CASE kind WHEN 6 THEN 'LIKES' ELSE 'SUPPORTS' END AS relation_type, CASE kind WHEN 3 THEN ' ' WHEN 4 THEN 'never said' ELSE substr(verbatim_text, 1, 12) END AS citation_text, kind
+ CASE kind WHEN 1 THEN 'no.such' WHEN 2 THEN path ELSE doc_slug END AS target, CASE kind WHEN 6 THEN 'LIKES' ELSE 'SUPPORTS' END AS relation_type, CASE kind WHEN 3 THEN ' ' WHEN 4 THEN 'never said' ELSE verbatim_text END AS citation_text, kind
  FROM (SELECT *, (doc_id * 5 + start_line) % 60 AS kind FROM c)),
 norm AS (SELECT *, trim(regexp_replace(citation_text, '\\s+', ' ', 'g')) AS nq, trim(regexp_replace(verbatim_text, '\\s+', ' ', 'g')) AS nt FROM pr),
 va AS (SELECT *, CASE WHEN kind = 7 THEN 'MISSING_REASON' WHEN kind = 6 THEN 'INVALID_RELATION_TYPE' WHEN kind = 5 THEN 'SOURCE_NOT_FOUND' WHEN kind = 1 THEN 'TARGET_NOT_FOUND' WHEN trim(citation_text) = '' THEN 'EMPTY_CITATION_TEXT'
@@ -143,12 +144,12 @@ def answers(m: Model) -> DataFrame:
     path = F.when(kind == 1, "bad path!").when(kind == 2, "no.such").otherwise(F.concat(slug, F.lit(".s_1")))
     quote = F.when(kind == 3, F.lit(None)).when(kind == 4, "never said this").otherwise("")
     two = F.array(F.struct(F.concat(F.lit(" "), path).alias("path"), quote.alias("citation_text")), F.struct(F.concat(slug, F.lit(".s_1")).alias("path"), F.lit(None).cast("string").alias("citation_text")))
-    text = F.when(kind == 5, " ").otherwise(F.concat(F.substring("text", 1, 20), F.when(kind == 6, " [#7]").when(kind == 8, "").otherwise(" [#2] and [#1]")))
+    text = F.when(kind == 5, " ").otherwise(F.concat(F.col("text"), F.when(kind == 6, " [#7]").when(kind == 8, "").otherwise(" [#2] and [#1]")))
     return c.select(k.alias("answer_id"), text.alias("answer"), (kind == 7).alias("abstained"), F.when(kind == 0, F.array().cast("array<struct<path:string,citation_text:string>>")).otherwise(two).alias("citations"))
 
 
 ANSWERS = """a AS (SELECT conv_id * 10 + turn AS answer_id, (conv_id + turn) % 9 AS kind, 'src' || (conv_id % 20) || '.doc_' || conv_id || '.s_1' AS p, text FROM conversations WHERE role = 'assistant'),
-a2 AS (SELECT *, CASE WHEN kind = 5 THEN ' ' ELSE substr(text, 1, 20) || CASE kind WHEN 6 THEN ' [#7]' WHEN 8 THEN '' ELSE ' [#2] and [#1]' END END AS answer, EXISTS (SELECT 1 FROM c WHERE c.path = p) AS there FROM a)"""
+a2 AS (SELECT *, CASE WHEN kind = 5 THEN ' ' ELSE text || CASE kind WHEN 6 THEN ' [#7]' WHEN 8 THEN '' ELSE ' [#2] and [#1]' END END AS answer, EXISTS (SELECT 1 FROM c WHERE c.path = p) AS there FROM a)"""
 
 
 @query("ans_normalise_citations", f"WITH {C}, {ANSWERS} SELECT answer_id, CASE WHEN kind = 0 THEN 0 ELSE 2 END AS n, CASE kind WHEN 0 THEN NULL WHEN 1 THEN 'bad path!' WHEN 2 THEN 'no.such' ELSE p END AS first_path FROM a2")
@@ -174,7 +175,7 @@ def ans_resolve(m: Model) -> DataFrame:
 
 @query(
     "ans_renumber",
-    f"""WITH {C}, {ANSWERS}, r AS (SELECT answer_id, kind, there AND kind NOT IN (0, 7) AS has, trim(CASE WHEN kind = 5 THEN ' ' ELSE substr(text, 1, 20) || CASE WHEN kind IN (6, 8) THEN CASE kind WHEN 6 THEN ' ' ELSE '' END
+    f"""WITH {C}, {ANSWERS}, r AS (SELECT answer_id, kind, there AND kind NOT IN (0, 7) AS has, trim(CASE WHEN kind = 5 THEN ' ' ELSE text || CASE WHEN kind IN (6, 8) THEN CASE kind WHEN 6 THEN ' ' ELSE '' END
  ELSE ' ' || CASE WHEN there AND kind NOT IN (0, 7) THEN '[#1]' ELSE '' END || ' and ' || CASE WHEN there AND kind NOT IN (0, 1, 2, 7) THEN '[#1]' ELSE '' END END END) AS t FROM a2)
  SELECT answer_id, CASE WHEN has AND NOT contains(t, '[#1]') THEN t || ' [#1]' ELSE t END AS answer FROM r""",
 )

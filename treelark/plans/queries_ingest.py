@@ -143,7 +143,7 @@ def ing_embed_normalise(m: Model) -> DataFrame:
     return m.table("embeddings").select("vec_id", F.round(F.sqrt(F.aggregate(F.slice("embedding", 1, 16), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), 6).alias("length16"), F.round(F.get(v, F.lit(0)), 6).alias("first"))
 
 
-@query("ing_embed", None)
+@query("ing_embed", f"WITH {C} SELECT path, 1.0::DOUBLE AS length2 FROM c")
 def ing_embed(m: Model) -> DataFrame:
     """All chunks embedded by the default encoder; the squared length shows that vectors are units."""
     e = ing.embed(m.chunks.select("path", "contextualized_text"))

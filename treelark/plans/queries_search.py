@@ -194,13 +194,20 @@ def se_search(m: Model) -> DataFrame:
     return hits.join(se.confidence(m.search_queries, hits), "query_id").select("query_id", "path", "new_rank", "rerank_score", "rrf_score", "confidence")
 
 
-VENN = f"""{BASE}, hits AS (SELECT query_id, c.* FROM q JOIN c ON query_text <> '' AND (contains(verbatim_text, query_text) OR contains(contextualized_text, query_text))),
-vb AS (SELECT * FROM (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY doc_slug, start_line, path) AS v FROM hits) WHERE v <= 10),
-sm AS (SELECT query_id, path, rank AS s FROM rrf WHERE rank <= 10),
+VERBATIM = """hits AS (SELECT query_id, c.* FROM q JOIN c ON query_text <> '' AND (contains(verbatim_text, query_text) OR contains(contextualized_text, query_text))),
+vb AS (SELECT * FROM (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY doc_slug, start_line, path) AS v FROM hits) WHERE v <= 10)"""
+
+
+def venn_sql(semantic: str) -> str:
+    """Of the semantic rows (query_id, path, s) and those of vb."""
+    return f"""sm AS ({semantic}),
 vn AS (SELECT query_id, path, CASE WHEN s IS NULL THEN 2 WHEN v IS NULL THEN 1 ELSE 0 END AS b, coalesce(s, v) AS o FROM sm FULL OUTER JOIN vb USING (query_id, path)),
 venn AS (SELECT query_id, path, ['both', 'semantic_only', 'verbatim_only'][b + 1] AS found_in, row_number() OVER (PARTITION BY query_id ORDER BY b, o, path) AS rank FROM vn)"""
 
 
+VENN = f"{BASE}, {VERBATIM}, {venn_sql('SELECT query_id, path, rank AS s FROM rrf WHERE rank <= 10')}"
+
+
 @query("se_venn", f"{VENN} SELECT * FROM venn")
 def se_venn(m: Model) -> DataFrame:
     return venn(m)

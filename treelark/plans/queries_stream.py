@@ -13,7 +13,7 @@ from treelark.operators import ingest as ing
 from treelark.operators import search as se
 from treelark.plans.model import C, Model
 from treelark.plans.queries_graph import answers
-from treelark.plans.queries_search import hybrid
+from treelark.plans.queries_search import BASE, hybrid
 from treelark.plans.registry import query
 from treelark.sources import corpus
 from treelark.sources.scratch import scratch_folder
@@ -27,12 +27,25 @@ def events(m: Model) -> DataFrame:
     return m.table("events").select(F.col("user_id").cast("string").alias("session"), "event_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), F.col("event_type").alias("tool"), F.when(F.col("event_id") % 2 == 0, F.col("props")).alias("args"), took.cast("double").alias("elapsed_ms"))
 
 
-@query("st_tool_trace", None)
+# the open calls of each session and tool as a list that is walked event by event
+TRACES = """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS session, event_type AS tool, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT DISTINCT session, tool, 0::BIGINT AS k, []::BIGINT[] AS running, NULL::BIGINT AS start_id, NULL::BIGINT AS end_id FROM e
+ UNION ALL SELECT session, tool, e.k, CASE WHEN event_id % 3 = 0 THEN list_append(running, event_id) ELSE running[1:-2] END, CASE WHEN event_id % 3 <> 0 THEN running[-1] END, CASE WHEN event_id % 3 <> 0 THEN event_id END
+ FROM r JOIN e USING (session, tool) WHERE e.k = r.k + 1),
+closed AS (SELECT session, tool, start_id, end_id, CASE WHEN end_id % 3 = 1 THEN 'done' ELSE 'error' END AS status FROM r WHERE end_id IS NOT NULL),
+still AS (SELECT session, tool, unnest(running) AS start_id FROM (SELECT *, max(k) OVER (PARTITION BY session, tool) AS last FROM r) WHERE k = last)"""
+_TIMED = "CASE WHEN t.end_id % 3 = 1 AND z.value IS NOT NULL THEN z.value ELSE (epoch_us(z.ts) - epoch_us(a.ts)) / 1000.0::DOUBLE END"
+_ARGS = "coalesce(CASE WHEN t.end_id % 2 = 0 THEN z.props END, CASE WHEN t.start_id % 2 = 0 THEN a.props END)"
+
+
+@query("st_tool_trace", f"""{TRACES}, t AS (SELECT * FROM closed UNION ALL SELECT session, tool, start_id, NULL, 'running' FROM still)
+ SELECT session, tool, start_id, end_id, status, {_ARGS} AS args, round({_TIMED}, 3) AS elapsed_ms FROM t LEFT JOIN events a ON a.event_id = start_id LEFT JOIN events z ON z.event_id = end_id""")
 def st_tool_trace(m: Model) -> DataFrame:
-    return st.traces(events(m)).select("session", "tool", "start_id", "end_id", "status")
+    return st.traces(events(m)).withColumn("elapsed_ms", F.round("elapsed_ms", 3))
 
 
-@query("st_tool_trace_stream", None)
+@query("st_tool_trace_stream", f"""{TRACES} SELECT session, tool, start_id, end_id, status FROM closed UNION ALL SELECT session, tool, start_id, NULL, 'unfinished'
+ FROM (SELECT s.*, max(ts) OVER (PARTITION BY session, tool) AS latest FROM still s JOIN events ON event_id = start_id) WHERE latest + INTERVAL 1 HOUR < (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def st_tool_trace_stream(m: Model) -> DataFrame:
     """The stream over the whole table of events, read back from its sink."""
     out = scratch_folder(m.spark, "traces")
@@ -45,11 +58,23 @@ def st_tool_trace_stream(m: Model) -> DataFrame:
     return m.spark.read.parquet(f"{out}/rows").select("session", "tool", "start_id", "end_id", "status")
 
 
-@query("st_recent_events", "SELECT user_id::VARCHAR AS session, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 100")
+RECENT = "SELECT user_id::VARCHAR AS session, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 100"
+
+
+@query("st_recent_events", RECENT)
 def st_recent_events(m: Model) -> DataFrame:
     return st.recent(events(m)).select("session", "event_id")
 
 
+@query("st_recent_events_stream", RECENT)
+def st_recent_events_stream(m: Model) -> DataFrame:
+    """The same kept up by a stream of the table's files, read back from its store."""
+    store = scratch_folder(m.spark, "recent")
+    arriving = Model(m.spark, m.dir)
+    arriving.table = lambda name: m.spark.readStream.schema(m.table(name).schema).option("maxFilesPerTrigger", 64).parquet(f"{m.dir}/{name[:-1]}[s].parquet")
+    return st.recent_stream(events(arriving), store).select("session", "event_id")
+
+
 @query("st_trace_summary", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id % 9 || ' chunks · ' || event_id % 4 || ' documents' WHEN 1 THEN event_id % 9 || ' nodes' WHEN 2 THEN event_id % 9 || ' links' WHEN 3 THEN event_id % 9 || ' citations' ELSE (event_id % 9)::VARCHAR END AS badge FROM events")
 def st_trace_summary(m: Model) -> DataFrame:
     k = F.col("event_id")
@@ -88,17 +113,17 @@ def ux_profile(m: Model) -> DataFrame:
     return own.chunk(docs)[0].groupBy("profile").agg(F.count("*").alias("chunks"))
 
 
-@query("ux_encoder", None)
+@query("ux_encoder", f"WITH {C} SELECT path, round(CAST(CAST(n / sqrt(n * n + w * w) AS FLOAT) AS DOUBLE), 4) AS first FROM (SELECT path, length(verbatim_text)::DOUBLE AS n, (1 + length(verbatim_text) - length(replace(verbatim_text, ' ', '')))::DOUBLE AS w FROM c)")
 def ux_encoder(m: Model) -> DataFrame:
     """An encoder of the user's own: two features of each text."""
     def make(dims: int):
         return lambda texts: np.array([[len(t), 1 + t.count(" ")] for t in texts], np.float64)
 
     e = ing.embed(m.chunks, "verbatim_text", 2, make)
-    return e.select("path", F.round(F.get("embedding", F.lit(0)), 4).alias("first"))
+    return e.select("path", F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("first"))
 
 
-@query("ux_reranker", None)
+@query("ux_reranker", f"{BASE}, sh AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY length(verbatim_text), rank) AS new_rank FROM rrf JOIN c USING (path) WHERE rank <= 10) SELECT query_id, path, new_rank FROM sh")
 def ux_reranker(m: Model) -> DataFrame:
     """Hybrid hits reordered by a pair scorer of the user's own: short texts first."""
     scorer = plugins.pair_scorer(lambda q, t: np.array([-float(len(x)) for x in t]))

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from treelark.sources.scratch import exists
+
 TRACE = "session string, tool string, start_id bigint, end_id bigint, status string, args string, elapsed_ms double"
 
 
@@ -32,17 +34,29 @@ def fold(rows: Iterator, running: list[tuple]) -> tuple[list[tuple], list[tuple]
 
 
 def traces(events: DataFrame) -> DataFrame:
-    """All traces of a finished table of events; calls that never end have status running."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        done, left = fold(pdf.sort_values(["ts", "event_id"]).itertuples(), [])
-        done += [(i, None, "running", a, None) for i, _, a in left]
-        out = pd.DataFrame(done, columns=["start_id", "end_id", "status", "args", "elapsed_ms"])
-        out.insert(0, "session", key[0])
-        out.insert(1, "tool", key[1])
-        return out.astype({"start_id": "Int64", "end_id": "Int64", "elapsed_ms": "float64"})
-
-    return events.select("session", "tool", "event_id", "ts", "kind", "args", "elapsed_ms").groupBy("session", "tool").applyInPandas(run, TRACE)
+    """All traces of a finished table of events; calls that never end have status running. Of a null kind or one unknown: an error.
+
+    The number of open calls after an event is a running sum that never falls below zero. A start that opens the n-th call and the next terminal
+    event that finds n calls open belong together, so both are neighbours among the events of that level; windows spill, and no group is held whole.
+    """
+    group = ["session", "tool"]
+    order = [F.col("ts"), F.col("event_id")]
+    so_far = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    starts = F.coalesce(F.col("kind") == "tool_start", F.lit(False))
+    e = events.select(*group, "event_id", "ts", "kind", "args", F.nanvl(F.col("elapsed_ms").cast("double"), F.lit(None).cast("double")).alias("elapsed_ms"), starts.alias("opens"))
+    e = e.withColumn("sum", F.sum(F.when(F.col("opens"), 1).otherwise(-1)).over(so_far))
+    e = e.withColumn("open", F.col("sum") - F.least(F.lit(0), F.min("sum").over(so_far)))
+    before = F.lag("open", 1, 0).over(Window.partitionBy(*group).orderBy(*order))
+    e = e.withColumn("level", F.when(F.col("opens"), F.col("open")).otherwise(before))
+    level = Window.partitionBy(*group, "level").orderBy(*order)
+    own = F.struct("event_id", "ts", "args")
+    e = e.withColumn("start", F.when(F.col("opens"), own).when(F.col("level") > 0, F.lag(own).over(level))).withColumn("ends", F.lead("event_id").over(level).isNotNull())
+    took = (F.unix_micros("ts") - F.unix_micros("start.ts")) / 1000
+    ended = lambda c: F.when(~F.col("opens"), c)
+    return e.where("not (opens and ends)").select(
+        *group, F.col("start.event_id").alias("start_id"), ended(F.col("event_id")).alias("end_id"), F.when(F.col("opens"), "running").when(F.col("kind") == "tool_done", "done").otherwise("error").alias("status"),
+        F.coalesce("args", "start.args").alias("args"), ended(F.coalesce("elapsed_ms", took)).alias("elapsed_ms"),
+    )
 
 
 def stream_traces(events: DataFrame, watermark: str = "10 minutes", timeout_ms: int = 3_600_000) -> DataFrame:
@@ -78,6 +92,23 @@ def recent(events: DataFrame, keep: int = 100, by: str = "session") -> DataFrame
     return events.withColumn("__n", n).where(F.col("__n") <= keep).drop("__n")
 
 
+def recent_stream(events: DataFrame, store: str, keep: int = 100, by: str = "session") -> DataFrame:
+    """The newest events of each session, kept up by a stream: batch k makes version k + 1 of the store from version k, so a batch that is run again
+    writes the same rows. Returns the last version when all that is there has been taken in."""
+    spark = events.sparkSession
+    spark.createDataFrame([], events.schema).write.mode("overwrite").parquet(f"{store}/version-0")
+
+    def merge(batch: DataFrame, k: int) -> None:
+        kept = batch.sparkSession.read.schema(events.schema).parquet(f"{store}/version-{k}")
+        recent(kept.unionByName(recent(batch, keep, by)), keep, by).write.mode("overwrite").parquet(f"{store}/version-{k + 1}")
+
+    events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{store}/state").trigger(availableNow=True).start().awaitTermination()
+    last = 0
+    while exists(spark, f"{store}/version-{last + 1}/_SUCCESS"):
+        last += 1
+    return spark.read.schema(events.schema).parquet(f"{store}/version-{last}")
+
+
 def badge(tool: str = "tool", n: str = "items", docs: str = "documents") -> F.Column:
     """The short count that is shown beside a tool's result."""
     t, k = F.col(tool), F.col(n).cast("string")
