@@ -213,7 +213,8 @@ def materialise(ws: Workspace, docs: DataFrame, ids: str, width: int, seq_len: i
 
 
 def with_digests(shards: Shards, width: int, seq_len: int = SEQ_LEN) -> DataFrame:
-    """The index with the SHA-256 of each piece's ids, read back from the shards."""
+    """The index with the SHA-256 of each piece's ids, read back from the shards: the span of a batch's pieces in a shard by one read, a whole shard
+    (MOST_BYTES) at most."""
     stride, root = seq_len * width, shards.root
     size = range_of(shards.sequences, stride)
 
@@ -225,10 +226,14 @@ def with_digests(shards: Shards, width: int, seq_len: int = SEQ_LEN) -> DataFram
             order = np.argsort(slot, kind="stable")
             first = 0
             for last in np.append(np.flatnonzero(np.diff(slot[order] // size)) + 1, len(order)).tolist() if len(order) else []:
-                with store.open_input_file(shard_path(base, int(slot[order[first]]) // size)) as f:
-                    for k in order[first:last].tolist():
-                        f.seek(int(slot[k]) % size * stride + int(place[k]) * width)
-                        digests[k] = hashlib.sha256(f.read(int(count[k]) * width)).hexdigest()
+                own = order[first:last]
+                low, high = int(slot[own[0]]), int(slot[own[-1]]) + 1
+                with store.open_input_file(shard_path(base, low // size)) as f:
+                    f.seek(low % size * stride)
+                    data = memoryview(f.read((high - low) * stride))
+                at = (slot[own] - low) * stride + place[own] * width
+                for k, a, z in zip(own.tolist(), at.tolist(), (at + count[own] * width).tolist(), strict=True):
+                    digests[k] = hashlib.sha256(data[a:z]).hexdigest()
                 first = last
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests, pa.string())], [*b.schema.names, "ids_sha256"])
 
