@@ -17,6 +17,7 @@ import functools
 import hashlib
 import re
 import sys
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,10 @@ from pyspark.sql import types as T
 
 from treelark.llm.common import annotate
 
-#: Entries of a Python worker's cache of encoded words, and the longest word that it keeps.
-CACHE_WORDS, CACHE_CHARS = 300_000, 40
+#: Entries and ids of a Python worker's cache of encoded words, and the longest word that it keeps.
+CACHE_WORDS, CACHE_IDS, CACHE_CHARS = 300_000, 3_000_000, 40
+#: Characters of the texts that are encoded at once; a longer text goes by itself.
+GROUP_CHARS = 1 << 22
 NONE = np.iinfo(np.int64).max
 SPACE = "▁"
 
@@ -37,6 +40,19 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+class Words(dict):
+    """word -> slot; a word that is met for the first time gets the next slot and is noted in `new`."""
+
+    def __init__(self) -> None:
+        self.slots, self.new = 2, []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = slot = self.slots
+        self.slots += 1
+        self.new.append(word)
+        return slot
+
+
 class Bpe:
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -94,7 +110,12 @@ class Bpe:
         self.out_at = np.concatenate([[0], np.cumsum(self.out_len)[:-1]])
         self.out = np.frombuffer(b"".join(out), np.uint8)
         self.control = np.array([k == 1 for k in kind])
-        self.cache: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the cache: slots 0 and 1 are the begin and end ids, those of words follow. A slot's ids are a stretch of `flat`."""
+        self.words, self.flat = Words(), np.array([self.bos, self.eos], np.uint32)
+        self.first, self.size_of = np.array([0, 1]), np.array([1, 1])
 
     def place(self, key: np.ndarray) -> np.ndarray:
         return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.places)).astype(np.int64)
@@ -165,8 +186,8 @@ class Bpe:
         order = np.argsort(word, kind="stable")
         return sym[order], word[order]
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word as little-endian 32-bit integers."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, end to end, and the number of ids of each."""
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         word = np.repeat(np.arange(len(words)), sizes)
@@ -181,25 +202,46 @@ class Bpe:
             times[odd] = [len(b) for b in spelled]
             word, mark, sym = np.repeat(word, times), np.repeat(odd, times), np.repeat(sym, times)
             sym[mark] = self.bytes_of[np.frombuffer(b"".join(spelled), np.uint8)]
-        ends = np.searchsorted(word, np.arange(len(words) + 1)) * 4
-        flat = sym.astype("<u4").tobytes()
-        return [flat[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, with begin and end ids, as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cut = [self.cut.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
-        new = list(set().union(*cut) - self.cache.keys())
-        ids = dict(zip(new, self.encode_words(new), strict=True)) if new else {}
-        self.cache.update(ids)
-        begin, end = (np.uint32(x).astype("<u4").tobytes() for x in (self.bos, self.eos))
-        found = [b"".join((begin, *map(self.cache.__getitem__, words), end)) for words in cut]
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                del self.cache[w]
+        return sym.astype(np.uint32), np.bincount(word, minlength=len(words))
+
+    def encode(self, texts: list[str | None], width: int = 4) -> list[bytes]:
+        """The ids of each text, with begin and end ids, as little-endian unsigned integers of `width` bytes."""
+        found: list[bytes] = []
+        k = 0
+        while k < len(texts):
+            chars, first = 0, k
+            while k < len(texts) and (k == first or chars + len(texts[k] or "") <= GROUP_CHARS):
+                chars += len(texts[k] or "")
+                k += 1
+            found += self.encode_group(texts[first:k], width)
         return found
 
+    def encode_group(self, texts: list[str | None], width: int) -> list[bytes]:
+        if len(self.words) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
+            self.forget()
+        cut = [self.cut.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
+        ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)) + 2)
+        slots = np.zeros(int(ends[-1]), np.int64)
+        inside = np.ones(len(slots), bool)
+        inside[ends - 1] = inside[np.append(0, ends[:-1])] = False
+        slots[ends - 1] = 1
+        slots[inside] = np.fromiter(map(self.words.__getitem__, chain.from_iterable(cut)), np.int64, len(slots) - 2 * len(cut))
+        if new := self.words.new:
+            ids, sizes = self.encode_words(new)
+            self.first = np.append(self.first, len(self.flat) + np.cumsum(sizes) - sizes)
+            self.size_of, self.flat = np.append(self.size_of, sizes), np.append(self.flat, ids)
+            for w in new:
+                if len(w) > CACHE_CHARS:
+                    del self.words[w]
+            new.clear()
+        sizes = self.size_of[slots]
+        after = np.cumsum(sizes)
+        at = np.repeat(self.first[slots] - after + sizes, sizes)
+        at += np.arange(len(at))
+        flat = self.flat[at].astype(f"<u{width}").tobytes()
+        cuts = [0, *(after[ends - 1] * width).tolist()]
+        return [flat[i:j] for i, j in pairwise(cuts)]
+
     def decode_bytes(self, ids: bytes) -> bytes:
         """The text of ids (little-endian 32-bit) in UTF-8; a byte that belongs to no character becomes U+FFFD."""
         i = np.frombuffer(ids, "<u4")
@@ -255,8 +297,7 @@ def encode_ids(docs: DataFrame, width: int = 4, path: str | None = None, text: s
         raise ValueError(f"ids of {bpe(path).size} pieces don't fit {width} bytes")
 
     def run(batch: dict[str, pa.Array]) -> dict[str, object]:
-        ids = bpe(path).encode(batch["text"].to_pylist())
-        return {"ids": ids if width == 4 else [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]}
+        return {"ids": bpe(path).encode(batch["text"].to_pylist(), width)}
 
     return annotate(docs, {"text": f"cast(`{text}` as string)"}, IDS, run, keep)
 
