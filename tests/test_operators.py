@@ -161,6 +161,17 @@ def test_traces(spark):
     assert got == {(2, 3, "done", 1000.0), (1, 4, "error", 5.0), (None, 5, "done", None), (6, None, "running", None)}
 
 
+def test_recent_stream(spark, tmp_path):
+    schema = "session string, event_id bigint, ts timestamp"
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 10).selectExpr("cast(id % 2 as string) as session", "id as event_id", "timestamp_seconds(id) as ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    arriving = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = traces.recent_stream(arriving(), str(tmp_path / "store"), 3)
+    assert sorted(r["event_id"] for r in got.collect()) == [24, 25, 26, 27, 28, 29]
+    again = traces.recent_stream(arriving(), str(tmp_path / "store"), 3)  # nothing new: the last version stands
+    assert again.count() == 6
+
+
 def test_corpus_files_and_cases(spark, tmp_path):
     (tmp_path / "Guide").mkdir()
     (tmp_path / ".git").mkdir()
