@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelark.llm import chat_format, embedding_dedup, html_extract, language_id, line_dedup, mixing, quality_rules, sentencepiece_bpe, simhash, token_shards
+from treelark.llm import chat_format, embedding_dedup, html_extract, language_id, line_dedup, mixing, quality_rules, resampling, sentencepiece_bpe, simhash, token_shards
 from treelark.llm.common import Workspace, read
 
 
@@ -82,6 +82,12 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(Workspace(spark), read(spark, sf_dir, "embeddings"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = resampling.resample(Workspace(spark), docs, read(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -93,10 +99,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_shards": op8_token_shards,
     "op9_language_id": op9_language_id,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
 ORACLE: dict[str, str] = {
     "op5_line_dedup": line_dedup.oracle(),
     "op7_chat_formatting": chat_format.oracle(SAID),
     "op10_embedding_near_dedup": embedding_dedup.oracle(),
+    "op11_importance_resampling": resampling.oracle(),
 }
