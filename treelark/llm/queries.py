@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelark.llm import chat_format, embedding_dedup, html_extract, language_id, line_dedup, mixing, quality_rules, resampling, sentencepiece_bpe, simhash, token_shards
+from treelark.llm import chat_format, embedding_dedup, html_extract, language_id, line_dedup, mixing, quality_rules, resampling, sentencepiece_bpe, simhash, token_shards, vector_codes
 from treelark.llm.common import Workspace, read
 
 
@@ -88,6 +88,13 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark)
+    coded, books = vector_codes.compress(ws, read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    found = vector_codes.with_label_errors(ws, coded)
+    return found.select("row.vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -100,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_importance_resampling": op11_importance_resampling,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE: dict[str, str] = {
@@ -107,4 +115,5 @@ ORACLE: dict[str, str] = {
     "op7_chat_formatting": chat_format.oracle(SAID),
     "op10_embedding_near_dedup": embedding_dedup.oracle(),
     "op11_importance_resampling": resampling.oracle(),
+    "op13_vector_codes": vector_codes.oracle(),
 }
