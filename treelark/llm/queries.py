@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelark.llm import chat_format, embedding_dedup, html_extract, language_id, line_dedup, mixing, quality_rules, resampling, sentencepiece_bpe, simhash, token_shards, vector_codes
+from treelark.llm import chat_format, embedding_dedup, html_extract, language_id, line_dedup, mixing, quality_rules, resampling, secret_scan, sentencepiece_bpe, simhash, token_shards, vector_codes
 from treelark.llm.common import Workspace, read
 
 
@@ -88,6 +88,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, keep=["doc_id"]).select("row.doc_id", "verdict.*")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark)
     coded, books = vector_codes.compress(ws, read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_secret_scan": op12_secret_scan,
     "op13_vector_codes": op13_vector_codes,
 }
 
