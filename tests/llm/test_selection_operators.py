@@ -197,8 +197,10 @@ def test_scan_of_odd_rows(spark):
     said = {r["row"]["doc_id"]: r["verdict"]["spans"] for r in found.collect()}
     assert said[1] == said[2] == "" and said[None] == "assign:2:22,guess:12:22" and said[3].endswith(",hex:300009:300049,guess:300009:300049")
     assert secret_scan.scan(df.limit(0)).count() == 0
-    ranks = secret_scan.dictionary(df.select("text"))
-    assert "horse" in ranks and ranks["password"] == 0 and len(secret_scan.dictionary(df.select("text"), size=1)) == len(set(secret_scan.COMMON)) + 1
+    few = spark.createDataFrame([("Horse and dragon",)] * 40 + [("horse? once",)] * 9 + [("alone",), (None,)], "text string")
+    ranks, common = secret_scan.dictionary(few), len(set(secret_scan.COMMON))
+    assert ranks["password"] == 0 and list(ranks)[common:] == ["horse", "and", "dragon", "once"]
+    assert list(secret_scan.dictionary(few, size=3))[common:] == ["horse", "and", "dragon"] and len(secret_scan.dictionary(few, size=0)) == common
 
 
 def test_secrets_of_the_table(spark):

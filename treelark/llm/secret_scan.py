@@ -7,7 +7,7 @@ positions. A segment is a word of the dictionary (in any case, with digits and s
 year, a repeated unit, a walk on a keyboard, or a span of brute force, which costs the logarithm of the alphabet in use a character. A value of
 GUESS_BITS bits or more is a span of its own; words, dates and placeholders after a credential's name stay clean. Values are scored whole, whatever their length.
 
-The dictionary are the DICTIONARY words that most documents of the corpus hold, by rank: counted over all documents, each task sums its own
+The dictionary are the words of the corpus that most documents hold, DICTIONARY at most, by rank: counted over all documents, each task sums its own
 before anything is shuffled, and what is broadcast has a fixed number of words of WORD_LETTERS letters at most. Texts are searched for the literals that any span must begin
 with, and patterns are tried at those places only.
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treelark.llm.common import BATCH_ROWS, annotate
+from treelark.llm.common import BATCH_ROWS, Workspace, annotate
 
 KINDS = ["assign", "access", "hex", "guess"]
 GUESS_BITS = 36.0
@@ -238,7 +238,10 @@ LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> dict[str, int]:
-    """Ranks of common passwords and of the words that most documents hold; `size` of them at most, of bounded length."""
+    """Ranks of common passwords and of the words of the corpus that c documents or more hold, `size` of them at most, of bounded length.
+
+    c is the lowest of the steps 2^(k/8) over 1 with so few words; it is found from the number of words by step.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
@@ -258,9 +261,18 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> dict[str, int]:
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     part = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "word binary, n bigint")
-    top = part.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()
+    ws = Workspace(docs.sparkSession)
+    counted = ws.save(part.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "words")
+    most = sorted(((r["step"], r["count"]) for r in counted.groupBy("step").count().collect()), reverse=True)  # some 500 steps at most
+    least, words = 1 << 30, 0
+    for step, count in most:
+        if (words := words + count) > size:
+            break
+        least = step
+    top = sorted((-r["n"], bytes(r["word"])) for r in counted.where(F.col("step") >= least).collect())
+    ws.drop("words")
     ranks: dict[str, int] = {}
-    for w in [*COMMON, *(bytes(r["word"]).decode("utf-8", "replace") for r in top)]:
+    for w in [*COMMON, *(w.decode("utf-8", "replace") for _, w in top)]:
         ranks.setdefault(w, len(ranks))
     return ranks
 
