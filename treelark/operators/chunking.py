@@ -5,6 +5,8 @@ A profile is a choice of the steps below. Steps that rewrite lines blank them in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +80,10 @@ def mark_code(lines: DataFrame) -> DataFrame:
     return df.withColumn("in_code", in_code).withColumn("block", F.when(in_code, F.col("block"))).drop("opens", "__o")
 
 
+#: A tag up to its end; quoted values may hold `>`. Possessive, so that a long line takes no stack.
+TAG = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+
+
 # The comment marks of HTML and MDX, as patterns.
 COMMENTS = {"html": ("<!--", "-->"), "mdx": (r"\{/\*", r"\*/\}")}
 
@@ -96,7 +102,8 @@ def blank_comments(lines: DataFrame, kinds: tuple[str, ...] = ("html", "mdx")) -
         rest = F.when(inside, F.when(F.col("line").rlike(closes), F.regexp_replace("line", f"^.*?{closes}", "")).otherwise("")).otherwise(F.col("line"))
         text = F.regexp_replace(F.regexp_replace(rest, f"{opens}.*?{closes}", ""), f"{opens}.*$", "")
         lines = lines.withColumn("__t", text).withColumn("line", F.when(live, F.col("__t")).otherwise(F.col("line"))).drop("__t")
-    anchors = F.regexp_replace("line", r"<a\b[^>]*\b(?:id|name)\s*=\s*[\"'][^\"']*[\"'][^>]*>\s*</a>|^\s*<span\s+id=[^>]+/>\s*$", "")
+    anchors = replace_tags(F.col("line"), rf"<a\s{TAG}>\s*</a>", lambda tag: F.when(attribute(tag, "id", "name").isNotNull(), "").otherwise(tag))
+    anchors = F.when(anchors.rlike(r"^\s*<span\s+id=[^>]+/>\s*$"), "").otherwise(anchors)
     return lines.withColumn("line", F.when(F.col("in_code"), F.col("line")).otherwise(anchors))
 
 
@@ -111,49 +118,93 @@ def track_scope(lines: DataFrame, tags: dict[str, str]) -> DataFrame:
     return lines.withColumn("scope", F.nullif(F.last(marker, ignorenulls=True).over(until_here()), F.lit("")))
 
 
-#: A tag up to its end; quoted values may hold `>`.
-TAG = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+def attribute(tag: Column, *names: str) -> Column:
+    """The first of some quoted attributes that a tag has; it may be empty."""
+    value = lambda n: F.concat(*[F.regexp_extract(tag, rf"""\s{n}=(?:"([^"]*)"|'([^']*)')""", k) for k in (1, 2)])
+    return F.coalesce(*[F.when(tag.rlike(rf"""\s{n}=(?:"|')"""), value(n)) for n in names])
 
 
-def attribute(tag: Column, *names: str) -> Column:
-    """The first of some quoted attributes that a tag has."""
-    found = [F.regexp_extract(tag, rf"""\b{n}=(?:"([^"]*)"|'([^']*)')""", k) for n in names for k in (1, 2)]
-    return F.coalesce(*[F.nullif(x, F.lit("")) for x in found])
+#: What stands for the characters of inline code that rewriting must not see: noncharacters, which no text holds.
+CODE_MASK = ("<>{} \t", "\ufdd0\ufdd1\ufdd2\ufdd3\ufdd4\ufdd5")
+
+
+def mask_inline(text: Column) -> Column:
+    """A line with the tags, braces and blanks of its inline code masked; a back quote without a partner begins none."""
+    spans = F.regexp_extract_all(text, F.lit("`[^`]++`|[^`]++|`"), F.lit(0))
+    return F.when(F.contains(text, F.lit("`")), F.array_join(F.transform(spans, lambda x: F.when(x.rlike("^`[^`]+`$"), F.translate(x, *CODE_MASK)).otherwise(x)), "")).otherwise(text)
+
+
+def unmask_inline(text: Column) -> Column:
+    return F.translate(text, *reversed(CODE_MASK))
+
+
+def once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value), the value computed once however often fn has it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def replace_tags(text: Column, pattern: str, rendered: Callable[[Column], Column]) -> Column:
+    """text with every tag of a pattern as `rendered` has it."""
+    tags = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
+    return once(text, lambda t: F.when(F.contains(t, F.lit("<")), F.aggregate(tags(t), t, lambda acc, tag: F.replace(acc, tag, rendered(tag)))).otherwise(t))
+
+
+def image(tag: Column) -> Column:
+    """An image with its caption, or the caption as its text, in italics below: a span behind it or a property."""
+    span = F.trim(F.regexp_extract(tag, r"(?s)<span[^>]*>(.*?)</span>", 1))
+    alt, said = attribute(tag, "alt"), attribute(tag, "caption")
+    below = F.coalesce(F.nullif(span, F.lit("")), F.when(alt.isNotNull(), F.nullif(F.trim(said), F.lit(""))))
+    link = F.concat(F.lit("!["), F.coalesce(alt, said, F.lit("Diagram")), F.lit("]("), F.coalesce(attribute(tag, "src", "srcLight", "srcDark"), F.lit("")), F.lit(")"))
+    whole = F.concat(link, F.coalesce(F.concat(F.lit("\n*"), below, F.lit("*")), F.lit("")))
+    return F.when(tag.rlike(r"\ssrc(?:Light|Dark)?="), whole).otherwise(F.concat(F.lit(" "), span))
+
+
+def video(tag: Column) -> Column:
+    whole = F.concat(F.lit("![Video: "), F.coalesce(attribute(tag, "caption"), F.lit("Video")), F.lit("]("), F.coalesce(attribute(tag, "src"), F.lit("")), F.lit(")"))
+    return F.when(tag.endswith("/>"), whole).otherwise(" ")
 
 
 def normalise_markup(text: Column) -> Column:
-    """Component tags of one text as Markdown: images, check marks, summaries in bold; other tags become a space."""
-    out = F.regexp_replace(text, rf"""<(?:Image|img)\b(?={TAG}\balt="([^"]*)")(?={TAG}\bsrc(?:Light|Dark)?="([^"]*)"){TAG}>""", "![$1]($2)")
-    out = F.regexp_replace(out, rf"""<Video\b(?={TAG}\bcaption="([^"]*)")(?={TAG}\bsrc="([^"]*)"){TAG}>""", "![Video: $1]($2)")
-    out = F.regexp_replace(out, rf"""<(?:Image|Video|img)\b{TAG}\balt="([^"]*)"{TAG}>""", "![$1]()")
+    """Component tags of one line as Markdown: images, videos, check marks, summaries in bold; other tags become a space. Inline code stays as it is."""
+    out = replace_tags(mask_inline(text), rf"<(?:Image|img)\b{TAG}>(?:\s*<span[^>]*>.*?</span>)?", image)
+    out = replace_tags(out, rf"<Video\b{TAG}>", video)
     out = F.regexp_replace(F.regexp_replace(out, rf"<Check\b{TAG}>", "✓"), rf"<Cross\b{TAG}>", "✗")
     out = F.regexp_replace(out, rf"(?s)<summary{TAG}>\s*(.*?)\s*</summary>", "**$1**")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, rf"</?[A-Za-z]{TAG}>", " "), "[ \t]{2,}", " "))
+    return unmask_inline(F.trim(F.regexp_replace(F.regexp_replace(out, rf"</?[A-Za-z]{TAG}>", " "), "[ \t]{2,}", " ")))
+
+
+#: The rest of a tag on a line of its own: no other tag begins in it, and quotes close on the line.
+INNER = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
 
 
 def join_tags(lines: DataFrame, tags: tuple[str, ...] = ("Image", "Video", "FixCardGrid")) -> DataFrame:
     """lines (with in_code) where a component that runs over several lines stands whole on its last line, and blank lines before.
 
-    A component is open from a line with its opening tag, behind which it doesn't close, to the line that closes it.
+    A component is open from a line with its opening tag, behind which it doesn't end, if the lines below are its attributes (or for a grid, any but
+    headings and code) up to one that closes it. An opening that never closes changes nothing, and tags in inline code open and close nothing.
     """
-    live, before = ~F.col("in_code"), by_line().rowsBetween(Window.unboundedPreceding, -1)
+    text = mask_inline(F.col("line"))
     for tag in tags:
-        closer = f"</{tag}>" if tag == "FixCardGrid" else "/>"
-        opener = f"<{tag}>" if tag == "FixCardGrid" else f"<{tag}\\b"
-        mark = F.when(live & F.col("line").rlike(f"{opener}(?!.*{closer})"), F.lit(True)).when(live & F.contains("line", F.lit(closer)), F.lit(False))
-        df = lines.withColumn("__m", mark).withColumn("__in", F.coalesce(F.last("__m", ignorenulls=True).over(before), F.lit(False)))
-        df = df.withColumn("__g", F.sum(F.when(F.col("__m") & ~F.col("__in"), 1).otherwise(0)).over(until_here()))
-        member = live & (F.col("__in") | F.coalesce(F.col("__m"), F.lit(False)))
-        parts = F.collect_list(F.when(member, F.trim("line"))).over(Window.partitionBy("doc_slug", "__g").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-        closes = F.col("__in") & F.coalesce(~F.col("__m"), F.lit(False))
-        df = df.withColumn("__t", F.when(closes, F.array_join(parts, " ")).when(member, F.lit("")).otherwise(F.col("line")))
-        lines = df.withColumn("line", F.col("__t")).drop("__m", "__in", "__g", "__t")
+        grid = tag == "FixCardGrid"
+        opens = text.rlike(rf"<{tag}>(?!.*</{tag}>)" if grid else rf"<{tag}\b{INNER}$")
+        closes = text.rlike(f"</{tag}>" if grid else f"^{INNER}(?<=/)>")
+        inner = ~F.col("line").rlike(HEADING) & (F.lit(True) if grid else text.rlike(f"^{INNER}$"))
+        kind = F.when(F.col("in_code"), "stop").when(opens, "open").when(closes, "close").when(~inner, "stop")
+        after = by_line().rowsBetween(1, Window.unboundedFollowing)
+        df = lines.withColumn("__k", kind)
+        df = df.withColumn("__e", F.first(F.when(F.col("__k").isNotNull(), F.struct("n", F.col("__k").alias("k"))), ignorenulls=True).over(after))
+        whole = F.when((F.col("__k") == "open") & (F.col("__e")["k"] == "close"), F.struct(F.col("n").alias("first"), F.col("__e")["n"].alias("last")))
+        df = df.withColumn("__c", F.last(whole, ignorenulls=True).over(until_here()))
+        df = df.withColumn("__c", F.when(F.col("__c")["last"] >= F.col("n"), F.col("__c")))
+        parts = F.collect_list(F.when(F.col("__c").isNotNull(), F.trim("line"))).over(Window.partitionBy("doc_slug", F.col("__c")["first"]).orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+        done = F.when(F.col("__c")["last"] == F.col("n"), F.array_join(parts, " ")).when(F.col("__c").isNotNull(), "").otherwise(F.col("line"))
+        lines = df.withColumn("__t", done).withColumn("line", F.col("__t")).drop("__k", "__e", "__c", "__t")
     return lines
 
 
 def card_list(text: Column) -> Column:
     """The cards of a FixCardGrid on one line as list items, on one line each."""
-    cards = F.regexp_extract_all(text, F.lit(rf"<FixCard\b{TAG}/>"), F.lit(0))
+    cards = F.regexp_extract_all(text, F.lit(rf"<FixCard\b{TAG}>"), F.lit(0))
 
     def item(card: Column) -> Column:
         title, href = attribute(card, "title"), attribute(card, "href")
@@ -165,13 +216,21 @@ def card_list(text: Column) -> Column:
     return F.when(whole != "", F.replace(text, whole, items)).otherwise(text)
 
 
-def version_badge(comment: Column) -> Column:
-    """`*Added in: a, b — Deprecated in: c*` from a YAML comment with scalar or inline-list values; null without either."""
-    def values(key: str) -> Column:
-        raw = F.regexp_extract(comment, rf"(?s)\b{key}:((?:\s*-\s*v?[\d.]+|\s*\[?v?[\d.]+(?:\s*,\s*v?[\d.]+)*\]?)+)", 1)
-        return F.array_join(F.regexp_extract_all(raw, F.lit(r"v?\d[\d.]*"), F.lit(0)), ", ")
+def yaml_values(comment: Column, key: str) -> Column:
+    """The values of a key at the first column of a YAML comment, comma-joined: the text behind it, or the items of the list below it. Any text is a value."""
+    rows = F.split(comment, "\n")
+    at = F.array_position(F.transform(rows, lambda x: x.startswith(f"{key}:")), True)
+    said = F.trim(F.substring(F.get(rows, at.cast("int") - 1), len(key) + 2, 1 << 20))
+    below = F.slice(rows, at.cast("int") + 1, F.size(rows))
+    end = F.array_position(F.transform(below, lambda x: F.trim(x).startswith("-") & ~F.trim(x).startswith("-->")), False).cast("int")
+    items = F.transform(F.when(end > 0, F.slice(below, 1, end - 1)).otherwise(below), lambda x: F.trim(F.regexp_replace(F.trim(x), "^-+", "")))
+    listed = F.array_join(F.filter(items, lambda x: x != ""), ", ")
+    return F.when(at > 0, F.when(said == "", listed).when(~said.startswith("-"), said).otherwise("")).otherwise("")
 
-    added, gone = values("added"), values("deprecated")
+
+def version_badge(comment: Column) -> Column:
+    """`*Added in: a, b — Deprecated in: c*` from a YAML comment; null without either."""
+    added, gone = yaml_values(comment, "added"), yaml_values(comment, "deprecated")
     parts = F.array(F.when(added != "", F.concat(F.lit("Added in: "), added)), F.when(gone != "", F.concat(F.lit("Deprecated in: "), gone)))
     joined = F.array_join(F.array_compact(parts), " — ")
     return F.when(joined != "", F.concat(F.lit("*"), joined, F.lit("*")))
@@ -182,15 +241,18 @@ def comment_value(line: Column, key: str) -> Column:
 
 
 def normalise_statutes(lines: DataFrame) -> DataFrame:
-    """A bare `Tiểu mục N` becomes a level 3 heading; the next non-blank line joins it if it is in capitals, and is blanked."""
-    sub = F.col("line").rlike(r"^\s*Tiểu mục \d+\s*$")
-    text = F.when(F.trim("line") != "", F.struct("n", F.trim("line").alias("t")))
-    after = by_line().rowsBetween(1, Window.unboundedFollowing)
-    nxt = F.first(text, ignorenulls=True).over(after)
-    caps = (F.upper(nxt["t"]) == nxt["t"]) & nxt["t"].rlike(r"\p{L}")
-    df = lines.withColumn("__sub", sub).withColumn("__join", F.when(sub & caps, nxt))
+    """A bare `Tiểu mục N` becomes a level 3 heading, with the title behind it; without one, the next non-blank line joins it if it is in capitals, no
+    heading and no statute unit, and is blanked. Lines in code stay."""
+    code = F.col("in_code") if "in_code" in lines.columns else F.lit(False)
+    own = F.regexp_extract(F.trim("line"), r"^Tiểu mục (\d+)\s*[:.]?\s*(.*)$", 1), F.regexp_extract(F.trim("line"), r"^Tiểu mục (\d+)\s*[:.]?\s*(.*)$", 2)
+    sub = ~code & (own[0] != "")
+    text = F.when(F.trim("line") != "", F.struct("n", F.trim("line").alias("t"), code.alias("code")))
+    nxt = F.first(text, ignorenulls=True).over(by_line().rowsBetween(1, Window.unboundedFollowing))
+    caps = (F.upper(nxt["t"]) == nxt["t"]) & nxt["t"].rlike(r"\p{L}") & ~nxt["code"] & ~nxt["t"].startswith("#") & ~is_statute(nxt["t"])
+    df = lines.withColumn("__sub", sub).withColumn("__join", F.when(sub & (own[1] == "") & caps, nxt))
     taken = F.last(F.when(F.col("__join").isNotNull(), F.col("__join")["n"]), ignorenulls=True).over(by_line().rowsBetween(Window.unboundedPreceding, -1))
-    head = F.concat(F.lit("### "), F.trim("line"), F.coalesce(F.concat(F.lit(": "), F.col("__join")["t"]), F.lit("")))
+    title = F.coalesce(F.nullif(own[1], F.lit("")), F.col("__join")["t"])
+    head = F.concat(F.lit("### Tiểu mục "), own[0], F.coalesce(F.concat(F.lit(": "), title), F.lit("")))
     return df.withColumn("line", F.when(F.col("__sub"), head).when(taken == F.col("n"), "").otherwise(F.col("line"))).drop("__sub", "__join")
 
 
@@ -198,6 +260,13 @@ def normalise_statutes(lines: DataFrame) -> DataFrame:
 STATUTES = [("CHAPTER", r"Chương\s+([IVXLCDM0-9]+)", 1, "chuong_"), ("SECTION", r"Mục\s+(\d+)", 2, "muc_"), ("SUBSECTION", r"Tiểu\s+mục\s+(\d+)", 3, "tieu_muc_"), ("ARTICLE", r"Điều\s+(\d+[a-zđ]?)", 4, "dieu_")]
 
 
+def is_statute(title: Column) -> Column:
+    found = F.lit(False)
+    for _, pattern, _, _ in STATUTES:
+        found = found | F.trim(title).rlike(rf"(?iu)^{pattern}\b")
+    return found
+
+
 def classify_statute(level: Column, title: Column) -> Column:
     """struct(level, label, kind) of a heading of a statute; other headings are sections that keep their level."""
     out = F.struct(level.cast("int").alias("level"), sanitise_label(title).alias("label"), F.lit("SECTION").alias("kind"))
@@ -363,31 +432,56 @@ def fold_overloads(heads: DataFrame) -> DataFrame:
     return h.groupBy("doc_slug", "target").agg(F.min("n").alias("start_line"), F.transform(F.sort_array(F.collect_list(F.struct("n", "title"))), lambda x: x["title"]).alias("titles"))
 
 
-# How headings of an API are written.
-CALLABLE = r"^(?:`(?:Static method:\s*)?(new\s+[\w.$]+|[\w.$]+)\s*\(|(?:Static method:\s*`?)?(new\s+[\w.$]+)\s*\(|Static method:\s*`?([\w.$]+)\s*\()"
-IN_CODE = r"^`[^`]+`(?:\s*,\s*`[^`]+`)*(?:\s+and\s+`[^`]+`)?$"
-INDEPENDENT = r"^(Class:|Class |Event:|Static method:|DEP0|ERR_|`ERR_|`-)"
+# How headings begin that are units of their own wherever they stand, how classes do, and the word before a static method.
+UNIT_STARTS = ["Class:", "Class ", "Event:", "Static method:", "DEP0", "ERR_", "`ERR_", "`-"]
+CLASS_STARTS, EVENT, STATIC = ["Class:", "Class "], "Event:", "Static method:"
+
+
+def starts_with_any(text: Column, starts: list[str]) -> Column:
+    found = F.lit(False)
+    for x in starts:
+        found = found | text.startswith(x)
+    return found
 
 
 def callable_name(title: Column) -> Column:
-    """The callable that a heading names, or null."""
-    parts = [F.nullif(F.regexp_extract(F.trim(title), CALLABLE, k), F.lit("")) for k in (1, 2, 3)]
-    return F.regexp_replace(F.trim(F.coalesce(*parts)), r"\s+", " ")
+    """The callable that a heading names, or null: the name before the first bracket of a heading in code, of a static method or of a `new` expression."""
+    t = F.trim(title)
+    coded = t.startswith("`")
+    t = F.regexp_replace(t, "^`", "")
+    static = t.startswith(STATIC)
+    t = F.when(static, F.regexp_replace(F.ltrim(F.substring(t, len(STATIC) + 1, 1 << 20)), "^`", "")).otherwise(t)
+    words = F.split(F.trim(F.substring_index(t, "(", 1)), r"\s+")
+    name, fresh = F.element_at(words, -1), (F.size(words) == 2) & (F.element_at(words, 1) == "new")
+    plain = (name != "") & ~name.rlike(r"[^\w.$]")
+    return F.when(F.contains(t, F.lit("(")) & plain & (fresh | ((F.size(words) == 1) & (coded | static))), F.array_join(words, " "))
+
+
+def is_code_list(title: Column) -> Column:
+    """Whether a title is one piece of code, or several with commas, or `and` before the last."""
+    parts = F.split(F.trim(title), "`")  # what stands outside code is at even places
+    between = F.slice(parts, 3, F.size(parts) - 4)
+    joints = F.filter(F.transform(between, lambda x, k: F.when(k % 2 == 0, x)), lambda x: x.isNotNull())
+    last = F.size(joints) - 1
+    joined = F.forall(F.transform(joints, lambda x, k: (F.trim(x) == ",") | ((k == last) & x.rlike(r"^\s+and\s+$"))), lambda x: x)
+    inside = F.forall(F.transform(parts, lambda x, k: (k % 2 == 0) | (x != "")), lambda x: x)
+    return (F.size(parts) >= 3) & (F.size(parts) % 2 == 1) & (F.get(parts, F.lit(0)) == "") & (F.element_at(parts, -1) == "") & inside & F.when(F.size(parts) > 3, joined).otherwise(True)
 
 
 def is_entry(title: Column) -> Column:
     """Whether a heading is a concrete API entry: an event, a callable, or a name in code that is no `.constants`; classes are none."""
     t = F.trim(title)
-    code = t.rlike(IN_CODE) & ~F.regexp_replace(t, "^`+|`+$", "").endswith(".constants")
-    return ~(t.rlike("^Class[: ]") | F.contains(t, F.lit(" extends `"))) & (t.rlike("^(Event:|Static method:)") | callable_name(t).isNotNull() | code)
+    named = is_code_list(t) & ~F.regexp_replace(t, "^`+|`+$", "").endswith(".constants")
+    return ~(starts_with_any(t, CLASS_STARTS) | F.contains(t, F.lit(" extends `"))) & (t.startswith(EVENT) | t.startswith(STATIC) | callable_name(t).isNotNull() | named)
 
 
 def is_split_heading(title: Column, entry: Column) -> Column:
     """Whether a heading under the API entry `entry` is a unit of its own: an API heading, but not one that names a parameter of the entry."""
     t = F.trim(title)
-    parameters = F.regexp_extract_all(F.regexp_extract(entry, r"\((.*)\)", 1), F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0))
-    root = F.regexp_extract(F.regexp_replace(t, "^`+|`+$", ""), r"^[^.\[]*", 0)
-    return t.rlike(INDEPENDENT) | callable_name(t).isNotNull() | (t.rlike(IN_CODE) & ~F.array_contains(parameters, F.trim(root)))
+    inside = F.regexp_extract(entry, r"\((.*)\)", 1)
+    parameters = F.filter(F.split(inside, r"[^\w$]+"), lambda x: x.rlike("^[^0-9]"))
+    root = F.element_at(F.split(F.regexp_replace(t, "^`+|`+$", ""), r"[.\[]"), 1)
+    return starts_with_any(t, UNIT_STARTS) | callable_name(t).isNotNull() | (is_code_list(t) & ~F.array_contains(parameters, F.trim(root)))
 
 
 def fold_subheads(heads: DataFrame) -> DataFrame:
@@ -411,12 +505,12 @@ def fold_subheads(heads: DataFrame) -> DataFrame:
 
 
 def merge_pairs(heads: DataFrame) -> DataFrame:
-    """Headings (doc_slug, n, level, title, parent): a level 4 one whose only child is a level 5 one in back quotes merges with it.
+    """Headings (doc_slug, n, level, title, parent): a level 4 one whose only child is a level 5 one that is a lower-case slug in back quotes merges with it.
 
     Adds merged_into (the level 4 line, on the child) and label_title (the child's title, on the level 4 one).
     """
     kids = heads.groupBy("doc_slug", F.col("parent").alias("n")).agg(F.count("*").alias("kids"), F.min("n").alias("kid"), F.min("title").alias("kid_title"), F.min("level").alias("kid_level"))
-    pair = heads.where("level = 4").join(kids, ["doc_slug", "n"]).where((F.col("kids") == 1) & (F.col("kid_level") == 5) & F.col("kid_title").rlike("^`[^`]+`$"))
+    pair = heads.where("level = 4").join(kids, ["doc_slug", "n"]).where((F.col("kids") == 1) & (F.col("kid_level") == 5) & F.col("kid_title").rlike("^`[a-z0-9_-]+`$") & ~F.col("kid_title").rlike("^`[_-]"))
     into = pair.select("doc_slug", F.col("kid").alias("n"), F.col("n").alias("merged_into"))
     label = pair.select("doc_slug", "n", F.regexp_replace("kid_title", "`", "").alias("label_title"))
     return heads.join(into, ["doc_slug", "n"], "left").join(label, ["doc_slug", "n"], "left")
@@ -494,16 +588,16 @@ def profile_chunks(tree: DataFrame, paths: DataFrame, roots: DataFrame, framewor
     body = block_text(tree).join(paths.select("doc_slug", "section", "path", "heading", "crumbs", "from_line"), ["doc_slug", "section"], "left").join(roots, "doc_slug", "left")
     some = paths.groupBy("doc_slug").agg(F.max(F.when(F.col("path") == F.concat("doc_slug", F.lit(".overview")), True)).alias("__taken"), F.lit(True).alias("__some"))
     body = body.join(some, "doc_slug", "left")
-    root = F.col("section") == 0
+    root, own_title = F.col("section") == 0, F.lit(framework != "nodejs")
     below = F.when(F.col("__some"), F.when(F.col("__taken"), ".intro").otherwise(".overview")).otherwise("")
     path = F.when(root, F.concat("doc_slug", below)).otherwise(F.col("path"))
-    crumbs = F.when(root, F.when(F.col("__some") & F.lit(framework == "nextjs"), F.concat("root_crumbs", F.array(F.lit("Overview")))).otherwise(F.col("root_crumbs"))).otherwise(F.concat("root_crumbs", "crumbs"))
-    mark = "#" if framework == "nextjs" else "##"
+    crumbs = F.when(root, F.when(F.col("__some") & own_title, F.concat("root_crumbs", F.array(F.lit("Overview")))).otherwise(F.col("root_crumbs"))).otherwise(F.concat("root_crumbs", "crumbs"))
+    mark = "##" if framework == "nodejs" else "#"
     head = F.when(root, F.concat(F.lit(f"{mark} "), "root_title")).otherwise(F.col("heading"))
     text = F.when(F.col("text").startswith("#"), F.col("text")).otherwise(F.concat(head, F.lit("\n\n"), "text"))
     start = F.when(root, F.coalesce("root_line", F.lit(1) if framework == "nodejs" else F.col("first_line"))).otherwise(F.col("from_line"))
     out = body.select("doc_slug", "scope", path.alias("path"), text.alias("verbatim_text"), crumbs.alias("ancestor_titles"), start.cast("long").alias("start_line"), F.greatest("last_line", start).cast("long").alias("end_line"),
-                      F.when(root & F.col("__some") & F.lit(framework == "nextjs"), "OVERVIEW").otherwise("SECTION").alias("node_type"))
+                      F.when(root & F.col("__some") & own_title, "OVERVIEW").otherwise("SECTION").alias("node_type"))
     out = settle_paths(out)
     return flags(out.withColumn("contextualized_text", F.concat(F.lit("["), breadcrumbs(F.col("ancestor_titles")), F.lit("]\n"), "verbatim_text")).withColumn("framework", F.lit(framework)))
 
@@ -517,7 +611,7 @@ def chunk_mdx(docs: DataFrame, text: str = "raw_text") -> DataFrame:
     lines, meta = front_matter(lines_of(docs, text))
     lines = track_scope(blank_comments(mark_code(lines), ("mdx",)), SCOPES)
     lines = lines.withColumn("line", F.when(~F.col("in_code") & F.trim("line").isin(*[f"<{s}{t}>" for s in ("", "/") for t in SCOPES]), "").otherwise(F.col("line")))
-    lines = join_tags(lines).withColumn("line", F.when(F.col("in_code"), F.col("line")).otherwise(normalise_markup(card_list(F.col("line")))))
+    lines = join_tags(lines).withColumn("line", F.when(F.col("in_code"), F.col("line")).otherwise(normalise_markup(card_list(mask_inline(F.col("line"))))))
     tree = saved(section_tree(bind_title(headings(lines), after_text=False)), "mdx-tree")
     roots = tree.select("doc_slug", "root_title", "root_line").distinct().join(meta.select("doc_slug", F.col("title").alias("given")), "doc_slug", "left")
     title = F.coalesce(F.when(F.col("root_line").isNotNull(), F.col("root_title")), F.nullif("given", F.lit("")), "root_title", F.lit("Documentation"))
@@ -542,12 +636,28 @@ def chunk_mdx(docs: DataFrame, text: str = "raw_text") -> DataFrame:
     return profile_chunks(marked, saved(paths, "mdx-paths"), roots, "nextjs").join(meta.select("doc_slug", "metadata", "related_links"), "doc_slug", "left")
 
 
-STABILITY = r"^>\s*Stability:\s*([0-9]+(?:\.[0-9]+)?)"
+def stability_of(line: Column) -> Column:
+    """The number of a stability note, or null."""
+    said = F.trim(F.regexp_replace(line, "^>", ""))
+    number = F.regexp_extract(F.substring(said, len("Stability:") + 1, 1 << 20), r"^\s*(\d+(?:\.\d+)?)", 1)
+    return F.when(line.startswith(">") & said.startswith("Stability:"), F.nullif(number, F.lit("")))
+
+
+# Comments of a module's own data, and the columns that they are.
+MODULE_DATA = {"introduced_in": "introduced_in", "source_link": "source_link", "name": "module_name"}
+
+
+def module_data(lines: DataFrame) -> DataFrame:
+    """(doc_slug, introduced_in, source_link, module_name) from comments outside code: the first of each."""
+    given = lines.where(~F.col("in_code") & F.contains("line", F.lit("<!--")))
+    first = [F.min_by(comment_value(F.col("line"), k), F.when(comment_value(F.col("line"), k).isNotNull(), F.col("n"))).alias(c) for k, c in MODULE_DATA.items()]
+    return given.groupBy("doc_slug").agg(*first)
 
 
 def chunk_api(docs: DataFrame, text: str = "raw_text") -> DataFrame:
-    """The nodejs profile: version comments as badges, overloads merged, sub-heads of entries folded in, sections without prose left out, stability inherited."""
+    """The nodejs profile: version comments as badges, overloads merged, sub-heads of entries folded in, sections without prose left out, stability inherited, the module's data beside each chunk."""
     lines = mark_code(lines_of(docs, text))
+    data = module_data(lines)
     lines = blank_comments(version_comments(lines), ("html",))
     tree = saved(bind_title(headings(lines), after_text=True), "api-tree")
     body = F.col("level").isNull() & (F.trim("line") != "")
@@ -562,8 +672,8 @@ def chunk_api(docs: DataFrame, text: str = "raw_text") -> DataFrame:
     marked = tree.join(role, ["doc_slug", "n"], "left").withColumn("line", F.when(F.col("__void"), "").otherwise(F.col("line")))
     marked = marked.withColumn("level", F.when(~F.coalesce(F.col("__fold") | F.col("__void"), F.lit(False)), F.col("level"))).withColumn("title", F.when(F.col("level").isNotNull(), F.col("title")))
     placed = saved(section_tree(marked), "api-placed")
-    stable = F.regexp_extract("line", STABILITY, 1)
-    own = placed.where("level is null and not in_code").groupBy("doc_slug", F.coalesce("section", F.lit(0)).alias("section")).agg(F.min_by(F.nullif(stable, F.lit("")), F.when(stable != "", F.col("n"))).alias("own"))
+    stable = stability_of(F.col("line"))
+    own = placed.where("level is null and not in_code").groupBy("doc_slug", F.coalesce("section", F.lit(0)).alias("section")).agg(F.min_by(stable, F.when(stable.isNotNull(), F.col("n"))).alias("own"))
     paths = profile_paths(placed).join(own, ["doc_slug", "section"], "left").join(role.select("doc_slug", F.col("n").alias("section"), "start_line", F.col("titles").alias("names")), ["doc_slug", "section"])
     crumbs = F.aggregate("titles", F.array().cast("array<string>"), lambda acc, t: F.when((F.size(acc) > 0) & (F.lower(F.element_at(acc, -1)) == F.lower(t)), acc).otherwise(F.array_append(acc, t)))
     shown = F.array_join(F.transform("names", lambda t: F.concat(F.lit("## "), t)), "\n")
@@ -577,7 +687,7 @@ def chunk_api(docs: DataFrame, text: str = "raw_text") -> DataFrame:
     chunks = profile_chunks(placed.withColumn("section", F.coalesce("section", F.lit(0))).join(kept, ["doc_slug", "section"], "left_semi"), live_paths, roots, "nodejs")
     stated = paths.where("own is not null").select("doc_slug", F.col("path").alias("up"), "own").unionByName(own.where("section = 0 and own is not null").select("doc_slug", F.col("doc_slug").alias("up"), "own"))
     above = chunks.select("doc_slug", "path", F.explode(ancestors(F.col("path"), with_self=True)).alias("up")).join(stated, ["doc_slug", "up"]).groupBy("path").agg(F.max_by("own", F.length("up")).alias("stability"))
-    return chunks.join(above, "path", "left")
+    return chunks.join(above, "path", "left").join(data, "doc_slug", "left")
 
 
 def version_comments(lines: DataFrame) -> DataFrame:
@@ -601,18 +711,37 @@ def prose_sections(lines: DataFrame) -> DataFrame:
     return df.withColumn("__n", F.coalesce(note, F.lit(False))).where(plain & ~meta & ~(F.col("__n") & quote)).select("doc_slug", "section").distinct()
 
 
-def chunk_statutes(docs: DataFrame, text: str = "raw_text") -> DataFrame:
-    """The statute profile: chapters, sections, subsections and articles by their numbers."""
-    lines, _ = front_matter(lines_of(docs, text))
-    h = headings(normalise_statutes(mark_code(lines)))
-    kind = classify_statute(F.col("level"), F.col("title"))
-    h = h.withColumn("__k", F.when(F.col("level").isNotNull() & (F.col("level") > 1), kind)).withColumn("level", F.col("__k")["level"])
-    tree = section_tree(h)
-    heads = disambiguate(tree.where("level is not null").withColumn("label", F.col("__k")["label"]))
-    df = live(heads, F.struct("label", "title"), "__open")
-    path = F.concat_ws(".", F.col("doc_slug"), F.array_join(F.transform("__open", lambda x: x["v"]["label"]), "."))
-    paths = df.select("doc_slug", F.col("n").alias("section"), "level", path.alias("path"), F.transform("__open", lambda x: x["v"]["title"]).alias("titles"))
-    first_title = F.when(F.col("section").isNull() & F.col("title").isNotNull(), F.lit("")).otherwise(F.col("line"))
-    return emit(tree.withColumn("line", first_title), paths)
+# Fixed value: the title of a statute that has none.
+STATUTE_TITLE = "Văn bản pháp luật bảo hiểm"
 
 
+def chunk_statutes(docs: DataFrame, text: str = "raw_text") -> DataFrame:
+    """The statute profile: chapters, sections, subsections and articles by their numbers, a title that binds the document, all of an article in one chunk.
+
+    Other headings below an article, up to the next statute unit, are part of its text. Chunks have statutory_unit, the kind of their section, and
+    doc_code, from the front matter.
+    """
+    lines, meta = front_matter(lines_of(docs, text))
+    lines = bind_title(headings(normalise_statutes(mark_code(lines))), after_text=False)
+    head = F.col("level").isNotNull()
+    lines = lines.withColumn("__kind", F.when(head, classify_statute(F.col("level"), F.col("title")))).withColumn("__unit", head & is_statute(F.col("title")))
+    before = F.last(F.when(F.col("__unit"), F.col("__kind")["kind"]), ignorenulls=True).over(by_line().rowsBetween(Window.unboundedPreceding, -1))
+    folds = F.coalesce(head & ~F.col("__unit") & (before == "ARTICLE"), F.lit(False))
+    lines = lines.withColumn("__f", folds).withColumn("line", F.when(F.col("__f"), F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("title"))).otherwise(F.col("line")))
+    lines = lines.withColumn("raw_level", F.col("level")).withColumn("level", F.when(~F.col("__f"), F.col("__kind")["level"]))
+    tree = saved(section_tree(lines), "statute-tree")
+    heads = tree.where("level is not null").withColumn("label", F.col("__kind")["label"])
+    df = live(disambiguate(heads), F.struct("label", "title"), "__open")
+    of = lambda name: F.transform("__open", lambda x: x["v"][name])
+    heading = F.concat(F.repeat(F.lit("#"), F.col("raw_level")), F.lit(" "), F.col("title"))
+    paths = df.select("doc_slug", F.col("n").alias("section"), F.concat_ws(".", F.col("doc_slug"), F.array_join(of("label"), ".")).alias("path"), of("title").alias("crumbs"), heading.alias("heading"), F.col("n").alias("from_line"), F.col("__kind")["kind"].alias("unit"))
+    paths = saved(paths, "statute-paths")
+    prose = tree.where("level is null").where(F.col("in_code") | (F.trim("line") != "")).select("doc_slug", "section").distinct()
+    useful = paths.join(prose, ["doc_slug", "section"], "left_semi").select("doc_slug", F.explode(ancestors(F.col("path"), with_self=True)).alias("path")).distinct()
+    paths = paths.join(useful, ["doc_slug", "path"], "left_semi")
+    roots = tree.select("doc_slug", "root_title", "root_line").distinct().join(meta.select("doc_slug", F.nullif(F.col("title"), F.lit("")).alias("given"), F.col("metadata")["doc_code"].alias("doc_code")), "doc_slug", "left")
+    title = F.coalesce(F.when(F.col("root_line").isNotNull(), F.col("root_title")), "given", "root_title", F.lit(STATUTE_TITLE))
+    roots = roots.select("doc_slug", title.alias("root_title"), "root_line", F.array(title).alias("root_crumbs"), "doc_code")
+    chunks = profile_chunks(tree, paths, roots.drop("doc_code"), "legal")
+    found = chunks.join(paths.select("path", "unit"), "path", "left").join(roots.select("doc_slug", "doc_code"), "doc_slug", "left")
+    return found.withColumn("statutory_unit", F.coalesce("unit", F.lit("DOCUMENT"))).drop("unit", "scope")

@@ -164,10 +164,10 @@ def chk_markup_normalise(m: Model) -> DataFrame:
     return m.chunks.select("path", ch.normalise_markup(raw).alias("line"))
 
 
-@query("chk_comment_meta", f"WITH {D} SELECT doc_slug, '*Added in: v' || coalesce(length(raw_text), 0) % 20 || '.0.0, v' || doc_id % 7 || '.1.0' || CASE WHEN doc_id % 2 = 0 THEN ' — Deprecated in: v4.0.0' ELSE '' END || '*' AS badge, 'v' || doc_id AS introduced FROM d")
+@query("chk_comment_meta", f"WITH {D} SELECT doc_slug, '*Added in: ' || CASE WHEN doc_id % 3 = 0 THEN 'REPLACEME' ELSE 'v' || coalesce(length(raw_text), 0) || '.0.0-rc.1, v' || doc_id % 7 || '.1.0' END || CASE WHEN doc_id % 2 = 0 THEN ' — Deprecated in: v4.0.0' ELSE '' END || '*' AS badge, 'v' || doc_id AS introduced FROM d")
 def chk_comment_meta(m: Model) -> DataFrame:
     k = F.col("doc_id")
-    yaml = F.concat(F.lit("<!-- YAML\nadded:\n  - v"), (F.coalesce(F.char_length("raw_text"), F.lit(0)) % 20).cast("string"), F.lit(".0.0\n  - v"), (k % 7).cast("string"), F.lit(".1.0\n"), F.when(k % 2 == 0, "deprecated: v4.0.0\n").otherwise(""), F.lit("-->"))
+    yaml = F.concat(F.lit("<!-- YAML\n"), F.when(k % 3 == 0, "added: REPLACEME\n").otherwise(F.concat(F.lit("added:\n  - v"), F.coalesce(F.char_length("raw_text"), F.lit(0)).cast("string"), F.lit(".0.0-rc.1\n  - v"), (k % 7).cast("string"), F.lit(".1.0\n"))), F.when(k % 2 == 0, "deprecated: v4.0.0\n").otherwise(""), F.lit("-->"))
     return m.docs.select("doc_slug", ch.version_badge(yaml).alias("badge"), ch.comment_value(F.concat(F.lit("<!-- introduced_in=v"), k.cast("string"), F.lit(" -->")), "introduced_in").alias("introduced"))
 
 
@@ -257,19 +257,20 @@ def chk_merge_pairs(m: Model) -> DataFrame:
 
 def api_documents(m: Model) -> DataFrame:
     """The documents with headings, version comments, stability notes and code of an API put between their lines by rule."""
-    put = {1: "# Module", 3: "<!-- YAML\nadded: v1.2.0\n-->\n> Stability: 2 - Stable", 4: "## `open(path[, flags])`", 6: "## `open(path, flags, mode)`", 8: "### `path`", 9: "### `open.sync(path)`", 11: "### Caveats", 12: "```js\n# no heading", 13: "```", 14: "## Class: `Thing`", 16: "### Event: `'end'`"}
+    put = {1: "# Module", 3: "<!-- YAML\nadded: v1.2.0\n-->\n> Stability: 2 - Stable", 4: "## `open(path[, flags])`", 6: "## `open(path, flags, mode)`", 8: "### `path`", 9: "### `open.sync(path)`", 11: "### Caveats", 10: "| `a` | <b>b</b> |", 12: "```js\n# no heading", 13: "```", 14: "## Class: `Thing`", 16: "### Event: `'end'`"}
     return _with_lines(m, put)
 
 
 def mdx_documents(m: Model) -> DataFrame:
     """The documents with headings, scopes, components and code put between their lines by rule."""
-    put = {1: "---\ntitle: Given\nrelated:\n  links:\n    - a\n---", 3: "## Use", 4: "<AppOnly>", 6: "</AppOnly>", 7: "## Use", 8: "{/* gone\n## not here */}", 9: "#### Rename the thing", 10: "##### `rename-thing`", 12: '<Image\n  alt="a > b"\n  src="/i.png"\n/>', 13: "```js\n<AppOnly>", 14: "```", 15: '<FixCardGrid>\n<FixCard title="T" href="/h" />\n</FixCardGrid>', 16: "<Check size={1} /> done"}
+    put = {1: "---\ntitle: Given\nrelated:\n  links:\n    - a\n---", 3: "## Use", 4: "<AppOnly>", 6: "</AppOnly>", 7: "## Use", 5: "Say `<Image>` or `<Link>`, <b>not</b> `a  b`.", 8: "{/* gone\n## not here */}", 11: "<Image",  9: "#### Rename the thing", 10: "##### `rename-thing`", 12: '<Image\n  alt="a > b"\n  src="/i.png"\n/>', 13: "```js\n<AppOnly>", 14: "```", 15: '<FixCardGrid>\n<FixCard title="T" href="/h" />\n</FixCardGrid>', 16: "<Check size={1} /> done"}
     return _with_lines(m, put)
 
 
 def _with_lines(m: Model, put: dict[int, str]) -> DataFrame:
+    """The documents with lines put before some of every seventeen."""
     table = F.create_map(*[F.lit(x) for kv in put.items() for x in kv])
-    lines = F.transform(F.split("raw_text", "\n"), lambda t, i: F.concat(F.coalesce(F.concat(table[i % 17 + 1], F.lit("\n")), F.lit("")), F.regexp_replace(t, r"[^\p{L}\p{N} ,.]", "")))
+    lines = F.transform(F.split("raw_text", "\n"), lambda t, i: F.concat(F.coalesce(F.concat(table[i % 17 + 1], F.lit("\n")), F.lit("")), t))
     return m.docs.where("raw_text is not null").select("doc_slug", F.array_join(lines, "\n").alias("raw_text"))
 
 
@@ -285,6 +286,34 @@ def chk_profile_nextjs(m: Model) -> DataFrame:
     return ch.chunk_mdx(mdx_documents(m)).select("path", "verbatim_text", "contextualized_text", "start_line", "end_line", "node_type", "scope", F.array_join("related_links", ",").alias("links"))
 
 
+def statute_documents(m: Model) -> DataFrame:
+    """The documents as statutes: front matter, a preface, and every line of theirs as an item, with units and other headings before some of every twelve."""
+    number = lambda i: (i + 1).cast("string")
+    put = lambda i: F.element_at(F.array(F.concat(F.lit("## Chương "), (F.floor(i / 12) + 1).cast("string")), F.lit(""), F.concat(F.lit("### Mục "), number(i)), F.lit(""), F.concat(F.lit("#### Điều "), number(i)), F.lit(""), F.lit("##### Ghi chú"), F.lit(""), F.concat(F.lit("#### Điều "), number(i), F.lit("a")), F.lit(""), F.concat(F.lit("Tiểu mục "), number(i)), F.lit("")), i % 12 + 1)
+    lines = F.transform(F.split("raw_text", "\n"), lambda t, i: F.concat(put(i), F.lit("\n\n– a "), t))
+    k = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("---\ntitle: T"), k, F.lit("\ndoc_code: C"), k, F.lit("\n---\nLời nói đầu\n"), F.array_join(lines, "\n"))
+    return m.docs.where("raw_text is not null").select("doc_slug", text.alias("raw_text"))
+
+
+LEGAL = f"""WITH {D}, l AS (SELECT doc_slug, doc_id, unnest(string_split(raw_text, chr(10))) AS t, generate_subscripts(string_split(raw_text, chr(10)), 1) AS i FROM d WHERE raw_text IS NOT NULL),
+u AS (SELECT *, CASE i % 12 WHEN 1 THEN 'CHAPTER' WHEN 3 THEN 'SECTION' WHEN 5 THEN 'ARTICLE' WHEN 9 THEN 'ARTICLE' WHEN 11 THEN 'SUBSECTION' END AS unit, (i - 1) // 12 AS k FROM l),
+s AS (SELECT *, max(CASE WHEN unit IS NOT NULL THEN i END) OVER (PARTITION BY doc_slug ORDER BY i) AS s FROM u),
+b AS (SELECT doc_slug, doc_id, s, any_value(k) AS k, s % 12 AS r, max(unit) AS unit, string_agg(CASE WHEN i % 12 = 7 THEN '##### Ghi chú' || chr(10) || chr(10) ELSE '' END || rtrim('– a ' || t), chr(10) || chr(10) ORDER BY i) AS body, 5 + 3 * s - 2 AS start_line, 5 + 3 * max(i) AS end_line FROM s GROUP BY doc_slug, doc_id, s),
+h AS (SELECT *, '.chuong_' || (k + 1) || CASE WHEN r > 1 THEN '.muc_' || (12 * k + 3) ELSE '' END || CASE r WHEN 5 THEN '.dieu_' || s WHEN 9 THEN '.dieu_' || s || 'a' WHEN 11 THEN '.tieu_muc_' || s ELSE '' END AS tail,
+ CASE r WHEN 1 THEN '## Chương ' || (k + 1) WHEN 3 THEN '### Mục ' || s WHEN 11 THEN '### Tiểu mục ' || s ELSE '#### Điều ' || s || CASE WHEN r = 9 THEN 'a' ELSE '' END END AS head,
+ ' > Chương ' || (k + 1) || CASE WHEN r > 1 THEN ' > Mục ' || (12 * k + 3) ELSE '' END || CASE r WHEN 5 THEN ' > Điều ' || s WHEN 9 THEN ' > Điều ' || s || 'a' WHEN 11 THEN ' > Tiểu mục ' || s ELSE '' END AS crumbs FROM b),
+f AS (SELECT doc_slug || tail AS path, head || chr(10) || chr(10) || body AS v, 'T' || doc_id || crumbs AS crumbs, start_line, end_line, 'SECTION' AS node_type, unit AS statutory_unit, 'C' || doc_id AS doc_code FROM h
+ UNION ALL SELECT doc_slug || '.overview', '# T' || doc_id || chr(10) || chr(10) || 'Lời nói đầu', 'T' || doc_id || ' > Overview', 5, 5, 'OVERVIEW', 'DOCUMENT', 'C' || doc_id FROM d WHERE raw_text IS NOT NULL)
+SELECT path, rtrim(v) AS verbatim_text, '[' || crumbs || ']' || chr(10) || rtrim(v) AS contextualized_text, start_line, end_line, node_type, statutory_unit, doc_code FROM f"""
+
+
+@query("chk_profile_legal", LEGAL)
+def chk_profile_legal(m: Model) -> DataFrame:
+    """The assembled profile of statutes."""
+    return ch.chunk_statutes(statute_documents(m)).select("path", "verbatim_text", "contextualized_text", "start_line", "end_line", "node_type", "statutory_unit", "doc_code")
+
+
 @query("src_inline_docs", f"WITH {D} SELECT doc_slug, title, md5(raw_text) AS h FROM d")
 def src_inline_docs(m: Model) -> DataFrame:
     """Documents in memory, given as a table of slug, title, text and suffix."""
