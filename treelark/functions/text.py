@@ -53,6 +53,13 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(tokens(text), of)))
 
 
+def grams(text: Column) -> Column:
+    """The set of runs of three characters of a text in lower case, across words; empty for shorter texts. Linear in its length."""
+    runs = lambda ls: F.transform(ls, lambda c, i: F.concat(c, F.get(ls, i + 1), F.get(ls, i + 2)))
+    found = F.get(F.transform(F.array(F.split(F.lower(text), "")), runs), F.lit(0))  # the letters are bound, not split anew for each of them
+    return F.array_distinct(F.filter(found, lambda g: g.isNotNull() & (F.length(g) == 3)))
+
+
 def trigram_similarity(a: Column, b: Column) -> Column:
     x, y = trigrams(a), trigrams(b)
     return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))), F.lit(0.0))

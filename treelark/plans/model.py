@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelark.sources.scratch import exists, scratch_folder
+from treelark.sources.scratch import exists, scratch_folder, stamped
 
 # Relation codes, their descriptions and symmetry.
 RELATIONS = [
@@ -25,7 +25,7 @@ CODES = [r[0] for r in RELATIONS]
 SYMMETRIC = [r[0] for r in RELATIONS if r[2]]
 
 
-#: Where the tables that are stored once lie: (application, folder, table) -> (input files, path).
+#: Where the tables that are stored once lie: (application, folder, table) -> (input files with their lengths and times, path).
 STORED: dict[tuple[str, str, str], tuple[list[str], str]] = {}
 
 
@@ -45,7 +45,8 @@ class Model:
 
     def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """The table of build, written once for an application and a folder of documents, and read from there."""
-        key, files = (self.spark.sparkContext.applicationId, self.dir, name), sorted(self.table("documents").inputFiles())
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        files = sorted(stamped(self.spark, f) for f in self.table("documents").inputFiles())
         if key not in STORED or STORED[key][0] != files or not exists(self.spark, f"{STORED[key][1]}/_SUCCESS"):
             path = scratch_folder(self.spark, name)
             build().write.parquet(path)
@@ -63,6 +64,13 @@ class Model:
 
         return self.stored("postings", lambda: postings(self.chunks))
 
+    @property
+    def grams(self) -> DataFrame:
+        """(path, gram) of both texts, in files by gram: a few grams read a few pages."""
+        from treelark.operators.search import gram_index
+
+        return self.stored("grams", lambda: gram_index(self.chunks).repartitionByRange(F.col("gram"), F.xxhash64("path")).sortWithinPartitions("gram"))
+
     @property
     def lines(self) -> DataFrame:
         """One chunk a non-blank line."""

@@ -128,7 +128,7 @@ def se_grep_insensitive(m: Model) -> DataFrame:
 def se_grep_regex(m: Model) -> DataFrame:
     p = m.search_queries.where(F.col("query_text").rlike("^[A-Za-z]"))
     p = p.select("query_id", F.concat(F.regexp_extract("query_text", "^[A-Za-z]+", 0), F.lit("[a-z]*[ ,]")).alias("pattern"))
-    return se.grep(p, m.chunks, regex=True).select("query_id", "path")
+    return se.grep(p, m.chunks, regex=True, index=m.grams).select("query_id", "path")
 
 
 @query("se_grep_count", f"{GREP} SELECT q.query_id, count(h.path) AS n FROM q LEFT JOIN hits h ON q.query_id = h.query_id GROUP BY q.query_id")
@@ -154,13 +154,34 @@ def se_trigram(m: Model) -> DataFrame:
 
 @query("se_trigram_match", f"WITH {C}, {Q}, w AS (SELECT query_id, {tri('query_text')} AS a FROM q), t AS (SELECT path, {tri('verbatim_text')} AS b FROM c), wa AS (SELECT query_id, len(a) AS na, unnest(a) AS g FROM w), tb AS (SELECT path, len(b) AS nb, unnest(b) AS g FROM t WHERE len(b) * 0.3 <= (SELECT max(len(a)) FROM w)), k AS (SELECT query_id, path, na, nb, count(*) AS k FROM wa JOIN tb USING (g) GROUP BY ALL), s AS (SELECT query_id, path, round(k::DOUBLE / (na + nb - k), 6) AS similarity FROM k) SELECT * FROM s WHERE similarity >= 0.3")
 def se_trigram_match(m: Model) -> DataFrame:
-    """Lines similar to a pattern as whole texts: set similarity join on shared trigrams, where sizes that can't reach the similarity don't meet."""
-    q = m.search_queries.select("query_id", tx.trigrams(F.col("query_text")).alias("a"))
-    most = q.agg(F.max(F.size("a"))).first()[0] or 0
-    c = m.chunks.select("path", tx.trigrams(F.col("verbatim_text")).alias("b")).where(F.size("b") * 0.3 <= most)
-    shared = se.small(q)(q.select("query_id", F.size("a").alias("na"), F.explode("a").alias("t"))).join(c.select("path", F.size("b").alias("nb"), F.explode("b").alias("t")), "t")
-    shared = shared.where("na >= 0.3 * nb and nb >= 0.3 * na").groupBy("query_id", "path", "na", "nb").agg(F.count("*").alias("k"))
-    return shared.select("query_id", "path", F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 6).alias("similarity")).where("similarity >= 0.3")
+    """Lines similar to a pattern as whole texts: a prefix-filtered set similarity join."""
+    q = m.search_queries.select("query_id", tx.trigrams(F.col("query_text")).alias("set"))
+    return se.similar_sets(q, m.chunks.select("path", tx.trigrams(F.col("verbatim_text")).alias("set")), 0.3)
+
+
+@query("se_grep_similar", f"WITH {C}, {Q}, w AS (SELECT query_id, query_text, {tri('query_text')} AS a FROM q), t AS (SELECT path, contextualized_text AS ct, {tri('verbatim_text')} AS b FROM c), j AS (SELECT query_id, path, contains(lower(ct), lower(query_text)) AS held, len(list_intersect(a, b)) AS k, len(a) AS na, len(b) AS nb FROM w JOIN t ON true) SELECT query_id, path FROM j WHERE held OR round(k::DOUBLE / (na + nb - k), 6) >= 0.45")
+def se_grep_similar(m: Model) -> DataFrame:
+    """A search that ignores case, with texts of a like make beside those that hold the pattern."""
+    return grep(m, case_sensitive=False, similar=0.45).select("query_id", "path")
+
+
+PIECES = "regexp_extract_all(query_text, '[A-Za-z]{3,}')"
+
+
+@query("se_grep_alternatives", f"WITH {C}, {Q}, p AS (SELECT query_id, '(' || w[2] || '|' || w[3] || 'x?) [a-z]+.*' || w[4] AS pattern FROM (SELECT query_id, {PIECES} AS w FROM q) WHERE len(w) >= 4) SELECT query_id, path FROM p JOIN c ON regexp_matches(verbatim_text, pattern) OR regexp_matches(contextualized_text, pattern)")
+def se_grep_alternatives(m: Model) -> DataFrame:
+    """Expressions with alternatives, optional parts and gaps."""
+    w = m.search_queries.select("query_id", F.regexp_extract_all("query_text", F.lit("[A-Za-z]{3,}"), F.lit(0)).alias("w")).where("size(w) >= 4")
+    pattern = F.concat(F.lit("("), F.get("w", F.lit(1)), F.lit("|"), F.get("w", F.lit(2)), F.lit("x?) [a-z]+.*"), F.get("w", F.lit(3)))
+    return se.grep(w.select("query_id", pattern.alias("pattern")), m.chunks, regex=True, index=m.grams).select("query_id", "path")
+
+
+@query("se_grep_wildcards", f"WITH {C}, {Q}, p AS (SELECT query_id, w[2] || '%' || w[3] || '_' || w[4] AS pattern FROM (SELECT query_id, {PIECES} AS w FROM q) WHERE len(w) >= 4) SELECT query_id, path FROM p JOIN c ON verbatim_text LIKE '%' || pattern || '%' OR contextualized_text LIKE '%' || pattern || '%'")
+def se_grep_wildcards(m: Model) -> DataFrame:
+    """LIKE patterns, looked up in the same index."""
+    w = m.search_queries.select("query_id", F.regexp_extract_all("query_text", F.lit("[A-Za-z]{3,}"), F.lit(0)).alias("w")).where("size(w) >= 4")
+    pattern = F.concat(F.get("w", F.lit(1)), F.lit("%"), F.get("w", F.lit(2)), F.lit("_"), F.get("w", F.lit(3)))
+    return se.grep(w.select("query_id", pattern.alias("pattern")), m.chunks, literal=False, index=m.grams).select("query_id", "path")
 
 
 OVERLAP = f"round(coalesce(len(list_intersect(list_distinct({words('query_text')}), {words('verbatim_text')}))::DOUBLE / nullif(len(list_distinct({words('query_text')})), 0), 0), 6)"

@@ -28,3 +28,10 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def stamped(spark: SparkSession, path: str) -> str:
+    """A file's path with its length and time of change: another one if the file is written anew."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+    return f"{path} {status.getLen()} {status.getModificationTime()}"
