@@ -144,32 +144,88 @@ def backfill_citations(edges: DataFrame, chunks: DataFrame) -> DataFrame:
     return edges.join(t, "source", "left").withColumn("citation_text", F.coalesce(F.nullif(F.trim("citation_text"), F.lit("")), "__t")).drop("__t")
 
 
+# The tables of a store. Rows lie in buckets of their doc_slug; an edge's is that of its source.
 STORE = {
     "documents": "doc_slug string, id string, file string, raw_text string, profile string",
     "chunks": "path string, id string, doc_slug string, verbatim_text string, contextualized_text string, start_line bigint, end_line bigint, node_type string, profile string, embedding array<float>",
-    "edges": "source string, target string, relation_type string, citation_text string, rationale string",
+    "edges": "doc_slug string, source string, target string, relation_type string, citation_text string, rationale string",
     "quarantine": "doc_slug string, path string, reason string",
 }
+EDGE = ["source", "target", "relation_type", "citation_text", "rationale"]
+#: Buckets of a new store.
+BUCKETS = 64
+
+
+def bucket_of(slug: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(slug)), F.lit(buckets)).cast("int")
+
+
+class Store:
+    """A store of tables in hash buckets. A version is a small list (table, bucket, place) of where each bucket lies: it takes over the buckets of the
+    version before, but for those that were written for it. The list is written last, so a version is there wholly or not at all, and a
+    version that was cut short is simply written again."""
+
+    def __init__(self, spark: SparkSession, root: str, version: int, buckets: int = BUCKETS) -> None:
+        self.spark, self.root, self.version = spark, root, version
+        self.places: dict[str, dict[int, str]] = {name: {} for name in STORE}
+        self.buckets = buckets
+        if version:
+            for r in spark.read.schema("table string, bucket int, place string").json(f"{root}/versions/v{version}").collect():  # tables x buckets rows
+                if r["table"] == "":
+                    self.buckets = r["bucket"]
+                else:
+                    self.places[r["table"]][r["bucket"]] = r["place"]
+
+    def table(self, name: str, some: list[int] | None = None) -> DataFrame:
+        """A table, or some buckets of it: no others are read."""
+        paths = [place for k, place in sorted(self.places[name].items()) if some is None or k in some]
+        return self.spark.read.schema(STORE[name]).parquet(*paths) if paths else self.spark.createDataFrame([], STORE[name])
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        return sorted(r[0] for r in rows.select(bucket_of("doc_slug", self.buckets)).distinct().collect())
+
+    def is_there(self, version: int) -> bool:
+        return exists(self.spark, f"{self.root}/versions/v{version}/_SUCCESS")
+
+    def write(self, name: str, rows: DataFrame, some: list[int]) -> None:
+        """The new rows of some buckets; a bucket without any is gone."""
+        columns = [f.split(" ")[0] for f in STORE[name].split(", ")]
+        at = f"{self.root}/data/v{self.version + 1}/{name}"
+        placed = rows.select(*columns, bucket_of("doc_slug", self.buckets).alias("bucket"))
+        placed.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(at)
+        for k in some:
+            self.places[name].pop(k, None)
+            if exists(self.spark, f"{at}/bucket={k}"):
+                self.places[name][k] = f"{at}/bucket={k}"
+
+    def commit(self) -> Store:
+        rows = [(name, k, place) for name, own in self.places.items() for k, place in own.items()] + [("", self.buckets, "")]
+        self.spark.createDataFrame(rows, "table string, bucket int, place string").coalesce(1).write.mode("overwrite").json(f"{self.root}/versions/v{self.version + 1}")
+        return Store(self.spark, self.root, self.version + 1)
 
 
 def read_store(spark: SparkSession, store: str, version: int) -> dict[str, DataFrame]:
     """The tables of a version of a store; version 0 is empty."""
-    return {name: spark.read.schema(schema).parquet(f"{store}/v{version}/{name}") if version else spark.createDataFrame([], schema) for name, schema in STORE.items()}
+    own = Store(spark, store, version)
+    return {name: own.table(name) for name in STORE}
 
 
-def ingest_documents(docs: DataFrame, profiles, store: str, version: int, drafts: DataFrame | None = None, relations: DataFrame | None = None, overwrite: bool = True, strict: bool = False, dims: int = 64) -> DataFrame:
+def ingest_documents(docs: DataFrame, profiles, store: str, version: int, drafts: DataFrame | None = None, relations: DataFrame | None = None, overwrite: bool = True, strict: bool = False, dims: int = 64, buckets: int = BUCKETS) -> DataFrame:
     """Takes documents (file, doc_slug, raw_text) into version + 1 of a store and returns its summary (documents, chunks, edges, embedded, skipped, quarantined).
 
     Each document is cut by its profile and its chunks are checked; documents without a profile or with a broken rule go to the quarantine with
     their reasons, or fail the job if strict. Documents that are stored already are passed over unless overwrite. Vectors of unchanged chunks are kept, others
     are made; chunks that a document no longer has go, with their edges. drafts: edges (source_path, target_path, relation_type, citation_text,
-    rationale, seq) by paths. The new version is written beside the old one, so a job that fails leaves the store as it was.
+    rationale, seq) by paths. Only the buckets that hold a document of the batch, or an edge that comes or goes, are written, beside the old ones:
+    a job that fails leaves the store as it was and can be run again.
     """
-    spark, at = docs.sparkSession, f"{store}/v{version + 1}"
-    if exists(spark, f"{at}/edges/_SUCCESS"):
-        raise ValueError(f"{at} is there")
-    old = read_store(spark, store, version)
-    docs, skipped = (docs, docs.limit(0).select("doc_slug")) if overwrite else skip_existing(docs, old["documents"], old["chunks"])
+    spark = docs.sparkSession
+    old = Store(spark, store, version, buckets)
+    if old.is_there(version + 1):
+        raise ValueError(f"{store} has a version {version + 1}")
+    some = old.touched(docs)
+    there, stored = old.table("documents", some), old.table("chunks", some)
+    docs, skipped = (docs, docs.limit(0).select("doc_slug")) if overwrite else skip_existing(docs, there, stored)
     chunks, unknown = profiles.chunk(docs)
     chunks = saved(chunks.select("doc_slug", "path", "verbatim_text", "contextualized_text", "start_line", "end_line", "node_type", "profile"), "ingest-chunks")
     broken = chunk_violations(chunks, docs).select("doc_slug", "path", F.col("rule").alias("reason"))
@@ -179,22 +235,55 @@ def ingest_documents(docs: DataFrame, profiles, store: str, version: int, drafts
     sound = docs.join(bad.select("doc_slug").distinct(), "doc_slug", "left_anti")
     names = chunks.select("doc_slug", "profile").distinct()
     new_docs = sound.join(names, "doc_slug", "left").select("doc_slug", F.md5("doc_slug").alias("id"), "file", "raw_text", "profile")
-    upsert(old["documents"], new_docs, "doc_slug", ("id",)).write.parquet(f"{at}/documents")
     produced = chunks.join(sound.select("doc_slug"), "doc_slug", "left_semi")
     # a document that no longer has any chunk counts as produced, too
-    left, edges = delete_stale(old["chunks"], produced.select("doc_slug", "path").unionByName(sound.select("doc_slug", F.lit(None).cast("string").alias("path"))), old["edges"])
-    reused = saved(split_by_reuse(produced, old["chunks"]), "ingest-reuse")
+    edges = old.table("edges")
+    left, kept = delete_stale(stored, produced.select("doc_slug", "path").unionByName(sound.select("doc_slug", F.lit(None).cast("string").alias("path"))), edges)
+    reused = saved(split_by_reuse(produced, stored), "ingest-reuse")
     fresh = embed(reused.where("needs_embedding").drop("embedding"), dims=dims)
     columns = [f.split(" ")[0] for f in STORE["chunks"].split(", ")]
     made = reused.where("not needs_embedding").unionByName(fresh.select(*reused.columns)).withColumn("id", F.md5("path")).select(*columns)
-    upsert(left, made, "path", ("id",)).select(*columns).write.parquet(f"{at}/chunks")
-    stored = spark.read.schema(STORE["chunks"]).parquet(f"{at}/chunks")
+    known = upsert(left, made, "path", ("id",)).select(*columns)
+    slugs = edges.select("source", "doc_slug").distinct()
     if drafts is not None and relations is not None:
-        resolved = resolve_edges(drafts, stored.select("path", F.col("path").alias("id")), stored.select("path", F.col("path").alias("id")).limit(0))
-        edges, _ = upsert_edges(edges, resolved, relations)
-    old["quarantine"].join(docs.select("doc_slug"), "doc_slug", "left_anti").unionByName(bad).write.parquet(f"{at}/quarantine")
-    edges.select("source", "target", "relation_type", "citation_text", "rationale").write.parquet(f"{at}/edges")
-    new = read_store(spark, store, version + 1)
+        others = [k for k in old.places["chunks"] if k not in some]
+        ids = known.select("path", "doc_slug")
+        ids = ids.unionByName(old.table("chunks", others).select("path", "doc_slug")) if others else ids
+        ids = saved(ids, "ingest-paths")
+        resolved = resolve_edges(drafts, ids.select("path", F.col("path").alias("id")), ids.select("path", F.col("path").alias("id")).limit(0))
+        kept, _ = upsert_edges(kept, resolved, relations)
+        slugs = ids.select(F.col("path").alias("source"), "doc_slug")
+    new_edges = saved(kept.select(*EDGE).join(slugs, "source"), "ingest-edges")
+    changed = old.touched(edges.select("doc_slug", *EDGE).exceptAll(new_edges.select("doc_slug", *EDGE)).unionByName(new_edges.select("doc_slug", *EDGE).exceptAll(edges.select("doc_slug", *EDGE))))
+    own = bucket_of("doc_slug", old.buckets)
+    old.write("edges", new_edges.where(own.isin(changed)), changed)
+    quarantined = old.table("quarantine", some).join(docs.select("doc_slug"), "doc_slug", "left_anti").unionByName(bad)
+    old.write("quarantine", quarantined, some)
+    old.write("documents", upsert(there, new_docs, "doc_slug", ("id",)), some)
+    old.write("chunks", known, some)
+    new = old.commit()
     count = lambda df, name: df.agg(F.count("*").alias(name))
-    more = count(reused.where("needs_embedding"), "embedded").join(new["quarantine"].agg(F.countDistinct("doc_slug").alias("quarantined")))
-    return summary(new["documents"], new["chunks"], new["edges"], skipped).join(more)
+    more = count(reused.where("needs_embedding"), "embedded").join(new.table("quarantine").agg(F.countDistinct("doc_slug").alias("quarantined")))
+    return summary(new.table("documents"), new.table("chunks"), new.table("edges"), skipped).join(more)
+
+
+def ingest_stream(stream: DataFrame, profiles, store: str, checkpoint: str, base: int = 0, **options) -> int:
+    """Takes a stream of documents (file, doc_slug, raw_text) into a store, and returns the store's last version when all that has arrived is taken in.
+
+    Batch k makes version base + k + 1 of the store. If a trigger is killed, its batch comes again: a version that is there is passed over, one that
+    was cut short is written again, so each document is taken in exactly once. Of a document that stands twice in a batch, the row with the greatest text counts.
+    options: those of ingest_documents.
+    """
+    spark = stream.sparkSession
+
+    def take(batch: DataFrame, k: int) -> None:
+        if Store(spark, store, 0).is_there(base + k + 1):
+            return
+        once = batch.groupBy("doc_slug").agg(F.max(F.struct("raw_text", "file")).alias("r")).select("r.file", "doc_slug", "r.raw_text")
+        ingest_documents(saved(once, "ingest-batch"), profiles, store, base + k, **options)
+
+    stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    version = base
+    while Store(spark, store, 0).is_there(version + 1):
+        version += 1
+    return version

@@ -44,18 +44,21 @@ def st_tool_trace(m: Model) -> DataFrame:
     return st.traces(events(m)).withColumn("elapsed_ms", F.round("elapsed_ms", 3))
 
 
-@query("st_tool_trace_stream", f"""{TRACES} SELECT session, tool, start_id, end_id, status FROM closed UNION ALL SELECT session, tool, start_id, NULL, 'unfinished'
- FROM (SELECT s.*, max(ts) OVER (PARTITION BY session, tool) AS latest FROM still s JOIN events ON event_id = start_id) WHERE latest + INTERVAL 1 HOUR < (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+STREAMED = """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS session, event_type AS tool, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_ms(ts), event_id) AS k FROM events),
+r AS (SELECT DISTINCT session, tool, 0::BIGINT AS k, []::STRUCT(id BIGINT, ms BIGINT)[] AS running, NULL::BIGINT AS start_id, NULL::BIGINT AS end_id, NULL::BIGINT AS end_ms FROM e
+ UNION ALL SELECT session, tool, k, CASE WHEN event_id % 3 = 0 THEN list_append(alive, {'id': event_id, 'ms': ms}) ELSE alive[1:-2] END, CASE WHEN event_id % 3 <> 0 THEN alive[-1].id END, CASE WHEN event_id % 3 <> 0 THEN event_id END, CASE WHEN event_id % 3 <> 0 THEN ms END
+ FROM (SELECT session, tool, e.k, event_id, e.ms, list_filter(running, lambda x: x.ms + 3600000 >= e.ms) AS alive FROM r JOIN e USING (session, tool) WHERE e.k = r.k + 1)),
+w AS (SELECT max(epoch_ms(ts)) - 600000 AS mark FROM events)
+SELECT session, tool, start_id, end_id, CASE WHEN end_id % 3 = 1 THEN 'done' ELSE 'error' END AS status FROM r, w WHERE end_id IS NOT NULL AND (end_ms // 600000 + 1) * 600000 <= mark
+UNION ALL SELECT session, tool, event_id, NULL, 'unfinished' FROM e, w WHERE event_id % 3 = 0 AND event_id NOT IN (SELECT start_id FROM r WHERE start_id IS NOT NULL) AND ((ms + 3600000) // 600000 + 1) * 600000 <= mark"""
+
+
+@query("st_tool_trace_stream", STREAMED)
 def st_tool_trace_stream(m: Model) -> DataFrame:
     """The stream over the whole table of events, read back from its sink."""
-    out = scratch_folder(m.spark, "traces")
-    schema = m.table("events").schema
-    raw = m.spark.readStream.schema(schema).parquet(f"{m.dir}/event[s].parquet")
-    stream_model = Model(m.spark, m.dir)
-    stream_model.table = lambda name: raw
-    stream = st.stream_traces(events(stream_model))
-    stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return m.spark.read.parquet(f"{out}/rows").select("session", "tool", "start_id", "end_id", "status")
+    arriving = Model(m.spark, m.dir)
+    arriving.table = lambda name: m.spark.readStream.schema(m.table(name).schema).parquet(f"{m.dir}/{name[:-1]}[s].parquet")
+    return st.run_to_end(st.stream_traces(events(arriving)), scratch_folder(m.spark, "traces")).select("session", "tool", "start_id", "end_id", "status")
 
 
 RECENT = "SELECT user_id::VARCHAR AS session, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 100"
@@ -75,29 +78,51 @@ def st_recent_events_stream(m: Model) -> DataFrame:
     return st.recent_stream(events(arriving), store).select("session", "event_id")
 
 
-@query("st_trace_summary", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id % 9 || ' chunks · ' || event_id % 4 || ' documents' WHEN 1 THEN event_id % 9 || ' nodes' WHEN 2 THEN event_id % 9 || ' links' WHEN 3 THEN event_id % 9 || ' citations' ELSE (event_id % 9)::VARCHAR END AS badge FROM events")
+@query("st_trace_summary", """WITH s AS (SELECT doc_id, source, length(coalesce(text, '')) AS n, len(string_split(coalesce(text, ''), ' ')) AS w, doc_id % 8 AS k FROM documents)
+SELECT doc_id, CASE k WHEN 0 THEN (w % 5 + n % 4) || ' chunks · 2 documents' WHEN 1 THEN (2 + w % 6) || ' nodes' WHEN 2 THEN (w % 7 + 1) || ' links' WHEN 3 THEN 'lines ' || n || '–' || (n + w) WHEN 4 THEN '+' || (w % 4) || ' −' || (n % 3) WHEN 5 THEN CASE WHEN n % 2 = 0 THEN 'abstained' ELSE (w % 3) || ' citations' END END AS badge FROM s""")
 def st_trace_summary(m: Model) -> DataFrame:
-    k = F.col("event_id")
-    tool = F.element_at(F.array(*[F.lit(t) for t in ("search", "navigate", "graph", "answer", "raw")]), (k % 5 + 1).cast("int"))
-    return m.table("events").select("event_id", tool.alias("tool"), (k % 9).alias("items"), (k % 4).alias("documents")).select("event_id", st.badge().alias("badge"))
-
-
-@query("st_incremental_ingest", "SELECT source || '.doc_' || doc_id AS doc_slug, 1 AS version FROM documents")
+    """Results of all tools as JSON texts, nested and sized by the documents, one of them an error and one broken."""
+    text = F.coalesce("raw_text", F.lit(""))
+    n, w = F.char_length(text), F.size(F.split(text, " "))
+    some = lambda k, item: F.transform(F.slice(F.sequence(F.lit(1), F.lit(10)), 1, k), lambda i: item(i))
+    path = lambda i: F.struct(F.concat("doc_slug", F.lit(".s_"), i.cast("string")).alias("path"))
+    group = lambda slug, k: F.struct(slug.alias("doc_slug"), some(k, path).alias("chunks"))
+    results = [
+        F.to_json(F.struct(F.array(group(F.col("doc_slug"), w % 5), group(F.lit("other"), n % 4)).alias("groups"))),
+        F.to_json(F.struct(F.array(F.struct(F.col("doc_slug").alias("path"), some(w % 6, path).alias("children")), F.struct(F.lit("x").alias("path"), some(F.lit(0), path).alias("children"))).alias("nodes"))),
+        F.to_json(F.struct(F.array(F.struct(some(w % 7, lambda i: i.cast("string")).alias("targets")), F.struct(F.array("doc_slug").alias("targets"))).alias("steps"))),
+        F.to_json(F.struct(n.alias("start_line"), (n + w).alias("end_line"), text.alias("text"))),
+        F.to_json(F.struct(some(w % 4, path).alias("added"), some(n % 3, path).alias("removed"))),
+        F.to_json(F.struct((n % 2 == 0).alias("abstained"), some(w % 3, path).alias("citations"))),
+        F.to_json(F.struct(F.lit("no").alias("error"))), F.concat(F.lit('{"groups": ['), F.col("doc_slug")),
+    ]
+    tools = ["search", "navigate", "graph", "raw", "curate", "answer", "search", "search"]
+    k = (F.col("doc_id") % 8 + 1).cast("int")
+    rows = m.docs.select("doc_id", F.element_at(F.array(*[F.lit(t) for t in tools]), k).alias("tool"), F.element_at(F.array(*results), k).alias("result"))
+    return rows.select("doc_id", st.badge().alias("badge"))
+
+
+@query("st_incremental_ingest", f"WITH {C} SELECT path, verbatim_text, contextualized_text, start_line, end_line, doc_id % 7 = 3 AS quarantined FROM (SELECT path, verbatim_text, contextualized_text, start_line, end_line, doc_id FROM c WHERE doc_id % 7 <> 3 UNION ALL SELECT doc_slug, NULL, NULL, NULL, NULL, doc_id FROM d WHERE doc_id % 7 = 3 AND raw_text IS NOT NULL)")
 def st_incremental_ingest(m: Model) -> DataFrame:
-    """The documents as a stream of files, merged by slug into a store, batch by batch."""
+    """The documents as a stream of files, cut into chunks and taken into a store; documents of some ids have no profile. Chunks, and documents in quarantine."""
     root = scratch_folder(m.spark, "ingest")
-    spark, columns = m.spark, ["doc_slug", "version"]
-    spark.createDataFrame([], "doc_slug string, version bigint").write.parquet(f"{root}/store-0")
-    state = {"at": f"{root}/store-0"}
-
-    def merge(batch: DataFrame, k: int) -> None:
-        new = batch.select(F.concat("source", F.lit(".doc_"), F.col("doc_id").cast("string")).alias("doc_slug"), F.lit(1).cast("long").alias("version")).dropDuplicates(["doc_slug"])
-        merged = ing.upsert(batch.sparkSession.read.parquet(state["at"]), new, "doc_slug", ())
-        state["at"] = f"{root}/store-{k + 1}"
-        merged.select(*columns).write.mode("overwrite").parquet(state["at"])
-
-    st.ingest_stream(spark, f"{m.dir}/document[s].parquet", m.table("documents").schema, f"{root}/state", merge)
-    return spark.read.parquet(state["at"])
+    arriving = m.spark.readStream.schema(m.table("documents").schema).option("maxFilesPerTrigger", 64).parquet(f"{m.dir}/document[s].parquet").where("text is not null")
+
+    def cut(docs: DataFrame) -> DataFrame:
+        lines = ch.lines_of(docs).where(F.col("line").rlike(r"\S"))
+        head = F.concat(F.lit("["), F.replace("doc_slug", F.lit(".doc_"), F.lit(" > doc_")), F.lit("]\n"))
+        return lines.select("doc_slug", F.concat("doc_slug", F.lit(".s_"), F.col("n").cast("string")).alias("path"), F.col("line").alias("verbatim_text"), F.concat(head, "line").alias("contextualized_text"), F.col("n").alias("start_line"), F.col("n").alias("end_line"), F.lit("SECTION").alias("node_type"))
+
+    profiles = plugins.Profiles()
+    profiles.register(plugins.Profile("lines", lambda file, text: file.endswith(".md"), cut))
+    k = F.col("doc_id")
+    docs = arriving.select(F.concat(k.cast("string"), F.when(k % 7 == 3, ".bin").otherwise(".md")).alias("file"), F.concat("source", F.lit(".doc_"), k.cast("string")).alias("doc_slug"), F.col("text").alias("raw_text"))
+    version = ing.ingest_stream(docs, profiles, f"{root}/store", f"{root}/state")
+    t = ing.read_store(m.spark, f"{root}/store", version)
+    texts = ["path", "verbatim_text", "contextualized_text", "start_line", "end_line"]
+    none = [F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.lit(None).cast("bigint")]
+    bad = t["quarantine"].select(F.col("doc_slug").alias("path"), *[x.alias(c) for x, c in zip(none, texts[1:], strict=True)], F.lit(True).alias("quarantined"))
+    return t["chunks"].select(*texts, F.lit(False).alias("quarantined")).unionByName(bad)
 
 
 @query("ux_profile", f"WITH {C} SELECT profile, count(*) AS chunks FROM (SELECT CASE WHEN source IN ('src1', 'src2') THEN 'a' ELSE 'b' END AS profile FROM c) GROUP BY profile")

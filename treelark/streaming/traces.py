@@ -1,36 +1,47 @@
-"""Tool-call traces from events, in batch and as a stream, and incremental ingest.
+"""Tool-call traces from events, in batch and as a stream.
 
 Events: (session, event_id, ts, kind, tool, args, elapsed_ms, result); kind is tool_start, tool_done or tool_error. A terminal event closes the
 latest running call of its tool in its session; one without a running call is a trace of its own. In the stream a call that stays
-open for `timeout` of event time is emitted as unfinished.
+open for `timeout` of event time is unfinished.
+
+The streams keep their state in RocksDB by key (transformWithState): what a trigger costs goes by its new events and the keys that they touch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import contextlib
+import heapq
+import json
+from collections.abc import Iterator
+from itertools import batched
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from treelark.sources.scratch import exists
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 TRACE = "session string, tool string, start_id bigint, end_id bigint, status string, args string, elapsed_ms double"
+PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Rows of a key that are taken into its state at a time.
+STEP = 512
+
 
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams with keyed state are started inside: the session's state provider is RocksDB meanwhile."""
+    before = spark.conf.get(PROVIDER[0])
+    spark.conf.set(*PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER[0], before)
 
-def fold(rows: Iterator, running: list[tuple]) -> tuple[list[tuple], list[tuple]]:
-    """(finished traces, calls still running) of ordered rows (event_id, ts, kind, args, elapsed_ms)."""
-    done = []
-    for r in rows:
-        if r.kind == "tool_start":
-            running.append((int(r.event_id), r.ts, r.args))
-            continue
-        start = running.pop() if running else (None, None, None)
-        status = "done" if r.kind == "tool_done" else "error"
-        took = r.elapsed_ms if r.elapsed_ms == r.elapsed_ms and r.elapsed_ms is not None else (r.ts - start[1]).total_seconds() * 1e3 if start[1] is not None else None
-        done.append((start[0], int(r.event_id), status, r.args if r.args is not None else start[2], took))
-    return done, running
+
+def run_to_end(stream: DataFrame, out: str) -> DataFrame:
+    """All that the stream gives for what has arrived, appended to out/rows exactly once, and read from there. A killed run goes on where it stopped."""
+    spark = stream.sparkSession
+    with keyed_state(spark):
+        stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
 def traces(events: DataFrame) -> DataFrame:
@@ -59,31 +70,75 @@ def traces(events: DataFrame) -> DataFrame:
     )
 
 
-def stream_traces(events: DataFrame, watermark: str = "10 minutes", timeout_ms: int = 3_600_000) -> DataFrame:
-    """The same as an append-only stream: finished calls at once, unfinished ones when the watermark passes their time-out."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, times, args = state.get if state.exists else ([], [], [])
-        running = list(zip(ids, times, args, strict=True))
-        if state.hasTimedOut:
-            done = [(i, None, "unfinished", a, None) for i, _, a in running]
-            running = []
-        else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-            done, running = fold(rows.itertuples(), [(i, pd.Timestamp(t, unit="ms"), a) for i, t, a in running])
-            running = [(i, int(t.timestamp() * 1000), a) for i, t, a in running]
-        if running:
-            state.update(tuple(list(x) for x in zip(*running, strict=True)))
-            state.setTimeoutTimestamp(max(max(t for _, t, _ in running) + timeout_ms, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        out = pd.DataFrame(done, columns=["start_id", "end_id", "status", "args", "elapsed_ms"])
-        out.insert(0, "session", key[0])
-        out.insert(1, "tool", key[1])
-        yield out.astype({"start_id": "Int64", "end_id": "Int64", "elapsed_ms": "float64"})
-
-    keyed = events.withWatermark("ts", watermark).select("session", "tool", "event_id", "ts", "kind", "args", "elapsed_ms").groupBy("session", "tool")
-    return keyed.applyInPandasWithState(run, TRACE, "ids array<bigint>, times array<bigint>, args array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+class CallsOfATool(StatefulProcessor):
+    """Events of one (session, tool) wait in slots of event time; when the watermark has passed a slot, its events are folded in order.
+
+    What is in memory is one slot of one key, and the calls that are open.
+    """
+
+    def __init__(self, slot_ms: int, timeout_ms: int) -> None:
+        self.slot, self.timeout = slot_ms, timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "slot bigint", "events string")
+        self.running = handle.getValueState("running", "calls string")
+
+    def end_of(self, ms: int) -> int:
+        return (ms // self.slot + 1) * self.slot
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        for some in batched(rows, STEP):
+            by: dict[int, list] = {}
+            for r in some:
+                by.setdefault(self.end_of(r.ms), []).append((r.ms, r.event_id, r.kind, r.args, r.elapsed_ms))
+            for end, new in by.items():
+                if self.waiting.containsKey((end,)):
+                    new = json.loads(self.waiting.getValue((end,))[0]) + new
+                else:
+                    self.handle.registerTimer(end)
+                    self.handle.registerTimer(end + -(-self.timeout // self.slot) * self.slot)  # for calls of this slot that stay open
+                self.waiting.updateValue((end,), (json.dumps(new),))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        calls = json.loads(self.running.get()[0]) if self.running.exists() else []
+        found = []
+
+        def unfinished(before: int) -> None:
+            for start, _, args in [c for c in calls if c[1] + self.timeout < before]:
+                found.append(Row(session=key[0], tool=key[1], start_id=start, end_id=None, status="unfinished", args=args, elapsed_ms=None))
+            calls[:] = [c for c in calls if c[1] + self.timeout >= before]
+
+        events = sorted(json.loads(self.waiting.getValue((now,))[0]), key=lambda e: e[:2]) if self.waiting.containsKey((now,)) else []
+        for ms, event, kind, args, took in events:
+            unfinished(ms)
+            if kind == "tool_start":
+                calls.append((event, ms, args))
+                continue
+            start, began, given = calls.pop() if calls else (None, None, None)
+            lasted = took if took is not None else float(ms - began) if began is not None else None
+            found.append(Row(session=key[0], tool=key[1], start_id=start, end_id=event, status="done" if kind == "tool_done" else "error", args=args if args is not None else given, elapsed_ms=lasted))
+        if events:
+            self.waiting.removeKey((now,))
+        unfinished(now)
+        if calls:
+            self.running.update((json.dumps(calls),))
+        elif self.running.exists():
+            self.running.clear()
+        return iter(found)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_traces(events: DataFrame, watermark: str = "10 minutes", timeout_ms: int = 3_600_000, slot_ms: int = 600_000) -> DataFrame:
+    """Traces as an append-only stream, the same however the events are cut into triggers and ordered in them: a call is given out when the watermark has
+    passed the slot of event time in which it ended, or in which its time-out ran out. Events behind the watermark are late and dropped. Times are in milliseconds."""
+    took = F.nanvl(F.col("elapsed_ms").cast("double"), F.lit(None).cast("double"))
+    timed = events.withWatermark("ts", watermark).select("session", "tool", "event_id", "ts", F.unix_millis("ts").alias("ms"), "kind", "args", took.alias("elapsed_ms"))
+    return timed.groupBy("session", "tool").transformWithState(CallsOfATool(slot_ms, timeout_ms), TRACE, "Append", "EventTime")
 
 
 def recent(events: DataFrame, keep: int = 100, by: str = "session") -> DataFrame:
@@ -92,36 +147,68 @@ def recent(events: DataFrame, keep: int = 100, by: str = "session") -> DataFrame
     return events.withColumn("__n", n).where(F.col("__n") <= keep).drop("__n")
 
 
+class NewestEvents(StatefulProcessor):
+    """The newest `keep` events of a key, in a list; what enters and leaves it is given out."""
+
+    def __init__(self, keep: int, fields: list[str]) -> None:
+        self.keep, self.fields = keep, fields
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getListState("newest", "us bigint, event_id bigint, row string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = [tuple(x) for x in self.newest.get()] if self.newest.exists() else []
+        now = set(before) | set(heapq.nlargest(self.keep, ((r.us, r.event_id, r.row) for r in rows)))
+        now = set(heapq.nlargest(self.keep, now))
+        self.newest.put(sorted(now))
+        change = [(x, 1) for x in now.difference(before)] + [(x, -1) for x in set(before) - now]
+        return iter([Row(key=key[0], event_id=x[1], row=x[2], change=n) for x, n in change])
+
+    def close(self) -> None:
+        pass
+
+
 def recent_stream(events: DataFrame, store: str, keep: int = 100, by: str = "session") -> DataFrame:
-    """The newest events of each session, kept up by a stream: batch k makes version k + 1 of the store from version k, so a batch that is run again
-    writes the same rows. Returns the last version when all that is there has been taken in."""
-    spark = events.sparkSession
-    spark.createDataFrame([], events.schema).write.mode("overwrite").parquet(f"{store}/version-0")
-
-    def merge(batch: DataFrame, k: int) -> None:
-        kept = batch.sparkSession.read.schema(events.schema).parquet(f"{store}/version-{k}")
-        recent(kept.unionByName(recent(batch, keep, by)), keep, by).write.mode("overwrite").parquet(f"{store}/version-{k + 1}")
-
-    events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{store}/state").trigger(availableNow=True).start().awaitTermination()
-    last = 0
-    while exists(spark, f"{store}/version-{last + 1}/_SUCCESS"):
-        last += 1
-    return spark.read.schema(events.schema).parquet(f"{store}/version-{last}")
-
-
-def badge(tool: str = "tool", n: str = "items", docs: str = "documents") -> F.Column:
-    """The short count that is shown beside a tool's result."""
-    t, k = F.col(tool), F.col(n).cast("string")
-    return (
-        F.when(t == "search", F.concat(k, F.lit(" chunks · "), F.col(docs).cast("string"), F.lit(" documents")))
-        .when(t == "navigate", F.concat(k, F.lit(" nodes")))
-        .when(t == "graph", F.concat(k, F.lit(" links")))
-        .when(t == "answer", F.concat(k, F.lit(" citations")))
-        .otherwise(k)
-    )
+    """The newest events of each session, kept up by a stream; ties in ts go by event_id, and repeated events count once.
 
+    The state of a session is a list of `keep` events; a trigger appends to the store what enters and leaves the lists, so its work goes by its new
+    events, and nothing is written anew. Returns the events that are in the lists when all that has arrived is taken in.
+    """
+    packed = events.select(F.col(by).cast("string").alias("key"), F.unix_micros("ts").alias("us"), "event_id", F.to_json(F.struct(*events.columns), {"ignoreNullFields": "false"}).alias("row"))
+    changes = packed.groupBy("key").transformWithState(NewestEvents(keep, events.columns), "key string, event_id bigint, row string, change int", "Update", "None")
+    log = run_to_end(changes, store)
+    held = log.groupBy("key", "event_id", "row").agg(F.sum("change").alias("n")).where("n > 0")
+    return held.select(F.from_json("row", events.schema).alias("e")).select("e.*")
 
-def ingest_stream(spark: SparkSession, source: str, schema, checkpoint: str, merge: Callable[[DataFrame, int], None]) -> None:
-    """Each newly arrived file once, by a batch merge; the checkpoint remembers what was seen. Returns when all is taken in."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(source)
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+def badge(tool: str = "tool", result: str = "result") -> F.Column:
+    """The short count that is shown beside a tool's result (JSON text), folded from its nested parts; null for other tools, errors and broken JSON.
+
+    search: chunks and documents of its groups; navigate: nodes at any depth of one level of nesting; graph: links; raw: the line range; curate: edges
+    added and removed; answer: citations, or that it abstained.
+    """
+    v = F.try_parse_json(F.col(result))
+
+    def array(path: str, kind: str) -> F.Column:
+        return F.coalesce(F.try_variant_get(v, path, f"array<{kind}>"), F.array().cast(f"array<{kind}>"))
+
+    groups = array("$.groups", "struct<doc_slug string, chunks array<struct<path string>>>")
+    chunks = F.aggregate(groups, F.lit(0), lambda n, g: n + F.greatest(F.size(g["chunks"]), F.lit(0)))
+    documents = F.size(F.array_distinct(F.transform(groups, lambda g: g["doc_slug"])))
+    nodes = array("$.nodes", "struct<path string, children array<struct<path string>>>")
+    count = F.aggregate(nodes, F.lit(0), lambda n, x: n + 1 + F.greatest(F.size(x["children"]), F.lit(0)))
+    links = F.aggregate(array("$.steps", "struct<targets array<string>>"), F.lit(0), lambda n, x: n + F.greatest(F.size(x["targets"]), F.lit(0)))
+    first, last = F.try_variant_get(v, "$.start_line", "bigint"), F.try_variant_get(v, "$.end_line", "bigint")
+    added, removed = F.size(array("$.added", "variant")), F.size(array("$.removed", "variant"))
+    abstained = F.coalesce(F.try_variant_get(v, "$.abstained", "boolean"), F.lit(False))
+    cited = F.size(array("$.citations", "variant"))
+    t, said = F.col(tool), lambda n, what: F.concat(n.cast("string"), F.lit(what))
+    shown = (
+        F.when(t == "search", F.concat(said(chunks, " chunks · "), said(documents, " documents")))
+        .when(t == "navigate", said(count, " nodes"))
+        .when(t == "graph", said(links, " links"))
+        .when(t == "raw", F.concat(F.lit("lines "), said(first, "–"), last.cast("string")))
+        .when(t == "curate", F.concat(F.lit("+"), said(added, " −"), removed.cast("string")))
+        .when(t == "answer", F.when(abstained, "abstained").otherwise(said(cited, " citations")))
+    )
+    return F.when(v.isNotNull() & F.try_variant_get(v, "$.error", "string").isNull(), shown)
