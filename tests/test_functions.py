@@ -38,6 +38,9 @@ def test_natural_order(spark):
     want = ["d.chuong_i", "d.chuong_ii", "d.chuong_ix", "d.chuong_x", "d.s_2", "d.s_10"]
     mixed = want[:]
     random.Random(0).shuffle(mixed)
+    long = ["a.1234567890123", "a.1234567890124", "a.999999999999", "a.007", "a.8", "a." + "9" * 40, "a.1" + "0" * 40]
+    asked = spark.createDataFrame([(x,) for x in long], "path string").orderBy(p.natural_key(F.col("path"))).collect()
+    assert [int(r["path"][2:]) for r in asked] == sorted(int(x[2:]) for x in long)
     rows = spark.createDataFrame([(x,) for x in mixed], "path string").orderBy(p.natural_key(F.col("path"))).collect()
     assert [r[0] for r in rows] == want
 

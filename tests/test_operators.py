@@ -93,6 +93,14 @@ def test_walk(spark):
         kg.walk(e, e, relations(spark), 9)
 
 
+def test_walks_are_counted_by_states(spark):
+    nodes = range(7)  # every node has an edge to every other one
+    e = spark.createDataFrame([(str(a), str(b), "REFERENCES", "q") for a in nodes for b in nodes if a != b], "source string, target string, relation_type string, citation_text string")
+    steps = kg.walk(spark.createDataFrame([("0",)], "source string"), e, relations(spark), 4)
+    by = {r["depth"]: (r["rows"], r["walks"]) for r in steps.groupBy("depth").agg(F.count("*").alias("rows"), F.sum("walks").alias("walks")).collect()}
+    assert by == {1: (6, 6), 2: (30, 30), 3: (30, 120), 4: (30, 360)}  # rows: steps, whatever the number of walks
+
+
 def test_curation(spark):
     texts = spark.createDataFrame([("d.a", "the quick  fox"), ("d.b.x", "t"), ("d.b.y", "t")], "path string, verbatim_text string")
     rows = [(1, 1, "d.a", "d.b", "SUPPORTS", "quick fox", "why"), (2, 1, "d.a", "d.b", "SUPPORTS", "slow", "why"), (2, 2, "d.a", "d.b", "LIKES", "fox", "why"), (3, 1, "d.a", "d.b", "SUPPORTS", "fox", " ")]
@@ -200,7 +208,7 @@ def test_recent_stream(spark, tmp_path):
 def test_trace_stream_does_not_depend_on_triggers(spark, tmp_path):
     """Out of order within the watermark, in one trigger or in many, with a session that holds most events: the same traces; late events are dropped."""
     rng = random.Random(4)
-    rows = [("hot" if k % 3 else f"s{k % 5}", k, 60_000 + 60 * k + rng.randrange(-200, 200), rng.choice(["tool_start", "tool_start", "tool_done", "tool_error"]), "t", str(k), None) for k in range(240)]
+    rows = [("hot" if k % 3 else f"s{k % 5}", k + 1, 60_000 + 60 * k + rng.randrange(-200, 200), rng.choice(["tool_start", "tool_start", "tool_done", "tool_error"]), "t", str(k), None) for k in range(240)]
     rows.append(("end", 999, 84_000, "tool_start", "t", None, None))
     order = sorted(rows, key=lambda r: r[1])
     got = []

@@ -117,7 +117,7 @@ def humanise(segment: Column) -> Column:
 
 
 def natural_key(path: Column) -> Column:
-    """A sort key that orders digit runs as numbers and Roman numerals up to xxx as numbers."""
+    """A sort key that orders digit runs of any length as numbers, and Roman numerals up to xxx as numbers: a number stands behind the count of its digits."""
     def roman(n: int) -> str:
         tens, ones = divmod(n, 10)
         return "x" * tens + ["", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"][ones]
@@ -125,7 +125,9 @@ def natural_key(path: Column) -> Column:
     numerals = F.create_map(*[F.lit(x) for n in range(1, 31) for x in (roman(n), str(n))])
     tokens = F.expr(f"regexp_extract_all({_sql(path)}, '[0-9]+|[^0-9._]+|[._]', 0)") if isinstance(path, str) else F.regexp_extract_all(path, F.lit("[0-9]+|[^0-9._]+|[._]"), F.lit(0))
     number = lambda t: F.coalesce(numerals[F.lower(t)], F.when(t.rlike("^[0-9]+$"), t))
-    return F.array_join(F.transform(tokens, lambda t: F.coalesce(F.lpad(number(t), 12, "0"), t)), "")
+    plain = lambda n: F.regexp_replace(n, "^0+(?=.)", "")
+    sized = lambda n: F.concat(F.lpad(F.length(plain(n)).cast("string"), 9, "0"), plain(n))
+    return F.array_join(F.transform(tokens, lambda t: F.coalesce(sized(number(t)), t)), "")
 
 
 def _sql(name: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from treelark.functions.paths import is_valid_path
 from treelark.functions.text import contains_quote
-from treelark.operators.navigate import expand_leaves
+from treelark.operators.navigate import leaf_rows
 
 MARKER = r"\[#(\d+)\]"
 
@@ -54,8 +54,8 @@ def violations(answers: DataFrame, chunks: DataFrame, extra: list[Callable[[Data
 
 def resolved(citations: DataFrame, chunks: DataFrame) -> DataFrame:
     """Citations with the leaf that answers each: the first under its path that holds the quote, else the first; null if none."""
-    leaves = expand_leaves(citations.select(F.col("path").alias("query_path")), chunks).withColumnRenamed("query_path", "path")
-    wide = citations.join(leaves, "path", "left").select("answer_id", "i", "path", "citation_text", F.explode_outer("leaves").alias("leaf"))
+    leaves = leaf_rows(citations.select(F.col("path").alias("query_path")), chunks).withColumnRenamed("query_path", "path")
+    wide = citations.join(leaves, "path", "left").select("answer_id", "i", "path", "citation_text", "leaf")
     text = chunks.select(F.col("path").alias("leaf"), "doc_slug", "verbatim_text")
     wide = wide.join(text, "leaf", "left").withColumn("grounded", contains_quote(F.col("verbatim_text"), F.col("citation_text")))
     best = F.min_by(F.struct("leaf", "doc_slug", "verbatim_text", "grounded"), F.struct(~F.col("grounded"), F.col("leaf")))

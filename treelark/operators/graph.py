@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from treelark.functions.text import contains_quote
 from treelark.operators.navigate import expand_leaves
+from treelark.sources.scratch import saved
 
 MAX_DEPTH = 5
 TRIPLE = ["source", "target", "relation_type"]
@@ -29,19 +30,22 @@ def directed(edges: DataFrame, relations: DataFrame, direction: str = "OUTGOING"
 
 
 def walk(sources: DataFrame, edges: DataFrame, relations: DataFrame, depth: int = 2, direction: str = "OUTGOING", only: list[str] | None = None) -> DataFrame:
-    """(source0, edge_id, from, to, relation_type, citation_text, depth): all steps of walks of up to `depth` steps from each source.
+    """(source0, edge_id, from, to, relation_type, citation_text, depth, walks): the steps of all walks of up to `depth` steps from each source, and how many walks take them.
 
-    A walk visits no node twice. Each round is one equi join of the frontier with the steps; walks carry their visited nodes.
+    A walk visits no node twice. Walks of a source that have come to the same node through the same set of nodes go on alike: they are one state of the
+    frontier, with their number. Each round is one equi join of the states with the steps; states are saved, so that no round is made twice.
     """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be 1 to {MAX_DEPTH}")
     steps = directed(edges if not only else edges.where(F.col("relation_type").isin(only)), relations, direction)
-    front = sources.select(F.col("source").alias("source0"), F.col("source").alias("at"), F.array("source").alias("visited"))
+    front = sources.select(F.col("source").alias("source0"), F.col("source").alias("at"), F.array("source").alias("visited")).groupBy("source0", "at", "visited").agg(F.count("*").alias("n"))
     found = []
     for d in range(1, depth + 1):
         hop = front.join(steps, front["at"] == steps["from"]).where(~F.array_contains("visited", F.col("to")))
-        found.append(hop.select("source0", "edge_id", "from", "to", "relation_type", "citation_text", F.lit(d).alias("depth")))
-        front = hop.select("source0", F.col("to").alias("at"), F.array_append("visited", F.col("to")).alias("visited"))
+        found.append(hop.groupBy("source0", "edge_id", "from", "to", "relation_type", "citation_text", F.lit(d).alias("depth")).agg(F.sum("n").alias("walks")))
+        if d < depth:
+            seen = F.array_sort(F.array_append("visited", F.col("to"))).alias("visited")
+            front = saved(hop.groupBy("source0", F.col("to").alias("at"), seen).agg(F.sum("n").alias("n")), f"walk-{d}")
     return reduce(DataFrame.unionByName, found)
 
 

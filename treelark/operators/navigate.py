@@ -93,6 +93,14 @@ def page(nodes: DataFrame, limit: int, *order: str | Column) -> DataFrame:
     return first.join(total, "anchor").withColumn("truncated", F.col("total") > k)
 
 
+def leaf_rows(paths: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_path, leaf): a path that is a chunk is its own leaf, else each chunk under it; no rows if there is none. Nothing is gathered."""
+    asked = paths.select("query_path").distinct()
+    c = chunks.select("path", F.explode(ancestors(F.col("path"), with_self=True)).alias("query_path")).join(asked, "query_path")
+    own = chunks.select(F.col("path").alias("query_path")).join(asked, "query_path", "left_semi").distinct()
+    return c.where("path <> query_path").join(own, "query_path", "left_anti").select("query_path", F.col("path").alias("leaf")).unionByName(own.select("query_path", F.col("query_path").alias("leaf")))
+
+
 def expand_leaves(paths: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_path, leaves): a path that is a chunk is its own leaf, else all chunks under it in order; none give an empty list."""
     c = chunks.select("path", F.explode(ancestors(F.col("path"), with_self=True)).alias("query_path"))

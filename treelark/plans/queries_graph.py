@@ -25,7 +25,7 @@ def steps(m: Model) -> DataFrame:
 
 @query("kg_traverse", f'{STEPS} SELECT source0, edge_id, f AS "from", t AS "to", relation_type, depth, count(*) AS walks FROM w GROUP BY ALL')
 def kg_traverse(m: Model) -> DataFrame:
-    return steps(m).groupBy("source0", "edge_id", "from", "to", "relation_type", "depth").agg(F.count("*").alias("walks"))
+    return steps(m).groupBy("source0", "edge_id", "from", "to", "relation_type", "depth").agg(F.sum("walks").alias("walks"))
 
 
 @query("kg_step_dedupe", f'{STEPS} SELECT source0, edge_id, "from", "to", depth, nth FROM (SELECT *, row_number() OVER (PARTITION BY source0 ORDER BY depth, relation_type, "to", "from", edge_id) AS nth FROM dd) WHERE nth <= 20')
@@ -168,6 +168,26 @@ def ans_validate(m: Model) -> DataFrame:
     return an.violations(answers(m), m.chunks)
 
 
+QUOTED = f"""WITH {C}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_slug ORDER BY start_line DESC) AS back, count(*) OVER (PARTITION BY doc_slug) AS n FROM c),
+z AS (SELECT doc_id, doc_slug, verbatim_text AS said, trim(regexp_replace(verbatim_text, '\\s+', ' ', 'g')) AS plain FROM o WHERE back = 1),
+held AS (SELECT z.doc_id, min(c.path) AS leaf FROM z JOIN c USING (doc_slug) WHERE contains(trim(regexp_replace(c.verbatim_text, '\\s+', ' ', 'g')), plain) GROUP BY ALL),
+lone AS (SELECT doc_slug, min(path) AS first FROM c GROUP BY doc_slug)
+SELECT h.doc_id AS answer_id, i, CASE i WHEN 2 THEN f.first ELSE h.leaf END AS leaf, i <> 2 AS grounded, CASE WHEN i = 2 AND f.first <> h.leaf THEN 2 ELSE 1 END AS k FROM held h JOIN z USING (doc_id) JOIN lone f USING (doc_slug), unnest([1, 2, 3]) AS u(i)"""
+
+
+@query("ans_resolve_quotes", QUOTED)
+def ans_resolve_quotes(m: Model) -> DataFrame:
+    """An answer a document that quotes its last line, with other white space, against the whole document: the leaf that holds it, not the first, and
+    citations of one leaf share a number. The second citation quotes what nothing says and gets the first leaf."""
+    last = m.chunks.groupBy("doc_id", "doc_slug").agg(F.max_by("verbatim_text", "start_line").alias("said"))
+    spaced = F.concat(F.lit(" "), F.replace("said", F.lit(" "), F.lit("  ")), F.lit("\n"))
+    cite = lambda quote: F.struct(F.col("doc_slug").alias("path"), quote.alias("citation_text"))
+    a = last.select(F.col("doc_id").alias("answer_id"), F.lit("x [#1]").alias("answer"), F.lit(False).alias("abstained"), F.array(cite(F.col("said")), cite(F.lit("never said this\u2020")), cite(spaced)).alias("citations"))
+    looked = an.resolved(an.cited(a), m.chunks)
+    numbers = an.numbered(looked).select("answer_id", "i", "k")
+    return looked.join(numbers, ["answer_id", "i"]).select("answer_id", F.col("i").cast("long").alias("i"), "leaf", "grounded", F.col("k").cast("long").alias("k"))
+
+
 @query("ans_resolve", f"WITH {C}, {ANSWERS} SELECT answer_id, i, p AS leaf, 1 AS k FROM a2, unnest([1, 2]) AS u(i) WHERE there AND kind NOT IN (0, 7) AND NOT (i = 1 AND kind IN (1, 2))")
 def ans_resolve(m: Model) -> DataFrame:
     return an.numbered(an.resolved(an.cited(answers(m)), m.chunks)).select("answer_id", F.col("i").cast("long").alias("i"), "leaf", F.col("k").cast("long").alias("k"))

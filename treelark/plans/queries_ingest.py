@@ -143,11 +143,23 @@ def ing_embed_normalise(m: Model) -> DataFrame:
     return m.table("embeddings").select("vec_id", F.round(F.sqrt(F.aggregate(F.slice("embedding", 1, 16), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), 6).alias("length16"), F.round(F.get(v, F.lit(0)), 6).alias("first"))
 
 
-@query("ing_embed", f"WITH {C} SELECT path, 1.0::DOUBLE AS length2 FROM c")
+BITS = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END"
+CRC_TABLE = f"list_transform(range(0, 256), lambda v: list_reduce(list_concat([v::BIGINT], range(0, 8)), lambda c, k: {BITS}))"
+HEX = "strpos('0123456789ABCDEF', substr(x, 2 * i + {k}, 1)) - 1"
+EMBED = f"""WITH {C}, w AS (SELECT path, unnest(list_filter(regexp_split_to_array(lower(contextualized_text), '\\s+'), lambda t: t <> '')) AS w FROM c), dw AS (SELECT DISTINCT w FROM w),
+x AS (SELECT w, hex(encode(w)) AS x, {CRC_TABLE} AS crc_table FROM dw), b AS (SELECT w, crc_table, list_transform(range(0, len(x) // 2), lambda i: (({HEX.format(k=1)}) * 16 + {HEX.format(k=2)})::BIGINT) AS bs FROM x),
+h AS (SELECT w, xor(list_reduce(list_concat([4294967295::BIGINT], bs), lambda c, v: xor(crc_table[(xor(c, v) & 255) + 1], c // 256)), 4294967295::BIGINT) AS h FROM b),
+dv AS (SELECT path, h % 64 AS k, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS v FROM w JOIN h USING (w) GROUP BY ALL)
+SELECT path, CASE WHEN sum(v * v) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length2, round(sum((k + 1) * v) / sqrt(sum(v * v)), 3) AS digest FROM dv GROUP BY path HAVING sum(v * v) > 0"""
+
+
+@query("ing_embed", EMBED)
 def ing_embed(m: Model) -> DataFrame:
-    """All chunks embedded by the default encoder; the squared length shows that vectors are units."""
+    """All chunks embedded by the default encoder: that vectors are units, and a weighted sum of their components. Vectors of zeros are left out."""
     e = ing.embed(m.chunks.select("path", "contextualized_text"))
-    return e.select("path", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("length2"))
+    length2 = F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4)
+    placed = F.aggregate(F.transform("embedding", lambda x, k: (k + 1) * x.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return e.select("path", length2.alias("length2"), F.round(placed, 3).alias("digest")).where("length2 > 0")
 
 
 @query("ing_namespace_prefix", f"WITH {D} SELECT doc_id, CASE WHEN source = 'src1' THEN doc_slug ELSE 'src1.' || doc_slug END AS doc_slug FROM d")

@@ -138,6 +138,20 @@ def ux_profile(m: Model) -> DataFrame:
     return own.chunk(docs)[0].groupBy("profile").agg(F.count("*").alias("chunks"))
 
 
+@query("ux_profile_table", f"WITH {C} SELECT path, verbatim_text, start_line, end_line FROM c")
+def ux_profile_table(m: Model) -> DataFrame:
+    """A profile of the user's own as a Python table function: one chunk a line with text."""
+    def cut(slug: str, text: str):
+        for n, line in enumerate(text.split("\n"), 1):
+            if line.strip(" \t\r\x0b\x0c"):
+                yield f"{slug}.s_{n}", line, f"[{slug}]\n{line}", n, n, "SECTION"
+
+    own = plugins.Profiles()
+    own.register(plugins.table_profile("lines", lambda file, text: file.isNotNull(), cut))
+    docs = m.docs.select(F.col("doc_id").cast("string").alias("file"), "doc_slug", "raw_text")
+    return own.chunk(docs)[0].select("path", "verbatim_text", "start_line", "end_line")
+
+
 @query("ux_encoder", f"WITH {C} SELECT path, round(CAST(CAST(n / sqrt(n * n + w * w) AS FLOAT) AS DOUBLE), 4) AS first FROM (SELECT path, length(verbatim_text)::DOUBLE AS n, (1 + length(verbatim_text) - length(replace(verbatim_text, ' ', '')))::DOUBLE AS w FROM c)")
 def ux_encoder(m: Model) -> DataFrame:
     """An encoder of the user's own: two features of each text."""
@@ -192,10 +206,17 @@ def src_corpus_files(m: Model) -> DataFrame:
     return back.groupBy(source.alias("source")).agg(F.sum(F.size(F.split("raw_text", "\n")) - 1).alias("n_lines"), F.sum(F.length("raw_text")).alias("chars"))
 
 
-@query("src_benchmark_payloads", "SELECT (item_id % 7)::VARCHAR AS batch, count(*) AS n FROM benchmark GROUP BY 1")
+@query("src_benchmark_payloads", "SELECT lpad((item_id % 7)::VARCHAR, 2, '0') AS batch, item_id AS id, text AS query, 'search' AS tool_name FROM benchmark")
 def src_benchmark_payloads(m: Model) -> DataFrame:
-    """Payloads written in seven batches and read back with the batch of their folder."""
+    """Payloads in seven files of one JSON array each, named by their batch, and read back."""
     out = scratch_folder(m.spark, "payloads")
-    m.table("benchmark").select((F.col("item_id") % 7).alias("batch"), F.col("item_id").alias("id"), F.struct(F.col("text").alias("query")).alias("arguments")).write.partitionBy("batch").json(out)
-    rows = m.spark.read.json(out).withColumn("batch", F.col("batch").cast("string"))
-    return rows.groupBy("batch").agg(F.count("*").alias("n"))
+    item = F.struct(F.col("item_id").alias("id"), F.lit("search").alias("tool_name"), F.struct(F.col("text").alias("query")).alias("arguments"))
+    files = m.table("benchmark").groupBy(F.format_string("batch_%02d", F.col("item_id") % 7).alias("file")).agg(F.to_json(F.collect_list(item)).alias("value"))
+    files.repartition(1).write.partitionBy("file").text(f"{out}/raw")
+    fs_path = m.spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(out).getFileSystem(m.spark._jsc.hadoopConfiguration())
+    for k in range(7):  # Spark names files itself
+        for part in fs.globStatus(fs_path(f"{out}/raw/file=batch_{k:02d}/part-*")) or []:
+            fs.mkdirs(fs_path(f"{out}/batches"))
+            fs.rename(part.getPath(), fs_path(f"{out}/batches/batch_{k:02d}.json"))
+    return corpus.read_payloads(m.spark, f"{out}/batches").select("batch", "id", F.col("arguments")["query"].alias("query"), "tool_name")

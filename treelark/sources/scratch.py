@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -14,8 +15,19 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="spark-scratch-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        root = os.path.join(tempfile.gettempdir(), f"spark-scratch-{os.getpid()}")
+    own = f"{root.rstrip('/')}/treelark-scratch-{spark.sparkContext.applicationId}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(own)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.mkdirs(at):
+        files.deleteOnExit(at)  # of the application: results that are read later may need it until then
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes all scratch tables of this application now; results that have not been read yet are lost, and stored tables are made anew."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark, "x")).getParent()
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
