@@ -149,8 +149,9 @@ HEX = "strpos('0123456789ABCDEF', substr(x, 2 * i + {k}, 1)) - 1"
 EMBED = f"""WITH {C}, w AS (SELECT path, unnest(list_filter(regexp_split_to_array(lower(contextualized_text), '\\s+'), lambda t: t <> '')) AS w FROM c), dw AS (SELECT DISTINCT w FROM w),
 x AS (SELECT w, hex(encode(w)) AS x, {CRC_TABLE} AS crc_table FROM dw), b AS (SELECT w, crc_table, list_transform(range(0, len(x) // 2), lambda i: (({HEX.format(k=1)}) * 16 + {HEX.format(k=2)})::BIGINT) AS bs FROM x),
 h AS (SELECT w, xor(list_reduce(list_concat([4294967295::BIGINT], bs), lambda c, v: xor(crc_table[(xor(c, v) & 255) + 1], c // 256)), 4294967295::BIGINT) AS h FROM b),
-dv AS (SELECT path, h % 64 AS k, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS v FROM w JOIN h USING (w) GROUP BY ALL)
-SELECT path, CASE WHEN sum(v * v) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length2, round(sum((k + 1) * v) / sqrt(sum(v * v)), 3) AS digest FROM dv GROUP BY path HAVING sum(v * v) > 0"""
+dv AS (SELECT path, h % 64 AS k, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS v FROM w JOIN h USING (w) GROUP BY ALL),
+dn AS (SELECT path, k, v, sqrt(sum(v * v) OVER (PARTITION BY path)) AS size FROM dv)
+SELECT path, 1.0::DOUBLE AS length2, round(sum((k + 1) * (v / size)::FLOAT::DOUBLE), 3) AS digest FROM dn WHERE size > 0 GROUP BY path"""
 
 
 @query("ing_embed", EMBED)
