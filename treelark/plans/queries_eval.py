@@ -21,7 +21,7 @@ GAIN = "(ln({x} + 1) / ln(2.0::DOUBLE))"
 def expected(m: Model) -> DataFrame:
     """(case_id, target): the documents that hold a benchmark passage, saved."""
     b = m.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("pattern"))
-    found = se.holding(b, m.docs.select("doc_slug", "raw_text"), ["raw_text"], lambda c: F.contains(F.col(c), F.col("pattern")))
+    found = se.holding(b, m.docs.select("doc_slug", "raw_text"), ["raw_text"], lambda c: F.contains(F.col(c), F.col("pattern")), key="doc_slug")
     return saved(found.select(F.col("query_id").alias("case_id"), F.col("doc_slug").alias("target")), "expected")
 
 
