@@ -2,7 +2,7 @@
 
 Character bigrams and trigrams of the lower-cased text fall into BUCKETS hashed buckets. The smoothed log-probabilities of
 each language are one buckets x languages matrix, which is broadcast (its size is fixed by BUCKETS and MAX_LANGS); texts
-are scored a batch at a time in numpy. The model is fitted on at most TRAIN_DOCS labelled documents, those with the smallest id
+are scored in numpy, PIECE_CHARS characters of a batch at a time. The model is fitted on at most TRAIN_DOCS labelled documents, those with the smallest id
 hashes among the documents of the training folds. Only text and lang of training documents are learnt from, and only text is an input of a prediction.
 
 Null text, empty text and text without a letter: lang_pred `und`, score 0. With no training documents, everything is
@@ -21,10 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treelark.llm.common import BATCH_ROWS, annotate
+from treelark.llm.resampling import pieces
 
 BUCKETS = 1 << 15
 TRAIN_DOCS, MAX_LANGS = 20_000, 1_000
 ALPHA = 0.5
+#: Characters of texts whose n-grams are held as arrays at a time, some 60 bytes each; a longer text is held alone.
+PIECE_CHARS = 1 << 20
 FOLDS, HELD_OUT = 4, 2
 VERDICT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -69,12 +72,13 @@ def fit(docs: DataFrame, limit: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray
         counts: dict[str, np.ndarray] = {}
         docs_of: dict[str, int] = {}
         for b in batches:
-            langs = np.array(b.column(0).to_pylist())
-            found, own = ngram_buckets(b.column(1).to_pylist())
-            for lang in np.unique(langs).tolist():
-                mine = langs == lang
-                counts[lang] = counts.get(lang, 0) + np.bincount(found[mine[own]], minlength=BUCKETS)
-                docs_of[lang] = docs_of.get(lang, 0) + int(mine.sum())
+            every, texts = np.array(b.column(0).to_pylist()), b.column(1).to_pylist()
+            for s, e in pieces(texts, PIECE_CHARS):
+                langs, (found, own) = every[s:e], ngram_buckets(texts[s:e])
+                for lang in np.unique(langs).tolist():
+                    mine = langs == lang
+                    counts[lang] = counts.get(lang, 0) + np.bincount(found[mine[own]], minlength=BUCKETS)
+                    docs_of[lang] = docs_of.get(lang, 0) + int(mine.sum())
         for lang, n in counts.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.append(at, BUCKETS)), pa.array(np.append(n[at], docs_of[lang]))], ["lang", "bucket", "n"])
@@ -102,8 +106,11 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, text: str = "te
         texts, table = batch["text"].to_pylist(), shared.value
         if not langs:
             return {"lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts)}
-        found, own = ngram_buckets(texts)
-        total = np.stack([np.bincount(own, weights=row[found], minlength=len(texts)) + row[-1] for row in table], axis=1)
+        parts = [np.empty((0, len(langs)))]
+        for s, e in pieces(texts, PIECE_CHARS):
+            found, own = ngram_buckets(texts[s:e])
+            parts.append(np.stack([np.bincount(own, weights=row[found], minlength=e - s) + row[-1] for row in table], axis=1))
+        total = np.concatenate(parts)
         total = np.exp(total - total.max(1, keepdims=True))
         best = total.argmax(1)
         score = total[np.arange(len(texts)), best] / total.sum(1)
