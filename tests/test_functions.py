@@ -69,3 +69,60 @@ def test_trigrams(spark):
     assert one(spark, tx.trigram_similarity(F.lit("cat"), F.lit("CAT"))) == 1.0
     assert one(spark, tx.word_similarity(F.lit("b c"), F.lit("a b c d"))) == 1.0
     assert one(spark, tx.word_similarity(F.lit("b"), F.lit(""))) == 0.0
+
+
+def test_needed_grams_are_in_every_match():
+    """Whatever a random expression matches holds all grams of one of its alternatives."""
+    import random
+    import re
+
+    from treelark.functions import patterns
+
+    rng = random.Random(6)
+    words = ["foo", "Barn", "x", "quux", "ab", "the end", "1.5", "naïve"]
+
+    def expression(depth: int) -> str:
+        kind = rng.randrange(9) if depth else 0
+        inner = lambda: expression(depth - 1)
+        if kind <= 2:
+            return re.escape(rng.choice(words))
+        if kind == 3:
+            return f"({inner()}|{inner()})"
+        if kind == 4:
+            return f"(?:{inner()}){rng.choice(['?', '*', '+', '{0,2}', '{1,2}', '+?'])}"
+        if kind == 5:
+            return rng.choice([".", "[a-f]+", "\\w*", "\\d", "[^]x]?", "s?", "o+", "(?=f)", "(?!z)", "\\b"])
+        return inner() + inner()
+
+    matched = looked = 0
+    for _ in range(4000):
+        pattern = expression(3)
+        alternatives = patterns.grams_of(patterns.needs_of_regex(pattern))
+        looked += bool(alternatives)
+        for _ in range(4):
+            hay = "".join(rng.choice([*words, " ", "o", "s", "f", "7"]) for _ in range(rng.randrange(1, 9)))
+            if re.search(pattern, hay):
+                matched += 1
+                assert not alternatives or any(all(g in hay.lower() for g in own) for own in alternatives), (pattern, hay)
+    assert matched > 1500 and looked > 1000
+    grams = lambda p: patterns.grams_of(patterns.needs_of_regex(p))
+    assert grams("abcd") == [["abc", "bcd"]] and grams("(abc|xyz)d?") == [["abc"], ["xyz"]] and grams("a.c") == grams("(abc)?") == grams("abc|x") == []
+    assert patterns.grams_of(patterns.needs_of_like("abc%de_XYZ")) == [["abc", "xyz"]] and patterns.grams_of(patterns.needs_of_like("a%b")) == []
+
+
+def test_stored_tables_follow_a_rewritten_file(spark, tmp_path):
+    import os
+
+    from treelark.plans.model import Model
+
+    def put(text: str) -> None:
+        docs = spark.createDataFrame([(1, text, "en", "src", 3)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+        docs.coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "one"))
+        part = next((tmp_path / "one").glob("part-*"))
+        os.replace(part, tmp_path / "documents.parquet")  # under one name
+
+    put("old line")
+    assert [r["verbatim_text"] for r in Model(spark, str(tmp_path)).chunks.collect()] == ["old line"]
+    put("a new line of another length")
+    spark.catalog.refreshByPath(str(tmp_path))
+    assert [r["verbatim_text"] for r in Model(spark, str(tmp_path)).chunks.collect()] == ["a new line of another length"]
