@@ -81,7 +81,7 @@ def test_resampling_of_odd_rows(spark):
     assert few.count() == 3 and few.where("rank is not null").count() == 0
 
 
-@pytest.mark.parametrize("wanted", [1, 2, 499, 1000, 1999, 2000])
+@pytest.mark.parametrize("wanted", [1, 999, 2000])
 def test_cutoff_by_medians(spark, wanted):
     rng = random.Random(wanted)
     rows = [(rng.choice([-5, 0, 0, 0, 3, rng.randrange(-50, 50)]), rng.randrange(40), rng.randrange(3), k) for k in range(2000)]
