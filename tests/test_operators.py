@@ -14,8 +14,11 @@ from treelark.operators import evaluate as ev
 from treelark.operators import graph as kg
 from treelark.operators import ingest as ing
 from treelark.operators import navigate as nav
+from treelark.operators import path_store
 from treelark.operators import search as se
 from treelark.operators import validate as val
+from treelark.operators.path_store import sort_by_path
+from treelark.operators.search import scoped
 from treelark.sources import corpus
 from treelark.streaming import traces
 
@@ -83,6 +86,44 @@ def test_navigation(spark):
     assert leaves == {"d.s_1": ["d.s_1"], "d.s_2": ["d.s_2.x"], "zz": []}
 
 
+def rows_read(df):
+    """Rows that the scan of a table gives out, after df is run without AQE."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    scans = [x for x in (leaves.apply(k) for k in range(leaves.size())) if "Scan" in x.nodeName() and "parquet" in x.nodeName()]
+    return sum(x.metrics().get("numOutputRows").get().value() for x in scans)
+
+
+def test_subtrees_read_their_runs_only(spark, tmp_path):
+    t = spark.range(200_000).select(F.format_string("a%03d.b%02d.c%d", F.col("id") % 200, F.col("id") % 7, "id").alias("path"), F.lit("d").alias("doc_slug"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sort_by_path(t).write.option("parquet.block.size", 1 << 14).parquet(str(tmp_path / "t"))
+        stored = spark.read.parquet(str(tmp_path / "t"))
+        one = spark.createDataFrame([("a007.b03",)], "anchor string").coalesce(1)
+        assert nav.subtree(one, stored).count() == t.where("path like 'a007.b03.%'").count() > 0
+        assert rows_read(nav.subtree(one, stored)) < 0.05 * 200_000  # the row groups that hold the run
+        scope = spark.createDataFrame([(1, None, "a007")], "query_id int, doc_slugs array<string>, path_prefix string")
+        hits = scoped(scope, stored)
+        assert hits.count() == 1000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+@pytest.mark.parametrize("most", [1, 64])
+def test_runs_below_anchors_equal_prefix_tests(spark, monkeypatch, most):
+    monkeypatch.setattr(path_store, "MOST_RUNS", most)
+    paths = ["a", "a.b", "a.b", "a.b.c", "a-b", "a-b.c", "a/b", "ab", "ab.c", "é.x", "é", "b.a.b", "", "a.", None]
+    anchors = ["a", "a.b", "a.b", "a-b", "ab.c", "é", "zz", None]
+    t = spark.createDataFrame([(p,) for p in paths], "path string")
+    for with_self in (False, True):
+        got = sorted(map(tuple, path_store.below(spark.createDataFrame([(a,) for a in anchors], "anchor string"), t, "anchor", with_self).select("anchor", "path").collect()))
+        want = sorted((a, p) for a in anchors for p in paths if a is not None and p is not None and (p.startswith(a + ".") or (with_self and p == a)))
+        assert got == want
+    none = spark.createDataFrame([], "anchor string")
+    assert path_store.below(none, t).count() == 0 and path_store.below(none, t.limit(0)).count() == 0
+
+
 def test_walk(spark):
     e = spark.createDataFrame([("a", "b", "REFERENCES", "q"), ("b", "c", "SUPPORTS", "q"), ("c", "a", "SEE_ALSO", "q")], "source string, target string, relation_type string, citation_text string")
     got = {(r["from"], r["to"], r["depth"]) for r in kg.walk(spark.createDataFrame([("a",)], "source string"), e, relations(spark), 2).collect()}

@@ -1,4 +1,4 @@
-"""Navigation in the tree of paths, for batches of anchors. Prefix joins are equi joins on exploded ancestors."""
+"""Navigation in the tree of paths, for batches of anchors. Prefix joins are equi joins on ancestors, behind the runs of path_store where rows are sought under anchors."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treelark.functions.paths import ancestors, humanise, is_under, nlevel, parent_path
+from treelark.operators.path_store import below
 
 
 def relative(df: DataFrame) -> DataFrame:
@@ -31,9 +32,8 @@ def siblings(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def subtree(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
-    """All strict descendants of each anchor."""
-    c = chunks.withColumn("anchor", F.explode(ancestors(F.col("path"))))
-    return relative(c.join(anchors.select("anchor"), "anchor"))
+    """All strict descendants of each anchor; chunks sorted by path are read where the anchors' runs lie."""
+    return relative(below(anchors.select("anchor"), chunks))
 
 
 def virtual_parents(anchors: DataFrame) -> DataFrame:
@@ -81,7 +81,8 @@ def children_or_all(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
     """Children; an anchor without direct children gets all its descendants with relative depth 1."""
     direct = children(anchors, chunks)
     rest = anchors.select("anchor").join(direct.select("anchor").distinct(), "anchor", "left_anti")
-    return direct.unionByName(subtree(rest, chunks).withColumn("relative_depth", F.lit(1).cast("long")))
+    under = chunks.withColumn("anchor", F.explode(ancestors(F.col("path")))).join(rest, "anchor")
+    return direct.unionByName(relative(under).withColumn("relative_depth", F.lit(1).cast("long")))
 
 
 def page(nodes: DataFrame, limit: int, *order: str | Column) -> DataFrame:
@@ -96,15 +97,14 @@ def page(nodes: DataFrame, limit: int, *order: str | Column) -> DataFrame:
 def leaf_rows(paths: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_path, leaf): a path that is a chunk is its own leaf, else each chunk under it; no rows if there is none. Nothing is gathered."""
     asked = paths.select("query_path").distinct()
-    c = chunks.select("path", F.explode(ancestors(F.col("path"), with_self=True)).alias("query_path")).join(asked, "query_path")
     own = chunks.select(F.col("path").alias("query_path")).join(asked, "query_path", "left_semi").distinct()
-    return c.where("path <> query_path").join(own, "query_path", "left_anti").select("query_path", F.col("path").alias("leaf")).unionByName(own.select("query_path", F.col("query_path").alias("leaf")))
+    under = below(asked, chunks.select("path"), "query_path").join(own, "query_path", "left_anti")
+    return under.select("query_path", F.col("path").alias("leaf")).unionByName(own.select("query_path", F.col("query_path").alias("leaf")))
 
 
 def expand_leaves(paths: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_path, leaves): a path that is a chunk is its own leaf, else all chunks under it in order; none give an empty list."""
-    c = chunks.select("path", F.explode(ancestors(F.col("path"), with_self=True)).alias("query_path"))
-    hit = c.join(paths.select("query_path").distinct(), "query_path").groupBy("query_path").agg(F.max(F.col("path") == F.col("query_path")).alias("exact"), F.sort_array(F.collect_list("path")).alias("all"))
+    hit = below(paths.select("query_path").distinct(), chunks.select("path"), "query_path", with_self=True).groupBy("query_path").agg(F.max(F.col("path") == F.col("query_path")).alias("exact"), F.sort_array(F.collect_list("path")).alias("all"))
     leaves = F.when(F.col("exact"), F.array("query_path")).otherwise(F.col("all"))
     return paths.select("query_path").distinct().join(hit, "query_path", "left").select("query_path", F.coalesce(leaves, F.array().cast("array<string>")).alias("leaves"))
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treelark.operators.path_store import sort_by_path
 from treelark.sources.scratch import exists, scratch_folder, stamped
 
 # Relation codes, their descriptions and symmetry.
@@ -43,10 +44,10 @@ class Model:
         slug = F.concat("source", F.lit(".doc_"), F.col("doc_id").cast("string"))
         return self.table("documents").select("doc_id", slug.alias("doc_slug"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("raw_text"), "lang", "source")
 
-    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """The table of build, written once for an application and a folder of documents, and read from there."""
+    def stored(self, name: str, build: Callable[[], DataFrame], *tables: str) -> DataFrame:
+        """The table of build, written once for an application and a folder of tables (documents if none are named), and read from there."""
         key = (self.spark.sparkContext.applicationId, self.dir, name)
-        files = sorted(stamped(self.spark, f) for f in self.table("documents").inputFiles())
+        files = sorted(stamped(self.spark, f) for t in tables or ("documents",) for f in self.table(t).inputFiles())
         if key not in STORED or STORED[key][0] != files or not exists(self.spark, f"{STORED[key][1]}/_SUCCESS"):
             path = scratch_folder(self.spark, name)
             build().write.parquet(path)
@@ -57,6 +58,15 @@ class Model:
     def chunks(self) -> DataFrame:
         return self.stored("chunks", lambda: self.lines.repartition("doc_slug"))
 
+    @property
+    def paths(self) -> DataFrame:
+        """(doc_slug, path, start_line) of the chunks, sorted by path: texts stay behind."""
+        return self.stored("paths", lambda: sort_by_path(self.chunks.select("doc_slug", "path", "start_line")))
+
+    @property
+    def tree_by_path(self) -> DataFrame:
+        return self.stored("tree", lambda: sort_by_path(self.tree), "region", "nation", "customer", "orders")
+
     @property
     def postings(self) -> DataFrame:
         """(path, token, next) of the contextualized texts."""

@@ -111,7 +111,15 @@ def se_tokenise(m: Model) -> DataFrame:
 def se_scope(m: Model) -> DataFrame:
     mine = m.docs.select(F.col("doc_id").alias("query_id"), F.array("doc_slug").alias("doc_slugs"), F.col("doc_slug").alias("path_prefix"))
     q = m.search_queries.select("query_id").join(mine, "query_id")
-    return se.scoped(q, m.chunks).groupBy("query_id").agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
+    return se.scoped(q, m.paths).groupBy("query_id").agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
+
+
+@query("se_scope_prefix", f"WITH {C}, {Q}, r AS (SELECT source, count(*) AS n, min(path) AS first_path, max(path) AS last_path FROM c GROUP BY source) SELECT query_id, n, first_path, last_path FROM q JOIN documents d0 ON d0.doc_id = query_id JOIN r ON r.source = d0.source")
+def se_scope_prefix(m: Model) -> DataFrame:
+    """Queries that are scoped by a path alone: the source of the document of their id."""
+    mine = m.docs.select(F.col("doc_id").alias("query_id"), F.lit(None).cast("array<string>").alias("doc_slugs"), F.col("source").alias("path_prefix"))
+    q = m.search_queries.select("query_id").join(mine, "query_id")
+    return se.scoped(q, m.paths).groupBy("query_id").agg(F.count("*").alias("n"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))
 
 
 @query("se_grep_literal", f"{GREP} SELECT query_id, path, start_line FROM hits")

@@ -106,7 +106,15 @@ def nav_siblings(m: Model) -> DataFrame:
 
 @query("nav_subtree", f"WITH {TREE}, {ANCHORS} SELECT anchor, path, start_line, level - len(string_split(anchor, '.')) AS relative_depth FROM tree, unnest(range(1, level)) AS u(k) JOIN an ON anchor = array_to_string(string_split(path, '.')[1:k], '.')")
 def nav_subtree(m: Model) -> DataFrame:
-    return shape(nav.subtree(anchors(m), m.tree))
+    return shape(nav.subtree(anchors(m), m.tree_by_path))
+
+
+@query("nav_subtree_runs", f"WITH {TREE}, an AS (SELECT path AS anchor FROM tree WHERE level <= 2) SELECT anchor, path, start_line, level - len(string_split(anchor, '.')) AS relative_depth FROM tree JOIN an ON starts_with(path, anchor || '.')")
+def nav_subtree_runs(m: Model) -> DataFrame:
+    """The subtrees of all regions and nations: few anchors, one inside the other, whose runs are pushed to the scan."""
+    top = m.table("region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("anchor"))
+    below = m.table("nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit(".n"), F.col("n_nationkey").cast("string")).alias("anchor"))
+    return shape(nav.subtree(top.unionByName(below), m.tree_by_path))
 
 
 @query(
@@ -148,7 +156,7 @@ def nav_limit(m: Model) -> DataFrame:
 def nav_expand_leaves(m: Model) -> DataFrame:
     s = F.col("doc_slug")
     keys = m.docs.select(F.explode(F.array(s, F.concat(s, F.lit(".s_1")), F.concat(s, F.lit(".zz")))).alias("query_path"))
-    return nav.expand_leaves(keys, m.chunks).withColumn("leaves", F.array_join("leaves", ","))
+    return nav.expand_leaves(keys, m.paths).withColumn("leaves", F.array_join("leaves", ","))
 
 
 LEAVES = "lv AS (SELECT path, title, start_line, end_line, doc_slug FROM tree WHERE level = 4)"
