@@ -70,6 +70,14 @@ def test_quality_counts(spark, odd):
     assert got == want
 
 
+def test_quality_of_long_texts_side_by_side(spark):
+    texts = [f"w{k} x{k % 2} " * 300_000 for k in range(4)] + ["one short text", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    every = quality_rules.quality(docs.coalesce(1), labels(spark)).select("row.doc_id", "verdict.*").collect()
+    alone = quality_rules.quality(docs.repartition(6, "doc_id"), labels(spark)).select("row.doc_id", "verdict.*").collect()
+    assert sorted(every) == sorted(alone) and [r["n_words"] for r in sorted(every)] == [600_000] * 4 + [3, 0]
+
+
 def test_quality_threshold_is_deterministic_and_empty_is_fine(spark, odd, none):
     a = quality_rules.quality(odd, labels(spark)).select("row.doc_id", "verdict.*").collect()
     b = quality_rules.quality(odd.repartition(5), labels(spark)).select("row.doc_id", "verdict.*").collect()

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treelark.llm.common import BATCH_ROWS, annotate
+from treelark.llm.resampling import pieces
 
 BUCKETS = 16384
 TARGET_DOCS = 20_000
@@ -133,9 +134,10 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for b in batches:
             texts, good = b.column(0).to_pylist(), b.column(1).fill_null(False).to_numpy(zero_copy_only=False)
-            found, doc = ngram_buckets(*flat_words(texts), buckets)
-            raw += np.bincount(found, minlength=buckets)
-            target += np.bincount(found[good[doc]], minlength=buckets)
+            for s, e in pieces(texts):
+                found, doc = ngram_buckets(*flat_words(texts[s:e]), buckets)
+                raw += np.bincount(found, minlength=buckets)
+                target += np.bincount(found[good[s:e][doc]], minlength=buckets)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
@@ -158,8 +160,7 @@ def score_documents(docs: DataFrame, ratios: np.ndarray, threshold: float = THRE
     """(row, verdict) for every document; keep: the columns of row."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
-    def run(batch: dict[str, pa.Array]) -> dict[str, object]:
-        texts, table = batch["text"].to_pylist(), shared.value
+    def judge(texts: list[bytes | None], table: np.ndarray) -> dict[str, np.ndarray]:
         codes, counts, distinct = flat_words(texts)
         base = base_counts(texts, codes, counts)
         found, doc = ngram_buckets(codes, counts, distinct, len(table))
@@ -168,6 +169,11 @@ def score_documents(docs: DataFrame, ratios: np.ndarray, threshold: float = THRE
         failed = (counts < MIN_WORDS) | (100 * base["n_repeat_words"] > REPEAT_PERCENT * counts)
         return base | {"score": score, "base_failed": failed, "kept": ~failed & (score >= threshold)}
 
+    def run(batch: dict[str, pa.Array]) -> dict[str, object]:
+        texts = batch["text"].to_pylist()
+        parts = [judge(texts[s:e], shared.value) for s, e in pieces(texts)] or [judge([], shared.value)]
+        return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+
     return annotate(docs, {"text": "cast(text as binary)"}, VERDICT, run, keep)
 
 
