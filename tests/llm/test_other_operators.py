@@ -261,6 +261,27 @@ def test_shards(spark):
     assert empty.index.count() == empty.sequences == 0
 
 
+def test_shards_are_kept_in_a_target_folder(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "abc" * i) for i in range(100)], "doc_id bigint, text string")
+    for k, target in enumerate((str(tmp_path / "kept"), f"file://{tmp_path}/uri/")):
+        shards = token_shards.materialise(Workspace(spark), docs, "cast(text as binary)", 1, 64, target=target)
+        found, slots = documents_in_shards(shards, 1, 64)
+        assert token_shards.read_manifest(target.rstrip("/")) == {"sequences": len(slots), "seq_len": 64, "width": 1}
+        assert b"".join(x[2] for x in sorted(found[99])) == b"abc" * 99 and not list(tmp_path.rglob("*.crc"))
+        with pytest.raises(ValueError, match="exists"):
+            token_shards.materialise(Workspace(spark), docs, "cast(text as binary)", 1, 64, target=target)
+    empty = token_shards.materialise(Workspace(spark), docs.limit(0), "cast(text as binary)", 1, target=str(tmp_path / "none"))
+    assert empty.sequences == token_shards.read_manifest(str(tmp_path / "none"))["sequences"] == 0
+
+
+def test_folders_named_as_spark_names_them(monkeypatch):
+    asked = []
+    monkeypatch.setattr(token_shards.fs, "FileSystem", type("Fake", (), {"from_uri": staticmethod(lambda uri: asked.append(uri) or (None, uri))}))
+    for uri in ("s3a://bucket/a/b", "s3n://bucket/a", "dbfs:/mnt/a", "dbfs:///mnt/a", "hdfs://host/a", "file:///a", "/a/b"):
+        token_shards.store_of(uri)
+    assert asked == ["s3://bucket/a/b", "s3://bucket/a", "/dbfs/mnt/a", "/dbfs/mnt/a", "hdfs://host/a", "file:///a", "/a/b"]
+
+
 def test_repeated_rows_have_places_of_their_own(spark):
     docs = spark.createDataFrame([(5, "again" * 30)] * 7 + [(6, "once")], "doc_id bigint, text string")
     found, _ = documents_in_shards(token_shards.materialise(Workspace(spark), docs, "cast(text as binary)", 1, 64), 1, 64)

@@ -8,6 +8,11 @@ at most) and writes them at a fixed stride, so slot s lies at byte (s mod range)
 by seeking. A sidecar file holds the number of ids by slot; the rest of a sequence is zero bytes. Pieces of a batch that go to one range travel
 together, compressed. The index tells for each piece of a document in which slot and where in it the piece lies.
 
+Shards lie in a folder of their own: `target`, which must not exist, or a scratch folder. When all of them are written and their slots counted, the
+file shards.json, which tells the number of sequences, their length and the width of an id, is put beside them: without it a folder isn't whole, with
+it a reader needs nothing but the folder. Folders may be named as Spark names them; tasks reach them with pyarrow's file systems, which take
+credentials from the machine and not from Hadoop's settings.
+
 Only counts by part reach the driver, MOST_PARTS at most. Shards are written under a temporary name and renamed. A slot depends on the rows alone, not
 on how a scan deals them, so a task that is run again writes the same bytes; a slot that is not filled once from end to end, or a missing shard, is an error.
 
@@ -18,6 +23,7 @@ empty table gives an empty index and no shards.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -42,6 +48,7 @@ PART_DOCS, MOST_PARTS = 1024, 1 << 18
 PARCEL_BYTES = 1 << 25
 #: Tasks that write shards at most.
 MOST_WRITERS = 1 << 16
+MANIFEST = "shards.json"
 
 
 class Shards(NamedTuple):
@@ -98,6 +105,23 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield rows
 
 
+def store_of(uri: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system for a folder and its path there. It lacks two usual names of Spark's: s3a:// (s3n://), and dbfs:/, which is mounted at /dbfs."""
+    scheme, colon, rest = uri.partition(":")
+    if colon and scheme in ("s3a", "s3n"):
+        uri = f"s3:{rest}"
+    elif colon and scheme == "dbfs":
+        uri = f"/dbfs/{rest.lstrip('/')}"
+    return fs.FileSystem.from_uri(uri)
+
+
+def read_manifest(root: str) -> dict[str, int]:
+    """sequences, seq_len and width of a whole folder of shards."""
+    store, base = store_of(root)
+    with store.open_input_file(f"{base}/{MANIFEST}") as f:
+        return json.loads(f.read())
+
+
 def shard_path(root: str, shard: int, kind: str = "bin") -> str:
     return f"{root}/shard-{shard:08d}.{kind}"
 
@@ -107,13 +131,24 @@ PARCEL = "shard bigint, " + "".join(f"{c} array<bigint>, " for c in LISTS) + "da
 INDEX = "slot bigint, place bigint, doc_id bigint, first bigint, n_ids bigint, shard bigint"
 
 
-def materialise(ws: Workspace, docs: DataFrame, ids: str, width: int, seq_len: int = SEQ_LEN, key: int = KEY, name: str = "shards", parts: int | None = None) -> Shards:
+def materialise(ws: Workspace, docs: DataFrame, ids: str, width: int, seq_len: int = SEQ_LEN, key: int = KEY, name: str = "shards", parts: int | None = None, target: str | None = None) -> Shards:
     """Writes the shards of docs. Their index (slot, place, doc_id, first, n_ids, shard) has one row for each piece of a document: n_ids of
     its ids from the first-th on lie in the slot from the place-th id on.
 
     ids: SQL expression of the ids of a row as little-endian binary of `width` bytes each. parts: parts_of(rows) if None, which counts docs.
+    target: the folder to keep the shards in; a scratch folder if None.
     """
     spark = docs.sparkSession
+    root = target.rstrip("/") if target else f"{ws.root}/{name}"
+    store, base = store_of(root)
+    if target and store.get_file_info(base).type != fs.FileType.NotFound:
+        raise ValueError(f"{root} exists")
+
+    def seal(n: int) -> None:
+        store.create_dir(base, recursive=True)
+        with store.open_output_stream(f"{base}/{MANIFEST}") as f:
+            f.write(json.dumps({"sequences": n, "seq_len": seq_len, "width": width}).encode())
+
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     stride, parts = seq_len * width, parts or parts_of(docs.count())
     rows = docs.select("doc_id", F.expr(ids).alias("ids"))
@@ -126,8 +161,9 @@ def materialise(ws: Workspace, docs: DataFrame, ids: str, width: int, seq_len: i
         totals[r["part"]] = r["n"]
     counts = -(-totals // seq_len)
     n = int(counts.sum())
-    size, root = range_of(n, stride), f"{ws.root}/{name}"
+    size = range_of(n, stride)
     if not n:
+        seal(0)
         return Shards(spark.createDataFrame([], INDEX), root, 0)
     shared = spark.sparkContext.broadcast((np.cumsum(counts) - counts, totals))
 
@@ -161,7 +197,7 @@ def materialise(ws: Workspace, docs: DataFrame, ids: str, width: int, seq_len: i
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", *LISTS, "data"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(root)
+        store, base = store_of(root)
         store.create_dir(base, recursive=True)
         at, filled, pieces = -1, bytearray(), []
 
@@ -209,6 +245,7 @@ def materialise(ws: Workspace, docs: DataFrame, ids: str, width: int, seq_len: i
     if (written := index.where("place = 0").count()) != n:
         raise ValueError(f"{written} of {n} slots are written")
     ws.drop(f"{name}-ids")
+    seal(n)
     return Shards(index, root, n)
 
 
@@ -219,7 +256,7 @@ def with_digests(shards: Shards, width: int, seq_len: int = SEQ_LEN) -> DataFram
     size = range_of(shards.sequences, stride)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(root)
+        store, base = store_of(root)
         for b in batches:
             slot, place, count = (b.column(k).to_numpy() for k in (0, 1, 4))
             digests: list[str] = [""] * len(slot)
@@ -242,7 +279,7 @@ def with_digests(shards: Shards, width: int, seq_len: int = SEQ_LEN) -> DataFram
 
 def read_slots(root: str, first: int, count: int, n: int, width: int, seq_len: int = SEQ_LEN) -> list[bytes]:
     """Sequences of consecutive slots, by seeking; n is the number of all sequences."""
-    store, base = fs.FileSystem.from_uri(root)
+    store, base = store_of(root)
     stride, out = seq_len * width, []
     size = range_of(n, stride)
     while count > 0 and first < n:
