@@ -57,5 +57,5 @@ def test_run_on_empty_tables(spark, tmp_path):
 
 
 def test_all_operators_are_registered():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.ORACLE) <= set(queries.QUERIES)
