@@ -31,7 +31,7 @@ def configs(m: Model) -> DataFrame:
     dense = se.dense_top(q, m.embedded, 10).select(F.lit("dense").alias("config"), F.col("query_id").alias("case_id"), F.col("dense_rank").alias("rank"), "path")
     one = lambda name, hits, rank: hits.where(F.col(rank) <= 10).select(F.lit(name).alias("config"), F.col("query_id").alias("case_id"), F.col(rank).alias("rank"), "path")
     parts = [
-        dense, one("sparse", se.sparse_top(q, c, stored=m.postings), "sparse_rank"), one("sparse_verbatim", se.sparse_top(q, c, text="verbatim_text"), "sparse_rank"),
+        dense, one("sparse", se.sparse_top(q, c), "sparse_rank"), one("sparse_verbatim", se.sparse_top(q, c, text="verbatim_text"), "sparse_rank"),
         one("rrf", hybrid(m), "rank"), one("rrf_rerank", reranked(m), "new_rank"), venn(m).select(F.lit("venn").alias("config"), F.col("query_id").alias("case_id"), "rank", "path"),
         venn_reranked(m).select(F.lit("venn_rerank").alias("config"), F.col("query_id").alias("case_id"), "rank", "path"),
     ]
@@ -46,7 +46,7 @@ def venn_reranked(m: Model) -> DataFrame:
 def light(m: Model) -> DataFrame:
     """Two configurations, for the metrics by themselves."""
     q, c = m.search_queries, m.chunks
-    a = se.sparse_top(q, c, stored=m.postings).where("sparse_rank <= 10").select(F.lit("sparse").alias("config"), F.col("query_id").alias("case_id"), F.col("sparse_rank").alias("rank"), "path", F.lit("semantic_only").alias("found_in"))
+    a = se.sparse_top(q, c).where("sparse_rank <= 10").select(F.lit("sparse").alias("config"), F.col("query_id").alias("case_id"), F.col("sparse_rank").alias("rank"), "path", F.lit("semantic_only").alias("found_in"))
     b = se.grep_page(grep(m), 10).select(F.lit("grep").alias("config"), F.col("query_id").alias("case_id"), "rank", "path", F.lit("verbatim_only").alias("found_in"))
     return saved(a.unionByName(b), "runs")
 
