@@ -36,3 +36,20 @@ def test_sparse_scores_are_made_where_the_texts_are_read(spark, monkeypatch):
     best = {q: sorted((-b, p) for (k, p), (b, _) in want.items() if k == q)[:7] for q, _ in asked}
     assert cut == {(q, p) for q, own in best.items() for _, p in own}
     assert exchanges(se.sparse_pool(queries, spark.createDataFrame(texts, "path string, contextualized_text string"))) == 0
+
+
+def test_texts_stay_where_they_are_read(spark, tmp_path):
+    """A line is stored once, without its context; what a word finds is picked by a broadcast of keys, and patterns that share an id are told apart."""
+    from treelark.plans.model import STORED, Model
+
+    docs = [(i, f"Alpha needle{i} omega\nbeta x\n \nlast", "en", "s1", 9) for i in range(6)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    m = Model(spark, str(tmp_path))
+    chunks = {r["path"]: r for r in m.chunks.collect()}
+    assert len(chunks) == 18 and chunks["s1.doc_3.s_4"]["contextualized_text"] == "[s1 > doc_3]\nlast" and chunks["s1.doc_3.s_1"]["doc_slug"] == "s1.doc_3"
+    assert spark.read.parquet(STORED[spark.sparkContext.applicationId, str(tmp_path), "chunks"][1]).columns == ["doc_id", "source", "n", "line"]
+    patterns = spark.createDataFrame([(1, "Alpha needle2 omega"), (1, "beta x"), (2, "a needle4 o"), (3, "none of this")], "query_id bigint, pattern string")
+    found = se.grep(patterns, m.chunks)
+    got = sorted((r["query_id"], r["pattern"], r["path"]) for r in found.collect())
+    assert got == [(1, "Alpha needle2 omega", "s1.doc_2.s_1"), *((1, "beta x", f"s1.doc_{i}.s_2") for i in range(6))] + [(2, "a needle4 o", "s1.doc_4.s_1")] * ("a needle4 o" in "Alpha needle4 omega")
+    assert "BroadcastHashJoin [path" in found._jdf.queryExecution().sparkPlan().toString() and "LeftSemi" in found._jdf.queryExecution().sparkPlan().toString()

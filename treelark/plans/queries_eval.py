@@ -184,7 +184,7 @@ def ev_top_candidates(m: Model) -> DataFrame:
 @query("ev_top_hits", f"{VENN}, {EXPECTED} SELECT query_id, rank, found_in, start_line, substr(verbatim_text, 1, 240) AS snippet, EXISTS (SELECT 1 FROM ex WHERE ex.case_id = query_id AND starts_with(c.path, target || '.')) AS matched FROM venn JOIN c USING (path) WHERE rank <= 10")
 def ev_top_hits(m: Model) -> DataFrame:
     targets = expected(m).groupBy("case_id").agg(F.collect_set("target").alias("t"))
-    hits = venn(m).where("rank <= 10").join(m.chunks.select("path", "start_line", "verbatim_text"), "path").join(targets, F.col("query_id") == F.col("case_id"), "left")
+    hits = se.with_texts(venn(m).where("rank <= 10"), m.chunks.select("path", "start_line", "verbatim_text")).join(targets, F.col("query_id") == F.col("case_id"), "left")
     return hits.select("query_id", "rank", "found_in", "start_line", F.substring("verbatim_text", 1, 240).alias("snippet"), F.coalesce(F.exists("t", lambda t: ev.matches(F.col("path"), t)), F.lit(False)).alias("matched"))
 
 

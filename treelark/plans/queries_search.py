@@ -200,7 +200,7 @@ PLAIN_ORDER = RERANKED.replace("{order}", "ce_rank")
 
 
 def reranked(m: Model, pool: int = 20, **how) -> DataFrame:
-    hits = hybrid(m, pool).join(m.search_queries.select("query_id", "query_text"), "query_id").join(m.chunks.select("path", "verbatim_text"), "path")
+    hits = se.with_texts(hybrid(m, pool), m.chunks.select("path", "verbatim_text")).join(m.search_queries.select("query_id", "query_text"), "query_id")
     return se.rerank(hits, **how)
 
 
@@ -243,7 +243,7 @@ def se_venn(m: Model) -> DataFrame:
 
 
 def shown(m: Model) -> DataFrame:
-    return venn(m).join(m.chunks.select("path", "doc_slug", "start_line", "verbatim_text", F.col("source").alias("context")), "path")
+    return se.with_texts(venn(m), m.chunks.select("path", "doc_slug", "start_line", "verbatim_text", F.col("source").alias("context")))
 
 
 @query("se_group_ranked", f"{VENN} SELECT query_id, doc_slug, context, best_rank, array_to_string(paths, ',') AS paths, row_number() OVER (PARTITION BY query_id ORDER BY best_rank, doc_slug, context) AS group_rank FROM (SELECT query_id, doc_slug, source AS context, min(rank) AS best_rank, list(path ORDER BY start_line, path) AS paths FROM venn JOIN c USING (path) GROUP BY ALL)")

@@ -166,7 +166,7 @@ def ux_encoder(m: Model) -> DataFrame:
 def ux_reranker(m: Model) -> DataFrame:
     """Hybrid hits reordered by a pair scorer of the user's own: short texts first."""
     scorer = plugins.pair_scorer(lambda q, t: np.array([-float(len(x)) for x in t]))
-    hits = hybrid(m).join(m.search_queries.select("query_id", "query_text"), "query_id").join(m.chunks.select("path", "verbatim_text"), "path")
+    hits = se.with_texts(hybrid(m), m.chunks.select("path", "verbatim_text")).join(m.search_queries.select("query_id", "query_text"), "query_id")
     return se.rerank(hits, scorer, 10).select("query_id", "path", "new_rank")
 
 
