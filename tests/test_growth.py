@@ -53,3 +53,16 @@ def test_texts_stay_where_they_are_read(spark, tmp_path):
     got = sorted((r["query_id"], r["pattern"], r["path"]) for r in found.collect())
     assert got == [(1, "Alpha needle2 omega", "s1.doc_2.s_1"), *((1, "beta x", f"s1.doc_{i}.s_2") for i in range(6))] + [(2, "a needle4 o", "s1.doc_4.s_1")] * ("a needle4 o" in "Alpha needle4 omega")
     assert "BroadcastHashJoin [path" in found._jdf.queryExecution().sparkPlan().toString() and "LeftSemi" in found._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_expressions_shuffle_nothing(spark, monkeypatch):
+    rows = [(f"p{i}", t, t and t.upper()) for i, t in enumerate(["the cat sat", "a catalogue", "", "dog\ncat", "Ünder cät", "xx", None])]
+    chunks = spark.createDataFrame(rows, "path string, verbatim_text string, contextualized_text string").repartition(2)
+    asked = [(1, "cat[a-z]+"), (2, "(dog|sat)"), (3, "c.t"), (4, "CAT"), (4, "^xx$"), (5, "nothing here")]
+    patterns = spark.createDataFrame(asked, "query_id bigint, pattern string")
+    monkeypatch.setattr(se, "MET", 20)
+    found = se.grep(patterns, chunks, regex=True)
+    got = {(r["query_id"], r["pattern"], r["path"]) for r in found.collect()}
+    assert got == {(1, "cat[a-z]+", "p1"), (2, "(dog|sat)", "p0"), (2, "(dog|sat)", "p3"), (3, "c.t", "p0"), (3, "c.t", "p1"), (3, "c.t", "p3"), (3, "c.t", "p4"), (4, "CAT", "p0"), (4, "CAT", "p1"), (4, "CAT", "p3"), (4, "^xx$", "p5")}
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastNestedLoopJoin" not in plan

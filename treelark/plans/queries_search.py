@@ -136,7 +136,7 @@ def se_grep_insensitive(m: Model) -> DataFrame:
 def se_grep_regex(m: Model) -> DataFrame:
     p = m.search_queries.where(F.col("query_text").rlike("^[A-Za-z]"))
     p = p.select("query_id", F.concat(F.regexp_extract("query_text", "^[A-Za-z]+", 0), F.lit("[a-z]*[ ,]")).alias("pattern"))
-    return se.grep(p, m.chunks, regex=True, index=m.grams).select("query_id", "path")
+    return se.grep(p, m.chunks, regex=True).select("query_id", "path")
 
 
 @query("se_grep_count", f"{GREP} SELECT q.query_id, count(h.path) AS n FROM q LEFT JOIN hits h ON q.query_id = h.query_id GROUP BY q.query_id")
@@ -181,7 +181,7 @@ def se_grep_alternatives(m: Model) -> DataFrame:
     """Expressions with alternatives, optional parts and gaps."""
     w = m.search_queries.select("query_id", F.regexp_extract_all("query_text", F.lit("[A-Za-z]{3,}"), F.lit(0)).alias("w")).where("size(w) >= 4")
     pattern = F.concat(F.lit("("), F.get("w", F.lit(1)), F.lit("|"), F.get("w", F.lit(2)), F.lit("x?) [a-z]+.*"), F.get("w", F.lit(3)))
-    return se.grep(w.select("query_id", pattern.alias("pattern")), m.chunks, regex=True, index=m.grams).select("query_id", "path")
+    return se.grep(w.select("query_id", pattern.alias("pattern")), m.chunks, regex=True).select("query_id", "path")
 
 
 @query("se_grep_wildcards", f"WITH {C}, {Q}, p AS (SELECT query_id, w[2] || '%' || w[3] || '_' || w[4] AS pattern FROM (SELECT query_id, {PIECES} AS w FROM q) WHERE len(w) >= 4) SELECT query_id, path FROM p JOIN c ON verbatim_text LIKE '%' || pattern || '%' OR contextualized_text LIKE '%' || pattern || '%'")
@@ -189,7 +189,7 @@ def se_grep_wildcards(m: Model) -> DataFrame:
     """LIKE patterns, looked up in the same index."""
     w = m.search_queries.select("query_id", F.regexp_extract_all("query_text", F.lit("[A-Za-z]{3,}"), F.lit(0)).alias("w")).where("size(w) >= 4")
     pattern = F.concat(F.get("w", F.lit(1)), F.lit("%"), F.get("w", F.lit(2)), F.lit("_"), F.get("w", F.lit(3)))
-    return se.grep(w.select("query_id", pattern.alias("pattern")), m.chunks, literal=False, index=m.grams).select("query_id", "path")
+    return se.grep(w.select("query_id", pattern.alias("pattern")), m.chunks, literal=False).select("query_id", "path")
 
 
 OVERLAP = f"round(coalesce(len(list_intersect(list_distinct({words('query_text')}), {words('verbatim_text')}))::DOUBLE / nullif(len(list_distinct({words('query_text')})), 0), 0), 6)"
