@@ -9,6 +9,7 @@ from treelark.operators import answers as an
 from treelark.operators import graph as kg
 from treelark.plans.model import EDGES, SYMMETRIC, C, Model
 from treelark.plans.registry import query
+from treelark.sources.scratch import saved
 
 _SYM = ", ".join(f"'{c}'" for c in SYMMETRIC)
 STEPS = f"""WITH RECURSIVE {EDGES}, e AS (SELECT *, md5(source || '|' || target || '|' || relation_type) AS edge_id FROM edges),
@@ -19,8 +20,9 @@ dd AS (SELECT source0, edge_id, f AS "from", t AS "to", relation_type, citation_
 
 
 def steps(m: Model) -> DataFrame:
-    """Walks of up to two steps from every source of an edge."""
-    return kg.walk(m.edges.select("source").distinct(), m.edges, m.relations, 2)
+    """Walks of up to two steps from every source of an edge. Steps carry the digest of a citation, which tells texts apart as well: no query shows the text."""
+    edges = saved(m.edges.withColumn("citation_text", F.sha2("citation_text", 256)), "edges")
+    return kg.walk(edges.select("source").distinct(), edges, m.relations, 2)
 
 
 @query("kg_traverse", f'{STEPS} SELECT source0, edge_id, f AS "from", t AS "to", relation_type, depth, count(*) AS walks FROM w GROUP BY ALL')
