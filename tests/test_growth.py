@@ -78,3 +78,15 @@ def test_leaves_are_compared_only_where_containers_may_share_them(spark):
     assert got == [("d.a", "d.b.x", "twin"), ("d.a", "d.b.y", "twin"), ("e.z", "d.b.x", "alone"), ("e.z", "d.b.y", "alone")]
     physical = plan._jdf.queryExecution().sparkPlan().toString()
     assert "Union" in physical and physical.count("Window [") == 1  # leaves of the other branch are given out as they are
+
+
+def test_a_label_is_made_once(spark):
+    from treelark.functions import paths as p
+
+    rows = spark.createDataFrame([(" Ünder ĳ½ Đ ",), ("plain-Text 7",), ("й",), ("--",), (None,), ("İx",)], "raw string")
+    df = rows.select(p.sanitise_label(F.col("raw")).alias("x"))
+    assert [r["x"] for r in df.collect()][:2] == ["under_ij1_2_d", "plain_text_7"]
+    assert [r["x"] for r in df.collect()][2][:2] == "u_" and [r["x"] for r in df.collect()][3:5] == [None, None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(raw") == 1
+    points = spark.createDataFrame([(chr(c),) for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000], "c string")
+    assert {r["c"] for r in points.where(F.col("c").rlike(p.SPELT)).collect()} == {c for c in p.SEVERAL if ord(c) < 0x20000}

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from treelark.functions.text import once
+
 
 def labels(path: Column) -> Column:
     return F.split(path, "\\.")
@@ -71,6 +74,8 @@ def _decomposed() -> tuple[str, str, dict[str, str]]:
 
 
 MARKED, PLAIN, SEVERAL = _decomposed()
+#: The characters of SEVERAL as ranges: a class of single ones is tried one by one.
+SPELT = "[" + "".join(f"\\x{{{own[0]:x}}}-\\x{{{own[-1]:x}}}" for own in ([x for _, x in run] for _, run in groupby(enumerate(sorted(map(ord, SEVERAL))), lambda x: x[1] - x[0]))) + "]"
 BLANK = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]+"
 
 
@@ -83,7 +88,12 @@ def spell_out(text: Column) -> Column:
     """Ligatures, numerals and the like as the characters that they are made of."""
     table = F.map_from_arrays(*[F.split(F.lit("\n".join(x)), "\n") for x in (SEVERAL.keys(), SEVERAL.values())])
     some = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(table[c], c)), "")
-    return F.when(text.rlike("[" + "".join(SEVERAL) + "]"), some).otherwise(text)
+    return F.when(has_marks(text) & text.rlike(SPELT), some).otherwise(text)
+
+
+def has_marks(text: Column) -> Column:
+    """Whether a text has other characters than ASCII."""
+    return F.octet_length(text) > F.char_length(text)
 
 
 def sanitise_label(raw: Column) -> Column:
@@ -91,10 +101,14 @@ def sanitise_label(raw: Column) -> Column:
 
     Null for a title without letters or digits.
     """
-    clean = strip(raw)
-    label = F.lower(F.regexp_replace(F.translate(spell_out(clean), MARKED, PLAIN), "[^A-Za-z0-9_]+", "_"))
-    label = F.regexp_replace(F.substring(F.regexp_replace(label, "^_+|_+$", ""), 1, 250), "_+$", "")
-    return F.when(~clean.rlike(r"[\p{L}\p{N}]"), F.lit(None)).when(label == "", F.concat(F.lit("u_"), F.substring(F.md5(clean), 1, 12))).otherwise(label)
+    def label_of(clean: Column) -> Column:
+        plain = F.when(has_marks(clean), F.translate(spell_out(clean), MARKED, PLAIN)).otherwise(clean)
+        label = F.lower(F.regexp_replace(plain, "[^A-Za-z0-9_]+", "_"))
+        label = F.regexp_replace(F.substring(F.regexp_replace(label, "^_+|_+$", ""), 1, 250), "_+$", "")
+        named = lambda x: F.when(x == "", F.concat(F.lit("u_"), F.substring(F.md5(clean), 1, 12))).otherwise(x)
+        return F.when(clean.rlike(r"[\p{L}\p{N}]"), once(label, named))
+
+    return once(strip(raw), label_of)
 
 
 def canonical_path(raw: Column) -> Column:
