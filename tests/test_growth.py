@@ -80,6 +80,16 @@ def test_leaves_are_compared_only_where_containers_may_share_them(spark):
     assert "Union" in physical and physical.count("Window [") == 1  # leaves of the other branch are given out as they are
 
 
+def test_a_line_with_tags_is_made_once(spark):
+    """What is asked several times of a value is asked of one value: the text of a line is not made anew for each."""
+    from treelark.operators.chunking import normalise_markup
+
+    rows = spark.createDataFrame([("a `<b>` <Image alt=\"x\" src=\"y\"/> <b>z</b>",), (None,)], "raw string")
+    df = rows.select(normalise_markup(F.reverse(F.reverse("raw"))).alias("x"))
+    assert [r["x"] for r in df.collect()] == ["a `<b>` ![x](y) z", None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("reverse(reverse(raw") == 1
+
+
 def test_a_label_is_made_once(spark):
     from treelark.functions import paths as p
 
