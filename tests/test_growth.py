@@ -100,3 +100,20 @@ def test_a_label_is_made_once(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(raw") == 1
     points = spark.createDataFrame([(chr(c),) for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000], "c string")
     assert {r["c"] for r in points.where(F.col("c").rlike(p.SPELT)).collect()} == {c for c in p.SEVERAL if ord(c) < 0x20000}
+
+
+def test_siblings_are_given_out_where_rows_are_read(spark):
+    from treelark.operators import navigate as nav
+
+    paths = ["r", "r.a", "r.b", "r.c", "r.a.x", "r.a.y", "s.a"]
+    chunks = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, start_line int")
+    anchors = spark.createDataFrame([("r",), ("r.a",), ("r.a",), ("r.a.x",), ("r.zz",), (None,)], "anchor string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = nav.siblings(anchors, chunks)
+        got = sorted((r["anchor"], r["path"], r["relative_depth"]) for r in found.collect())
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [*(("r.a", p, 0) for p in ("r.b", "r.b", "r.c", "r.c")), ("r.a.x", "r.a.y", 0), *(("r.zz", p, 0) for p in ("r.a", "r.b", "r.c"))]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "split(" not in plan

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from treelark.functions.paths import ancestors, humanise, is_under, nlevel, parent_path
 from treelark.operators.path_store import below
 
+#: Rows and bytes of anchors that may be sent to all tasks.
+SENT_ROWS, SENT_BYTES = 1 << 20, 64 << 20
+
 
 def relative(df: DataFrame) -> DataFrame:
     return df.withColumn("relative_depth", nlevel(F.col("path")) - nlevel(F.col("anchor")))
@@ -26,9 +29,16 @@ def parent_chain(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def siblings(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The other chunks below the parent of each anchor, at relative depth 0.
+
+    What comes out is anchors times siblings, so nothing is made anew for a row of it. A row meets the anchors of its parent where it is read, if these
+    are few enough to be sent out: a parent with very many children is then spread over all tasks.
+    """
     a = anchors.select("anchor", parent_path(F.col("anchor")).alias("__p")).where("__p is not null")
-    c = chunks.withColumn("__p", parent_path(F.col("path")))
-    return relative(a.join(c, "__p").where("path <> anchor").drop("__p"))
+    c = chunks.withColumn("__p", parent_path(F.col("path"))).where("__p is not null")
+    n, size = a.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("anchor") + F.octet_length("__p")), F.lit(0))).first()
+    few = F.broadcast(a) if n <= SENT_ROWS and size <= SENT_BYTES else a
+    return c.join(few, "__p").where("path <> anchor").select("anchor", *chunks.columns, F.lit(0).cast("long").alias("relative_depth"))
 
 
 def subtree(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
