@@ -117,3 +117,19 @@ def test_siblings_are_given_out_where_rows_are_read(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == [*(("r.a", p, 0) for p in ("r.b", "r.b", "r.c", "r.c")), ("r.a.x", "r.a.y", 0), *(("r.zz", p, 0) for p in ("r.a", "r.b", "r.c"))]
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "split(" not in plan
+
+
+def test_quotes_are_summed_up_where_they_meet_their_leaves(spark):
+    from treelark.operators import answers as an
+
+    chunks = spark.createDataFrame([("d.a", "d", "one two"), ("d.b", "d", "say  this"), ("e.a", "e", "say this")], "path string, doc_slug string, verbatim_text string")
+    cited = spark.createDataFrame([(1, 1, "d", "say this"), (1, 2, "d", "never"), (1, 3, "d", None), (2, 1, "none", "x")], "answer_id bigint, i int, path string, citation_text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = an.resolved(cited, chunks)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r["answer_id"], r["i"], r["leaf"], r["doc_slug"], r["verbatim_text"], r["grounded"]) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got[0] == (1, 1, "d.b", "d", "say  this", True) and [x[2] for x in got[1:]] == ["d.a", "d.a", None]
+    assert "hashpartitioning(answer_id" not in plan

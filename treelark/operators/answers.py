@@ -53,11 +53,14 @@ def violations(answers: DataFrame, chunks: DataFrame, extra: list[Callable[[Data
 
 
 def resolved(citations: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Citations with the leaf that answers each: the first under its path that holds the quote, else the first; null if none."""
+    """Citations with the leaf that answers each: the first under its path that holds the quote, else the first; null if none.
+
+    Leaves get their texts before they meet the citations, so a quote isn't copied for every leaf before it is moved, and what meets by path is summed up there.
+    """
     leaves = leaf_rows(citations.select(F.col("path").alias("query_path")), chunks).withColumnRenamed("query_path", "path")
-    wide = citations.join(leaves, "path", "left").select("answer_id", "i", "path", "citation_text", "leaf")
     text = chunks.select(F.col("path").alias("leaf"), "doc_slug", "verbatim_text")
-    wide = wide.join(text, "leaf", "left").withColumn("grounded", contains_quote(F.col("verbatim_text"), F.col("citation_text")))
+    wide = citations.select("answer_id", "i", "path", "citation_text").join(leaves.join(text, "leaf"), "path", "left")
+    wide = wide.withColumn("grounded", contains_quote(F.col("verbatim_text"), F.col("citation_text")))
     best = F.min_by(F.struct("leaf", "doc_slug", "verbatim_text", "grounded"), F.struct(~F.col("grounded"), F.col("leaf")))
     return wide.groupBy("answer_id", "i", "path", "citation_text").agg(best.alias("b")).select("answer_id", "i", "path", "citation_text", "b.*")
 
