@@ -1,6 +1,7 @@
 """What queries shuffle and hold must not grow faster than their tables."""
 
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -133,3 +134,36 @@ def test_quotes_are_summed_up_where_they_meet_their_leaves(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got[0] == (1, 1, "d.b", "d", "say  this", True) and [x[2] for x in got[1:]] == ["d.a", "d.a", None]
     assert "hashpartitioning(answer_id" not in plan
+
+
+def test_lines_look_behind_without_going_through_all_of_them_anew(spark):
+    """No window ends with the last line of a document unless it holds all of it: Spark's work for such a frame grows with the square of the lines."""
+    from treelark.operators import chunking as ch
+
+    lines = spark.createDataFrame([("d", i, t, False) for i, t in enumerate(["Tiểu mục 2", "", "CHUNG", "Tiểu mục 3", "Chung", "<Image", 'src="/a"', "/>", "<Image", "x"], 1)], "doc_slug string, n bigint, line string, in_code boolean")
+    heads = lines.selectExpr("doc_slug", "n", "3 as level", "'`f(' || n || ')`' as title", "n % 3 <> 0 as empty")
+    frames = {"statutes": ch.normalise_statutes(lines), "tags": ch.join_tags(lines), "comments": ch.version_comments(lines), "overloads": ch.fold_overloads(heads)}
+    for name, df in frames.items():
+        frame = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.findall(r"RowFrame, (?!unboundedpreceding)[^,]*, unboundedfollowing", frame), name
+    said = {k: [r["line"] for r in frames[k].orderBy("n").collect()] for k in ("statutes", "tags")}
+    assert said["statutes"][:5] == ["### Tiểu mục 2: CHUNG", "", "", "### Tiểu mục 3", "Chung"]
+    assert said["tags"][5:] == ["", "", '<Image src="/a" />', "<Image", "x"]
+    assert [(r["target"], r["start_line"], r["titles"]) for r in frames["overloads"].orderBy("target").collect()][0] == (3, 1, ["`f(1)`", "`f(2)`", "`f(3)`"])
+
+
+def test_texts_of_lines_are_dealt_out_once_for_fences_and_sections(spark):
+    """Code, front matter and sections are found by windows over one deal of the lines by document, not by joins of the texts; a section costs no array."""
+    from treelark.operators import chunking as ch
+
+    text = "---\ntitle: T\n---\n# A\n```js\n# no\n```\nx\n### B\n## C\n```\nopen"
+    docs = spark.createDataFrame([("d", text), ("e", "```\n~~~\n```\n# E"), ("f", "---\nnever closed")], "doc_slug string, raw_text string")
+    lines, _ = ch.front_matter(ch.lines_of(docs))
+    coded = ch.mark_code(lines)
+    assert "Join" not in coded._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r["doc_slug"], r["n"], r["line"], r["block"]) for r in coded.where("in_code or n = 1").orderBy("doc_slug", "n").collect()]
+    assert got == [("d", 1, "", None), ("d", 5, "```js", 1), ("d", 6, "# no", 1), ("d", 7, "```", 1), ("d", 11, "```", 2), ("d", 12, "open", 2),
+                   ("e", 1, "```", 1), ("e", 2, "~~~", 1), ("e", 3, "```", 1), ("f", 1, "---", None)]
+    tree = ch.section_tree(ch.headings(coded))
+    assert "array" not in tree._jdf.queryExecution().optimizedPlan().toString().split("Union")[0].lower()
+    assert [(r["n"], r["section"], r["parent"]) for r in tree.where("doc_slug = 'd' and n > 3").orderBy("n").collect()] == [(4, 4, None), (5, 4, None), (6, 4, None), (7, 4, None), (8, 4, None), (9, 9, 4), (10, 10, 4), (11, 10, None), (12, 10, None)]
