@@ -118,6 +118,33 @@ def test_spark_counts_give_the_wrappers_of_induction(spark):
     assert html_extract.extract(rows[-1][2], found["y.org"]) == "copied"
 
 
+def test_skeletons_and_words_come_from_all_pages(spark):
+    def own(k):
+        links = "".join(f'<li><a href="/{k}{i}">further {k * 3 + i}</a></li>' for i in range(4))
+        more = f'<div class="zz"><ul>{links}</ul></div>' if k % 40 == 7 else ""  # 5 of 200 pages
+        story = "".join(f"<p>In story {k} part {i} says {'much ' * 20}and w{k}.</p>" for i in range(4))
+        return f"<body><div><p>by a{k} of b{k}</p></div><div><h1>Story {k}</h1>{story}</div>{more}</body>"
+
+    rows = [(k, f"https://x.org/{k}", own(k)) for k in range(200)] + [(1000 + k, f"https://x.org/c{k}", own(1)) for k in range(400)]
+    for parts in (2, 5):
+        df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(parts)
+        [wrapper] = [r["wrapper"] for r in html_extract.wrappers(Workspace(spark), df).collect()]
+        assert "div.zz" in wrapper
+        for k in range(7, 200, 40):
+            text = html_extract.extract(own(k), wrapper)
+            assert "further" not in text and f"Story {k}" in text
+        assert parts == 2 or wrapper == before
+        before = wrapper
+    root = html_extract.load(html_extract.merged({html_extract.tree_of(h): 1 for _, _, h in rows}))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for x in html_extract.in_order(root):
+        x.asked = x.number > 0
+    asking = spark.createDataFrame([("x.org", html_extract.dump(root))], "host string, wrapper string")
+    [said] = html_extract.recurring_words(Workspace(spark), pages, asking).collect()
+    want = html_extract.recurring(root, [h for _, _, h in rows])
+    assert {x["slot"]: (x["recur"], x["every"]) for x in said["said"]} == want and any(n for n, _ in want.values())
+
+
 @pytest.mark.parametrize("html", ["<div>" * 100_000 + "x", '<a "' * 250_000, "<a " * 300_000, "<!--" * 200_000, "</div>" * 200_000, "<p><div>" * 50_000, '<a href="' * 100_000 + ">", "<" * 1_000_000, "<li>" * 100_000])
 def test_hostile_pages(html):
     wrapper = html_extract.induce([plain_page(k) for k in range(5)] + [html])

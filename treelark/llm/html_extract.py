@@ -1,20 +1,21 @@
 """Main text of web pages by wrapper induction.
 
-At most SAMPLE_PAGES pages of a host, those with the smallest hashes, are parsed into trees of block elements and aligned one after
-another by simple tree matching: labels must agree, and the children of matched nodes are aligned by dynamic programming; runs of equal
-siblings are one iterated node. The merged tree is the host's skeleton, and its nodes are slots. Then every page of the host is aligned with the skeleton, and
+Every page is parsed into a tree of block elements, in which runs of equal siblings are one iterated node. The different trees of a host are aligned
+by simple tree matching: labels must agree, and the children of matched nodes are aligned by dynamic programming. FAN trees or so make one, and those
+are aligned again until one is left. It is the host's skeleton, and its nodes are slots. Then every page of the host is aligned with the skeleton, and
 what stands in each slot is counted over all of them. A text that stands in one slot of most pages that fill it, and whose pages differ otherwise, is constant;
 slots are told apart by the text that varies in them: those that hold the bulk of it outside links are content; a container beside them is template if
 it holds links for the most part, or a form of words: words that recur there in most pages, and not in their prose (`decide`). How little text it holds doesn't matter. The skeleton with these decisions is the wrapper. A page is aligned with its
 host's wrapper, and its text is the blocks of its content slots in page order, without constant texts and without elements whose tag, class or role marks
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments. Such marks are the one other feature: they
 leave an element out of the counts and of the text. Ids of headings and paragraphs mark nothing, and inside an article only whole class names
-of adverts, shares and comments do. Nodes that no sampled page has go with the slot above them.
+of adverts, shares and comments do.
 
-Alignment and tree walks use stacks, tags are found in one pass, and wrappers have DEPTH levels, below which blocks go with the slot above them. Hosts with fewer than
+Alignment and tree walks use stacks, tags are found in one pass, and wrappers have DEPTH levels, below which blocks go with the slot above them. From KIDS slots under one
+on, bare containers that the alignment leaves over share a slot with those of the same shape. Hosts with fewer than
 TEMPLATE_PAGES different pages get no decisions: there marks decide alone, as they do for a page that fills no content slot.
 
-Skeletons are fitted on the bounded sample; counts cover all pages, and every page is extracted whole. Character references are decoded, white space inside a block
+Skeletons and counts come from all pages, and every page is extracted whole. Character references are decoded, white space inside a block
 becomes one space, blocks are joined by two newlines. Null or empty html gives an empty text. A null or unreadable url is a host of its own, without a wrapper.
 Unclosed and crossed tags close as browsers close them; a cut tag at the end is dropped. Repeated pages count once for constant texts and get equal texts. Of other
 columns none are returned. An empty table gives an empty result.
@@ -33,22 +34,27 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelark.llm.common import BATCH_ROWS, Workspace, bounded
+from treelark.llm.common import BATCH_ROWS, Workspace, bounded, sifted
 
-SAMPLE_PAGES, SAMPLE_DRAW = 16, 48
+#: Trees that are aligned with one another at a time, about.
+FAN = 16
 #: A text is template if it stands in its slot in this share of the pages that fill the slot, in so many at least, and if
 #: the pages that hold it have so many different other texts, by page.
 TEMPLATE_SHARE, TEMPLATE_PAGES, KINDS_SHARE = 0.6, 4, 0.25
 #: Shares of a host's varying text outside links: that makes main slots the content, and that a container holds to be entered.
 MAIN_SHARE, MOST_SHARE = 0.3, 0.6
 #: The share of links that makes a container beside the way template, and the share of words that recur in
-#: TEMPLATE_SHARE of the sampled pages that fill their slot, and aren't ordinary words of the pages' prose.
+#: TEMPLATE_SHARE of the pages that fill their slot, and aren't ordinary words of the pages' prose.
 LINK_SHARE, FORM_SHARE = 0.8, 0.15
 #: Levels of a wrapper, and the largest table of one alignment: beyond it children are matched by label alone.
 DEPTH, CELLS = 64, 1_000_000
+#: Slots under one from which on bare containers of one shape share theirs.
+KIDS = 256
+#: In place of a slot: the prose of the pages.
+PROSE = -1
 
 # HTML elements.
 BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol option optgroup p pre search section select summary table tbody td template tfoot th thead title tr ul".split())
@@ -158,8 +164,8 @@ def tags(source: str) -> Generator[tuple[str, str, str, int, int], int | None, N
         at = (yield ("/" if slash else ""), name[0].lower() if k >= 0 else "", source[name.end() : end - 1], start, end) or end
 
 
-def parse(source: str) -> Node:
-    """The tree of block elements. Inline elements only pass their text on."""
+def parse(source: str, texts: bool = True) -> Node:
+    """The tree of block elements, with or without their texts. Inline elements only pass their text on."""
     root = Node("", "", False, False)
     stack, text, mains, articles, links, linked = [root], [], 0, 0, 0, 0
     open_at: dict[str, list[int]] = {}
@@ -190,7 +196,7 @@ def parse(source: str) -> Node:
 
     def say(part: str) -> None:
         nonlocal linked
-        if part:
+        if part and texts:
             text.append(part)
             linked += len(part) if links else 0
 
@@ -246,6 +252,23 @@ def parse(source: str) -> Node:
     return root
 
 
+class Part(Node):
+    """A slot of a skeleton that is aligned with another: it stands for a run already, so it makes none with its neighbours."""
+
+    __slots__ = ()
+
+
+def part(slot: Slot) -> Part:
+    top = Part(slot.tag, slot.label, False, slot.main)
+    todo = [(slot, top)]
+    while todo:
+        at, to = todo.pop()
+        for kid in at.kids:
+            to.kids.append(Part(kid.tag, kid.label, False, kid.main))
+            todo.append((kid, to.kids[-1]))
+    return top
+
+
 def shape(node: Node) -> object:
     """What makes siblings next to each other one iterated node: the label, and for bare containers also the labels inside."""
     return frozenset(k.label for k in node.kids if isinstance(k, Node)) if node.label in BARE else None
@@ -257,7 +280,7 @@ def groups(node: Node) -> list[tuple[str, list[Node]]]:
     last: object = None
     for kid in node.kids:
         if isinstance(kid, Node):
-            own = shape(kid)
+            own = kid if isinstance(kid, Part) else shape(kid)
             if out and out[-1][0] == kid.label and last == own:
                 out[-1][1].append(kid)
             else:
@@ -267,13 +290,12 @@ def groups(node: Node) -> list[tuple[str, list[Node]]]:
 
 
 class Slot:
-    """A node of a wrapper: its number in page order, its texts that are template, and whether it is template as a whole."""
+    """A node of a wrapper: its number in page order, its texts that are template, whether it is template as a whole, and whether its words decide that."""
 
-    __slots__ = ("constant", "kids", "label", "main", "mode", "number", "template", "words")
+    __slots__ = ("asked", "constant", "kids", "label", "main", "mode", "number", "template")
 
     def __init__(self, label: str, main: bool = False) -> None:
-        self.label, self.main, self.kids, self.constant, self.template, self.number, self.mode = label, main, [], frozenset(), False, 0, ""
-        self.words = (0, 0)  # of the sample: those that recur, and all
+        self.label, self.main, self.kids, self.constant, self.template, self.asked, self.number, self.mode = label, main, [], frozenset(), False, False, 0, ""
 
     @property
     def tag(self) -> str:
@@ -294,18 +316,18 @@ def in_order(root: Slot) -> list[Slot]:
 def dump(root: Slot) -> str:
     slots = in_order(root)
     above = {id(kid): slot.number for slot in slots for kid in slot.kids}
-    return json.dumps([root.mode, [[x.label, above.get(id(x), -1), int(x.main), int(x.template), sorted(x.constant), *x.words] for x in slots]])
+    return json.dumps([root.mode, [[x.label, above.get(id(x), -1), int(x.main), int(x.template), int(x.asked), sorted(x.constant)] for x in slots]])
 
 
 @functools.lru_cache(maxsize=512)
 def load(wrapper: str) -> Slot:
     slots: list[Slot] = []
     mode, rows = json.loads(wrapper)
-    for label, above, main, template, constant, *words in rows:
+    for label, above, main, template, asked, constant in rows:
         slot = Slot(label, bool(main))
-        slot.words = tuple(words)
         slot.constant, slot.number, slot.mode = frozenset(constant), len(slots), mode
         slot.template = bool(template or (above >= 0 and slots[above].template))
+        slot.asked = bool(asked or (above >= 0 and slots[above].asked))
         slots.append(slot)
         if above >= 0:
             slots[above].kids.append(slot)
@@ -338,7 +360,7 @@ def align(root: Slot, trees: list[Node], grow: bool, memo: dict) -> None:
     """Give trees (one run) the slot, and their children the slots of the best alignment; grow: new slots for those without one.
 
     Down to DEPTH levels; what lies deeper goes with the slot above it. Runs without a partner in the alignment take a slot of their label, if
-    there is one (an iterated or moved node); bare containers, whose label says nothing, don't.
+    there is one (an iterated or moved node); bare containers, whose label says nothing, don't, unless the slot has KIDS others already: then their shape must be the same.
     """
     todo = [(root, trees, 0)]
     while todo:
@@ -360,23 +382,23 @@ def align(root: Slot, trees: list[Node], grow: bool, memo: dict) -> None:
                 else:
                     i, j = i - 1, j - 1
                     pairs[j] = i
-        of_label: dict[str, Slot] = {}
+        of_label: dict[object, Slot] = {}
         for k in slot.kids:
-            if k.label not in BARE:
-                of_label.setdefault(k.label, k)
-        kids, done = [], 0
+            of_label.setdefault((k.label, frozenset(x.label for x in k.kids)) if k.label in BARE else k.label, k)
+        kids, done, many = [], 0, len(slot.kids)
         for j, (label, own) in enumerate(runs):
             if j in pairs:
                 kids += slot.kids[done : pairs[j] + 1]
                 done = pairs[j] + 1
                 to = slot.kids[pairs[j]]
             else:
-                to = of_label.get(label)
+                known = (label, shape(own[0])) if label in BARE else label
+                to = of_label.get(known) if label not in BARE or many >= KIDS else None
                 if to is None and grow:
                     to = Slot(label, own[0].main)
                     kids.append(to)
-                    if label not in BARE:
-                        of_label[label] = to
+                    many += 1
+                    of_label.setdefault(known, to)
             if to is not None:
                 todo.append((to, own, depth + 1))
         if grow:
@@ -401,50 +423,55 @@ def text_hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def skeleton(pages: list[str]) -> Slot:
-    """The slots of some pages of one host: the trees, aligned one after another."""
+def tree_of(source: str) -> str:
+    """The skeleton of one page."""
     root = Slot("")
-    for source in pages:
-        align(root, [parse(source)], True, {})
-    in_order(root)
-    recurring(root, pages)
-    return root
+    align(root, [parse(source, texts=False)], True, {})
+    return dump(root)
+
+
+def merged(trees: dict[str, int]) -> str:
+    """The skeleton of some skeletons, with the number of pages of each: frequent ones come first, then it goes by hash."""
+    root = Slot("")
+    for tree in sorted(trees, key=lambda x: (-trees[x], text_hash(x), x)):
+        align(root, [part(load.__wrapped__(tree))], True, {})
+    return dump(root)
+
+
+def words_of(source: str, root: Slot, every: bool = False) -> dict[int, Counter]:
+    """The words outside links of a page, by slot: of those whose words are asked for, or of all. As PROSE those of its longest texts, that make up MOST_SHARE of it."""
+    tree = parse(source)
+    align(root, [tree], False, {})
+    found: dict[int, Counter] = {}
+    texts = []
+    for _, slot, drop, _, text, linked in blocks(tree):
+        if not drop and linked < len(text):
+            words = text.lower().split()
+            texts.append((len(text), words))
+            if every or slot.asked:
+                found.setdefault(slot.number, Counter()).update(words)
+    left, found[PROSE] = MOST_SHARE * sum(n for n, _ in texts), Counter()
+    for n, words in sorted(texts, key=lambda x: -x[0]):
+        if left <= 0:
+            break
+        left -= n
+        found[PROSE].update(words)
+    return found
 
 
-def recurring(root: Slot, pages: list[str]) -> None:
-    """Counts the words outside links of every slot over some pages, and those of them that recur there and are no ordinary words.
+def recurring(root: Slot, pages: list[str]) -> dict[int, tuple[int, int]]:
+    """The words outside links by slot: how many of them recur there and are no ordinary words, and how many there are; what `recurring_words` finds with Spark.
 
-    A word recurs if it stands in TEMPLATE_SHARE of the pages, two at least, that fill the slot. Ordinary words are those that so many pages have in their
-    prose: the longest texts that make up MOST_SHARE of a page.
+    A word recurs if it stands in TEMPLATE_SHARE of the different pages, two at least, that fill the slot. Ordinary words are those that so many pages have in their prose.
     """
+    found = [words_of(x, root, every=True) for x in dict.fromkeys(pages) if x]
     held: dict[int, list[Counter]] = {}
-    prose: list[set[str]] = []
-    for source in dict.fromkeys(pages):
-        tree = parse(source)
-        align(root, [tree], False, {})
-        own: dict[int, Counter] = {}
-        texts = []
-        for _, slot, drop, _, text, linked in blocks(tree):
-            if not drop and linked < len(text):
-                words = text.lower().split()
-                own.setdefault(slot.number, Counter()).update(words)
-                texts.append((len(text), words))
-        for k, words in own.items():
+    for page in found:
+        for k, words in page.items():
             held.setdefault(k, []).append(words)
-        left, found = MOST_SHARE * sum(n for n, _ in texts), set()
-        for n, words in sorted(texts, key=lambda x: -x[0]):
-            if left <= 0:
-                break
-            left -= n
-            found.update(words)
-        prose.append(found)
-    in_pages = Counter(w for found in prose for w in found)
-    ordinary = {w for w, n in in_pages.items() if n >= max(2, TEMPLATE_SHARE * len(prose))}
-    for slot in in_order(root):
-        own_pages = held.get(slot.number, [])
-        pages_of = Counter(w for words in own_pages for w in words)
-        often = {w for w, n in pages_of.items() if n >= max(2, TEMPLATE_SHARE * len(own_pages))} - ordinary
-        slot.words = (sum(n for words in own_pages for w, n in words.items() if w in often), sum(words.total() for words in own_pages))
+    often = {k: {w for w, n in Counter(w for words in own for w in words).items() if n >= max(2, TEMPLATE_SHARE * len(own))} for k, own in held.items()}
+    ordinary = often.get(PROSE, set())
+    return {k: (sum(n for words in own for w, n in words.items() if w in often[k] and w not in ordinary), sum(words.total() for words in own)) for k, own in held.items() if k != PROSE}
 
 
 def facts(source: str | None, root: Slot) -> list[tuple[int, int, int, int]]:
@@ -462,8 +489,9 @@ def facts(source: str | None, root: Slot) -> list[tuple[int, int, int, int]]:
     return [(*key, *x) for key, x in found.items()]
 
 
-def decide(root: Slot, pages: int, weight: dict[int, tuple[int, int]], constant: dict[int, list[int]]) -> None:
-    """Mark slots as template. weight: characters of varying texts outside and inside links, by slot; constant: template texts by slot.
+def decide(root: Slot, pages: int, weight: dict[int, tuple[int, int]], constant: dict[int, list[int]], said: dict[int, tuple[int, int]] | None = None) -> None:
+    """Mark slots as template. weight: characters of varying texts outside and inside links, by slot; constant: template texts by slot; said: words that recur and all
+    words, by slot. Without said, slots whose words would decide are marked as asked.
 
     The main slots are read if they hold MAIN_SHARE of the varying text outside links. Otherwise the wrapper is entered from the root while one container
     holds MOST_SHARE of that text, and beside this way containers that hold no varying text, links for the most part, or words that recur for the most part, are template
@@ -471,13 +499,13 @@ def decide(root: Slot, pages: int, weight: dict[int, tuple[int, int]], constant:
     """
     slots = in_order(root)
     for slot in slots:
-        slot.constant, slot.template = frozenset(constant.get(slot.number, ())), False
+        slot.constant, slot.template, slot.asked = frozenset(constant.get(slot.number, ())), False, False
     if pages < TEMPLATE_PAGES:
         return
     own = np.array([weight.get(x.number, (0, 0)) for x in slots], np.float64).reshape(-1, 2)
     titled = [x.tag == "h1" and own[x.number].sum() > 0 for x in slots]
     above = {kid.number: slot.number for slot in slots for kid in slot.kids}
-    words = np.array([x.words for x in slots], np.float64).reshape(-1, 2)
+    words = np.array([(said or {}).get(x.number, (0, 0)) for x in slots], np.float64).reshape(-1, 2)
     for k in range(len(slots) - 1, 0, -1):
         own[above[k]] += own[k]
         words[above[k]] += words[k]
@@ -513,13 +541,14 @@ def decide(root: Slot, pages: int, weight: dict[int, tuple[int, int]], constant:
         for k in at.kids:
             linked = own[k.number, 1] >= LINK_SHARE * own[k.number].sum()  # or there is nothing that varies
             form = words[k.number, 0] >= FORM_SHARE * words[k.number, 1] > 0
-            k.template = k is not best and k.tag in CONTAINERS and not titled[k.number] and bool(linked or form)
+            beside = k is not best and k.tag in CONTAINERS and not titled[k.number]
+            k.template, k.asked = beside and bool(linked or form), beside and said is None and not linked
         at = best
 
 
 def induce(pages: list[str]) -> str:
     """The wrapper of some pages of one host, as JSON: what `wrappers` finds with Spark, for one host in memory."""
-    root = skeleton(pages)
+    root = load.__wrapped__(merged(Counter(tree_of(x) for x in pages if x)))
     found = [facts(x, root) for x in pages]
     filled = Counter(s for page in found for s in {x[0] for x in page})
     count = Counter((x[0], x[1]) for page in found for x in page)
@@ -540,7 +569,7 @@ def induce(pages: list[str]) -> str:
             if h not in constant.get(s, ()):
                 c, k = weight.get(s, (0, 0))
                 weight[s] = (c + chars, k + links)
-    decide(root, len(set(rest)), weight, constant)
+    decide(root, len(set(rest)), weight, constant, recurring(root, pages))
     return dump(root)
 
 
@@ -566,20 +595,30 @@ def host(url: str = "url") -> Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def skeletons(pages: DataFrame) -> DataFrame:
-    """(host, skeleton): one row a host, aligned from at most SAMPLE_PAGES of its pages. Hot hosts are thinned by hash before their sample is gathered."""
-    slim = pages.select(host().alias("host"), "url", "page_id").where("host <> ''")
-    counts = bounded(slim.groupBy("host").agg(F.count("*").alias("n")))
-    draw = F.pmod(F.xxhash64(F.lit(31), "url", "page_id"), F.lit(1 << 20))
-    some = pages.where("html is not null").select(host().alias("host"), "page_id", "html", draw.alias("draw")).join(counts, "host")
-    some = some.where(F.col("draw") * F.col("n") <= F.lit(SAMPLE_DRAW << 20))
-    nth = F.row_number().over(Window.partitionBy("host").orderBy("draw", "page_id"))
-    sample = some.withColumn("nth", nth).where(F.col("nth") <= SAMPLE_PAGES).select("host", "nth", "html")
+def skeletons(ws: Workspace, pages: DataFrame) -> DataFrame:
+    """(host, skeleton): one row a host, of all its pages. Each different tree of a host is kept once; they are dealt out by hash to groups of about FAN,
+    a group makes one tree, and so on until every host has one. The groups follow the trees alone, so the result doesn't depend on how pages are stored."""
+    some = pages.select(host().alias("host"), "html").where("host <> '' and html <> ''")
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = Counter((h, tree_of(x)) for h, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            columns = [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(found.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "skeleton", "n"])
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "skeleton": [dump(skeleton(pdf.sort_values("nth")["html"].tolist()))]})
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [key[0]], "skeleton": [merged(pdf.groupby("skeleton")["n"].sum().to_dict())], "n": [pdf["n"].sum()]})
 
-    return sample.groupBy("host").applyInPandas(fit, "host string, skeleton string")
+    schema = "host string, skeleton string, n bigint"
+    found = some.mapInArrow(trees, schema).groupBy("host", "skeleton").agg(F.sum("n").alias("n"))
+    found, k = ws.save(found, "trees-0", compression="zstd"), 0
+    while k == 0 or most > 1:
+        counts = ws.save(found.groupBy("host").agg(F.ceil(F.count("*") / FAN).alias("groups")), f"trees-of-{k}")
+        most = counts.agg(F.max("groups")).first()[0] or 0
+        dealt = found.join(bounded(counts), "host").withColumn("group", F.pmod(F.xxhash64(F.lit(k), "skeleton"), "groups"))
+        k += 1
+        found = ws.save(dealt.select("host", "group", "skeleton", "n").groupBy("host", "group").applyInPandas(fit, schema), f"trees-{k}", compression="zstd")
+    return found.select("host", "skeleton")
 
 
 def page_facts(pages: DataFrame, fitted: DataFrame) -> DataFrame:
@@ -595,14 +634,49 @@ def page_facts(pages: DataFrame, fitted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "host string, slots array<bigint>, hashes array<bigint>, chars array<bigint>, links array<bigint>")
 
 
+def recurring_words(ws: Workspace, pages: DataFrame, asking: DataFrame) -> DataFrame:
+    """(host, said): for the hosts of asking (host, wrapper), the words that recur and all words of each slot that is asked for, over the different pages of the host.
+
+    Pages that occur once aren't shuffled; words are counted by batch first.
+    """
+    own = pages.select(host().alias("host"), "html").where("html <> ''").join(bounded(asking), "host").withColumn("h", F.xxhash64("host", "html"))
+    twice = ws.save(own.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "pages-twice")
+    some, single = sifted(own, twice, "h")
+    columns = ["host", "html", "wrapper"]
+    once = some.dropDuplicates(["host", "h"]).select(columns).unionByName(single.select(columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, said = Counter(), Counter()  # a word of None: all of them
+            for name, source, wrapper in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for slot, words in words_of(source, load(wrapper)).items():
+                    held.update((name, slot, w) for w in [None, *words])
+                    if slot != PROSE:
+                        said.update({(name, slot, None): words.total()} | {(name, slot, w): n for w, n in words.items()})
+            keys = list(held)
+            word = [None if k[2] is None else text_hash(k[2]) for k in keys]
+            found = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array(word, pa.int64()), pa.array(held.values(), pa.int64()), pa.array([said[k] for k in keys], pa.int64())]
+            yield pa.RecordBatch.from_arrays(found, ["host", "slot", "word", "pages", "n"])
+
+    counted = once.mapInArrow(run, "host string, slot bigint, word bigint, pages bigint, n bigint")
+    counted = ws.save(counted.groupBy("host", "slot", "word").agg(F.sum("pages").alias("pages"), F.sum("n").alias("n")), "words", compression="zstd")
+    every = counted.where("word is null").select("host", "slot", F.col("pages").alias("filled"), F.col("n").alias("every"))
+    often = counted.where("word is not null and pages >= 2").join(every, ["host", "slot"]).where(F.col("pages") >= TEMPLATE_SHARE * F.col("filled"))
+    often = ws.save(often.select("host", "slot", "word", "n"), "words-often")
+    ordinary = often.where(F.col("slot") == PROSE).select("host", "word")
+    recur = often.where(F.col("slot") != PROSE).join(ordinary, ["host", "word"], "left_anti").groupBy("host", "slot").agg(F.sum("n").alias("recur"))
+    both = every.where(F.col("slot") != PROSE).join(recur, ["host", "slot"], "left").select("host", "slot", F.coalesce("recur", F.lit(0)).alias("recur"), "every")
+    return both.groupBy("host").agg(F.collect_list(F.struct("slot", "recur", "every")).alias("said"))
+
+
 def wrappers(ws: Workspace, pages: DataFrame) -> DataFrame:
-    """(host, wrapper): one row a host. The skeleton comes from the sample, every count from all pages of the host.
+    """(host, wrapper): one row a host. The skeleton and every count come from all pages of the host.
 
     A text is template if it stands in TEMPLATE_SHARE of the pages that fill its slot, and these pages differ in their other texts: copies of
     one page make no template. All counts are pre-aggregated by (host, slot, text), so a hot host is spread over tasks.
     """
     pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    fitted = ws.save(skeletons(pages), "skeletons")
+    fitted = skeletons(ws, pages)
     found = ws.save(page_facts(pages, fitted), "facts", compression="zstd")
     each = found.select("host", F.explode(F.arrays_zip("slots", "hashes", "chars", "links")).alias("x")).select("host", F.col("x.slots").alias("slot"), F.col("x.hashes").alias("hash"), "x.chars", "x.links")
     texts = ws.save(each.groupBy("host", "slot", "hash").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links")), "texts", compression="zstd")
@@ -623,18 +697,28 @@ def wrappers(ws: Workspace, pages: DataFrame) -> DataFrame:
     n_pages = kinds.select("host", "rest").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     by_host = fitted.join(n_pages, "host", "left").join(of(sums, "weights", "slot", "chars", "links"), "host", "left").join(of(constant, "constant", "slot", "hash"), "host", "left")
 
+    by_host = ws.save(by_host.select("host", "skeleton", "pages", "weights", "constant"), "by-host")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for _, shape, n, weights, fixed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out, asked = [], []
+            for _, shape, n, weights, fixed, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 root, texts_of = load.__wrapped__(shape), {}
                 for x in fixed or ():
                     texts_of.setdefault(x["slot"], []).append(x["hash"])
-                decide(root, n or 0, {x["slot"]: (x["chars"], x["links"]) for x in weights or ()}, texts_of)
+                said = {x["slot"]: (x["recur"], x["every"]) for x in rest[0] or ()} if rest else None
+                decide(root, n or 0, {x["slot"]: (x["chars"], x["links"]) for x in weights or ()}, texts_of, said)
                 out.append(dump(root))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["host", "wrapper"])
-
-    return by_host.select("host", "skeleton", F.col("pages"), "weights", "constant").mapInArrow(run, "host string, wrapper string")
+                asked.append(any(x.asked for x in in_order(root)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(asked, pa.bool_())], ["host", "wrapper", "asked"])
+
+    schema = "host string, wrapper string, asked boolean"
+    decided = ws.save(by_host.mapInArrow(run, schema), "decided")
+    asking = decided.where("asked").select("host", "wrapper")
+    if asking.isEmpty():
+        return decided.select("host", "wrapper")
+    said = by_host.join(asking.select("host"), "host").join(recurring_words(ws, pages, asking), "host", "left").mapInArrow(run, schema)
+    return decided.where("not asked").unionByName(said).select("host", "wrapper")
 
 
 def extract_pages(ws: Workspace, pages: DataFrame) -> DataFrame:
