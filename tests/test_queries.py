@@ -37,3 +37,11 @@ def test_equals_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE)))
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_corpus_files_of_odd_lines_and_sources(spark, db, tmp_path):
+    rows = [("a", "# head\n\nx"), ("b", "\n"), ("b", "c\r\n\r"), ("c/d %2F", "\x00\n\x01"), ("", "x"), (None, "y"), ("e", None)]
+    spark.createDataFrame([(k, s, t, "en") for k, (s, t) in enumerate(rows)], "doc_id long, source string, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.QUERIES["src_corpus_files"](spark, str(tmp_path)).collect()
+    want = db.sql(f"WITH documents AS (SELECT * FROM '{tmp_path}/documents.parquet/*.parquet') {catalogue.ORACLE['src_corpus_files']}").fetchall()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)

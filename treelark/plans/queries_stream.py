@@ -198,11 +198,10 @@ def src_corpus_files(m: Model) -> DataFrame:
     """All lines of the documents written to Markdown files, one folder a source, beside hidden files, and read back as a corpus of files."""
     out = scratch_folder(m.spark, "files")
     lines = m.docs.where("raw_text is not null").select("source", F.explode(F.split("raw_text", "\n")).alias("line"))
-    plain = {"extension": "md", "quote": "", "sep": "\u0001", "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "maxRecordsPerFile": "5000"}
-    lines.write.partitionBy("source").options(**plain).csv(f"{out}/corpus")
-    lines.limit(1).write.partitionBy("source").options(**plain).csv(f"{out}/corpus/.hidden")
+    corpus.write_files(lines, f"{out}/corpus", "source")
+    corpus.write_files(lines.limit(1), f"{out}/corpus/.hidden", "source")
     back = corpus.corpus_files(m.spark, f"{out}/corpus", "ns")
-    source = F.regexp_extract("file", r"/source=([^/]+)/", 1)
+    source = corpus.folder_value(F.col("file"), "source")
     return back.groupBy(source.alias("source")).agg(F.sum(F.size(F.split("raw_text", "\n")) - 1).alias("n_lines"), F.sum(F.length("raw_text")).alias("chars"))
 
 

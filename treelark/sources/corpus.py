@@ -24,6 +24,24 @@ def corpus_files(spark: SparkSession, root: str, namespace: str = "") -> DataFra
     return rows.where(~rest.rlike(r"/\.")).select("file", slug_of(F.col("file"), root, namespace).alias("doc_slug"), "raw_text")
 
 
+def write_files(lines: DataFrame, root: str, by: str, lines_a_file: int = 5000) -> None:
+    """Lines (by, line) as Markdown files, each line as it is, in a folder for each value of `by` (`folder_value` reads it back from the path)."""
+    name = F.concat(F.lit("x"), F.hex(F.encode(by, "UTF-8"))).alias(by)
+    lines.select(name, "line").write.partitionBy(by).option("maxRecordsPerFile", str(lines_a_file)).text(root)
+    spark = lines.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(at, "*/part-*.txt")) or []:  # Spark names files itself
+        path = part.getPath()
+        if not fs.rename(path, spark._jvm.org.apache.hadoop.fs.Path(path.getParent(), path.getName().removesuffix("txt") + "md")):
+            raise OSError(f"{path} can't be renamed")
+
+
+def folder_value(file: Column, by: str) -> Column:
+    """The value of `by` of a file written by write_files; null for the folder of nulls."""
+    return F.decode(F.unhex(F.nullif(F.regexp_extract(file, f"/{by}=(x[0-9A-F]*)/", 1), F.lit("")).substr(2, 1 << 30)), "UTF-8")
+
+
 def slug_of(file: Column, root: str, namespace: str = "") -> Column:
     """The path of a file below the root as a slug, with the namespace in front unless it is there."""
     clean = F.regexp_replace(file, "^file:/*", "/")
