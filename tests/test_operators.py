@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from treelark import plugins
+from treelark.functions import text as tx
 from treelark.operators import answers as an
 from treelark.operators import chunking as ch
 from treelark.operators import evaluate as ev
@@ -19,6 +20,7 @@ from treelark.operators import search as se
 from treelark.operators import validate as val
 from treelark.operators.path_store import sort_by_path
 from treelark.operators.search import scoped
+from treelark.plans import catalogue
 from treelark.sources import corpus
 from treelark.streaming import traces
 
@@ -388,3 +390,22 @@ def test_grep_by_inner_words_equals_a_scan(spark):
     for same, fold in ((True, str), (False, str.lower)):
         want = {(i, f"p{j}") for i, q in enumerate(patterns) for j, t in enumerate(texts) if q and fold(q) in fold(f"[x]\n{t}")}
         assert {(x["query_id"], x["path"]) for x in se.grep(p, chunks, case_sensitive=same).collect()} == want
+
+
+def test_similar_texts_are_those_of_the_join(spark, monkeypatch):
+    words = ["a", "ab", "Ñandú", "école", "straße", "x_1", "漢字", "the", "that", "then", "𝒳y"]
+    texts = [" ".join(words[(k * j + j * j) % 11] for j in range(1, 2 + k % 7)) for k in range(60)] + ["", "...", None, "a " * 5000, "the then"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "path int, text string")
+    q = spark.createDataFrame([(k, t) for k, t in enumerate(texts[:40:3] + ["", "the then", "…"])], "query_id int, pattern string")
+    want = se.similar_sets(q.select("query_id", tx.trigrams(F.col("pattern")).alias("set")), rows.select("path", tx.trigrams(F.col("text")).alias("set")), 0.3).collect()
+    assert len(want) > 100
+    for block, scans, cube, letters in ((256, 16, 1 << 24, 1 << 19), (5, 16, 1 << 24, 40), (256, 16, 0, 1 << 19), (1, 1, 0, 1)):
+        for name, value in {"SIMILAR_BLOCK": block, "SIMILAR_SCANS": scans, "CUBE": cube, "SLICE_LETTERS": letters}.items():
+            monkeypatch.setattr(se, name, value)
+        found = se.similar_texts(q, rows, "text", 0.3).select("query_id", "path", "similarity").collect()
+        assert sorted(found) == sorted(want)
+
+
+def test_similar_lines_are_found_where_they_are_read(spark):
+    plan = catalogue.QUERIES["se_trigram_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "MapInArrow" in plan

@@ -162,9 +162,9 @@ def se_trigram(m: Model) -> DataFrame:
 
 @query("se_trigram_match", f"WITH {C}, {Q}, w AS (SELECT query_id, {tri('query_text')} AS a FROM q), t AS (SELECT path, {tri('verbatim_text')} AS b FROM c), wa AS (SELECT query_id, len(a) AS na, unnest(a) AS g FROM w), tb AS (SELECT path, len(b) AS nb, unnest(b) AS g FROM t WHERE len(b) * 0.3 <= (SELECT max(len(a)) FROM w)), k AS (SELECT query_id, path, na, nb, count(*) AS k FROM wa JOIN tb USING (g) GROUP BY ALL), s AS (SELECT query_id, path, round(k::DOUBLE / (na + nb - k), 6) AS similarity FROM k) SELECT * FROM s WHERE similarity >= 0.3")
 def se_trigram_match(m: Model) -> DataFrame:
-    """Lines similar to a pattern as whole texts: a prefix-filtered set similarity join."""
-    q = m.search_queries.select("query_id", tx.trigrams(F.col("query_text")).alias("set"))
-    return se.similar_sets(q, m.chunks.select("path", tx.trigrams(F.col("verbatim_text")).alias("set")), 0.3)
+    """Lines similar to a pattern as whole texts, by their trigrams."""
+    q = m.search_queries.select("query_id", F.col("query_text").alias("pattern"))
+    return se.similar_texts(q, m.chunks.select("path", "verbatim_text"), "verbatim_text", 0.3).select("query_id", "path", "similarity")
 
 
 @query("se_grep_similar", f"WITH {C}, {Q}, w AS (SELECT query_id, query_text, {tri('query_text')} AS a FROM q), t AS (SELECT path, contextualized_text AS ct, {tri('verbatim_text')} AS b FROM c), j AS (SELECT query_id, path, contains(lower(ct), lower(query_text)) AS held, len(list_intersect(a, b)) AS k, len(a) AS na, len(b) AS nb FROM w JOIN t ON true) SELECT query_id, path FROM j WHERE held OR round(k::DOUBLE / (na + nb - k), 6) >= 0.45")
