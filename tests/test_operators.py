@@ -3,8 +3,10 @@
 import os
 import pathlib
 import random
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from treelark import plugins
@@ -276,6 +278,68 @@ def test_trace_stream_does_not_depend_on_triggers(spark, tmp_path):
     assert len(want) > 100 and sorted(set(got[0]) ^ set(want)) == []
 
 
+class Store:
+    """A state store of one key that counts its calls; stands for the handle, a value and a map."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.calls = None, {}, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def counted(name):
+        def call(self, *args):
+            self.calls += 1
+            return {
+                "get": lambda: self.value, "update": lambda v: setattr(self, "value", v), "clear": lambda: setattr(self, "value", None), "getValue": lambda k: self.map[k],
+                "updateValue": lambda k, v: self.map.update({k: v}), "removeKey": lambda k: self.map.pop(k), "registerTimer": lambda t: self.timers.add(t), "containsKey": lambda k: k in self.map, "exists": lambda: self.value is not None,
+            }[name](*args)
+
+        return call
+
+    get, update, clear, getValue, updateValue, removeKey, registerTimer, containsKey, exists = map(counted, "get update clear getValue updateValue removeKey registerTimer containsKey exists".split())
+
+
+@pytest.mark.parametrize("limit", [1, 4, 64, 1024])
+def test_state_of_a_session(limit):
+    """Whatever waits in blocks: the same traces as folded at once. Few calls of the store, none that is left when all is done."""
+    rng = random.Random(limit)
+    for timeout in (3_600_000, 1_000_000):
+        rows = [Row(ms=rng.randrange(0, 200) * 97_000 + 600_000, event_id=k, tool=rng.choice("ab"), kind=rng.choice(["tool_start", "tool_done", "x"]), args=None, elapsed_ms=None) for k in range(500)]
+        got = []
+        for size in (500, 60):
+            own = traces.CallsOfASession(600_000, timeout, limit)
+            store, found, mark = Store(), [], 0
+            own.init(store)
+            given = rows if size == 500 else sorted(rows, key=lambda r: r.ms + rng.randrange(5_000_000))
+            for k in range(0, 500 + 2 * size, size):
+                some = given[k : k + size]
+                if some:
+                    list(own.handleInputRows(("s",), iter(some), None))
+                mark = max(mark, min([r.ms for r in given[k + size :]], default=mark + 10**8) - 1)
+                while due := [t for t in store.timers if t < mark]:
+                    found += own.handleExpiredTimer(("s",), SimpleNamespace(getCurrentWatermarkInMs=lambda: mark), None)
+                    store.timers.discard(min(due))
+                if size == 500 and k == 0:
+                    assert limit < 1024 or store.calls < 10
+            assert store.value is None and not store.map and not store.timers
+            got.append(sorted((r["tool"], r["start_id"] or -1, r["end_id"] or -1, r["status"], r["elapsed_ms"] or -1) for r in found))
+        want, running = [], {"a": [], "b": []}
+        for r in sorted(rows, key=lambda r: (r.ms, r.event_id)):
+            own = running[r.tool]
+            want += [(r.tool, c.event_id or -1, -1, "unfinished", -1) for c in own if c.ms + timeout < r.ms]
+            own[:] = [c for c in own if c.ms + timeout >= r.ms]
+            if r.kind == "tool_start":
+                own.append(r)
+            else:
+                c = own.pop() if own else None
+                want.append((r.tool, c.event_id or -1 if c else -1, r.event_id or -1, "done" if r.kind == "tool_done" else "error", float(r.ms - c.ms) or -1 if c else -1))
+        want += [(t, c.event_id or -1, -1, "unfinished", -1) for t, own in running.items() for c in own]
+        assert got[0] == got[1] == sorted(want)
+
+
 def line_profiles():
     def cut(docs):
         lines = ch.lines_of(docs).where("trim(line) <> ''")
