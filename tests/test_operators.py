@@ -278,6 +278,34 @@ def test_trace_stream_does_not_depend_on_triggers(spark, tmp_path):
     assert len(want) > 100 and sorted(set(got[0]) ^ set(want)) == []
 
 
+def test_accepted_proposals_are_those_of_good_batches(spark):
+    texts = spark.createDataFrame([("d.a", "one  two\tthree"), ("d.b", "four"), ("d.c", " "), ("d.d", None), ("d.e.f", "one two")], "path string, verbatim_text string")
+    rng, rows = random.Random(2), []
+    for batch in range(120):
+        for seq in range(rng.randrange(1, 4)):
+            odd = lambda usual, others: rng.choice(others) if rng.random() < 0.12 else usual
+            source, quote = rng.choice([("d.a", "one two three"), ("d.a", "two \n three"), ("d.b", "four"), ("d.e.f", "one")])
+            rows.append((batch if batch else None, seq, odd(source, ["d.c", "d.d", "d", None]), odd("d", ["d.b", "d.e", "x", None]), odd("SUPPORTS", ["LIKES", None]), odd(quote, ["five", " ", "", None]), odd("why", ["", None])))
+    p = spark.createDataFrame(rows, "batch_id int, seq int, source string, target string, relation_type string, citation_text string, reason string")
+    want = kg.validate_proposals(p, texts, relations(spark)).where("accepted").select(*p.columns).collect()
+    assert 20 < len(want) < 200 and sorted(map(repr, kg.accepted_proposals(p, texts, relations(spark)).select(*p.columns).collect())) == sorted(map(repr, want))
+
+
+def test_planning_reads_texts_of_accepted_batches_alone(spark):
+    """What is shuffled for a plan is no more than a part of the texts: most batches of the registered query are not accepted."""
+    store = spark._jsc.sc().statusStore()
+
+    def shuffled():
+        stages = store.stageList(spark._jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    catalogue.QUERIES["kg_plan_additions"](spark, "/root/testdata/sf0.01").count()  # the chunks are stored
+    before = shuffled()
+    catalogue.QUERIES["kg_plan_additions"](spark, "/root/testdata/sf0.01").write.format("noop").mode("overwrite").save()
+    print("SHUFFLED", shuffled() - before)
+    assert shuffled() - before < 2_500_000
+
+
 class Store:
     """A state store of one key that counts its calls; stands for the handle, a value and a map."""
 

@@ -94,7 +94,8 @@ PLAN = "pl AS (SELECT ac.source, c.path AS target, relation_type, ac.citation_te
 
 
 def planned(m: Model) -> DataFrame:
-    return kg.plan_additions(checked(m).where("accepted"), m.chunks.select("path", "verbatim_text"))
+    texts = m.chunks.select("path", "verbatim_text")
+    return kg.plan_additions(kg.accepted_proposals(proposals(m), texts, m.relations), texts)
 
 
 @query("kg_plan_additions", f"WITH {C}, {PROPOSALS}, {PLAN} SELECT * FROM pl")
