@@ -306,6 +306,13 @@ def test_planning_reads_texts_of_accepted_batches_alone(spark):
     assert shuffled() - before < 2_500_000
 
 
+def test_new_edges_are_planned_once(spark, monkeypatch):
+    made, plan = [], kg.plan_additions
+    monkeypatch.setattr(kg, "plan_additions", lambda *a: made.append(1) or plan(*a))
+    catalogue.QUERIES["kg_insert_new"](spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
+
+
 class Store:
     """A state store of one key that counts its calls; stands for the handle, a value and a map."""
 

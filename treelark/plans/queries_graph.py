@@ -103,9 +103,9 @@ def kg_plan_additions(m: Model) -> DataFrame:
     return planned(m).select("source", "target", "relation_type", "citation_text")
 
 
-def stored(m: Model) -> DataFrame:
+def stored(plan: DataFrame) -> DataFrame:
     """Edges in the store: those planned from the odd lines."""
-    return planned(m).where("seq % 2 = 1").select("source", "target", "relation_type", "citation_text")
+    return plan.where("seq % 2 = 1").select("source", "target", "relation_type", "citation_text")
 
 
 ODD = "od AS (SELECT pl.* FROM pl JOIN c ON c.path = pl.source WHERE c.start_line % 2 = 1)"
@@ -113,7 +113,8 @@ ODD = "od AS (SELECT pl.* FROM pl JOIN c ON c.path = pl.source WHERE c.start_lin
 
 @query("kg_insert_new", f"WITH {C}, {PROPOSALS}, {PLAN}, {ODD} SELECT pl.source, pl.target, od.source IS NOT NULL AS existing FROM pl LEFT JOIN od ON od.source = pl.source AND od.target = pl.target")
 def kg_insert_new(m: Model) -> DataFrame:
-    added, existing = kg.insert_new(planned(m), stored(m))
+    plan = planned(m)
+    added, existing = kg.insert_new(plan, stored(plan))
     return added.select("source", "target", F.lit(False).alias("existing")).unionByName(existing.select("source", "target", F.lit(True).alias("existing")))
 
 
