@@ -24,6 +24,7 @@ from treelark.operators.path_store import sort_by_path
 from treelark.operators.search import scoped
 from treelark.plans import catalogue
 from treelark.sources import corpus
+from treelark.sources.scratch import scratch_folder
 from treelark.streaming import traces
 
 RELATIONS = [("REFERENCES", False), ("SUPPORTS", False), ("SEE_ALSO", True)]
@@ -313,6 +314,16 @@ def test_new_edges_are_planned_once(spark, monkeypatch):
     assert len(made) == 1
 
 
+def test_scratch_tables_of_an_ingest_go_with_it(spark, tmp_path):
+    root = pathlib.Path(scratch_folder(spark, "x")).parent
+    before = set(os.listdir(root)) if root.exists() else set()
+    docs = spark.createDataFrame([("a.md", "a", "x\ny"), ("b.md", "b", "z")], "file string, doc_slug string, raw_text string")
+    got = ing.ingest_documents(docs, line_profiles(), str(tmp_path / "store"), 0)
+    again = ing.ingest_documents(docs.where("doc_slug = 'a'"), line_profiles(), str(tmp_path / "store"), 1)
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before} == {"ingest-summary"}
+    assert (got.first()["chunks"], got.first()["embedded"], again.first()["chunks"], again.first()["embedded"]) == (3, 3, 3, 0)
+
+
 class Store:
     """A state store of one key that counts its calls; stands for the handle, a value and a map."""
 
